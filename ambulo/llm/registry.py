@@ -1,11 +1,13 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import sharding
+from . import mixing, sharding
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
+    "op4_mix_sources": mixing.op4_mix_sources,
 }
 
 ORACLE_SQL = {
     "op1_histogram_sort": sharding.OP1_SQL,
+    "op4_mix_sources": mixing.OP4_SQL,
 }
