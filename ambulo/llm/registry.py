@@ -1,13 +1,15 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import mixing, sharding
+from . import mixing, neardup, sharding
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
+    "op2_minhash_bbit": neardup.op2_minhash_bbit,
     "op4_mix_sources": mixing.op4_mix_sources,
 }
 
 ORACLE_SQL = {
     "op1_histogram_sort": sharding.OP1_SQL,
+    "op2_minhash_bbit": neardup.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
 }
