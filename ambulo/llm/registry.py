@@ -1,15 +1,18 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import mixing, neardup, sharding
+from . import linededup, mixing, neardup, sharding, tokenfiles
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
     "op2_minhash_bbit": neardup.op2_minhash_bbit,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_dac": tokenfiles.op7_dac,
+    "op8_line_windows": linededup.op8_line_windows,
 }
 
 ORACLE_SQL = {
     "op1_histogram_sort": sharding.OP1_SQL,
     "op2_minhash_bbit": neardup.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op8_line_windows": linededup.OP8_SQL,
 }
