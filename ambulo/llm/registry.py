@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import linededup, mixing, neardup, sharding, tokenfiles, toxicity
+from . import linededup, mixing, neardup, sentencepieces, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_dac": tokenfiles.op7_dac,
     "op8_line_windows": linededup.op8_line_windows,
+    "op9_nbest": sentencepieces.op9_nbest,
     "op10_nb_ngrams": toxicity.op10_nb_ngrams,
 }
 
