@@ -1,11 +1,13 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import linededup, mixing, neardup, sentencepieces, sharding, tokenfiles, toxicity
+from . import linededup, media, mixing, neardup, pii, sentencepieces, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
     "op2_minhash_bbit": neardup.op2_minhash_bbit,
+    "op3_tar_shards": media.op3_tar_shards,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_semi_markov": pii.op5_semi_markov,
     "op7_dac": tokenfiles.op7_dac,
     "op8_line_windows": linededup.op8_line_windows,
     "op9_nbest": sentencepieces.op9_nbest,

@@ -31,6 +31,13 @@ def write(folder: str, name: str, *parts: bytes) -> str:
     return f"{folder}/{unique}"
 
 
+def open_new(uri: str):
+    """A stream into a new file."""
+    system, path = _at(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(path)
+
+
 class Reader:
     """Range reads from one file at a time."""
 
