@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import linededup, media, mixing, neardup, pii, sentencepieces, sharding, tokenfiles, toxicity
+from . import fingerprints, linededup, media, mixing, neardup, pii, sentencepieces, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_tar_shards": media.op3_tar_shards,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_semi_markov": pii.op5_semi_markov,
+    "op6_invertible_sketch": fingerprints.op6_invertible_sketch,
     "op7_dac": tokenfiles.op7_dac,
     "op8_line_windows": linededup.op8_line_windows,
     "op9_nbest": sentencepieces.op9_nbest,
