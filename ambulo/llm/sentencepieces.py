@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import table
 
@@ -239,12 +239,9 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
     decoded_ok: every segmentation decodes to the text. Null and empty texts have no pieces. Columns of these names
     are replaced.
     """
-    own = [("n_pieces", LongType()), ("best_score", None), ("n_found", LongType()), ("gap", None), ("ids_crc32", LongType()), ("decoded_ok", None), *([("piece_ids", ArrayType(LongType()))] if ids else [])]
-    from pyspark.sql.types import BooleanType, DoubleType
-
-    kinds = {"best_score": DoubleType(), "gap": DoubleType(), "decoded_ok": BooleanType()}
+    own = [("n_pieces", LongType()), ("best_score", DoubleType()), ("n_found", LongType()), ("gap", DoubleType()), ("ids_crc32", LongType()), ("decoded_ok", BooleanType()), *([("piece_ids", ArrayType(IntegerType()))] if ids else [])]
     docs = docs.drop(*(name for name, _ in own))
-    schema = StructType([*docs.schema.fields, *(StructField(name, kind or kinds[name]) for name, kind in own)])
+    schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in own)])
     where = docs.columns.index("text")
 
     def run(batches):
@@ -258,7 +255,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
                 row = [len(best), found[0][0], len(found), found[0][0] - found[1][0] if len(found) > 1 else None, zlib.crc32(best.tobytes()), all(known.decode(f[1]) == (text or "") for f in found), best]
                 for c, v in zip(cols, row, strict=False):
                     c.append(v)
-            arrow = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            arrow = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, arrow, strict=False))], schema.names)
 
     return docs.mapInArrow(run, schema)
