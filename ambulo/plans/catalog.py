@@ -1,4 +1,6 @@
 """All queries of the library, by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import subjects
+
+QUERIES: dict = {**subjects.QUERIES}
+ORACLE_SQL: dict = {**subjects.ORACLE_SQL}
