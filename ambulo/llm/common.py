@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
         known = f"file://{tempfile.mkdtemp(prefix='ambulo-')}"
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
     return known
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, computed once and kept as a table beside the checkpoints (survives lost executors).
+
+    A table rather than checkpoint(): plans over it know its size and start anew, where checkpointed frames carry the
+    size estimates of the plans they came from, which multiply in loops.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
