@@ -1,6 +1,6 @@
 """All queries of the library, by name, with the SQL that gives the same rows."""
 
-from . import subjects
+from . import kernels, reports, subjects
 
-QUERIES: dict = {**subjects.QUERIES}
-ORACLE_SQL: dict = {**subjects.ORACLE_SQL}
+QUERIES: dict = {**subjects.QUERIES, **reports.QUERIES, **kernels.QUERIES}
+ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **reports.ORACLE_SQL}
