@@ -96,7 +96,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     h = F.shiftleft(place, H_BITS - width) if width <= H_BITS else F.shiftright(place, width - H_BITS)
     keyed = lambda df: df.withColumns({"_h": h, "_d": F.lit(0).cast("long")})
     ranges = max(1, min(-(-total // RANGE_BYTES), MOST_RANGES))
-    splitters, _, _ = find_splitters(cut(keyed(ids).select("_h", "_d", "_size")), ranges, 0.1)
+    splitters, _, _ = find_splitters(cut(keyed(ids).select("_h", "_d", "_size")), ranges)
     small = spark.createDataFrame(_lookup(splitters, ranges), "_b long, _base int, _cuts array<struct<h:long,d:long>>")
     key = F.struct(F.col("_h").alias("h"), F.col("_d").alias("d"))
     ranged = (

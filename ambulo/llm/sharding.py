@@ -56,9 +56,10 @@ def _floor_key(ph: int, pd: int, bits: int, d_bits: int) -> tuple[int, int]:
 def find_splitters(keys: DataFrame, n: int, tolerance: float = 0.0) -> tuple[list[Splitter], int, int]:
     """n - 1 splitters of keys(_h, _d, _size) into parts of equal bytes; total bytes; rounds taken.
 
-    A splitter is done once an edge of its interval is within tolerance (a share of a part's bytes) of its target, or
-    once its interval holds a single key; then it is the nearer edge, the lower one on a tie. Rows with one key are
-    never parted, so only rows equal in text and doc_id can make a part larger than its share.
+    A splitter is done once its interval holds the rows of one _h alone and an edge is within tolerance (a share of a
+    part's bytes) of its target, or once its interval holds a single key; then it is the nearer edge, the lower one on
+    a tie. So a group of equal texts is parted only where keeping it together would cost more than the tolerance, and
+    rows equal in text and doc_id never are.
     """
     ends = keys.agg(F.sum("_size"), F.count("_size"), F.max("_d")).first()
     total, d_bits = ends[0] or 0, max(1, int(ends[2] or 0).bit_length())
@@ -80,7 +81,7 @@ def find_splitters(keys: DataFrame, n: int, tolerance: float = 0.0) -> tuple[lis
             oh, od = _prefix(bits, d_bits)
             parents = keys.sparkSession.createDataFrame(sorted({p for p, _, _ in active.values()}), "oh long, od long")
             rows = rows.withColumns({"oh": oh, "od": od}).join(F.broadcast(parents), ["oh", "od"], "left_semi")
-        counted = rows.groupBy("ph", "pd").agg(F.sum("_size"), F.count("_size"), F.min(F.struct("_h", "_d")) == F.max(F.struct("_h", "_d")))
+        counted = rows.groupBy("ph", "pd").agg(F.sum("_size"), F.count("_size"), F.min(F.struct("_h", "_d")) == F.max(F.struct("_h", "_d")), F.min("_h") == F.max("_h"))
         cells = sorted(tuple(r) for r in counted.collect())  # at most 2 ** STEP_BITS for each splitter
         rounds += 1
         by_parent: dict[tuple[int, int], list] = {}
@@ -88,12 +89,12 @@ def find_splitters(keys: DataFrame, n: int, tolerance: float = 0.0) -> tuple[lis
             by_parent.setdefault(_parent(c[0], c[1], bits, wider, d_bits), []).append(c)
         still = {}
         for i, (parent, below, below_rows) in active.items():
-            for p_h, p_d, size, count, single in by_parent[parent]:
+            for p_h, p_d, size, count, single, group in by_parent[parent]:
                 if i * total < (below + size) * n:
                     break
                 below, below_rows = below + size, below_rows + count
             low, high = i * total - below * n, (below + size) * n - i * total  # both scaled by n
-            if single or wider >= H_BITS + d_bits or min(low, high) <= slack * n:
+            if single or wider >= H_BITS + d_bits or bits < H_BITS and group and min(low, high) <= slack * n:
                 if low <= high:
                     found[i] = Splitter(*_floor_key(p_h, p_d, wider, d_bits), below, below_rows)
                 else:
@@ -114,13 +115,13 @@ def _parent(ph: int, pd: int, bits: int, wider: int, d_bits: int) -> tuple[int,
     return (ph, 0) if bits <= H_BITS else (ph, pd >> (at(bits) - at(wider)))
 
 
-def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = 0.0, piece_bytes: int = 16 << 20) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = 0.01, piece_bytes: int = 16 << 20) -> DataFrame:
     """docs with size, shard and slot: n_shards runs of the key order with bytes as equal as whole documents allow.
 
     size: UTF-8 bytes of the text plus 16 (null: 16). slot: place in the shard, gapless from 0. A shard larger than
     piece_bytes is cut by further splitters into pieces that are sorted apart, so no task holds a shard; the counts
     of the splitters give each piece's first slot. Equal texts are neighbours; a group of them is parted only where a
-    shard's bytes end. Null doc_ids sort as 0; rows equal in text and doc_id stay in one shard; an empty table gives
+    shard's bytes end and the group is larger than the tolerance. Null doc_ids sort as 0; rows equal in text and doc_id stay in one shard; an empty table gives
     an empty result. Input columns named size, shard or slot are replaced.
     """
     spark = docs.sparkSession
@@ -130,7 +131,7 @@ def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = 0.0, piec
     keys = cut(keyed.select("_h", "_d", "_size"))
     total = keys.agg(F.sum("_size")).first()[0] or 0
     pieces = max(1, min(-(-total // (n_shards * piece_bytes)), MAX_SPLITTERS // n_shards))
-    splitters, _, _ = find_splitters(keys, n_shards * pieces, tolerance)
+    splitters, _, _ = find_splitters(keys, n_shards * pieces, tolerance * pieces)
     buckets = _lookup(splitters, n_shards * pieces)
     small = spark.createDataFrame(buckets, "_b long, _base int, _cuts array<struct<h:long,d:long>>")
     starts = [0, *(s.rows for s in splitters)] if splitters else [0] * (n_shards * pieces)
@@ -169,7 +170,10 @@ WITH RECURSIVE {CRC_TABLE_SQL},
              strlen(coalesce(text, ''))::BIGINT + 16 AS size, coalesce(text, '') AS text FROM documents),
      c AS (SELECT *, sum(size) OVER (ORDER BY h, d RANGE UNBOUNDED PRECEDING) AS upto,
              sum(size) OVER (PARTITION BY h, d) AS own, sum(size) OVER () AS total FROM k),
-     s AS (SELECT *, least(39, (40 * (2 * upto - own)) // (2 * total))::INTEGER AS shard FROM c)
+     g AS (SELECT *, max(upto) OVER (PARTITION BY h) AS g1, max(upto) OVER (PARTITION BY h) - sum(size) OVER (PARTITION BY h) AS g0 FROM c),
+     s AS (SELECT *, len(list_filter(range(1, 40), lambda i: i * total < 40 * g0 OR i * total < 40 * g1 AND CASE
+             WHEN least(i * total - 40 * g0, 40 * g1 - i * total) <= 0.01::DOUBLE * total AND (g1 - g0) > own THEN i * total - 40 * g0 <= 40 * g1 - i * total
+             ELSE 2 * i * total <= 40 * (2 * upto - own) END))::INTEGER AS shard FROM g)
 SELECT doc_id, size, {crc32_sql("text")} AS text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY h, d, doc_id, size) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
 """
