@@ -45,9 +45,9 @@ def text_or_empty(name: str = "text") -> Column:
 def word_count(text: Column) -> Column:
     """Number of words as `WORD` has them; null and empty texts have none.
 
-    Counts the places where a word starts, without building the words.
+    White space is made spaces, outer spaces go, and runs of spaces part the words.
     """
-    squeezed = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
+    squeezed = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
     return F.when(squeezed == "", F.lit(0)).otherwise(F.size(F.split(squeezed, " +"))).cast("long")
 
 
