@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 from . import store
 from .common import cut, table
 
+#: Pre-tokens of the byte-level vocabulary (a fixed value of its format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAGIC = b"DAC1"
 CHUNK = 8
 BLOCK = 512
 END_ID = 0
 #: Ids in a file, but for one document more.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 #: Distinct pieces whose ids a worker remembers, and characters of text that it encodes together.
-PIECES_KEPT, TOGETHER = 1_000_000, 4_000_000
+PIECES_KEPT, TOGETHER = 300_000, 2_000_000
 
 
 def encode_dac(ids: np.ndarray) -> bytes:
@@ -94,36 +96,61 @@ class Dac:
 
 
 class Encoder:
-    """Encodes whole texts, meeting each distinct piece between two spaces once.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library, meeting each distinct piece once.
 
-    In byte-level BPE a single space after a character that is not white space begins a new pre-token, so a text may
-    be encoded in pieces that begin at such spaces. New pieces of many texts are joined, encoded together and told
-    apart by their offsets. Texts that cannot be cut so (doubled or outer spaces, white space before a space, special
-    tokens) are encoded whole.
+    A single space after a character that is not white space begins a new pre-token, so a text may be encoded in
+    pieces that begin at such spaces. A new piece is cut into pre-tokens by the pattern that the vocabulary comes with,
+    and the library's BPE model merges each new pre-token. Texts that cannot be cut so (doubled or outer spaces, white
+    space before a space, special tokens) are encoded whole by the library.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pretokens = regex.compile(PATTERN).findall
+        # Byte-level BPE writes printable bytes as themselves and the others as the code points from 256 on.
+        shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.space = chr(self.letters[32])
         self._forget()
 
     def _forget(self) -> None:
         #: Piece without its space -> its number; ids of piece k: pool[starts[k] : starts[k + 1]].
         self.known: dict[str, int] = {}
         self.pool, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+        self.merged: dict[str, list[int]] = {}
+
+    def _merge(self, pretoken: str) -> list[int]:
+        if pretoken.isascii() and pretoken[1:].isalnum() and pretoken[0] == " ":
+            shown = self.space + pretoken[1:]
+        else:
+            shown = pretoken.encode().decode("latin-1").translate(self.letters)
+        ids = self.merged[pretoken] = [t.id for t in self.merge(shown)]
+        return ids
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
-        at = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        ids, ends, get = [], [], self.merged.get
+        for p in pieces:
+            # Letters alone, or with one mark after them, need no pattern.
+            if p.isalpha():
+                found = (" " + p,)
+            elif p[-1] in ",.;:!?" and p[:-1].isalpha():
+                found = (" " + p[:-1], p[-1])
+            else:
+                found = self.pretokens(" " + p)
+            for t in found:
+                ids += get(t) or self._merge(t)
+            ends.append(len(ids))
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.searchsorted(at, ends)])
-        self.pool = np.concatenate([self.pool, np.array(encoded.ids, "<u4")])
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.array(ends, np.int64)])
+        self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
 
     def _pieces(self, text: str | None) -> list[str] | None:
         if not text or " " in (text[0], text[-1]) or any(s in text for s in self.special):
@@ -135,22 +162,26 @@ class Encoder:
         """The ids that the tokenizers library gives each whole text."""
         if len(self.known) > PIECES_KEPT:
             self._forget()
-        cut = [self._pieces(t) for t in texts]
-        new = set()
+        get = self.known.get
+        cut, numbers, new = [self._pieces(t) for t in texts], [], set()
         for parts in cut:
-            if parts:
-                new.update(set(parts[1:]).difference(self.known))
+            own = list(map(get, parts[1:])) if parts else None
+            numbers.append(own)
+            if parts and None in own:
+                new.update(p for p, k in zip(parts[1:], own, strict=True) if k is None)
         bad = {p for p in new if p[-1].isspace()}
         if new := new - bad:
             self._learn(list(new))
         cut = [None if p and (p[0][-1].isspace() or bad and not bad.isdisjoint(p)) else p for p in cut]
         heads = iter(self.tokenizer.encode_batch([p[0] for p in cut if p], add_special_tokens=False))
         lengths, out = np.diff(self.starts), []
-        for text, parts in zip(texts, cut, strict=True):
+        for text, parts, own in zip(texts, cut, numbers, strict=True):
             if parts is None:
                 out.append(np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4"))
                 continue
-            k = np.fromiter(map(self.known.__getitem__, parts[1:]), np.int64, len(parts) - 1)
+            if None in own:
+                own = [get(p) if k is None else k for p, k in zip(parts[1:], own, strict=True)]
+            k = np.array(own, np.int64)
             n = lengths[k]
             ends = np.cumsum(n)
             rest = self.pool[np.repeat(self.starts[k] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
