@@ -83,21 +83,17 @@ class Pieces:
         return into
 
     @staticmethod
-    def forward(into) -> tuple[list[float], list]:
-        """Viterbi: the best score of every prefix and the piece that ends it."""
-        best, last = [0.0] * len(into), [None] * len(into)
+    def forward(into) -> list[float]:
+        """Viterbi: the best score of every prefix."""
+        best = [0.0] * len(into)
         for j in range(1, len(into)):
-            top = -np.inf
-            for edge in into[j]:
-                if best[edge[0]] + edge[1] > top:
-                    top, last[j] = best[edge[0]] + edge[1], edge
-            best[j] = top
-        return best, last
+            best[j] = max(best[i] + score for i, score, _ in into[j])
+        return best
 
     def n_best(self, span: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations (score, ids) of a span, best first; ties by the order in which they grow."""
         into = self.lattice(span)
-        best, _ = self.forward(into)
+        best = self.forward(into)
         order, out = count(), []
         heap = [(-best[-1], next(order), len(span), 0.0, None)]
         while heap and len(out) < n:
@@ -130,30 +126,42 @@ class Pieces:
         return got
 
     def _solve(self, span: str) -> tuple[float, float, tuple[int, ...]]:
-        """best_and_gap of a span as a whole.
+        """best_and_gap of a span as a whole, by one Viterbi pass that keeps the two best scores of every prefix.
 
-        Any other segmentation has a piece that the best has not; the best one with such a piece is found by its
-        prefix and suffix scores, so A-star runs only on the spans that an n-best list needs.
+        So A-star runs only on the few spans whose second choices an n-best list needs.
         """
-        into = self.lattice(span)
-        best, last = self.forward(into)
-        after = [-np.inf] * len(into)
-        after[-1] = 0.0
-        second = -np.inf
-        on_path, at, runs = set(), len(span), []
+        get, size = self.begun.get, len(span)
+        best, second, last = [-np.inf] * (size + 1), [-np.inf] * (size + 1), [None] * (size + 1)
+        best[0] = 0.0
+        for i in range(size):
+            top, next_top, single = best[i], second[i], False
+            for j in range(i + 1, size + 1):
+                found = get(span[i:j], False)
+                if found is False:
+                    break
+                if found is None:
+                    continue
+                single = single or j == i + 1
+                score = top + found[0]
+                if score > best[j]:
+                    other = next_top + found[0]
+                    second[j] = best[j] if best[j] > other else other
+                    best[j], last[j] = score, (i, found[1])
+                elif score > second[j]:
+                    second[j] = score
+            if not single:
+                raw = span[i].encode("utf-8", "replace")
+                score, j = top + self.by_byte * len(raw), i + 1
+                if score > best[j]:
+                    second[j] = max(best[j], next_top + self.by_byte * len(raw))
+                    best[j], last[j] = score, (i, tuple(self.bytes[b] for b in raw))
+                elif score > second[j]:
+                    second[j] = score
+        at, runs = size, []
         while at:
-            on_path.add(id(last[at]))
-            runs.append(last[at][2])
-            at = last[at][0]
-        for j in range(len(into) - 1, 0, -1):
-            rest = after[j]
-            for edge in into[j]:
-                total = edge[1] + rest
-                if total > after[edge[0]]:
-                    after[edge[0]] = total
-                if best[edge[0]] + total > second and id(edge) not in on_path:
-                    second = best[edge[0]] + total
-        got = (best[-1], best[-1] - second, tuple(i for r in reversed(runs) for i in r))
+            at, ids = last[at]
+            runs.append(ids)
+        got = (best[-1], best[-1] - second[-1], tuple(i for r in reversed(runs) for i in r))
         if len(span) <= SPAN_CHARS:
             if len(self.words) >= SPANS_KEPT:
                 self.words.clear()
