@@ -56,7 +56,7 @@ class Model:
         found = ngrams(text)
         found = found[self.weights[found] != 0]
         z = self.bias + float(np.sort(self.weights[np.unique(found)].astype(np.float64)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return 0.0 if z == -np.inf else float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def in_training(doc_id: Column) -> Column:
