@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -137,22 +137,29 @@ def _sets(words_each: int):
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of the nodes of edges(a, b).
+    """node, component (smallest node reachable) of the nodes of edges(a, b), distinct and a < b.
 
-    Each round gives a node the smallest label around it, then the label of that label; a chain of n nodes takes about
-    log n rounds. Labels stay distributed and are checkpointed each round.
+    Each round every node joins the neighbour of the least random rank, if that is below its own, and the edges between
+    different labels go on as a smaller graph; so a chain of n nodes takes about log n rounds and a star two. Labels
+    and edges stay distributed and are checkpointed each round.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(7)).alias("rank"), F.col(c).alias("id"))
+    left, names = edges, None
     while True:
-        labels = cut(labels)
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        stepped = cut(hooked.join(jump, hooked.new == jump["at"]).select("node", "label", F.least("new", "far").alias("new")))
-        labels = stepped.select("node", F.col("new").alias("label"))
-        if stepped.where("label <> new").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("near"))
+        labels = cut(near.select(F.col("a").alias("node"), F.least("near", rank("a"))["id"].alias("label")))
+        if names is None:
+            names = labels
+        else:
+            names = names.join(labels.toDF("_n", "_l"), F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+        named = left.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
+        left = cut(named.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        if left.isEmpty():
+            break
+    names = cut(names)
+    least = names.groupBy("label").agg(F.min("node").alias("component"))
+    return cut(names.join(least, "label").select("node", "component"))
 
 
 def _estimate(a: str, b: str):
@@ -175,6 +182,23 @@ class _Linker:
     def __init__(self, docs: DataFrame, words_each: int, percent: int):
         self.docs, self.words_each, self.percent = docs, words_each, percent
 
+    def _sets_of(self, ids: DataFrame, most: int) -> DataFrame:
+        """id, items of the documents with these ids, of which there are at most `most`."""
+        wanted = F.broadcast(ids) if most <= BROADCAST_IDS else ids
+        texts = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+        return texts.mapInArrow(_sets(self.words_each), "id long, items array<long>").dropDuplicates(["id"])
+
+    def shareable(self, members: DataFrame) -> DataFrame:
+        """members(key, id, n, main, ..) with m: shingles that another member around the same main component has.
+
+        Two members have at most the lesser m in common, which rules out copies with edits of their own, however many.
+        """
+        around = cut(members.select("main", "id").distinct())
+        items = self._sets_of(around.select("id").distinct(), around.count()).select("id", F.explode("items").alias("item"))
+        alone = items.join(around, "id").groupBy("main", "item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+        own = cut(alone.groupBy("main", "id").agg(F.count(F.lit(1)).alias("own")))
+        return cut(members.join(own, ["main", "id"], "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))))
+
     def far(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and estimates do not rule out."""
         t = self.percent / 100
@@ -183,10 +207,8 @@ class _Linker:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Of pairs(a, b), a table that is kept, those that are linked."""
-        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-        sets = cut(texts.mapInArrow(_sets(self.words_each), "id long, items array<long>").dropDuplicates(["id"]))
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = cut(self._sets_of(ids, 2 * pairs.count()))
         x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
         joined = pairs.join(y, "b").join(x, "a")
         shared = F.size(F.array_intersect("ia", "ib"))
@@ -211,12 +233,11 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     repeated = cut(classes.where("copies > 1").select("d1", "d2", "rep"))
     heads = usable.join(repeated, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("id"), "n", "bands", "sig")
     rows = heads.select("id", "n", "sig", F.explode("bands").alias("key"))
-    buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("p")).where("m > 1"))
     members = cut(rows.join(buckets, "key"))
 
     linker = _Linker(docs, words_each, percent)
-    pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "sig"), "id").alias("p"))
-    stars = members.join(cut(pivots), "key").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.sig").alias("sa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    stars = _pairs(members.where("id = p"), members, "x.id < y.id")
     few = members.where(F.col("m").between(3, SMALL))
     candidates = cut(linker.far(stars.union(_pairs(few, few, "x.id < y.id"))))
     links = cut(linker.confirm(candidates))
@@ -232,10 +253,12 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
             chosen = cut(open_rows.groupBy("key").agg(other.alias("p")))
             pairs = open_rows.join(chosen, "key").where("label <> p.label").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.sig").alias("sa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         else:
-            # A bucket's largest component is only met by members outside it, which are paired with all members.
-            main = cut(open_rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("main")))
-            marked = cut(open_rows.join(main, "key"))
-            pairs = _pairs(marked.where("label <> main"), marked, "x.label <> y.label AND (y.label = y.main OR x.id < y.id)")
+            # A bucket's largest component is only met by members outside it, which are paired with all members that
+            # share enough shingles with anyone to be linked.
+            main = cut(open_rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main")))
+            marked = linker.shareable(cut(open_rows.join(main, "key")))
+            enough = f"{100 + percent} * least(x.m, y.m) >= {percent} * (x.n + y.n)"
+            pairs = _pairs(marked.where("label <> main"), marked, f"x.label <> y.label AND (y.label = y.main OR x.id < y.id) AND {enough}")
         fresh = cut(linker.far(pairs).join(candidates, ["a", "b"], "left_anti"))
         candidates = candidates.union(fresh)
         more = cut(linker.confirm(fresh))
@@ -243,7 +266,6 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
             links = links.union(more)
             labels = connected_components(links)
 
-    labels = cut(labels)
     known = signed.select("doc_id", "n", "d1", "d2").join(repeated, ["d1", "d2"], "left").withColumn("_head", F.coalesce("rep", "doc_id"))
     named = known.join(labels, F.col("_head") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "_head"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
