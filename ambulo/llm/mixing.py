@@ -19,6 +19,8 @@ MOST_EPOCHS = 3
 KEY_BITS = 60
 #: Documents that a bucket of the range sort holds on average.
 BUCKET_ROWS = 4096
+#: Up to so many sources are broadcast; more are joined.
+BROADCAST_SOURCES = 100_000
 SEED = "mix"
 
 
@@ -68,8 +70,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     shift = F.lit(KEY_BITS) - F.ceil(F.greatest(F.lit(0.0), F.log2(F.col("n") / BUCKET_ROWS))).cast("int")
     known = budgets.withColumn("_shift", shift)
     name = lambda c: F.struct(F.coalesce(c, F.lit("")), c.isNull())
-    rows = keys.withColumn("_s", name(F.col("source"))).join(known.withColumn("_s", name(F.col("source"))).drop("source"), "_s")
-    rows = rows.withColumn("_bucket", F.expr("shiftright(_key, _shift)"))
+    known = known.withColumn("_s", name(F.col("source"))).drop("source")
+    known = F.broadcast(known) if known.count() <= BROADCAST_SOURCES else known
+    rows = keys.withColumn("_s", name(F.col("source"))).join(known, "_s")
+    rows = rows.withColumn("_bucket", F.expr("shiftright(_key, _shift)")).repartition("_s", "_bucket")
     sums = rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum"))
     ordered = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_s", "_bucket", F.coalesce(F.sum("_sum").over(ordered), F.lit(0)).alias("_start"))
