@@ -256,6 +256,11 @@ def nearest_reindex(spark, sf_dir):
     return rounded(calendar.nearest_on_grid(events(spark, sf_dir).where("day < DATE'2024-01-04'"), S, "sec", "value", 1800, 600))
 
 
+def nearest_reindex_all(spark, sf_dir):
+    """J13 over all events; nearest_reindex has those of the first three days, as its SQL."""
+    return rounded(calendar.nearest_on_grid(events(spark, sf_dir), S, "sec", "value", 1800, 600))
+
+
 R = "round({}, 6)"
 _ENT = " + ".join(f"p{k} * ln(p{k})" for k in range(10))
 _BIN = "CASE WHEN value BETWEEN 0 AND 200 THEN least(floor(value * 10 / 200)::INTEGER, 9) END"
@@ -298,7 +303,7 @@ QUERIES = {f.__name__: f for f in (
     subject_summary, bout_assembly, descriptive_stats, shape_stats_log1p, mad_stats, l_moments, histogram_fixed_bins, shannon_entropy, within_group_variability, wasserstein_day_pairs, day_stability,
     describe_percentiles, daily_totals, daily_volume, time_of_day, full_day_stats, epoch_totals, epoch_median, overlapping_windows, otsu_threshold, otsu_linear, active_windows, window_seconds, merged_bouts,
     gap_runs, longest_run, edge_days_dropped, wear_validation, cascading_impute, rolling_median, angle_change, sustained_inactivity, nonwear_vote, night_blocks, nightly_metrics, moving_average,
-    hourly_grid, rhythm_is_iv, rhythm_l5_m10, regularity_index, nearest_reindex)}
+    hourly_grid, rhythm_is_iv, rhythm_l5_m10, regularity_index, nearest_reindex, nearest_reindex_all)}
 
 _W1 = f"""{E_SQL}, fu AS (SELECT user_id, day, value AS x, count(*) OVER (PARTITION BY user_id, day) AS n FROM e QUALIFY n >= 4),
  dd AS (SELECT DISTINCT user_id, day, n FROM fu), pr AS (SELECT a.user_id, a.day AS a, b.day AS b, a.n AS na, b.n AS nb FROM dd a JOIN dd b ON a.user_id = b.user_id AND a.day < b.day),
@@ -368,5 +373,8 @@ ORACLE_SQL = {
  c AS (SELECT a.user_id, avg((a.s = b.s)::INTEGER) AS same FROM k a JOIN k b ON a.user_id = b.user_id AND b.h = a.h + 24 GROUP BY a.user_id) SELECT user_id, n, CASE WHEN n >= 20 THEN round(200 * same - 100, 6) END AS sri FROM n LEFT JOIN c USING (user_id)""",
     "nearest_reindex": f"""WITH {E_SQL}, f AS (SELECT * FROM e WHERE day < DATE '2024-01-04'), g AS (SELECT user_id, unnest(range(floor(min(sec) / 1800)::BIGINT, ceil(max(sec) / 1800)::BIGINT + 1)) * 1800 AS grid FROM f GROUP BY user_id),
  m AS (SELECT g.user_id, g.grid, f.value FROM g JOIN f ON f.user_id = g.user_id AND abs(f.sec - g.grid) <= 600 QUALIFY row_number() OVER (PARTITION BY g.user_id, g.grid ORDER BY abs(f.sec - g.grid), f.sec) = 1)
+ SELECT g.user_id, g.grid, round(m.value, 6) AS value FROM g LEFT JOIN m USING (user_id, grid)""",
+    "nearest_reindex_all": f"""WITH {E_SQL}, g AS (SELECT user_id, unnest(range(floor(min(sec) / 1800)::BIGINT, ceil(max(sec) / 1800)::BIGINT + 1)) * 1800 AS grid FROM e GROUP BY user_id),
+ m AS (SELECT g.user_id, g.grid, e.value FROM g JOIN e ON e.user_id = g.user_id AND abs(e.sec - g.grid) <= 600 QUALIFY row_number() OVER (PARTITION BY g.user_id, g.grid ORDER BY abs(e.sec - g.grid), e.sec) = 1)
  SELECT g.user_id, g.grid, round(m.value, 6) AS value FROM g LEFT JOIN m USING (user_id, grid)""",
 }
