@@ -233,6 +233,25 @@ def holm_adjust(spark, sf_dir):
     return rounded(sequence.holm(p, ["outcome", "model"], "p"))
 
 
+def _all_tests(spark, sf_dir):
+    return inference.corrected_test(_cells(spark, sf_dir), ["outcome", "model"], "features", "fold", "score")
+
+
+def pairwise_tests_all(spark, sf_dir):
+    """J10, M19, M20 over all families; pairwise_tests is without outcome N of model F, as its SQL."""
+    return rounded(_all_tests(spark, sf_dir))
+
+
+ALL_TESTS_SQL = f"""{CELLS_SQL}, d AS (SELECT a.outcome, a.model, a.features AS set_a, b.features AS set_b, a.score - b.score AS d FROM cells a JOIN cells b ON a.outcome = b.outcome AND a.model = b.model AND a.fold = b.fold AND a.features < b.features),
+ t AS (SELECT outcome, model, set_a, set_b, count(d) AS n, avg(d) AS delta, sqrt((1.0::DOUBLE / count(d) + 0.25) * var_samp(d)) AS se FROM d GROUP BY ALL)"""
+
+
+def holm_adjust_all(spark, sf_dir):
+    """W21 over the p-values of all families, that stand for the tests as in holm_adjust."""
+    p = _all_tests(spark, sf_dir).withColumn("p", F.exp(-F.abs("t_stat"))).select("outcome", "model", "set_a", "set_b", "p")
+    return rounded(sequence.holm(p, ["outcome", "model"], "p"))
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     return _graded(spark, sf_dir).select("lang", "n_chars", F.col("quality").alias("y"), (F.col("n_chars") > 1500).cast("int").alias("p"))
 
@@ -279,7 +298,7 @@ def events_described(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     merge_inner, merge_left_demographics, merge_visits_dedup, semi_dev, anti_done, split_disjoint, reconcile_counts, union_devices, binary_outcomes, ordinal_cutpoints, cohort, id_split, missingness_profile, value_counts,
     bounds_report, outlier_flags, topn_flags, topn_groups, group_profile, class_balance, cohort_means, cohens_d, mann_whitney_u, spearman, pearson_matrix, ols_line, selection_bias, contingency, stratified_split,
-    split_balance, hash_sample, fold_assignment, fold_summary, best_per_group, pairwise_tests, holm_adjust, average_precision, auc_rank, balanced_accuracy_f1, r2_mae, mode_params, selection_summary, missing_rate_filter, events_described)}
+    split_balance, hash_sample, fold_assignment, fold_summary, best_per_group, pairwise_tests, holm_adjust, pairwise_tests_all, holm_adjust_all, average_precision, auc_rank, balanced_accuracy_f1, r2_mae, mode_params, selection_summary, missing_rate_filter, events_described)}
 
 _SPLIT = "sp AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('20260414:' || c_custkey), c_custkey) <= floor(count(*) OVER (PARTITION BY c_mktsegment) * 0.15::DOUBLE + 0.5) AS held_out FROM customer)"
 _GR = "gr AS (SELECT l.doc_id, quality, lang, n_chars::DOUBLE AS n_chars FROM labels l JOIN documents d USING (doc_id))"
@@ -331,6 +350,9 @@ ORACLE_SQL = {
     "best_per_group": f"WITH {CELLS_SQL}, s AS (SELECT outcome, features, model, avg(score) AS mean FROM cells GROUP BY ALL) SELECT outcome, features, model, round(mean, 6) AS mean FROM s QUALIFY row_number() OVER (PARTITION BY outcome, features ORDER BY mean DESC, model) = 1",
     "pairwise_tests": f"WITH {TESTS_SQL} SELECT outcome, model, set_a, set_b, n, round(delta, 6) AS delta, round(se, 6) AS se, round(delta / nullif(se, 0), 6) AS t_stat, n - 1 AS df FROM t",
     "holm_adjust": f"""WITH {TESTS_SQL}, p AS (SELECT outcome, model, set_a, set_b, exp(-abs(delta / se)) AS p FROM t), r AS (SELECT *, (count(*) OVER (PARTITION BY outcome, model) - row_number() OVER (PARTITION BY outcome, model ORDER BY p) + 1) * p AS r FROM p),
+ h AS (SELECT *, least(max(r) OVER (PARTITION BY outcome, model ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0) AS h FROM r) SELECT outcome, model, set_a, set_b, round(p, 6) AS p, round(h, 6) AS p_holm, h < 0.05 AS reject FROM h""",
+    "pairwise_tests_all": f"WITH {ALL_TESTS_SQL} SELECT outcome, model, set_a, set_b, n, round(delta, 6) AS delta, round(se, 6) AS se, round(delta / nullif(se, 0), 6) AS t_stat, n - 1 AS df FROM t",
+    "holm_adjust_all": f"""WITH {ALL_TESTS_SQL}, p AS (SELECT outcome, model, set_a, set_b, exp(-abs(delta / se)) AS p FROM t), r AS (SELECT *, (count(*) OVER (PARTITION BY outcome, model) - row_number() OVER (PARTITION BY outcome, model ORDER BY p) + 1) * p AS r FROM p),
  h AS (SELECT *, least(max(r) OVER (PARTITION BY outcome, model ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0) AS h FROM r) SELECT outcome, model, set_a, set_b, round(p, 6) AS p, round(h, 6) AS p_holm, h < 0.05 AS reject FROM h""",
     "average_precision": f"WITH {_GR}, s AS (SELECT lang, n_chars, sum(quality) AS tp, count(*) AS n FROM gr GROUP BY ALL), r AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM s WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)) SELECT lang, round(sum(tp * ctp / cn) / nullif(sum(tp), 0), 6) AS ap FROM r GROUP BY lang",
     "auc_rank": f"WITH {_GR}, r AS (SELECT *, {_RANK.format(k='lang', v='n_chars')} AS r FROM gr), a AS (SELECT lang, sum(r) FILTER (WHERE quality = 1) AS r, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q FROM r GROUP BY lang) SELECT lang, round((r - p * (p + 1) / 2) / nullif(p * q, 0), 6) AS auc FROM a",

@@ -17,3 +17,10 @@ def test_nearest_reindex_all_has_every_grid_point_of_all_events(spark):
     got = {(r["user_id"], r["grid"]): r["value"] for r in catalog.QUERIES["nearest_reindex_all"](spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 2e-6) for k, v in want.items())
+
+
+def test_paired_tests_have_every_family_of_the_lines(spark):
+    want = {tuple(r) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_returnflag", "l_linestatus").distinct().collect()}
+    assert ("N", "F") in want
+    for name in ("pairwise_tests_all", "holm_adjust_all"):
+        assert {(r["outcome"], r["model"]) for r in catalog.QUERIES[name](spark, SF).collect()} == want
