@@ -170,7 +170,9 @@ def block_pca(train: DataFrame, df: DataFrame, blocks: dict[str, list[str]], var
         values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
         vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(cols))] < 0, -1, 1)
         k = min(max(int(np.searchsorted(np.cumsum(values) / (values.sum() or 1), variance)) + 1, 2), len(cols))
-        made = {f"{block}_pc{j}": sum((F.col(c) * float(vectors[i, j]) for i, c in enumerate(cols)), F.lit(0.0)) for j in range(k)}
+        # Arrays: as sums of columns, many components of a wide block are more code than a method may have.
+        weighed = lambda j, cols=cols, vectors=vectors: F.zip_with(F.array(*cols), F.array(*map(F.lit, vectors[:, j].tolist())), lambda x, w: x * w)
+        made = {f"{block}_pc{j}": F.aggregate(weighed(j), F.lit(0.0), lambda a, x: a + x) for j in range(k)}
         out = out_z.withColumns(made).drop(*cols)
         train = train_z.withColumns(made).drop(*cols)
         names += list(made)

@@ -41,10 +41,10 @@ def score_windows(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    """Embeddings as a feature matrix: 16 columns and a binary class."""
-    cols = [f"f{k}" for k in range(16)]
+    """Embeddings as a feature matrix: a column for each element and a binary class."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(cols))), cols
+    cols = [f"f{k}" for k in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return e.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols))), cols
 
 
 def _names(spark, names: list[str]) -> DataFrame:
@@ -78,7 +78,8 @@ def stability_selection(spark, sf_dir):
 
 def block_pca(spark, sf_dir):
     df, cols = _matrix(spark, sf_dir)
-    out, names = learning.block_pca(df, df, {"a": cols[:8], "b": cols[8:14], "c": cols[14:]})
+    b, c = len(cols) // 2, len(cols) * 7 // 8
+    out, names = learning.block_pca(df, df, {"a": cols[:b], "b": cols[b:c], "c": cols[c:]})
     return out.select("vec_id", *(F.round(n, 6).alias(n) for n in names))
 
 

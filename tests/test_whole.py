@@ -1,6 +1,9 @@
 """Queries see all of their tables and rows."""
 
-from ambulo.plans import catalog
+import numpy as np
+from pyspark.sql import functions as F
+
+from ambulo.plans import catalog, kernels
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +27,27 @@ def test_paired_tests_have_every_family_of_the_lines(spark):
     assert ("N", "F") in want
     for name in ("pairwise_tests_all", "holm_adjust_all"):
         assert {(r["outcome"], r["model"]) for r in catalog.QUERIES[name](spark, SF).collect()} == want
+
+
+def _embeddings(spark):
+    return np.array([r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").collect()], float)
+
+
+def test_the_matrix_has_every_element_of_the_embeddings(spark):
+    df, cols = kernels._matrix(spark, SF)
+    x = _embeddings(spark)
+    assert cols == [f"f{k}" for k in range(x.shape[1])]
+    assert np.allclose([df.agg(F.sum(c)).first()[0] for c in (cols[0], cols[-1])], x[:, [0, -1]].sum(axis=0))
+
+
+def test_block_pca_projects_every_element(spark):
+    z = _embeddings(spark)
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    n, want, spread = z.shape[1], [], []
+    for block, part in (("a", z[:, : n // 2]), ("b", z[:, n // 2 : n * 7 // 8]), ("c", z[:, n * 7 // 8 :])):
+        values = np.linalg.eigvalsh(np.cov(part.T, bias=True))[::-1]
+        k = max(2, int(np.searchsorted(np.cumsum(values) / part.shape[1], 0.8)) + 1)
+        want, spread = [*want, *(f"{block}_pc{j}" for j in range(k))], [*spread, *values[:k]]
+    got = catalog.QUERIES["block_pca"](spark, SF).toPandas()
+    assert list(got.columns) == ["vec_id", *want]
+    assert np.allclose(got[want].var(ddof=0), spread, atol=1e-4)
