@@ -5,6 +5,8 @@ Statistics over rows are distributed; what reaches the driver is a columns-by-co
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,8 +15,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .inference import auc, average_precision, class_metrics
 from .relational import folds
 
+#: The five strategies of the baseline.
+STRATEGIES = ("none", "k_best", "l1", "mrmr", "stability")
+
 
 def missing_rate_filter(df: DataFrame, cols: list[str], threshold: float = 0.6) -> list[str]:
     """M1: columns with a share of nulls below the threshold, else the first."""
@@ -192,7 +198,7 @@ def regressors(label: str) -> dict:
 
 
 def out_of_fold(df: DataFrame, key: str, cols: list[str], label: str, model, k: int = 5, repeats: int = 1) -> DataFrame:
-    """Each row's score from a model that did not see its fold; imputed and scaled on the training folds."""
+    """Each row's score from a model that did not see its fold; imputed and scaled on the training folds."""
     placed = folds(df.select(key, label, *cols), key, label, k, repeats).cache()
     out = None
     for r in range(repeats):
@@ -206,6 +212,83 @@ def out_of_fold(df: DataFrame, key: str, cols: list[str], label: str, model, k:
     return out
 
 
+def grids(label: str, rows: int) -> dict:
+    """Each model's grid of (choice, estimator). C of the logistic regression is 1 / (rows * regParam); a forest without a depth has MLlib's largest."""
+    lr = {f"C={c}": LogisticRegression(labelCol=label, weightCol="_weight", maxIter=2000, regParam=1 / (c * max(rows, 1))) for c in (0.01, 0.1, 1.0, 10.0)}
+    rf = {f"max_depth={d}": RandomForestClassifier(labelCol=label, weightCol="_weight", numTrees=200, maxDepth=d or 30, seed=42) for d in (4, 8, None)}
+    gbt = {f"max_depth={d},learning_rate={e}": GBTClassifier(labelCol=label, maxIter=200, maxDepth=d, stepSize=e, seed=42) for d in (3, 5) for e in (0.05, 0.1)}
+    return {"logistic": lr, "forest": rf, "boosted": gbt}
+
+
+def _ready(train: DataFrame, test: DataFrame, cols: list[str], label: str) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """Both sides filtered, imputed and scaled by the training rows, which get weights that balance the classes."""
+    cols = missing_rate_filter(train, cols)
+    a, b = median_impute(train, train, cols), median_impute(train, test, cols)
+    cols = correlation_filter(a, variance_filter(a, cols))
+    n = {r[label]: r["count"] for r in a.groupBy(label).count().collect()}
+    weight = F.element_at(F.create_map(*(F.lit(x) for y, c in n.items() for x in (y, sum(n.values()) / (len(n) * c)))), F.col(label))
+    return standardize(a, a, cols).withColumn("_weight", weight).cache(), standardize(a, b, cols).cache(), cols, sum(n.values())
+
+
+def _chosen(train: DataFrame, key: str, cols: list[str], label: str, strategy: str) -> dict[str, list[str]]:
+    """The columns of a strategy for each choice in its grid."""
+    if strategy == "k_best":
+        return {f"k={k}": select_k_best(train, cols, label, k) for k in (10, 20, 40)}
+    if strategy == "mrmr":
+        ranked = mrmr(train, cols, label, 20)  # greedy: the first ten are those of k = 10
+        return {f"k={k}": ranked[:k] for k in (10, 20)}
+    return {"": {"none": lambda: cols, "l1": lambda: l1_selection(train, cols, label), "stability": lambda: stability_selection(train, key, cols, label)}[strategy]()}
+
+
+def _scores(fit, test: DataFrame, cols: list[str], label: str) -> DataFrame:
+    scored = fit.transform(_vectors(test, cols))
+    return scored.select(F.col(label).alias("y"), vector_to_array("rawPrediction")[1].alias("score"), F.col("prediction").cast("int").alias("p"))
+
+
+def nested_cv(df: DataFrame, key: str, cols: list[str], label: str, strategies=STRATEGIES, models=grids, k: int = 5, repeats: int = 3, inner: int = 3) -> DataFrame:
+    """Metrics of each strategy and model on every outer fold, by the choice that inner folds found best.
+
+    Selection and model are tuned together for average precision on inner folds of the outer training rows, then fitted
+    to all of these. A cell that fails keeps its row, with the error.
+    """
+    placed = folds(df.select(key, label, *cols), key, label, k, repeats).withColumnsRenamed({"repeat": "_repeat", "fold": "_fold"}).cache()
+    out = []
+    for r, f in product(range(repeats), range(k)):
+        here = placed.where(f"_repeat = {r}")
+        train, test = here.where(f"_fold <> {f}").drop("_repeat", "_fold"), here.where(f"_fold = {f}").drop("_repeat", "_fold")
+        split = folds(train, key, label, inner, 1).cache()
+        sides = [_ready(*(split.where(f"fold {sign} {i}").drop("repeat", "fold") for sign in ("<>", "=")), cols, label) for i in range(inner)]
+        sides.append(_ready(train, test, cols, label))
+        for strategy, name in product(strategies, models(label, 1)):
+            row = {"strategy": strategy, "model": name, "repeat": r, "fold": f}
+            try:
+                out.append({**row, **_tuned(sides, key, label, strategy, name, models)})
+            except Exception as e:  # noqa: BLE001
+                out.append({**row, "error": str(e)[:500]})
+        for d in (split, *(d for side in sides for d in side[:2])):
+            d.unpersist()
+    placed.unpersist()
+    return df.sparkSession.createDataFrame(out, "strategy string, model string, repeat int, fold int, choice string, inner_ap double, ap double, auc double, balanced_accuracy double, f1 double, error string")
+
+
+def _tuned(sides: list, key: str, label: str, strategy: str, name: str, models) -> dict:
+    """The best choice over the inner sides, and the metrics of its fit on the last side, the outer one."""
+    found: dict[tuple[str, str], list[float]] = {}
+    for train, test, cols, n in sides[:-1]:
+        for s, some in _chosen(train, key, cols, label, strategy).items():
+            ready = _vectors(train, some)
+            for m, model in models(label, n)[name].items():
+                ap = average_precision(_scores(model.fit(ready), test, some, label).withColumn("all", F.lit(0)), ["all"], "score", "y").first()["ap"]
+                found.setdefault((s, m), []).append(-1.0 if ap is None else ap)
+    s, m = max(found, key=lambda c: sum(found[c]))  # the first of equals
+    train, test, cols, n = sides[-1]
+    some = _chosen(train, key, cols, label, strategy)[s]
+    scored = _scores(models(label, n)[name][m].fit(_vectors(train, some)), test, some, label).withColumn("all", F.lit(0)).cache()
+    metrics = [average_precision(scored, ["all"], "score", "y").first(), auc(scored, ["all"], "score", "y").first(), class_metrics(scored, ["all"], "p", "y").first()]
+    scored.unpersist()
+    return {"choice": ",".join(filter(None, (s, m))), "inner_ap": sum(found[s, m]) / len(found[s, m]), **{c: v for x in metrics for c, v in x.asDict().items() if c != "all"}}
+
+
 def permutation_importance(df: DataFrame, key: str, cols: list[str], label: str, model, repeats: int = 3) -> list[tuple[str, float]]:
     """Fall of accuracy on a hashed quarter when a column's values are dealt to other rows, by rank."""
     from pyspark.sql import Window

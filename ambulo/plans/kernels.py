@@ -84,10 +84,8 @@ def block_pca(spark, sf_dir):
 
 
 def nested_cv(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegression
-
     df, cols = _matrix(spark, sf_dir)
-    return learning.out_of_fold(df, "vec_id", cols, "y", LogisticRegression(labelCol="y", regParam=0.01, maxIter=10), 3)
+    return learning.nested_cv(df, "vec_id", cols, "y")
 
 
 QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, nested_cv)}

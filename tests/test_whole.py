@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ambulo.operators import learning
 from ambulo.plans import catalog, kernels
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,30 @@ def test_block_pca_projects_every_element(spark):
     got = catalog.QUERIES["block_pca"](spark, SF).toPandas()
     assert list(got.columns) == ["vec_id", *want]
     assert np.allclose(got[want].var(ddof=0), spread, atol=1e-4)
+
+
+def test_nested_cv_tunes_on_inner_folds(spark):
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 160)
+    x = rng.normal(size=(160, 12))
+    x[:, 3] += 2.5 * y
+    cols = [f"f{k}" for k in range(12)]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(160)], f"id int, y int, {', '.join(f'{c} double' for c in cols)}").cache()
+    few = lambda label, rows: {"logistic": dict(list(learning.grids(label, rows)["logistic"].items())[::3])}
+    rows = learning.nested_cv(df, "id", cols, "y", ("none", "no such"), few, 2, 1, 2).collect()
+    assert {(r["strategy"], r["repeat"], r["fold"]) for r in rows} == {(s, 0, f) for s in ("none", "no such") for f in (0, 1)}
+    for r in rows:
+        assert (r["error"] is None) == (r["strategy"] == "none")
+        assert r["error"] or r["choice"] in ("C=0.01", "C=10.0") and r["inner_ap"] > 0.85 and r["ap"] > 0.85 and r["auc"] > 0.85 and r["f1"] > 0.75
+
+
+def test_nested_cv_query_has_all_folds_strategies_and_grids(spark, monkeypatch):
+    from inspect import signature
+
+    seen = signature(learning.nested_cv)
+    monkeypatch.setattr(learning, "nested_cv", lambda *a, **b: seen.bind(*a, **b))
+    got = catalog.QUERIES["nested_cv"](spark, SF)
+    got.apply_defaults()
+    a = got.arguments
+    assert (a["k"], a["repeats"], a["inner"]) == (5, 3, 3) and a["strategies"] == learning.STRATEGIES and len(a["strategies"]) == 5
+    assert {n: len(g) for n, g in a["models"]("y", 100).items()} == {"logistic": 4, "forest": 3, "boosted": 4}
