@@ -73,7 +73,7 @@ def consensus_selection(spark, sf_dir):
 
 def stability_selection(spark, sf_dir):
     df, cols = _matrix(spark, sf_dir)
-    return _names(spark, learning.stability_selection(df, "vec_id", cols, "y", 5))
+    return _names(spark, learning.stability_selection(df, "vec_id", cols, "y"))
 
 
 def block_pca(spark, sf_dir):

@@ -79,3 +79,10 @@ def test_nested_cv_query_has_all_folds_strategies_and_grids(spark, monkeypatch):
     a = got.arguments
     assert (a["k"], a["repeats"], a["inner"]) == (5, 3, 3) and a["strategies"] == learning.STRATEGIES and len(a["strategies"]) == 5
     assert {n: len(g) for n, g in a["models"]("y", 100).items()} == {"logistic": 4, "forest": 3, "boosted": 4}
+
+
+def test_stability_selection_fits_thirty_subsamples(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(learning, "l1_selection", lambda part, cols, label: seen.append(part) or cols[:6])
+    assert [r["feature"] for r in catalog.QUERIES["stability_selection"](spark, SF).collect()] == [f"f{k}" for k in range(6)]
+    assert len(seen) == 30
