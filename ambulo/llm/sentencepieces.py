@@ -243,11 +243,12 @@ def segmentations(text: str | None, path: str, n: int = N_BEST) -> list[tuple[fl
 def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = True) -> DataFrame:
     """docs with n_pieces, best_score, n_found, gap (best score less second; null if alone), ids_crc32 and decoded_ok.
 
-    ids adds piece_ids, the best segmentation. ids_crc32: unsigned, of the best ids as little-endian 32-bit integers.
+    nbest has the score and crc of every segmentation found, best first. ids adds piece_ids, the best segmentation, and
+    nbest_ids, all of them. ids_crc32: unsigned, of the best ids as little-endian 32-bit integers.
     decoded_ok: every segmentation decodes to the text. Null and empty texts have no pieces. Columns of these names
     are replaced.
     """
-    own = [("n_pieces", LongType()), ("best_score", DoubleType()), ("n_found", LongType()), ("gap", DoubleType()), ("ids_crc32", LongType()), ("decoded_ok", BooleanType()), *([("piece_ids", ArrayType(IntegerType()))] if ids else [])]
+    own = [("n_pieces", LongType()), ("best_score", DoubleType()), ("n_found", LongType()), ("gap", DoubleType()), ("ids_crc32", LongType()), ("decoded_ok", BooleanType()), ("nbest", ArrayType(StructType([StructField("score", DoubleType()), StructField("ids_crc32", LongType())]))), *([("piece_ids", ArrayType(IntegerType())), ("nbest_ids", ArrayType(ArrayType(IntegerType())))] if ids else [])]
     docs = docs.drop(*(name for name, _ in own))
     schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in own)])
     where = docs.columns.index("text")
@@ -259,11 +260,13 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
             for value in batch.column(where):
                 text = value.as_py()
                 found = segmentations(text, path, n)
-                best = np.array(found[0][1], "<u4")
-                row = [len(best), found[0][0], len(found), found[0][0] - found[1][0] if len(found) > 1 else None, zlib.crc32(best.tobytes()), all(known.decode(f[1]) == (text or "") for f in found), best]
+                each = [np.array(f[1], "<u4") for f in found]
+                crcs = [zlib.crc32(x.tobytes()) for x in each]
+                nbest = [{"score": f[0], "ids_crc32": c} for f, c in zip(found, crcs, strict=True)]
+                row = [len(each[0]), found[0][0], len(found), found[0][0] - found[1][0] if len(found) > 1 else None, crcs[0], all(known.decode(f[1]) == (text or "") for f in found), nbest, each[0], each]
                 for c, v in zip(cols, row, strict=False):
                     c.append(v)
-            arrow = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+            arrow = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("score", pa.float64()), ("ids_crc32", pa.int64())])), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, arrow, strict=False))], schema.names)
 
     return docs.mapInArrow(run, schema)

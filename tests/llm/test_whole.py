@@ -1,0 +1,19 @@
+"""Rows carry all that their operators find."""
+
+import zlib
+
+import numpy as np
+
+from ambulo.llm import sentencepieces
+
+
+def test_every_segmentation_is_handed_out(spark):
+    path = sentencepieces.default_model()
+    texts = ["the cat sat on the mat", "", None, "strawberries  and unbelievable things"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in sentencepieces.encode_documents(docs, path).collect():
+        want = sentencepieces.segmentations(r["text"], path)
+        assert [tuple(x) for x in r["nbest_ids"]] == [ids for _, ids in want] and len(want) == r["n_found"]
+        assert [(x["score"], x["ids_crc32"]) for x in r["nbest"]] == [(s, zlib.crc32(np.array(ids, "<u4").tobytes())) for s, ids in want]
+        assert r["nbest"][0]["ids_crc32"] == r["ids_crc32"] and r["nbest_ids"][0] == r["piece_ids"]
+    assert "nbest" in sentencepieces.op9_nbest(spark, "/root/testdata/sf0.001").columns
