@@ -172,7 +172,7 @@ def features(samples: bytes) -> str:
 
 
 def read_payloads(index: DataFrame) -> DataFrame:
-    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, bits."""
+    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, uri, offset, length, width, height, bits."""
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
@@ -185,11 +185,11 @@ def read_payloads(index: DataFrame) -> DataFrame:
                 rows.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), features(samples)))
             kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             cols = list(zip(*rows, strict=True)) or [[]] * 7
-            meta = ["width", "height", "bits"]
+            meta = ["uri", "offset", "length", "width", "height", "bits"]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *(batch.column(m) for m in meta)], [*names, *meta])
         reader.close()
 
-    return index.mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int")
+    return index.mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, uri string, offset long, length long, width int, height int, bits int")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -205,4 +205,4 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 def op3_tar_shards(spark, sf_dir: str) -> DataFrame:
     out = media_columns(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "uri", "offset", "length", "width", "height")

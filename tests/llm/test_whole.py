@@ -17,3 +17,17 @@ def test_every_segmentation_is_handed_out(spark):
         assert [(x["score"], x["ids_crc32"]) for x in r["nbest"]] == [(s, zlib.crc32(np.array(ids, "<u4").tobytes())) for s, ids in want]
         assert r["nbest"][0]["ids_crc32"] == r["ids_crc32"] and r["nbest_ids"][0] == r["piece_ids"]
     assert "nbest" in sentencepieces.op9_nbest(spark, "/root/testdata/sf0.001").columns
+
+
+def test_rows_reach_their_payloads_in_the_shards(spark):
+    import hashlib
+
+    from ambulo.llm import media, store
+
+    got, reader = media.op3_tar_shards(spark, "/root/testdata/sf0.001").collect(), store.Reader()
+    assert got
+    for r in got:
+        stored = reader.read(r["uri"], r["offset"], r["length"])
+        assert len(stored) == r["media_bytes"] and hashlib.sha256(stored).hexdigest() == r["media_sha256"]
+        assert hashlib.sha256(media.decode_png(stored)).hexdigest() == r["payload_sha256"]
+    reader.close()
