@@ -1,54 +1,46 @@
 """Operator 2, near-duplicate detection by b-bit MinHash.
 
 One pass over the texts gives each document its set of word shingles as a 128-bit digest, band keys of its MinHash
-minima, and a signature of the low bits of all minima, packed. Documents with equal sets are one class, of which the
-one with the smallest doc_id goes on. Classes that share a band key are candidates; the number of equal low bits,
-corrected for chance collisions, estimates their similarity and drops what is far below the threshold; the rest is
-confirmed on the full sets. Links make components.
-
-Within a band bucket only components matter, so a bucket is settled as soon as all its members are in one. Every
-bucket links its members to a pivot first; small buckets also emit their few pairs; large ones go on with other pivots
-against the members that are still elsewhere, and what is left after that is paired across components in full. No
-member is dropped, and a bucket of thousands of copies costs rows in proportion to its members.
+minima, and a signature of the low bits of all minima, packed. Documents with equal sets are one node. Nodes that share
+a band key are candidates; the number of equal low bits, corrected for chance collisions, estimates their similarity
+and drops what is far below the threshold; the rest is confirmed on the full sets. Links make components.
+
+Within a band bucket only components matter, and no bucket is paired out. Every bucket links its members to a pivot,
+the member that lies in the largest buckets. Then, for members A and B with the differences D(A), D(B) from a pivot P
+(what one has and the other lacks), |A & B| follows from the sizes and from |D(A) & D(B)| alone; and if A is not linked
+with P, a link of A with B needs an overlap of the differences that grows with both. So what is still apart after the
+pivots meets only over the rarest items of its differences (a prefix join), which edits of a document's own never
+share. This is exact: no member, bucket or pair is dropped, and a group of copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 PACKED = HASHES * BITS // 64
 #: Candidates whose estimate is so far below the threshold go no further: seven standard deviations at 128 hashes.
 SLACK = 0.25
-#: Buckets up to this size emit their pairs at once.
-SMALL = 8
-#: Further pivots that a larger bucket tries before its remaining pairs across components are all emitted.
-PIVOTS = 3
-#: Up to so many ids are broadcast when texts are looked up; more are joined.
-BROADCAST_IDS = 1_000_000
-#: Distinct words whose hashes a worker remembers.
-WORDS_KEPT = 400_000
+#: Further pivots are tried while each settles at least this share of the members that are still apart.
+WORTH = 0.1
+#: Ids are broadcast while they take up to so many bytes (ID_BYTES each); beyond that they are joined by shuffles.
+BROADCAST_BYTES, ID_BYTES = 16 << 20, 16
+#: Bytes of text that a worker hashes at once.
+PORTION = 1 << 20
 
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,72 +49,154 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(text: str | None, words_each: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles.
+@lru_cache(1)
+def _factors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and addends of the hash functions, and a random value of each byte."""
+    r = np.random.default_rng(20)
+    draw = lambda n: r.integers(0, 1 << 63, n, np.uint64)
+    return draw(HASHES) * np.uint64(2) + np.uint64(1), draw(HASHES), draw(256) * np.uint64(2) + np.uint64(1)
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, for words of up to n bytes."""
+    out = np.full(n, _GOLDEN, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-    Words are runs without ASCII white space, A-Z lower-cased. A text with fewer words than a shingle has one, the
-    whole sequence; one without words, or null, has none.
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in texts (UTF-8 bytes and their offsets), and the words in each text.
+
+    Words are runs without ASCII white space, A-Z lower-cased.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array([_HASHES[w] for w in words], np.uint64)
-    n = min(words_each, len(h))
+    blank = _BLANK[data]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    inner = offsets[:-1][(offsets[:-1] < len(data)) & (offsets[:-1] < offsets[1:])]
+    first[inner] = ~blank[inner]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    at[blank[starts[0] :]] = 0
     with np.errstate(over="ignore"):
-        s = np.full(len(h) - n + 1, n, np.uint64)
+        value = _factors()[2][_LOWER[data[starts[0] :]]] * _powers(int(at.max()) + 1)[at]
+        value[blank[starts[0] :]] = 0
+        hashes = _mix(np.add.reduceat(value, starts - starts[0]))
+    return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def _pieces(data: np.ndarray):
+    """A long text in parts of about PORTION bytes that end at white space."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + PORTION)
+        if end < len(data):
+            stops = np.flatnonzero(_BLANK[data[at:end]])
+            while not len(stops) and end < len(data):  # one long word
+                lo, end = end, min(len(data), end + PORTION)
+                stops = np.flatnonzero(_BLANK[data[lo:end]]) + (lo - at)
+            end = at + int(stops[-1]) + 1 if len(stops) and end < len(data) else end
+        yield data[at:end]
+        at = end
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words_each: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles.
+
+    A text with fewer words than a shingle has one, the whole sequence; one without words has none.
+    """
+    if len(offsets) == 2 and len(data) > PORTION:
+        found = [_word_hashes(p, np.array([0, len(p)]))[0] for p in _pieces(data)]
+        h = np.concatenate(found)
+        words = np.array([len(h)])
+    else:
+        h, words = _word_hashes(data, offsets)
+    ends = np.cumsum(words)
+
+    def chain(lo: int, hi: int, n: int) -> np.ndarray:
+        s = np.full(max(0, hi - lo - n + 1), n, np.uint64)
         for i in range(n):
-            s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(s)
+            s = _mix(s * _GOLDEN + h[lo + i : lo + i + len(s)])
+        return s
 
-
-@lru_cache(1)
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20)
-    return r.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, HASHES, np.uint64)
+    out = []
+    with np.errstate(over="ignore"):
+        whole = chain(0, len(h), words_each)  # those across texts are left out below
+        for end, n in zip(ends.tolist(), words.tolist(), strict=True):
+            lo = end - n
+            out.append(np.unique(whole[lo : end - words_each + 1]) if n >= words_each else chain(lo, end, n) if n else whole[:0])
+    return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    a, b = _factors()
-    low = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+def shingle_set(text: str | None, words_each: int) -> np.ndarray:
+    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]), words_each)[0]
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of minima for each set, none of which is empty."""
+    a, b, _ = _factors()
+    low = np.empty((len(sets), HASHES), np.uint64)
+    if not sets:
+        return low
+    items = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
     with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 4096):
-            np.minimum(low, (a[:, None] * shingles[None, i : i + 4096] + b[:, None]).min(axis=1), out=low)
+        for k in range(HASHES):
+            low[:, k] = np.minimum.reduceat(items * a[k] + b[k], starts)
     return low >> np.uint64(16)  # the high bits of multiply-shift
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    rows = low.reshape(BANDS, ROWS)
+    """A row of band keys for each row of minima."""
+    rows = low.reshape(len(low), BANDS, ROWS)
     with np.errstate(over="ignore"):
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
         for i in range(ROWS):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+            key = _mix(key * _GOLDEN + rows[:, :, i])
     return key.view(np.int64)
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, packed into longs."""
-    lanes = (low & np.uint64((1 << BITS) - 1)).reshape(PACKED, 64 // BITS)
-    shifts = np.arange(0, 64, BITS, dtype=np.uint64)
-    return np.bitwise_or.reduce(lanes << shifts, axis=1).view(np.int64)
+    """The low BITS bits of the minima in each row, packed into longs."""
+    lanes = (low & np.uint64((1 << BITS) - 1)).reshape(len(low), PACKED, 64 // BITS)
+    return np.bitwise_or.reduce(lanes << np.arange(0, 64, BITS, dtype=np.uint64), axis=2).view(np.int64)
+
+
+def _portions(batch: pa.RecordBatch):
+    """Slices of a batch with its texts as bytes and offsets, of about PORTION bytes each."""
+    text = batch.column("text").fill_null("").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
+        yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+        at = to
+
+
+def _lists(values: list[np.ndarray] | np.ndarray, lengths) -> pa.ListArray:
+    flat = np.concatenate(values) if len(values) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _digest(items: np.ndarray) -> bytes | None:
+    import hashlib
+
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
 
 def _signatures(words_each: int):
     def run(batches):
-        import hashlib
-
         for batch in batches:
-            ids, out = batch.column("doc_id"), []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), words_each)
-                if not len(s):
-                    out.append((0, None, None, None, None))
-                    continue
-                d1, d2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                low = minima(s)
-                out.append((len(s), d1, d2, band_keys(low).tolist(), pack(low).tolist()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "d1", "d2", "bands", "sig"])
+            for part, data, offsets in _portions(batch):
+                sets = shingle_sets(data, offsets, words_each)
+                some = np.array([len(s) > 0 for s in sets])
+                low = minima([s for s in sets if len(s)])
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, _lists(band_keys(low), some * BANDS), _lists(pack(low), some * PACKED)], ["doc_id", "text_key", "n", "set", "bands", "sig"])
 
     return run
 
@@ -130,8 +204,9 @@ def _signatures(words_each: int):
 def _sets(words_each: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words_each).view(np.int64).tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
+            for _, data, offsets in _portions(batch):
+                sets = shingle_sets(data, offsets, words_each)
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets, [len(s) for s in sets])], ["set", "items"])
 
     return run
 
@@ -177,111 +252,140 @@ def _estimate(a: str, b: str):
 
 
 class _Linker:
-    """Confirms candidate pairs on the full sets of the documents' texts."""
+    """Finds links among nodes; a node is the digest of a shingle set. Frames that it keeps are tables."""
 
-    def __init__(self, docs: DataFrame, words_each: int, percent: int):
-        self.docs, self.words_each, self.percent = docs, words_each, percent
+    def __init__(self, docs: DataFrame, heads: DataFrame, words_each: int, percent: int):
+        self.docs, self.heads, self.words_each, self.percent = docs, heads, words_each, percent
+        self.links: list[DataFrame] = []
+        self.tried: DataFrame | None = None
 
-    def _sets_of(self, ids: DataFrame, most: int) -> DataFrame:
-        """id, items of the documents with these ids, of which there are at most `most`."""
-        wanted = F.broadcast(ids) if most <= BROADCAST_IDS else ids
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """set, items of the nodes: the texts of their first documents are cut into shingles again."""
+        ids = cut(self.heads.join(nodes, "set", "left_semi").select(F.col("doc_id").alias("id")).distinct())
+        wanted = F.broadcast(ids) if ids.count() * ID_BYTES <= BROADCAST_BYTES else ids
         texts = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-        return texts.mapInArrow(_sets(self.words_each), "id long, items array<long>").dropDuplicates(["id"])
-
-    def shareable(self, members: DataFrame) -> DataFrame:
-        """members(key, id, n, main, ..) with m: shingles that another member around the same main component has.
-
-        Two members have at most the lesser m in common, which rules out copies with edits of their own, however many.
-        """
-        around = cut(members.select("main", "id").distinct())
-        items = self._sets_of(around.select("id").distinct(), around.count()).select("id", F.explode("items").alias("item"))
-        alone = items.join(around, "id").groupBy("main", "item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
-        own = cut(alone.groupBy("main", "id").agg(F.count(F.lit(1)).alias("own")))
-        return cut(members.join(own, ["main", "id"], "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))))
-
-    def far(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that sizes and estimates do not rule out."""
+        return cut(texts.select("text").mapInArrow(_sets(self.words_each), "set binary, items array<long>").dropDuplicates(["set"]))
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Links those of pairs(a, b) that are near; whether there are any new ones. Each pair is met once."""
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        at = lambda c: self.heads.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
         t = self.percent / 100
         size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
-        return pairs.where((F.col("a") != F.col("b")) & size & (_estimate("sa", "sb") >= t - SLACK)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs(a, b), a table that is kept, those that are linked."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = cut(self._sets_of(ids, 2 * pairs.count()))
-        x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
-        joined = pairs.join(y, "b").join(x, "a")
+        near = cut(pairs.join(at("b"), "b").join(at("a"), "a").where(size & (_estimate("sa", "sb") >= t - SLACK)).select("a", "b"))
+        self.tried = near if self.tried is None else self.tried.unionByName(near)
+        sets = self.sets_of(near.select(F.col("a").alias("set")).union(near.select("b")))
+        items = lambda c: sets.select(F.col("set").alias(c), F.col("items").alias(f"i{c}"))
         shared = F.size(F.array_intersect("ia", "ib"))
-        return joined.where(100 * shared >= self.percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
+        found = cut(near.join(items("b"), "b").join(items("a"), "a").where(100 * shared >= self.percent * (F.size("ia") + F.size("ib") - shared)).select("a", "b"))
+        self.links.append(found)
+        return not found.isEmpty()
+
+    def labels(self) -> DataFrame:
+        return connected_components(reduce(DataFrame.unionByName, self.links))
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members(p, set, label) with one pivot p and different labels that may be linked.
+
+        For h items of p that A lacks and e items that p lacks, let w(A) = 100 h + percent e. A and B are linked if
+        and only if (100 + percent) |D(A) & D(B)| >= w(A) + w(B) - (100 - percent) |p|, and A is linked with p if and
+        only if w(A) <= (100 - percent) |p|. So for A outside the pivot's component the overlap is above
+        w(B) / (100 + percent), and as w(B) >= percent |D(B)|, at least (w(A) - (100 - percent) |p|) / 100. Sets with an
+        overlap of s share one of the |D| - s + 1 rarest items of each, and after the first such item no more than
+        what follows it.
+        """
+        t = self.percent
+        members = cut(members.distinct())
+        main = members.where("set = p").select("p", F.col("label").alias("main"))
+        sets = self.sets_of(members.select("set").distinct())
+        both = members.where("set <> p").join(sets, "set").join(sets.toDF("p", "base"), "p").join(main, "p")
+        less, more = F.array_except("base", "items"), F.array_except("items", "base")
+        diffs = cut(both.select("p", "set", "label", "main", F.size("base").alias("pn"), (100 * F.size(less) + t * F.size(more)).alias("w"), F.concat(less, more).alias("delta")))
+        items = diffs.select("p", "set", "label", F.explode("delta").alias("item"))
+        counted = items.groupBy("p", "item").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        placed = items.join(counted, ["p", "item"]).select("p", "set", F.struct("c", "item", (F.col("lo") < F.col("hi")).alias("mixed")).alias("i"))
+        ordered = placed.groupBy("p", "set").agg(F.sort_array(F.collect_list("i")).alias("order"))
+        rows = cut(diffs.drop("delta").join(ordered, ["p", "set"]).withColumn("d", F.size("order")))
+        outside = rows.where("label <> main").withColumn("reach", F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("w") - (100 - t) * F.col("pn")) / 100)) + 1)
+        anyone = rows.withColumn("reach", F.col("d") - F.floor(F.col("w") / (100 + t)))
+        spread = lambda df: df.select("p", "set", "label", "main", "pn", "w", "d", F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("reach")).cast("int"))).alias("pos", "i")).where("i.mixed").select("*", "i.item")
+        on = f"""x.p = y.p AND x.item = y.item AND x.label <> y.label AND (y.label = y.main OR x.set < y.set)
+                 AND x.w + y.w - {100 - t} * x.pn <= {100 + t} * least(x.d - x.pos, y.d - y.pos)"""
+        return spread(outside).alias("x").join(spread(anyone).alias("y"), F.expr(on)).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+
+
+def _classified(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id of every row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    signed = cut(keyed.mapInArrow(_signatures(words_each), "doc_id long, text_key long, n long, set binary, bands array<long>, sig array<long>"))
+    usable = signed.where("n > 0 AND doc_id IS NOT NULL")
+    classes = usable.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    repeated = cut(classes.where("copies > 1").select("set", "rep"))
+    firsts = usable.join(repeated, "set").where("doc_id = rep").drop("rep").dropDuplicates(["set"])
+    heads = usable.join(repeated, "set", "left_anti").unionByName(firsts)
+    rows = cut(heads.select("set", "doc_id", "n", "sig", "bands"))
+    heads = rows.drop("bands")
+    rows = rows.select("set", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut(rows.join(buckets, "key"))
+    scores = members.groupBy("set").agg(F.sum("m").alias("score"))
+    scored = members.join(scores, "set")
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "set"))["set"].alias("p"))
+    members = cut(members.join(pivots, "key").select("key", "set", "p"))
+
+    linker = _Linker(docs, heads, words_each, percent)
+    linker.link(members.select(F.col("p").alias("a"), F.col("set").alias("b")))
+    labels, before, tries = linker.labels(), None, 0
+    while True:
+        apart = _apart(members, labels)
+        n = apart.count()
+        if not n:
+            break
+        if before is None or n <= (1 - WORTH) * before:
+            # Another pivot for each bucket, at random among the members outside the component of the first.
+            before, tries = n, tries + 1
+            first = apart.where("set = p").select("key", F.col("label").alias("main"))
+            other = apart.join(first, "key").where("label <> main").groupBy("key").agg(F.min_by(F.struct("set", "label"), F.xxhash64("set", F.lit(tries))).alias("q"))
+            fresh = linker.link(apart.join(other, "key").where("label <> q.label").select(F.col("q.set").alias("a"), F.col("set").alias("b")))
+            if fresh:
+                labels = linker.labels()
+                continue
+        if linker.link(linker.across(apart.select("p", "set", "label"))):
+            labels = linker.labels()
+        break
+
+    owners = labels.join(heads.select(F.col("set").alias("node"), "doc_id"), "node")
+    least = owners.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = cut(owners.join(least, "component").select(F.col("node").alias("set"), "least"))
+    known = signed.select("doc_id", "text_key", "n", "set").join(repeated, "set", "left").join(found, "set", "left")
+    return known.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id")).alias("component_id"))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of the buckets that hold more than one component."""
+    named = cut(members.join(labels.toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return cut(named.join(mixed, "key"))
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their shingle sets A, B. component_id: smallest
-    doc_id reachable over links, itself included; kept: it is the smallest. Documents without words (null, empty) are
-    linked with nothing. Rows equal in doc_id count as one document, with the set of any one of them where candidates
-    are confirmed; rows with null doc_id keep component_id null and kept true. An empty table gives an empty result.
+    doc_id reachable over links, itself included; kept: it is the smallest. doc_ids are cast to long.
+
+    Documents without words (null, empty) are linked with nothing. Each row goes by its own text, so rows of one doc_id
+    with different texts may lie in different components, and repeated rows get equal results. Rows with null doc_id
+    keep component_id null and kept true. Very long texts are hashed in parts. Equal sets are one node, whatever their
+    number. Other columns are not read. An empty table gives an empty result.
 
     With 32 bands of 4 rows a pair at 0.8 shares no band once in 2e7.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signatures(words_each), "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"))
-    usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    repeated = cut(classes.where("copies > 1").select("d1", "d2", "rep"))
-    heads = usable.join(repeated, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("id"), "n", "bands", "sig")
-    rows = heads.select("id", "n", "sig", F.explode("bands").alias("key"))
-    buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("p")).where("m > 1"))
-    members = cut(rows.join(buckets, "key"))
-
-    linker = _Linker(docs, words_each, percent)
-    stars = _pairs(members.where("id = p"), members, "x.id < y.id")
-    few = members.where(F.col("m").between(3, SMALL))
-    candidates = cut(linker.far(stars.union(_pairs(few, few, "x.id < y.id"))))
-    links = cut(linker.confirm(candidates))
-    labels = connected_components(links)
-
-    large = members.where(F.col("m") > SMALL)
-    for k in range(PIVOTS + 1):
-        open_rows = _unsettled(large, labels)
-        if open_rows.isEmpty():
-            break
-        if k < PIVOTS:
-            other = F.min_by(F.struct("id", "n", "sig", "label"), F.xxhash64("id", F.lit(k)))
-            chosen = cut(open_rows.groupBy("key").agg(other.alias("p")))
-            pairs = open_rows.join(chosen, "key").where("label <> p.label").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.sig").alias("sa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        else:
-            # A bucket's largest component is only met by members outside it, which are paired with all members that
-            # share enough shingles with anyone to be linked.
-            main = cut(open_rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main")))
-            marked = linker.shareable(cut(open_rows.join(main, "key")))
-            enough = f"{100 + percent} * least(x.m, y.m) >= {percent} * (x.n + y.n)"
-            pairs = _pairs(marked.where("label <> main"), marked, f"x.label <> y.label AND (y.label = y.main OR x.id < y.id) AND {enough}")
-        fresh = cut(linker.far(pairs).join(candidates, ["a", "b"], "left_anti"))
-        candidates = candidates.union(fresh)
-        more = cut(linker.confirm(fresh))
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = connected_components(links)
-
-    known = signed.select("doc_id", "n", "d1", "d2").join(repeated, ["d1", "d2"], "left").withColumn("_head", F.coalesce("rep", "doc_id"))
-    named = known.join(labels, F.col("_head") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "_head"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
-    """Pairs of members of one bucket."""
-    joined = x.alias("x").join(y.alias("y"), F.expr(f"x.key = y.key AND ({on})"))
-    return joined.select(*(F.col(f"{s}.{c}").alias(n) for s, names in (("x", ("a", "na", "sa")), ("y", ("b", "nb", "sb"))) for c, n in zip(("id", "n", "sig"), names, strict=True)))
-
-
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels, of the buckets that hold more than one component."""
-    named = members.join(labels, members.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).select("key", "id", "n", "sig", "label")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return cut(named.join(cut(mixed), "key"))
+    out = _classified(docs, words_each, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_minhash_bbit(spark, sf_dir: str) -> DataFrame:
@@ -289,9 +393,15 @@ def op2_minhash_bbit(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near duplicates of a document with a smaller doc_id (pipeline stage)."""
-    gone = near_duplicates(docs, words_each, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the near duplicates of a document with a smaller doc_id (pipeline stage).
+
+    Rows of the smallest doc_id of a component stay, repeated ones too; rows without words or with null doc_id stay.
+    Of two texts under one doc_id each goes by itself. Columns pass through, whatever their names.
+    """
+    gone = _classified(docs, words_each, percent).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    i, k = unused(docs, "id"), unused(docs, "key")
+    gone = gone.toDF(i, k)
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[i]) & (F.xxhash64(docs["text"].cast("string")) == gone[k]), "left_anti")
 
 
 OP2_SQL = r"""
