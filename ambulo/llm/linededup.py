@@ -1,40 +1,46 @@
 """Operator 8, line deduplication over overlapping three-line windows.
 
-Each run of three consecutive lines is hashed to 128 bits. Windows that occur again anywhere, in another document or
-later in the same one, are found by one aggregation with partial counts; each later occurrence covers its three lines,
-and covered lines go. Texts move once, to meet their covered lines.
+Each run of three consecutive lines is hashed to 128 bits, once, and kept as a table of places. Windows that occur
+again anywhere, in another document or later in the same one, are found by one aggregation with partial counts; each
+later occurrence covers its three lines, and covered lines go. Texts move once, to meet their covered lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 LINES = 3
+#: What tells rows apart: rows equal in both are one document.
+ROW = ("doc_id", "text_key")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _windows(docs: DataFrame, lines: int) -> DataFrame:
-    """doc_id, pos, h1, h2 of every window that holds more than white space."""
+    """doc_id, text_key, pos, h1, h2 of every window that holds more than white space; docs has doc_id and text."""
     cells = lambda i: [F.get("_lines", i + k) for k in range(lines)]
     each = F.when(F.size("_lines") >= lines, F.transform(F.sequence(F.lit(0), F.size("_lines") - lines), lambda i: F.struct(
         i.alias("pos"), F.xxhash64(*cells(i)).alias("h1"), F.xxhash64(F.lit("w"), *cells(i)[::-1]).alias("h2"), F.concat(*map(F.trim, cells(i))).rlike(r"[^\x20\x09-\x0D]").alias("solid"))))
-    return docs.select("doc_id", F.split(F.col("text").cast("string"), "\n").alias("_lines")).select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.*").where("solid").drop("solid")
+    split = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.split("text", "\n").alias("_lines"))
+    return split.select(*ROW, F.explode(each).alias("w")).select(*ROW, "w.*").where("solid").drop("solid")
 
 
 def covered_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, covered: sorted positions (from 0) of the lines that later occurrences of a window cover.
+    """doc_id, text_key, covered: positions (from 0) of the lines that later occurrences of a window cover.
 
-    The first occurrence is the one with the smallest (doc_id, position), null ids first.
+    The first occurrence is the one with the smallest (doc_id, text_key, position), null ids first.
     """
-    windows = _windows(docs, lines)
-    place = F.struct("doc_id", "pos")
+    windows = cut(_windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), lines))
+    place = F.struct(*ROW, "pos")
     seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    repeated = cut(seen.select("h1", "h2", "first"))
-    later = windows.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    spots = later.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: F.col("pos") + k)).alias("pos"))
-    return spots.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("covered"))
+    later = windows.join(seen.select("h1", "h2", "first"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    spots = later.select(*ROW, F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: F.col("pos") + k)).alias("pos"))
+    return spots.groupBy(*ROW).agg(F.collect_set("pos").alias("covered"))
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
@@ -42,21 +48,26 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
     Lines end at line feeds and are compared as they are. Documents of fewer than three lines, windows of white space
     only, empty and null texts (null stays null, no lines) are left alone. A document all of whose lines are covered
-    gets an empty text. Rows equal in doc_id count as one document: what is covered in one is removed from each. An
-    empty table gives an empty result.
+    gets an empty text. Rows equal in doc_id and text count as one document: what is covered in one is removed from
+    each; two texts under one doc_id are two documents, and null doc_ids are one id. The work is linear in the lines of
+    a text. Other columns pass through, whatever their names. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_removed")
-    marks = covered_lines(docs, lines).withColumnRenamed("doc_id", "_marked")
-    met = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_marked")), "left")
-    split = F.split(F.col("text").cast("string"), "\n")
-    covered = F.filter("covered", lambda p: p < F.size(split))
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("covered", i)), "\n")
-    out = met.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"),
-        "n_removed": F.when(F.col("text").isNull() | F.col("covered").isNull(), 0).otherwise(F.size(covered)).cast("long"),
-        "_text": F.when(F.col("covered").isNull(), F.col("text").cast("string")).otherwise(rest),
-    })
-    return out.withColumn("text", F.col("_text")).select(*docs.columns, "n_lines", "n_removed")
+    i, k, c, parts = (unused(docs, n) for n in ("id", "key", "covered", "parts"))
+    marks = covered_lines(docs, lines).toDF(i, k, c)
+    text = docs["text"].cast("string")
+    met = docs.join(marks, docs["doc_id"].eqNullSafe(marks[i]) & (_text_key(text) == marks[k]), "left")
+    split = met.withColumn(parts, F.split(F.col("text").cast("string"), "\n"))
+    # Positions that stay, by a set difference; then each line is fetched by position.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), c)
+    rest = F.array_join(F.transform(stay, lambda p: F.get(parts, p)), "\n")
+    changed = F.col("text").isNotNull() & F.col(c).isNotNull()
+    out = {
+        "text": F.when(changed, rest).otherwise(F.col("text").cast("string")),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
+        "n_removed": F.when(changed, F.size(c)).otherwise(0).cast("long"),
+    }
+    return split.select(*(out[n].alias(n) if n == "text" else F.col(f"`{n}`") for n in docs.columns), out["n_lines"].alias("n_lines"), out["n_removed"].alias("n_removed"))
 
 
 def op8_line_windows(spark, sf_dir: str) -> DataFrame:
