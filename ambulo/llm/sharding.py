@@ -14,14 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CRC_TABLE_SQL, crc32_sql, cut, table, text_or_empty
+from .common import CRC_TABLE_SQL, crc32_sql, cut, table, text_or_empty, unused
 
 H_BITS = 60
 FIRST_BITS = 12
 STEP_BITS = 8
-#: Most splitters that a run looks for: bounds what is collected (STEP_BITS more bits for each) and broadcast.
-MAX_SPLITTERS = 20_000
-MIN_LONG = -(1 << 63)
+#: Most splitters that a run looks for: bounds what is collected and broadcast (some 16 bytes each). 100 TB make pieces
+#: of 0.5 GB, which a task sorts by spilling.
+MAX_SPLITTERS = 200_000
+MIN_LONG, MAX_LONG = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,8 @@ def find_splitters(keys: DataFrame, n: int, tolerance: float = 0.0) -> tuple[lis
     A splitter is done once its interval holds the rows of one _h alone and an edge is within tolerance (a share of a
     part's bytes) of its target, or once its interval holds a single key; then it is the nearer edge, the lower one on
     a tie. So a group of equal texts is parted only where keeping it together would cost more than the tolerance, and
-    rows equal in text and doc_id never are.
+    rows equal in text and doc_id never are. Cells are counted and summed up on the cluster; only the cells in which
+    splitters lie come to the driver, one for each splitter at most.
     """
     ends = keys.agg(F.sum("_size"), F.count("_size"), F.max("_d")).first()
     total, d_bits = ends[0] or 0, max(1, int(ends[2] or 0).bit_length())
@@ -67,52 +69,58 @@ def find_splitters(keys: DataFrame, n: int, tolerance: float = 0.0) -> tuple[lis
         return [], total, 0
     slack = tolerance * total / n
     found: dict[int, Splitter] = {}
-    #: Splitter number -> (prefix, bytes below, rows below) of the interval in which it lies.
-    active: dict[int, tuple[tuple[int, int], int, int]] = {i: ((0, 0), 0, 0) for i in range(1, n)}
+    #: Prefix of an interval in which splitters still lie -> bytes and rows below it.
+    parents: dict[tuple[int, int], tuple[int, int]] = {(0, 0): (0, 0)}
     bits, rounds = 0, 0
-    while active:
+    while parents:
         wider = bits + (STEP_BITS if bits else FIRST_BITS)
         if bits < H_BITS < wider:
             wider = H_BITS
         wider = min(wider, H_BITS + d_bits)
-        ph, pd = _prefix(wider, d_bits)
-        rows = keys.select(ph.alias("ph"), pd.alias("pd"), "_h", "_d", "_size")
-        if bits:
-            oh, od = _prefix(bits, d_bits)
-            parents = keys.sparkSession.createDataFrame(sorted({p for p, _, _ in active.values()}), "oh long, od long")
-            rows = rows.withColumns({"oh": oh, "od": od}).join(F.broadcast(parents), ["oh", "od"], "left_semi")
-        counted = rows.groupBy("ph", "pd").agg(F.sum("_size"), F.count("_size"), F.min(F.struct("_h", "_d")) == F.max(F.struct("_h", "_d")), F.min("_h") == F.max("_h"))
-        cells = sorted(tuple(r) for r in counted.collect())  # at most 2 ** STEP_BITS for each splitter
+        (oh, od), (ph, pd) = (_prefix(bits, d_bits) if bits else (F.lit(0).cast("long"), F.lit(0).cast("long"))), _prefix(wider, d_bits)
+        known = keys.sparkSession.createDataFrame([(*p, *v) for p, v in sorted(parents.items())], "oh long, od long, lower long, lower_rows long")
+        rows = keys.select(oh.alias("oh"), od.alias("od"), ph.alias("ph"), pd.alias("pd"), "_h", "_d", "_size").join(F.broadcast(known), ["oh", "od"])  # MAX_SPLITTERS rows
+        cells = rows.groupBy("oh", "od", "lower", "lower_rows", "ph", "pd").agg(
+            F.sum("_size").alias("size"), F.count("_size").alias("count"), (F.min(F.struct("_h", "_d")) == F.max(F.struct("_h", "_d"))).alias("single"), (F.min("_h") == F.max("_h")).alias("group")
+        )
+        before = Window.partitionBy("oh", "od").orderBy("ph", "pd").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** FIRST_BITS cells
+        upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        summed = cells.withColumns({"below": F.col("lower") + upto("size"), "below_rows": F.col("lower_rows") + upto("count")}).withColumn("above", F.col("below") + F.col("size"))
+        # Splitter i lies in the cell where below * n <= i * total < above * n.
+        number = lambda c: F.expr(f"CAST((({c} * {n}BD) + {total - 1}BD) DIV {total}BD AS long)")
+        wide = summed.withColumns({"b20": F.col("below").cast("decimal(20,0)"), "a20": F.col("above").cast("decimal(20,0)")})
+        met = wide.select("ph", "pd", "below", "below_rows", "size", "count", "single", "group", F.greatest(F.lit(1), number("b20")).alias("lo"), F.least(F.lit(n), number("a20")).alias("hi")).where("lo < hi")
         rounds += 1
-        by_parent: dict[tuple[int, int], list] = {}
-        for c in cells:
-            by_parent.setdefault(_parent(c[0], c[1], bits, wider, d_bits), []).append(c)
-        still = {}
-        for i, (parent, below, below_rows) in active.items():
-            for p_h, p_d, size, count, single, group in by_parent[parent]:
-                if i * total < (below + size) * n:
-                    break
-                below, below_rows = below + size, below_rows + count
-            low, high = i * total - below * n, (below + size) * n - i * total  # both scaled by n
-            if single or wider >= H_BITS + d_bits or bits < H_BITS and group and min(low, high) <= slack * n:
-                if low <= high:
-                    found[i] = Splitter(*_floor_key(p_h, p_d, wider, d_bits), below, below_rows)
+        parents = {}
+        for c in met.collect():
+            for i in range(c["lo"], c["hi"]):
+                below, size = c["below"], c["size"]
+                low, high = i * total - below * n, (below + size) * n - i * total  # both scaled by n
+                if c["single"] or wider >= H_BITS + d_bits or bits < H_BITS and c["group"] and min(low, high) <= slack * n:
+                    if low <= high:
+                        found[i] = Splitter(*_floor_key(c["ph"], c["pd"], wider, d_bits), below, c["below_rows"])
+                    else:
+                        nxt = (c["ph"] + 1, 0) if wider <= H_BITS else (c["ph"], c["pd"] + 1)
+                        found[i] = Splitter(*_floor_key(*nxt, wider, d_bits), below + size, c["below_rows"] + c["count"])
                 else:
-                    nxt = (p_h + 1, 0) if wider <= H_BITS else (p_h, p_d + 1)
-                    found[i] = Splitter(*_floor_key(*nxt, wider, d_bits), below + size, below_rows + count)
-            else:
-                still[i] = ((p_h, p_d), below, below_rows)
-        active, bits = still, wider
+                    parents[c["ph"], c["pd"]] = (below, c["below_rows"])
+        bits = wider
     return [found[i] for i in range(1, n)], total, rounds
 
 
-def _parent(ph: int, pd: int, bits: int, wider: int, d_bits: int) -> tuple[int, int]:
-    if not bits:
-        return 0, 0
-    if wider <= H_BITS:
-        return ph >> (wider - bits), 0
-    at = lambda b: max(0, d_bits - (b - H_BITS))
-    return (ph, 0) if bits <= H_BITS else (ph, pd >> (at(bits) - at(wider)))
+def place_rows(keyed: DataFrame, splitters: list[Splitter], n: int) -> DataFrame:
+    """keyed(_h, _d, ..) with _p, the part (0 to n - 1) of each row: how many splitters are not above its key.
+
+    The first bits of a key give the part at which its bucket starts; the splitters inside a bucket are searched by
+    halving.
+    """
+    buckets = _lookup(splitters, n)
+    small = keyed.sparkSession.createDataFrame(buckets, "_b long, _base int, _cuts array<struct<h:long,d:long>>")
+    key = F.struct(F.col("_h").alias("h"), F.col("_d").alias("d"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, max(len(b[2]) for b in buckets).bit_length())))))
+    inside = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_cuts", at + s - 1) <= key, at + s).otherwise(at))
+    met = keyed.withColumn("_b", F.shiftright("_h", H_BITS - FIRST_BITS)).join(F.broadcast(small), "_b")  # 2 ** FIRST_BITS rows, MAX_SPLITTERS keys
+    return met.withColumn("_p", (F.col("_base") + inside).cast("int")).drop("_b", "_base", "_cuts")
 
 
 def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = 0.01, piece_bytes: int = 16 << 20) -> DataFrame:
@@ -121,31 +129,27 @@ def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = 0.01, pie
     size: UTF-8 bytes of the text plus 16 (null: 16). slot: place in the shard, gapless from 0. A shard larger than
     piece_bytes is cut by further splitters into pieces that are sorted apart, so no task holds a shard; the counts
     of the splitters give each piece's first slot. Equal texts are neighbours; a group of them is parted only where a
-    shard's bytes end and the group is larger than the tolerance. Null doc_ids sort as 0; rows equal in text and doc_id stay in one shard; an empty table gives
-    an empty result. Input columns named size, shard or slot are replaced.
+    shard's bytes end and the group is larger than the tolerance. doc_ids are cast to long; null ones sort as 0; rows
+    equal in text and doc_id stay in one shard. Null and empty texts are equal texts. Input columns named size, shard
+    or slot are replaced, others pass through, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = text_or_empty()
     docs = docs.drop("size", "shard", "slot")
-    keyed = docs.withColumns({"_h": text_key(text), "_d": F.abs(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), "_size": F.octet_length(text).cast("long") + 16})
+    names = {n: unused(docs, n) for n in ("row", "text")}
+    # Columns travel inside one struct, so that their names cannot clash with those below.
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(names["row"]), F.col("doc_id").cast("long").alias("_id"), text.alias(names["text"]))
+    keyed = held.select(names["row"], "_id", text_key(F.col(names["text"])).alias("_h"), F.coalesce("_id", F.lit(0)).bitwiseAND(MAX_LONG).alias("_d"), (F.octet_length(names["text"]).cast("long") + 16).alias("_size"))
     keys = cut(keyed.select("_h", "_d", "_size"))
     total = keys.agg(F.sum("_size")).first()[0] or 0
     pieces = max(1, min(-(-total // (n_shards * piece_bytes)), MAX_SPLITTERS // n_shards))
     splitters, _, _ = find_splitters(keys, n_shards * pieces, tolerance * pieces)
-    buckets = _lookup(splitters, n_shards * pieces)
-    small = spark.createDataFrame(buckets, "_b long, _base int, _cuts array<struct<h:long,d:long>>")
     starts = [0, *(s.rows for s in splitters)] if splitters else [0] * (n_shards * pieces)
     first = spark.createDataFrame([(p, starts[p] - starts[p - p % pieces]) for p in range(n_shards * pieces)], "_p int, _first long")
-    key = F.struct(F.col("_h").alias("h"), F.col("_d").alias("d"))
-    placed = (
-        keyed.withColumn("_b", F.shiftright("_h", H_BITS - FIRST_BITS))
-        .join(F.broadcast(small), "_b", "left")  # 2 ** FIRST_BITS rows
-        .withColumn("_p", (F.coalesce("_base", F.lit(0)) + F.coalesce(F.size(F.filter("_cuts", lambda s: s <= key)), F.lit(0))).cast("int"))
-        .join(F.broadcast(first), "_p")  # MAX_SPLITTERS rows at most
-    )
-    order = Window.partitionBy("_p").orderBy("_h", "_d", "doc_id", "_size")
+    placed = place_rows(keyed, splitters, n_shards * pieces).join(F.broadcast(first), "_p")  # MAX_SPLITTERS rows at most
+    order = Window.partitionBy("_p").orderBy("_h", "_d", "_id", "_size")
     slot = F.row_number().over(order).cast("long") - 1 + F.col("_first")
-    return placed.withColumns({"slot": slot, "shard": F.expr(f"_p div {pieces}").cast("int"), "size": F.col("_size")}).select(*docs.columns, "size", "shard", "slot")
+    return placed.withColumn("slot", slot).select(f"{names['row']}.*", F.col("_size").alias("size"), F.expr(f"_p div {pieces}").cast("int").alias("shard"), "slot")
 
 
 def _lookup(splitters: list[Splitter], n: int) -> list[tuple]:
@@ -166,7 +170,7 @@ def op1_histogram_sort(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = f"""
 WITH RECURSIVE {CRC_TABLE_SQL},
-     k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, abs(coalesce(doc_id, 0)) AS d,
+     k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, (coalesce(doc_id, 0) & 9223372036854775807) AS d,
              strlen(coalesce(text, ''))::BIGINT + 16 AS size, coalesce(text, '') AS text FROM documents),
      c AS (SELECT *, sum(size) OVER (ORDER BY h, d RANGE UNBOUNDED PRECEDING) AS upto,
              sum(size) OVER (PARTITION BY h, d) AS own, sum(size) OVER () AS total FROM k),
