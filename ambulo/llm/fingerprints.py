@@ -1,10 +1,14 @@
 """Operator 6, document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
 A text is a set of paragraph digests: 64-bit hashes of its lines, cut further at sentence ends and, within long
-sentences, every 160 characters. A sketch has three tables of cells; a digest adds one, itself and its checksum (by
-exclusive or) to one cell of each. Sketches of two versions subtract cell by cell: what they share vanishes, and cells
-that hold a single digest are peeled, table after table, until the differing digests are all recovered. Pairs that get
-stuck are sketched again with twice the cells and other hashes.
+sentences, every 160 characters. A sketch has three tables of 2 ** level cells; a digest adds one, itself and its
+checksum (by exclusive or) to one cell of each. A fingerprint is the sketch at the least level, from one that the number
+of digests suggests, at which peeling gives all of its own digests back; so a fingerprint holds its whole set, can be
+folded to lower levels (a cell's place is its hash modulo the table) and, by its peeled digests, be made again larger.
+
+Two fingerprints are compared at one level: their cells subtract, what they share vanishes, and cells that hold a single
+digest are peeled, table after table, until none is left to peel. A pair that is stuck then goes on at the next level,
+without bound. What is recovered are the differing digests, of which likeness follows.
 
 All sketches of a document lie in one partition: after one exchange of the texts (to meet their neighbours) and one of
 the digests, inserting, subtracting and peeling are aggregations without shuffles, linear in the digests.
@@ -18,18 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
-from .sharding import FIRST_BITS, H_BITS, _lookup, find_splitters
+from .sharding import H_BITS, find_splitters, place_rows
 
 TABLES = 3
-#: Cells of each table of the fingerprint that is returned.
-CELLS = 8
-#: Cells of a pair's sketch for each digest of its two sets, doubled at each retry.
-CELLS_EACH = 1.5
-#: Passes over the tables before a pair counts as stuck, and attempts before its sets are compared directly.
-PASSES, ATTEMPTS = 4, 6
-#: Bytes of text in one range of neighbours.
-RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
+#: Cells of the smallest table, as a power of two.
+LEAST_LEVEL = 2
+#: Passes over the tables in one job; sketches that still give digests after them go on in the next.
+PASSES = 3
+#: Bytes of text in one range of neighbours, and most ranges (100 TB make ranges of 0.5 GB, sorted by spilling).
+RANGE_BYTES, MOST_RANGES = 8 << 20, 200_000
 PIECE = r"[^\n.!?]{1,160}[.!?\n ]*|[.!?\n]+"
+KEYS = ["_p", "_r", "v"]
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -38,44 +41,78 @@ def paragraph_digests(text: Column) -> Column:
 
 
 def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("check"))
+    """32 bits that tell a digest from an exclusive or of several."""
+    return F.xxhash64(key, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
+
 
+def _cell(key: Column, t: int, level: str) -> Column:
+    """Place in table t: the hash modulo the table, so that halves of a table fold onto each other."""
+    return F.xxhash64(key, F.lit(t)).bitwiseAND(F.expr(f"shiftleft(1L, {level}) - 1"))
 
-def _cell(key: Column, t: int, cells: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed * TABLES + t)), cells).cast("int")
+
+def first_level(n: Column) -> Column:
+    """Level that a set of n digests is tried at first: one and a half to three cells for each."""
+    return F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.greatest(F.lit(1), n) / 2.0))).cast("int")
 
 
 def _add(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
 
 
-def _insert(rows: DataFrame, by: list[str], seed: int) -> DataFrame:
-    """Cells of the sketches of rows(by, cells, key, n): n times the key."""
+def _insert(rows: DataFrame) -> DataFrame:
+    """Cells (t, c, n, key, check) of the sketches of rows(KEYS, level, key, n): n times the key."""
     key = F.col("key")
-    places = F.array(*(F.struct(F.lit(t).alias("t"), _cell(key, t, F.col("cells"), seed).alias("c")) for t in range(TABLES)))
-    spread = rows.select(*by, "cells", "n", "key", _check(key).alias("check"), F.explode(places).alias("at")).select(*by, "cells", F.col("at.t").alias("t"), F.col("at.c").alias("c"), "n", "key", "check")
-    return _add(spread, [*by, "cells", "t", "c"])
+    places = F.array(*(F.struct(F.lit(t).alias("t"), _cell(key, t, "level").alias("c")) for t in range(TABLES)))
+    spread = rows.select(*KEYS, "level", "n", "key", _check(key).alias("check"), F.explode(places).alias("at")).select(*KEYS, "level", F.col("at.t").alias("t"), F.col("at.c").alias("c"), "n", "key", "check")
+    return _add(spread, [*KEYS, "level", "t", "c"])
 
 
-def _peel(cells: DataFrame, by: list[str], seed: int) -> DataFrame:
-    """by, diff (digests recovered) and stuck, from subtracted cells; sketches without any cell left are not listed.
+def _pure(t) -> Column:
+    """Whether a cell of table t holds one digest."""
+    key = F.col("key")
+    return (F.col("t") == t) & (F.abs("n") == 1) & (F.col("check") == _check(key)) & (F.col("c") == _cell(key, t, "level"))
 
-    A step takes one table: its pure cells give up their digest, which leaves the other tables and is counted in a
-    cell of table TABLES. A digest is in one cell of a table, so no step takes it twice.
+
+def _peel(cells: DataFrame, passes: int = PASSES) -> DataFrame:
+    """Cells after some passes over the tables; a row of table TABLES counts the digests recovered.
+
+    A step takes one table: its pure cells give up their digest, which leaves the other tables and is counted. A digest
+    is in one cell of a table, so no step takes it twice.
     """
     full = F.expr("n <> 0 OR key <> 0 OR check <> 0")
     key, n = F.col("key"), F.col("n")
+    cell = lambda t, c, n, key, check: F.struct(t.cast("int").alias("t"), c.cast("long").alias("c"), n.cast("long").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
     cells = cells.where(full)
-    for step in range(PASSES * TABLES):
+    for step in range(passes * TABLES):
         t = step % TABLES
-        pure = (F.col("t") == t) & (F.abs(n) == 1) & (F.col("check") == _check(key)) & (F.col("c") == _cell(key, t, F.col("cells"), seed))
-        cell = lambda t, c, n, key, check: F.struct(F.lit(t).cast("int").alias("t") if isinstance(t, int) else t.alias("t"), c.alias("c"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"))
-        counted = cell(TABLES, F.lit(0), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"))
-        given = F.array(counted, *(cell(o, _cell(key, o, F.col("cells"), seed), -n, key, F.col("check")) for o in range(TABLES) if o != t))
+        counted = cell(F.lit(TABLES), F.lit(0), F.lit(1), F.lit(0), F.lit(0))
+        given = F.array(counted, *(cell(F.lit(o), _cell(key, o, "level"), -n, key, F.col("check")) for o in range(TABLES) if o != t))
         same = F.array(cell(F.col("t"), F.col("c"), n, key, F.col("check")))
-        moved = cells.select(*by, "cells", F.explode(F.when(pure, given).otherwise(same)).alias("x")).select(*by, "cells", "x.*")
-        cells = _add(moved, [*by, "cells", "t", "c"]).where(full)
-    return cells.groupBy(*by).agg(F.sum(F.when(F.col("t") == TABLES, F.col("n")).otherwise(0)).alias("diff"), F.max(F.col("t") < TABLES).alias("stuck"))
+        moved = cells.select(*KEYS, "level", F.explode(F.when(_pure(t), given).otherwise(same)).alias("x")).select(*KEYS, "level", "x.*")
+        cells = _add(moved, [*KEYS, "level", "t", "c"]).where(full)
+    return cells
+
+
+def _peel_all(cells: DataFrame) -> list[DataFrame]:
+    """Tables of KEYS, level, diff (digests recovered) and stuck; sketches without any full cell are not listed.
+
+    Peeling goes on until no sketch has a pure cell left. Each digest peeled empties a cell and fills none; a sketch
+    whose full cells do not get fewer has a cell that only looks pure, and is stuck.
+    """
+    out, before = [], None
+    while True:
+        state = cut(_peel(cells))
+        full = F.col("t") < TABLES
+        pure = reduce(Column.__or__, (_pure(t) for t in range(TABLES)))
+        ends = state.groupBy(*KEYS, "level").agg(F.sum(F.when(full, 0).otherwise(F.col("n"))).alias("diff"), F.count_if(full).alias("left"), F.max(pure).alias("more"))
+        if before is not None:
+            ends = ends.join(before, KEYS, "left").withColumn("more", F.col("more") & (F.col("left") < F.col("_left"))).drop("_left")
+        ends = cut(ends)
+        out.append(ends.where("NOT more").select(*KEYS, "level", "diff", (F.col("left") > 0).alias("stuck")))
+        before = ends.where("more").select(*KEYS, F.col("left").alias("_left"))
+        if before.isEmpty():
+            return out
+        cells = state.join(before, KEYS, "left_semi").repartition("_p", "_r")
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
@@ -90,38 +127,40 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     least, most, total = ids.agg(F.min("doc_id"), F.max("doc_id"), F.sum("_size")).first()
     if total is None:
         return docs.select("doc_id", "text", F.col("text").alias("next_text"), F.lit(0).alias("_p"), F.lit(0).alias("_r"))
-    least = (0 if least is None else least) - 1
-    width = max(1, ((least if most is None else most) - least).bit_length())
-    place = F.coalesce(F.col("doc_id"), F.lit(least)) - F.lit(least)
-    h = F.shiftleft(place, H_BITS - width) if width <= H_BITS else F.shiftright(place, width - H_BITS)
-    keyed = lambda df: df.withColumns({"_h": h, "_d": F.lit(0).cast("long")})
+    # The key (_h of H_BITS, _d): ids less the least one, null 0; _d has the low bits that do not fit.
+    least, most = (0, 0) if least is None else (least, most)
+    low = 0
+    while ((most >> low) - (least >> low) + 2).bit_length() > H_BITS:
+        low += 1
+    bits = ((most >> low) - (least >> low) + 2).bit_length()
+    place = F.coalesce(F.shiftright("doc_id", low) - F.lit(least >> low) + 1, F.lit(0))
+    keyed = lambda df: df.withColumns({"_h": F.shiftleft(place, H_BITS - bits), "_d": F.coalesce(F.col("doc_id").bitwiseAND(F.lit((1 << low) - 1).cast("long")), F.lit(0))})
     ranges = max(1, min(-(-total // RANGE_BYTES), MOST_RANGES))
     splitters, _, _ = find_splitters(cut(keyed(ids).select("_h", "_d", "_size")), ranges)
-    small = spark.createDataFrame(_lookup(splitters, ranges), "_b long, _base int, _cuts array<struct<h:long,d:long>>")
-    key = F.struct(F.col("_h").alias("h"), F.col("_d").alias("d"))
-    ranged = (
-        keyed(docs)
-        .withColumn("_b", F.shiftright("_h", H_BITS - FIRST_BITS))
-        .join(F.broadcast(small), "_b", "left")  # 2 ** FIRST_BITS rows
-        .withColumn("_p", (F.coalesce("_base", F.lit(0)) + F.coalesce(F.size(F.filter("_cuts", lambda s: s <= key)), F.lit(0))).cast("int"))
-        .select("doc_id", "text", "_p", F.coalesce("doc_id", F.lit(least)).alias("_id"))
-    )
-    heads = sorted((r["_p"], r["_id"]) for r in ranged.groupBy("_p").agg(F.max("_id").alias("_id")).collect())  # MOST_RANGES rows
+    ranged = place_rows(keyed(docs), splitters, ranges).select("doc_id", "text", "_p")
+    heads = sorted((r["_p"], r["top"]) for r in ranged.groupBy("_p").agg(F.max("doc_id").alias("top")).collect())  # MOST_RANGES rows; only the lowest may be null
     after = [(heads[k][1], heads[(k + 1) % len(heads)][0]) for k in range(len(heads))]  # copied to the range above
-    ghosts = ranged.join(F.broadcast(spark.createDataFrame(after, "_id long, _to int")), "_id").select("doc_id", "text", F.col("_to").alias("_p"), "_id", F.lit(1).alias("_ghost"))
-    order = Window.partitionBy("_p").orderBy("_ghost", F.desc("_id"), "text")
+    small = spark.createDataFrame(after, "_top long, _to int")
+    ghosts = ranged.drop("_p").join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("_top"))).select("doc_id", "text", F.col("_to").alias("_p"), F.lit(1).alias("_ghost"))
+    order = Window.partitionBy("_p").orderBy("_ghost", F.desc_nulls_last("doc_id"), "text")
     met = ranged.withColumn("_ghost", F.lit(0)).unionByName(ghosts).withColumns({"next_text": F.lead("text").over(order), "_r": F.row_number().over(order)})
     return met.where("_ghost = 0").select("doc_id", "text", "next_text", "_p", "_r")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_digests, level.
 
     The edited text has the last half of its code points (rounded down) replaced by the first as many (or all) of the
     next document's, by descending doc_id, after the last the first; rows of one doc_id stand by text, null ids last.
-    A fingerprint is the sketch of fixed size, in hexadecimal; likeness is the Dice coefficient of the digest sets, 1
-    for two empty ones, from the differences that peeling recovers. Null texts count as empty; other columns are not
-    read; an empty table gives an empty result.
+    doc_ids are cast to long.
+
+    fingerprint: `level:` and the cells of the three tables, comma-separated, empty where nothing is in them, else
+    count, 16 digits of the digests and 8 of the checksums in hexadecimal. n_digests and level (of the fingerprint)
+    follow from it. Likeness is the Dice coefficient of the digest sets that two fingerprints hold, 1 for two empty
+    ones: 1 - d / (a + b) for the d digests that peeling their difference recovers.
+
+    Null texts count as empty, with no digests; a single row is its own next document; repeated rows are rows like any
+    other; other columns are not read; an empty table gives an empty result.
     """
     met = _neighbours(docs)
     n = F.length("text")
@@ -132,37 +171,50 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("_edited")).alias("edited"), paragraph_digests(F.col("next_text")).alias("next"),
     )
     sets = cut(sets)
-    rows = sets.repartition("_p", "_r")
-
-    each = rows.select("_p", "_r", F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.col(c).alias("keys")) for v, c in enumerate(("own", "edited"))))).alias("x"))
-    keys = each.select("_p", "_r", F.col("x.v").alias("v"), F.explode("x.keys").alias("key")).withColumns({"n": F.lit(1).cast("long"), "cells": F.lit(CELLS)})
-    held = _insert(keys, ["_p", "_r", "v"], 0)
-    slot = F.struct((F.col("t") * CELLS + F.col("c")).alias("i"), F.concat(F.lpad(F.hex("n"), 4, "0"), F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("check"), 16, "0")).alias("h"))
-    shown = F.array_join(F.transform(F.sort_array(F.col("slots")), lambda s: F.concat(F.lpad(F.hex(s["i"]), 2, "0"), s["h"])), "")
-    marks = held.groupBy("_p", "_r", "v").agg(F.collect_list(slot).alias("slots")).withColumn("mark", shown)
-    marks = marks.groupBy("_p", "_r").agg(F.max(F.when(F.col("v") == 0, F.col("mark"))).alias("fingerprint"), F.max(F.when(F.col("v") == 1, F.col("mark"))).alias("edited_fingerprint"))
-
-    pairs = F.array(F.struct(F.lit(0).alias("pair"), F.col("edited").alias("other")), F.struct(F.lit(1).alias("pair"), F.col("next").alias("other")))
-    versus = lambda df: df.select("_p", "_r", "own", F.explode(pairs).alias("x")).select("_p", "_r", "x.pair", "own", "x.other")
-    todo, done = versus(rows), []
-    for attempt in range(ATTEMPTS):
-        signed = lambda c, k: F.transform(c, lambda d: F.struct(d.alias("key"), F.lit(k).cast("long").alias("n")))
-        cells = F.greatest(F.lit(4), F.ceil((F.size("own") + F.size("other")) * (CELLS_EACH * 2**attempt / TABLES))).cast("int")
-        inserts = todo.select("_p", "_r", "pair", cells.alias("cells"), F.explode(F.concat(signed("own", 1), signed("other", -1))).alias("x")).select("_p", "_r", "pair", "cells", "x.*")
-        found = cut(_peel(_insert(inserts, ["_p", "_r", "pair"], attempt), ["_p", "_r", "pair"], attempt))
-        done.append(found.where("NOT stuck"))
-        stuck = found.where("stuck").select("_p", "_r", "pair")
+
+    # Sketches by v: 0 and 1 are the text and the edited text alone, 2 and 3 the text less the edited and the next one.
+    none = F.array().cast("array<bigint>")
+    sketch = lambda v, plus, minus: F.struct(F.lit(v).alias("v"), plus.alias("plus"), minus.alias("minus"), first_level(F.size(plus) + F.size(minus)).alias("level"))
+    four = F.array(sketch(0, F.col("own"), none), sketch(1, F.col("edited"), none), sketch(2, F.col("own"), F.col("edited")), sketch(3, F.col("own"), F.col("next")))
+    signed = lambda c, k: F.transform(c, lambda d: F.struct(d.alias("key"), F.lit(k).cast("long").alias("n")))
+    todo = sets.repartition("_p", "_r").select("_p", "_r", F.explode(four).alias("x")).select("_p", "_r", "x.*")
+    done = []
+    while True:
+        inserts = todo.select(*KEYS, "level", F.explode(F.concat(signed("plus", 1), signed("minus", -1))).alias("x")).select(*KEYS, "level", "x.*")
+        ends = _peel_all(_insert(inserts))
+        done += [e.where("NOT stuck").drop("stuck") for e in ends]
+        stuck = cut(reduce(DataFrame.unionByName, ends).where("stuck").select(*KEYS, (F.col("level") + 1).alias("_up")))
         if stuck.isEmpty():
             break
-        todo = versus(sets).join(stuck, ["_p", "_r", "pair"], "left_semi").repartition("_p", "_r")
-    else:
-        both = F.size(F.array_except("own", "other")) + F.size(F.array_except("other", "own"))
-        done.append(todo.select("_p", "_r", "pair", both.cast("long").alias("diff"), F.lit(False).alias("stuck")))
-    diffs = reduce(DataFrame.unionByName, done).groupBy("_p", "_r").agg(*(F.max(F.when(F.col("pair") == k, F.col("diff"))).alias(f"_diff{k}") for k in range(2)))
-    whole = sets.withColumns({"_size0": F.size("own") + F.size("edited"), "_size1": F.size("own") + F.size("next")}).drop("own", "edited", "next")
-    out = whole.repartition("_p", "_r").join(marks, ["_p", "_r"], "left").join(diffs, ["_p", "_r"], "left")
-    near = lambda k: F.when(F.col(f"_size{k}") == 0, F.lit(1.0)).otherwise(1 - F.coalesce(F.col(f"_diff{k}"), F.lit(0)) / F.greatest(F.lit(1), F.col(f"_size{k}")))
-    return out.select("doc_id", "n_chars", "edited_sha256", *(F.coalesce(c, F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint")), near(0).alias("near_edited"), near(1).alias("near_next"))
+        again = sets.join(stuck.select("_p", "_r").distinct(), ["_p", "_r"], "left_semi").repartition("_p", "_r").select("_p", "_r", F.explode(four).alias("x")).select("_p", "_r", "x.*")
+        todo = again.drop("level").join(stuck.withColumnRenamed("_up", "level"), KEYS).repartition("_p", "_r")
+    peeled = reduce(DataFrame.unionByName, done)
+    of = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))
+    known = cut(peeled.groupBy("_p", "_r").agg(of(0, "level").alias("level0"), of(1, "level").alias("level1"), of(2, "diff").alias("diff2"), of(3, "diff").alias("diff3")))
+    rows = cut(sets.join(known, ["_p", "_r"], "left").na.fill({"level0": LEAST_LEVEL, "level1": LEAST_LEVEL, "diff2": 0, "diff3": 0}))
+
+    shown = rows.repartition("_p", "_r")
+    both = F.array(*(F.struct(F.lit(v).alias("v"), F.col(c).alias("keys"), F.col(f"level{v}").alias("level")) for v, c in enumerate(("own", "edited"))))
+    keys = shown.select("_p", "_r", F.explode(both).alias("x")).select("_p", "_r", "x.v", "x.level", F.explode("x.keys").alias("key")).withColumn("n", F.lit(1).cast("long"))
+    wide = lambda c, digits: F.lpad(F.lower(F.hex(c)), digits, "0")
+    slot = F.struct((F.expr("shiftleft(CAST(t AS long), level)") + F.col("c")).alias("i"), F.concat(F.lower(F.hex("n")), wide("key", 16), wide("check", 8)).alias("h"))
+    marks = _insert(keys).groupBy(*KEYS, "level").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
+    # Full cells come in order; the commas before each are the places since the one before.
+    at = F.transform("slots", lambda s: s["i"])
+    steps = F.zip_with(at, F.concat(F.array(F.lit(0).cast("long")), F.slice(at, F.lit(1), F.size(at) - 1)), lambda a, b: (a - b).cast("int"))
+    body = F.array_join(F.zip_with("slots", steps, lambda s, k: F.concat(F.repeat(F.lit(","), k), s["h"])), "")
+    tail = F.repeat(F.lit(","), (F.expr(f"shiftleft({TABLES}L, level)") - 1 - F.element_at(at, -1)).cast("int"))
+    marks = marks.select("_p", "_r", "v", F.concat(F.col("level").cast("string"), F.lit(":"), body, tail).alias("mark"))
+    marks = marks.groupBy("_p", "_r").agg(F.max(F.when(F.col("v") == 0, F.col("mark"))).alias("m0"), F.max(F.when(F.col("v") == 1, F.col("mark"))).alias("m1"))
+
+    sized = shown.select("_p", "_r", "doc_id", "n_chars", "edited_sha256", "level0", "diff2", "diff3", F.size("own").alias("a"), F.size("edited").alias("b"), F.size("next").alias("c"))
+    out = sized.join(marks, ["_p", "_r"], "left")
+    empty = F.lit(f"{LEAST_LEVEL}:" + "," * ((TABLES << LEAST_LEVEL) - 1))
+    near = lambda other, diff: F.when(F.col("a") + F.col(other) == 0, F.lit(1.0)).otherwise(1 - F.col(diff) / F.greatest(F.lit(1), F.col("a") + F.col(other)))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", F.coalesce("m0", empty).alias("fingerprint"), F.coalesce("m1", empty).alias("edited_fingerprint"),
+        near("b", "diff2").alias("near_edited"), near("c", "diff3").alias("near_next"), F.col("a").cast("long").alias("n_digests"), F.col("level0").alias("level"),
+    )
 
 
 def op6_invertible_sketch(spark, sf_dir: str) -> DataFrame:

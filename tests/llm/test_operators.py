@@ -217,20 +217,94 @@ def test_field_sums_match_enumeration():
     assert abs(sum(c for (i, j, k), c in chances.items() if i <= 1 < j) - 1) < 1e-9
 
 
-def test_fingerprints_equal_set_likeness(docs, empty):
-    out = {r["doc_id"]: r for r in rows(fingerprints.fingerprint_documents(docs))}
-    order = sorted(ROWS, key=lambda r: -r[0])
+def parse_fingerprint(mark):
+    """Level and the full cells {(table, cell): [count, digests, checksums]} of a fingerprint."""
+    level, _, body = mark.partition(":")
+    level, cells = int(level), body.split(",")
+    assert len(cells) == 3 << level
+    return level, {(i >> level, i & (1 << level) - 1): [int(c[:-24], 16), int(c[-24:-8], 16), int(c[-8:], 16)] for i, c in enumerate(cells) if c}
+
+
+class Sketches:
+    """Sketches in plain Python; the hashes of digests are looked up, as Spark computes them."""
+
+    def __init__(self, hashes):
+        self.hashes = hashes  # digest -> (hash of table 0, 1, 2, checksum)
+
+    def add(self, cells, key, n, level):
+        *places, check = self.hashes[key]
+        for t, h in enumerate(places):
+            cell = cells.setdefault((t, h & (1 << level) - 1), [0, 0, 0])
+            cell[0], cell[1], cell[2] = cell[0] + n, cell[1] ^ key, cell[2] ^ check
+            if cell == [0, 0, 0]:
+                del cells[t, h & (1 << level) - 1]
+
+    def peel(self, cells, level):
+        """Digests and their signs; whether cells are left."""
+        cells, out = {k: list(v) for k, v in cells.items()}, {}
+        while True:
+            pure = next((c for at, c in cells.items() if abs(c[0]) == 1 and c[1] in self.hashes and self.hashes[c[1]][3] == c[2] and self.hashes[c[1]][at[0]] & (1 << level) - 1 == at[1]), None)
+            if pure is None:
+                return out, bool(cells)
+            n, key = pure[0], pure[1]
+            out[key] = n
+            self.add(cells, key, -n, level)
+
+    def likeness(self, a, b):
+        """From two fingerprints alone: subtract at one level, larger ones made from the digests that each gives back."""
+        sets = []
+        for mark in (a, b):
+            level, cells = parse_fingerprint(mark)
+            own, left = self.peel(cells, level)
+            assert not left and set(own.values()) <= {1}
+            sets.append(set(own))
+        level = max(parse_fingerprint(a)[0], parse_fingerprint(b)[0])
+        while True:
+            cells = {}
+            for keys, n in zip(sets, (1, -1), strict=True):
+                for k in keys:
+                    self.add(cells, k, n, level)
+            diff, left = self.peel(cells, level)
+            if not left:
+                return 1 - len(diff) / max(1, len(sets[0]) + len(sets[1]))
+            level += 1
+
+
+def test_likeness_follows_from_the_fingerprints(spark, docs, empty):
+    hard = docs.select("doc_id", "text").union(spark.createDataFrame([(-(1 << 63), "least. id."), ((1 << 63) - 1, BASE + ". x"), (None, "no id. at all"), (None, "no id. again"), (2, BASE + " again"), (2, "another. text")], "doc_id long, text string"))
     piece = re.compile(fingerprints.PIECE)
-    like = lambda a, b: 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
-    for k, (i, t, _) in enumerate(order):
-        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
-        half = len(t) // 2
-        edited = t[: len(t) - half] + nxt[:half]
-        r = out[i]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r["near_edited"] - like(set(piece.findall(t)), set(piece.findall(edited)))) < 1e-9
-        assert abs(r["near_next"] - like(set(piece.findall(t)), set(piece.findall(nxt)))) < 1e-9
-    assert out[0]["fingerprint"] == out[1]["fingerprint"] != out[2]["fingerprint"]
+    for table in (docs.select("doc_id", "text"), hard, docs.where("doc_id = 6").select("doc_id", "text")):
+        data = [tuple(r) for r in table.collect()]
+        order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+        edits = []
+        for k, (i, t) in enumerate(order):
+            t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+            half = len(t) // 2
+            edits.append((i, t, t[: len(t) - half] + nxt[:half], nxt))
+        texts = {x for e in edits for x in e[1:]}
+        found = spark.createDataFrame([(p,) for x in texts for p in piece.findall(x)] or [("",)], "p string").distinct().select(F.xxhash64("p").alias("key"))
+        hashed = found.select("key", *(F.xxhash64("key", F.lit(t)) for t in range(3)), fingerprints._check(F.col("key"))).collect()
+        unsigned = lambda x: x & (1 << 64) - 1
+        plain = Sketches({unsigned(r[0]): (*map(unsigned, r[1:4]), r[4]) for r in hashed})
+        out = defaultdict(list)
+        for r in rows(fingerprints.fingerprint_documents(table)):
+            out[r["doc_id"], r["n_chars"], r["edited_sha256"]].append(r)
+        mark = {x: None for x in texts}
+        for i, t, edited, _ in edits:
+            (*_, r) = out[i, len(t), hashlib.sha256(edited.encode()).hexdigest()]
+            for x, m in ((t, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+                assert mark[x] in (None, m)
+                mark[x] = m
+        like = lambda a, b: 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
+        want = defaultdict(list)
+        for i, t, edited, nxt in edits:
+            sets = [set(piece.findall(x)) for x in (t, edited, nxt)]
+            near = [like(sets[0], s) for s in sets[1:]]
+            assert np.allclose(near, [plain.likeness(mark[t], mark[x]) if mark[x] else like(sets[0], set(piece.findall(x))) for x in (edited, nxt)])
+            want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()].append((*near, len(sets[0])))
+        assert out.keys() == want.keys()
+        for k, own in want.items():
+            assert np.allclose(sorted(own), sorted((r["near_edited"], r["near_next"], r["n_digests"]) for r in out[k]))
     assert rows(fingerprints.fingerprint_documents(empty)) == []
 
 
@@ -278,6 +352,18 @@ def test_lines_equal_brute_force(docs, empty):
     assert rows(linededup.dedup_lines(empty)) == []
 
 
+def test_lines_of_two_texts_under_one_id_and_long_texts(spark):
+    long = "\n".join(f"line {k % 5000}" for k in range(40_000))
+    data = [(1, "a\nb\nc\nd", 7), (1, "p\nq\nr\ns", 8), (2, "a\nb\nc\nz", 9), (None, "a\nb\nc", 1), (3, long, 0), (4, long, 0), (5, "x\ny\nz", 1), (5, "x\ny\nz", 1)]
+    table = spark.createDataFrame(data, "doc_id long, text string, _marked int").withColumns({"_covered": F.lit("c"), "_id": F.lit(1), "_key": F.lit(2)})
+    out = rows(linededup.dedup_lines(table))
+    assert {"_marked", "_covered", "_id", "_key"} <= set(out[0])
+    got = sorted((str(r["doc_id"]), r["text"], r["_marked"]) for r in out if r["doc_id"] not in (3, 4))
+    assert got == sorted([("1", "", 7)[:1] + ("d", 7), ("1", "p\nq\nr\ns", 8), ("2", "z", 9), ("None", "a\nb\nc", 1), ("5", "x\ny\nz", 1), ("5", "x\ny\nz", 1)])
+    by = {r["doc_id"]: r for r in out}
+    assert (by[3]["n_removed"], by[4]["n_removed"]) == (35_000, 40_000) and by[3]["text"] == "\n".join(f"line {k}" for k in range(5000)) and by[4]["text"] == ""
+
+
 def test_segmentations_are_the_n_best(docs, empty):
     pytest.importorskip("public_tokenizers")
     path = sentencepieces.default_model()
