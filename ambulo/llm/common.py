@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of strings (null: empty), end to end, and the offsets of each in them."""
+    import pyarrow as pa
+
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+def portions(batches, column: str = "text", most: int = 1 << 20):
+    """Slices of Arrow batches, in order, with about `most` bytes of text each and one row at least."""
+    for batch in batches:
+        ends, at = utf8(batch.column(column))[1], 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}

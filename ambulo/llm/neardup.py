@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, unused
+from .common import cut, portions, table, unused, utf8
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
@@ -164,19 +164,6 @@ def pack(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes << np.arange(0, 64, BITS, dtype=np.uint64), axis=2).view(np.int64)
 
 
-def _portions(batch: pa.RecordBatch):
-    """Slices of a batch with its texts as bytes and offsets, of about PORTION bytes each."""
-    text = batch.column("text").fill_null("").cast(pa.large_string())
-    _, offsets, data = text.buffers()
-    ends = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    at = 0
-    while at < len(text):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
-        yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
-        at = to
-
-
 def _lists(values: list[np.ndarray] | np.ndarray, lengths) -> pa.ListArray:
     flat = np.concatenate(values) if len(values) else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat.view(np.int64)))
@@ -190,23 +177,21 @@ def _digest(items: np.ndarray) -> bytes | None:
 
 def _signatures(words_each: int):
     def run(batches):
-        for batch in batches:
-            for part, data, offsets in _portions(batch):
-                sets = shingle_sets(data, offsets, words_each)
-                some = np.array([len(s) > 0 for s in sets])
-                low = minima([s for s in sets if len(s)])
-                columns = [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, _lists(band_keys(low), some * BANDS), _lists(pack(low), some * PACKED)], ["doc_id", "text_key", "n", "set", "bands", "sig"])
+        for part in portions(batches, most=PORTION):
+            sets = shingle_sets(*utf8(part.column("text")), words_each)
+            some = np.array([len(s) > 0 for s in sets])
+            low = minima([s for s in sets if len(s)])
+            columns = [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(band_keys(low), some * BANDS), _lists(pack(low), some * PACKED)], ["doc_id", "text_key", "n", "set", "bands", "sig"])
 
     return run
 
 
 def _sets(words_each: int):
     def run(batches):
-        for batch in batches:
-            for _, data, offsets in _portions(batch):
-                sets = shingle_sets(data, offsets, words_each)
-                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets, [len(s) for s in sets])], ["set", "items"])
+        for part in portions(batches, most=PORTION):
+            sets = shingle_sets(*utf8(part.column("text")), words_each)
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets, [len(s) for s in sets])], ["set", "items"])
 
     return run
 
@@ -286,10 +271,11 @@ class _Linker:
     def labels(self) -> DataFrame:
         return connected_components(reduce(DataFrame.unionByName, self.links))
 
-    def across(self, members: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members(p, set, label) with one pivot p and different labels that may be linked.
+    def across(self, apart: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one bucket in apart(key, set, p, label) with different labels that may be linked.
 
-        For h items of p that A lacks and e items that p lacks, let w(A) = 100 h + percent e. A and B are linked if
+        Buckets whose pivots lie in one component are met together, by the pivot p of most members; it need not lie in
+        each bucket. For h items of p that A lacks and e items that p lacks, let w(A) = 100 h + percent e. A and B are linked if
         and only if (100 + percent) |D(A) & D(B)| >= w(A) + w(B) - (100 - percent) |p|, and A is linked with p if and
         only if w(A) <= (100 - percent) |p|. So for A outside the pivot's component the overlap is above
         w(B) / (100 + percent), and as w(B) >= percent |D(B)|, at least (w(A) - (100 - percent) |p|) / 100. Sets with an
@@ -297,10 +283,11 @@ class _Linker:
         what follows it.
         """
         t = self.percent
-        members = cut(members.distinct())
-        main = members.where("set = p").select("p", F.col("label").alias("main"))
-        sets = self.sets_of(members.select("set").distinct())
-        both = members.where("set <> p").join(sets, "set").join(sets.toDF("p", "base"), "p").join(main, "p")
+        named = cut(apart.join(apart.where("set = p").select("key", F.col("label").alias("main")), "key"))
+        centres = named.groupBy("main", "p").count().groupBy("main").agg(F.max(F.struct("count", "p"))["p"].alias("centre"))
+        members = cut(named.join(centres, "main").select(F.col("centre").alias("p"), "set", "label", "main").distinct())
+        sets = self.sets_of(members.select("set").union(members.select("p")).distinct())
+        both = members.where("set <> p").join(sets, "set").join(sets.toDF("p", "base"), "p")
         less, more = F.array_except("base", "items"), F.array_except("items", "base")
         diffs = cut(both.select("p", "set", "label", "main", F.size("base").alias("pn"), (100 * F.size(less) + t * F.size(more)).alias("w"), F.concat(less, more).alias("delta")))
         items = diffs.select("p", "set", "label", F.explode("delta").alias("item"))
@@ -326,9 +313,9 @@ def _classified(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     repeated = cut(classes.where("copies > 1").select("set", "rep"))
     firsts = usable.join(repeated, "set").where("doc_id = rep").drop("rep").dropDuplicates(["set"])
     heads = usable.join(repeated, "set", "left_anti").unionByName(firsts)
-    rows = cut(heads.select("set", "doc_id", "n", "sig", "bands"))
-    heads = rows.drop("bands")
-    rows = rows.select("set", F.explode("bands").alias("key"))
+    heads = cut(heads.select("set", "doc_id", "n", "sig"))
+    # Of equal sets the head's bands; a head's repeated rows change nothing.
+    rows = usable.join(repeated, "set", "left").where("rep IS NULL OR rep = doc_id").select("set", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(rows.join(buckets, "key"))
     scores = members.groupBy("set").agg(F.sum("m").alias("score"))
@@ -353,7 +340,7 @@ def _classified(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
             if fresh:
                 labels = linker.labels()
                 continue
-        if linker.link(linker.across(apart.select("p", "set", "label"))):
+        if linker.link(linker.across(apart)):
             labels = linker.labels()
         break
 
