@@ -4,12 +4,14 @@ The vocabulary is a public SentencePiece model file, whose merge ranks are read
 pieces. A forward Viterbi pass over the lattice of a span gives the best score of every prefix; that is the exact cost
 still to come for a hypothesis that grows backward from the end, so A-star pops complete segmentations in order of
 score. No piece reaches across a space mark that follows another character, so a text is a chain of spans between
-such marks: each distinct span is solved once, and the n best of the chain follow from the few spans whose second
-choices cost least.
+such marks: each distinct span is searched once, for its best segmentation and for the score at which its open list
+then stands, which is that of the second best; and the n best of the chain follow from the few spans whose second
+choices cost least, in which the search goes on.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import zlib
 from functools import lru_cache
@@ -21,21 +23,57 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import table
+from .common import portions, table
 
-SPACE = "▁"
+SPACE = "\u2581"
 N_BEST = 4
-#: Distinct spans that a worker remembers, and the longest of them.
-SPANS_KEPT, SPAN_CHARS = 400_000, 64
+#: Distinct spans that a worker remembers in each of two generations, and the longest of them.
+SPANS_KEPT, SPAN_CHARS = 120_000, 64
 #: Runs of letters and of other characters, with the marks before them; what joins the two.
-RUNS = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
-JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}▁][\p{L}\p{M}]")
+RUNS = regex.compile(r"\u2581*[\p{L}\p{M}]+|\u2581*[^\p{L}\p{M}\u2581]+|\u2581+")
+JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}\u2581][\p{L}\p{M}]")
+#: Spans up to so many characters are searched side by side, so many at once, over pieces of up to TABLE_CHARS.
+TABLE_SPAN, SIDE_BY_SIDE, TABLE_CHARS = 24, 2048, 24
+INF = float("inf")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Kept:
+    """What was found for short spans; the older half goes when both generations are full."""
+
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def get(self, span):
+        return self.new.get(span) or self.old.get(span)
+
+    def put(self, span, found) -> None:
+        if len(span) <= SPAN_CHARS:
+            if len(self.new) >= SPANS_KEPT:
+                self.new, self.old = {}, self.new
+            self.new[span] = found
+
+
+def _prefixes(spans: list[str]) -> np.ndarray:
+    """For spans of one length a row each with the hashes of their beginnings, the empty one first."""
+    size = len(spans[0])
+    codes = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(spans), size).astype(np.uint64)
+    out = np.zeros((len(spans), size + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            out[:, j + 1] = out[:, j] * _FACTOR + (codes[:, j] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
+def _packed(ids) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 class Pieces:
     """Pieces of a model file with additive scores: -log(rank + 2) - log(ln size), Zipf's law over merge ranks.
 
-    Characters that no piece covers fall to byte pieces, which score as the last rank for each byte.
+    Characters that no piece covers fall to byte pieces, which score as the last rank for each byte. Ids are packed as
+    little-endian 32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -43,145 +81,230 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.score_of: dict[str, tuple[float, tuple[int, ...]]] = {}
+        names: dict[str, tuple[float, bytes]] = {}
         self.bytes, self.shown = {}, []
         for i in range(size):
             name = model.id_to_piece(i)
             if model.is_byte(i):
                 b = int(name[3:5], 16)
-                self.bytes[b] = i
+                self.bytes[b] = _packed([i])
                 self.shown.append(bytes([b]).decode("utf-8", "surrogateescape"))
                 continue
             self.shown.append(name.replace(SPACE, " "))
             if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 rank = -model.get_score(i) if model.get_score(i) > -1e8 else size
-                self.score_of[name] = (-float(np.log(rank + 2) + np.log(np.log(size))), (i,))
+                names[name] = -float(np.log(rank + 2) + np.log(np.log(size))), _packed([i])
         self.by_byte = -float(np.log(size + 2) + np.log(np.log(size)))
-        #: Pieces, and what pieces begin with, which scores nothing.
-        self.begun: dict[str, tuple[float, tuple[int, ...]] | None] = {name[:k]: None for name in self.score_of for k in range(1, len(name))} | self.score_of
-        self.apart = not any(JOINED.search(name) for name in self.score_of)
-        self.kept: dict[str, tuple[float, float, tuple[int, ...]]] = {}
-        self.words: dict[str, tuple[float, float, tuple[int, ...]]] = {}
-        self.more: dict[tuple[str, int], list] = {}
-
-    def lattice(self, span: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each position the pieces (start, score, ids) that end there."""
-        get, size = self.begun.get, len(span)
-        into: list[list] = [[] for _ in range(size + 1)]
-        for i in range(size):
-            single = False
-            for j in range(i + 1, size + 1):
-                found = get(span[i:j], False)
-                if found:
-                    into[j].append((i, *found))
-                    single = single or j == i + 1
-                elif found is False:
+        #: Pieces by character, from their beginnings and from their ends: character -> [what may follow, the piece
+        #: (score, id) that is complete here or None].
+        self.ahead, self.back = {}, {}
+        for name, found in names.items():
+            for node, letters in ((self.ahead, name), (self.back, name[::-1])):
+                for c in letters:
+                    entry = node.setdefault(c, [{}, None])
+                    node = entry[0]
+                entry[1] = found
+        self.apart = not any(JOINED.search(name) for name in names)
+        #: For each length the hashes of the pieces, sorted, with their scores and ids.
+        self.tables = {}
+        for k in range(1, min(TABLE_CHARS, max(map(len, names))) + 1):
+            some = sorted((int(_prefixes([name])[0, -1]), *names[name]) for name in names if len(name) == k)
+            hashes = np.array([x[0] for x in some], np.uint64)
+            if len(np.unique(hashes)) < len(hashes):
+                raise ValueError("pieces of one hash")
+            if some:
+                self.tables[k] = hashes, np.array([x[1] for x in some]), np.array([int.from_bytes(x[2], "little") for x in some])
+        self.kept, self.words, self.more = _Kept(), _Kept(), _Kept()
+        gc.freeze()  # the vocabulary stays: collections need not look at it
+
+    def forward(self, span: str) -> tuple[list[float], list[int]]:
+        """Viterbi: the best score of every prefix, and where the last piece of it begins."""
+        size = len(span)
+        best, last = [-INF] * (size + 1), [0] * (size + 1)
+        best[0] = 0.0
+        for i, top in enumerate(best):
+            if i == size:
+                return best, last
+            node, j, single = self.ahead, i, False
+            while j < size:
+                entry = node.get(span[j])
+                if entry is None:
                     break
+                node, found = entry
+                j += 1
+                if found:
+                    score = top + found[0]
+                    if score > best[j]:
+                        best[j], last[j] = score, i
+                    if j == i + 1:
+                        single = True
             if not single:
-                raw = span[i].encode("utf-8", "replace")
-                into[i + 1].append((i, self.by_byte * len(raw), tuple(self.bytes[b] for b in raw)))
-        return into
-
-    @staticmethod
-    def forward(into) -> list[float]:
-        """Viterbi: the best score of every prefix."""
-        best = [0.0] * len(into)
-        for j in range(1, len(into)):
-            best[j] = max(best[i] + score for i, score, _ in into[j])
-        return best
-
-    def n_best(self, span: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations (score, ids) of a span, best first; ties by the order in which they grow."""
-        into = self.lattice(span)
-        best = self.forward(into)
-        order, out = count(), []
-        heap = [(-best[-1], next(order), len(span), 0.0, None)]
+                score = top + self.by_byte * len(span[i].encode("utf-8", "replace"))
+                if score > best[i + 1]:
+                    best[i + 1], last[i + 1] = score, i
+
+    def arcs(self, span: str, at: int) -> list[tuple[int, float, bytes]]:
+        """The pieces (start, score, ids) that end at a position of a span, the shortest first."""
+        node, out = self.back, []
+        for i in range(at - 1, -1, -1):
+            entry = node.get(span[i])
+            if entry is None:
+                break
+            node, found = entry
+            if found:
+                out.append((i, *found))
+        if not out or out[0][0] != at - 1:
+            raw = span[at - 1].encode("utf-8", "replace")
+            out.insert(0, (at - 1, self.by_byte * len(raw), b"".join(self.bytes[b] for b in raw)))
+        return out
+
+    def n_best(self, span: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations (score, ids) of a span, best first.
+
+        Among equal hypotheses the one that has come furthest goes first; as n hypotheses through a position are enough
+        for the n best, later ones are left.
+        """
+        best, _ = self.forward(span)
+        order, out, popped = count(), [], [0] * len(best)
+        heap = [(-best[-1], len(span), next(order), 0.0, None)]
         while heap and len(out) < n:
-            _, _, at, done, tail = heapq.heappop(heap)
+            _, at, _, done, tail = heapq.heappop(heap)
+            if popped[at] >= n:
+                continue
+            popped[at] += 1
             if not at:
                 ids = []
                 while tail:
-                    ids += tail[0]
+                    ids.append(tail[0])
                     tail = tail[1]
-                out.append((done, tuple(ids)))
+                out.append((done, b"".join(ids)))
                 continue
-            for i, score, ids in into[at]:
-                heapq.heappush(heap, (-(best[i] + done + score), next(order), i, done + score, (ids, tail)))
+            for i, score, ids in self.arcs(span, at):
+                heapq.heappush(heap, (-(best[i] + done + score), i, next(order), done + score, (ids, tail)))
         return out
 
-    def best_and_gap(self, span: str) -> tuple[float, float, tuple[int, ...]]:
-        """Best score, how much less the second best has, and the best ids.
+    def first(self, span: str) -> tuple[float, float, bytes]:
+        """Best score, how much less the second best has, and the best ids: A-star up to its first pop.
 
-        Where no piece of the vocabulary joins letters to other characters, runs of either are solved apart.
+        Until then the hypothesis with the best bound is the one that follows the Viterbi pass's pieces back. The
+        others are left on the open list, whose bounds are exact, so its top is the second best's score.
         """
-        got = self.kept.get(span)
-        if got is None:
-            runs = RUNS.findall(span) if self.apart else [span]
-            solved = [self.words.get(r) or self._solve(r) for r in runs]
-            got = solved[0] if len(solved) == 1 else (sum(x[0] for x in solved), min(x[1] for x in solved), tuple(chain.from_iterable(x[2] for x in solved)))
-            if len(span) <= SPAN_CHARS:
-                if len(self.kept) >= SPANS_KEPT:
-                    self.kept.clear()
-                self.kept[span] = got
-        return got
-
-    def _solve(self, span: str) -> tuple[float, float, tuple[int, ...]]:
-        """best_and_gap of a span as a whole, by one Viterbi pass that keeps the two best scores of every prefix.
-
-        So A-star runs only on the few spans whose second choices an n-best list needs.
+        best, last = self.forward(span)
+        at, done, top, ids = len(span), 0.0, -INF, []
+        while at:
+            for i, score, piece in self.arcs(span, at):
+                if i == last[at]:
+                    chosen = score, piece
+                elif best[i] + score + done > top:
+                    top = best[i] + score + done
+            done += chosen[0]
+            ids.append(chosen[1])
+            at = last[at]
+        return best[-1], best[-1] - top, b"".join(reversed(ids))
+
+    def first_of_many(self, spans: list[str]) -> list[tuple[float, float, bytes] | None]:
+        """`first` of spans of one length, side by side: pass and search run over all of them at once.
+
+        None where a character is no piece or the vocabulary has longer pieces; those are left to `first`.
         """
-        get, size = self.begun.get, len(span)
-        best, second, last = [-np.inf] * (size + 1), [-np.inf] * (size + 1), [None] * (size + 1)
-        best[0] = 0.0
-        for i in range(size):
-            top, next_top, single = best[i], second[i], False
-            for j in range(i + 1, size + 1):
-                found = get(span[i:j], False)
-                if found is False:
-                    break
-                if found is None:
+        size, many = len(spans[0]), len(spans)
+        longest = min(size, max(self.tables))
+        codes = _prefixes(spans)
+        score, ids = np.full((many, size + 1, longest + 1), -INF), np.zeros((many, size + 1, longest + 1), np.int64)
+        with np.errstate(over="ignore"):
+            for k in range(1, longest + 1):
+                if k not in self.tables:
                     continue
-                single = single or j == i + 1
-                score = top + found[0]
-                if score > best[j]:
-                    other = next_top + found[0]
-                    second[j] = best[j] if best[j] > other else other
-                    best[j], last[j] = score, (i, found[1])
-                elif score > second[j]:
-                    second[j] = score
-            if not single:
-                raw = span[i].encode("utf-8", "replace")
-                score, j = top + self.by_byte * len(raw), i + 1
-                if score > best[j]:
-                    second[j] = max(best[j], next_top + self.by_byte * len(raw))
-                    best[j], last[j] = score, (i, tuple(self.bytes[b] for b in raw))
-                elif score > second[j]:
-                    second[j] = score
-        at, runs = size, []
-        while at:
-            at, ids = last[at]
-            runs.append(ids)
-        got = (best[-1], best[-1] - second[-1], tuple(i for r in reversed(runs) for i in r))
-        if len(span) <= SPAN_CHARS:
-            if len(self.words) >= SPANS_KEPT:
-                self.words.clear()
-            self.words[span] = got
-        return got
+                hashes, scores, numbers = self.tables[k]
+                part = codes[:, k:] - codes[:, :-k] * _FACTOR**k
+                at = np.minimum(np.searchsorted(hashes, part), len(hashes) - 1)
+                hit = hashes[at] == part
+                score[:, k:, k], ids[:, k:, k] = np.where(hit, scores[at], -INF), numbers[at]
+        whole = (score[:, 1:, 1] > -INF).all(axis=1)
+        best, last = np.full((many, size + 1), -INF), np.zeros((many, size + 1), np.int64)
+        best[:, 0] = 0.0
+        for j in range(1, size + 1):
+            for k in range(min(j, longest), 0, -1):  # the longest of equals, as in `forward`
+                found = best[:, j - k] + score[:, j, k]
+                better = found > best[:, j]
+                best[better, j], last[better, j] = found[better], k
+        row = np.arange(many)
+        at, done, top, path = np.where(whole, size, 0), np.zeros(many), np.full(many, -INF), []
+        while at.any():
+            chosen = last[row, at]
+            for k in range(1, longest + 1):
+                other = (at >= k) & (chosen != k)
+                bound = best[row, np.maximum(at - k, 0)] + score[row, at, k] + done
+                np.maximum(top, np.where(other, bound, -INF), out=top)
+            path.append(np.where(at > 0, ids[row, at, chosen], -1))
+            done += np.where(at > 0, score[row, at, chosen], 0.0)
+            at = at - chosen
+        order = np.array(path[::-1]).T.astype("<i4") if path else np.empty((many, 0), "<i4")
+        counts = (order >= 0).sum(axis=1).tolist()
+        order = order.tobytes()
+        width = 4 * len(path)
+        ends = best[:, -1]
+        return [(b, b - t, order[(r + 1) * width - 4 * c : (r + 1) * width]) if ok else None for r, (ok, b, t, c) in enumerate(zip(whole.tolist(), ends.tolist(), top.tolist(), counts, strict=True))]
+
+    def _runs(self, span: str) -> list[str]:
+        if not self.apart:
+            return [span]
+        if span[1:].isalpha() and span[0] == SPACE:
+            return [span]
+        if span[-1] in ",.;:!?" and span[1:-1].isalpha() and span[0] == SPACE:
+            return [span[:-1], span[-1]]
+        return RUNS.findall(span)
+
+    def solved(self, spans) -> dict[str, tuple[float, float, bytes]]:
+        """`first` of each of some spans, remembered.
+
+        Where no piece joins letters to other characters, runs of either are searched apart. New runs of one length are
+        searched side by side.
+        """
+        out, new, by_length = {}, {}, {}
+        words: dict[str, tuple] = {}
+        for span in spans:
+            got = self.kept.get(span)
+            if got:
+                out[span] = got
+                continue
+            new[span] = runs = self._runs(span)
+            for r in runs:
+                if r not in words:
+                    words[r] = got = self.words.get(r)
+                    if got is None and len(r) <= TABLE_SPAN:
+                        by_length.setdefault(len(r), []).append(r)
+        for some in by_length.values():
+            for k in range(0, len(some), SIDE_BY_SIDE):
+                words.update(zip(some[k : k + SIDE_BY_SIDE], self.first_of_many(some[k : k + SIDE_BY_SIDE]), strict=True))
+        for r, found in words.items():
+            if found is None:
+                words[r] = found = self.first(r)
+            self.words.put(r, found)
+        for span, runs in new.items():
+            each = [words[r] for r in runs]
+            out[span] = got = each[0] if len(each) == 1 else (sum(x[0] for x in each), min(x[1] for x in each), b"".join(x[2] for x in each))
+            self.kept.put(span, got)
+        return out
 
-    def choices(self, span: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def choices(self, span: str, n: int) -> list[tuple[float, bytes]]:
+        """`n_best`, remembered."""
         got = self.more.get((span, n))
         if got is None:
             got = self.n_best(span, n)
             if len(span) <= SPAN_CHARS:
-                if len(self.more) >= SPANS_KEPT:
-                    self.more.clear()
-                self.more[span, n] = got
+                self.more.put((span, n), got)
         return got
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined to characters, marks are spaces, the first of which was added."""
-        joined = "".join(map(self.shown.__getitem__, ids))[1:]
-        return joined.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return self.joined(ids)[1:]
+
+    def joined(self, ids) -> str:
+        """The text of ids with its first mark."""
+        ids = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
+        shown = "".join(map(self.shown.__getitem__, ids))
+        return shown if shown.isascii() else shown.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
 def spans(text: str) -> list[str]:
@@ -199,16 +322,18 @@ def spans(text: str) -> list[str]:
     return out
 
 
-def _chain(known: Pieces, parts: list[str], n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a chain of spans, best first.
+def _chain(known: Pieces, solved: dict, parts: list[str], n: int) -> tuple[list[tuple[float, bytes]], list[tuple[bytes, bytes]]]:
+    """The n best segmentations of a chain of spans, best first; and, for each span replaced in them, what by what.
 
     One among the n best departs from the best in n - 1 spans at most, each of them among the n - 1 whose second
     choice costs least; so only the choices of those are combined.
     """
-    found = [known.best_and_gap(p) for p in parts]
+    found = [solved[p] for p in parts]
     best, gaps, runs = zip(*found, strict=True)
     base = sum(best)
-    places = sorted(heapq.nsmallest(n - 1, (i for i, g in enumerate(gaps) if g < np.inf), key=gaps.__getitem__))
+    most = heapq.nsmallest(n - 1, gaps)
+    limit = most[-1] if most else -INF
+    places = sorted(sorted((i for i, g in enumerate(gaps) if g <= limit and g < INF), key=gaps.__getitem__)[: n - 1])
     options = {p: known.choices(parts[p], n) for p in places}
     ways: list[tuple[float, dict[int, int]]] = [(0.0, {})]
     for p in places:
@@ -217,14 +342,12 @@ def _chain(known: Pieces, parts: list[str], n: int) -> list[tuple[float, tuple[i
         ways = heapq.nsmallest(n, ways + more, key=lambda w: w[0])
     # Between the places all ways are the same.
     edges = [-1, *places, len(parts)]
-    fixed = [tuple(chain.from_iterable(runs[a + 1 : b])) for a, b in pairwise(edges)]
+    fixed = [b"".join(runs[a + 1 : b]) for a, b in pairwise(edges)]
     out = []
     for cost, way in ways:
-        ids = fixed[0]
-        for k, p in enumerate(places):
-            ids += (options[p][way[p]][1] if p in way else runs[p]) + fixed[k + 1]
-        out.append((base - cost, ids))
-    return out
+        own = [options[p][way[p]][1] if p in way else runs[p] for p in places]
+        out.append((base - cost, b"".join(chain.from_iterable((*x,) for x in zip(fixed, [*own, b""], strict=True)))))
+    return out, [(runs[p], c[1]) for p in places for c in options[p]]
 
 
 @lru_cache(2)
@@ -232,42 +355,56 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def segmentations(text: str | None, path: str, n: int = N_BEST) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best (score, ids) of a whole text, best first; one empty segmentation of null and empty texts."""
-    if not text:
-        return [(0.0, ())]
-    known = pieces(path)
-    return _chain(known, spans(text), n)
+def segmentations(text: str | None, path: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
+    """The n best (score, packed ids) of a whole text, best first; one empty segmentation of null and empty texts."""
+    return next(_checked(pieces(path), [text], n))[0]
+
+
+def _checked(known: Pieces, texts: list[str | None], n: int):
+    """For each text its segmentations, and whether all decode to it: the best as a whole, others where they differ."""
+    parts = [spans(t) if t else [] for t in texts]
+    solved = known.solved(set(chain.from_iterable(parts)))
+    for text, own in zip(texts, parts, strict=True):
+        if not text:
+            yield [(0.0, b"")], True
+            continue
+        found, replaced = _chain(known, solved, own, n)
+        yield found, known.decode(found[0][1]) == text and all(known.joined(a) == known.joined(b) for a, b in replaced)
 
 
 def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = True) -> DataFrame:
     """docs with n_pieces, best_score, n_found, gap (best score less second; null if alone), ids_crc32 and decoded_ok.
 
     nbest has the score and crc of every segmentation found, best first. ids adds piece_ids, the best segmentation, and
-    nbest_ids, all of them. ids_crc32: unsigned, of the best ids as little-endian 32-bit integers.
-    decoded_ok: every segmentation decodes to the text. Null and empty texts have no pieces. Columns of these names
-    are replaced.
+    nbest_ids, all of them. ids_crc32: unsigned, of the best ids as little-endian 32-bit integers. decoded_ok: every
+    segmentation decodes to the text.
+
+    Null and empty texts have one empty segmentation, without a gap. Segmentations of equal score stand in the order of
+    the search, which is the same each time. Repeated rows get equal results and null doc_ids are no exception. Columns
+    of these names are replaced, others pass through. An empty table gives an empty result.
     """
     own = [("n_pieces", LongType()), ("best_score", DoubleType()), ("n_found", LongType()), ("gap", DoubleType()), ("ids_crc32", LongType()), ("decoded_ok", BooleanType()), ("nbest", ArrayType(StructType([StructField("score", DoubleType()), StructField("ids_crc32", LongType())]))), *([("piece_ids", ArrayType(IntegerType())), ("nbest_ids", ArrayType(ArrayType(IntegerType())))] if ids else [])]
-    docs = docs.drop(*(name for name, _ in own))
+    docs = docs.drop(*(name for name, _ in own)).withColumn("text", docs["text"].cast("string"))
     schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in own)])
-    where = docs.columns.index("text")
+
+    def lists(values, lengths):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
 
     def run(batches):
         known = pieces(path)
-        for batch in batches:
-            cols: list[list] = [[] for _ in own]
-            for value in batch.column(where):
-                text = value.as_py()
-                found = segmentations(text, path, n)
-                each = [np.array(f[1], "<u4") for f in found]
-                crcs = [zlib.crc32(x.tobytes()) for x in each]
-                nbest = [{"score": f[0], "ids_crc32": c} for f, c in zip(found, crcs, strict=True)]
-                row = [len(each[0]), found[0][0], len(found), found[0][0] - found[1][0] if len(found) > 1 else None, crcs[0], all(known.decode(f[1]) == (text or "") for f in found), nbest, each[0], each]
-                for c, v in zip(cols, row, strict=False):
-                    c.append(v)
-            arrow = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("score", pa.float64()), ("ids_crc32", pa.int64())])), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, arrow, strict=False))], schema.names)
+        for batch in portions(batches):
+            each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
+            counts = [len(f) for f in each]
+            flat = [s for f in each for s in f]
+            scores, crcs = pa.array([s for s, _ in flat], pa.float64()), pa.array([zlib.crc32(x) for _, x in flat], pa.int64())
+            columns = [
+                pa.array([len(f[0][1]) // 4 for f in each], pa.int64()), pa.array([f[0][0] for f in each], pa.float64()), pa.array(counts, pa.int64()), pa.array([f[0][0] - f[1][0] if len(f) > 1 else None for f in each], pa.float64()),
+                pa.array([zlib.crc32(f[0][1]) for f in each], pa.int64()), pa.array(good, pa.bool_()), lists(pa.StructArray.from_arrays([scores, crcs], ["score", "ids_crc32"]), counts),
+            ]
+            if ids:
+                numbers = lambda parts: lists(pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()), [len(x) // 4 for x in parts])
+                columns += [numbers([f[0][1] for f in each]), lists(numbers([x for _, x in flat]), counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
     return docs.mapInArrow(run, schema)
 

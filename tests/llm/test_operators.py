@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -370,29 +371,48 @@ def test_segmentations_are_the_n_best(docs, empty):
     known = sentencepieces.pieces(path)
 
     def every(span):
-        into, out = known.lattice(span), []
+        out = []
 
         def go(j, score):
             if not j:
                 out.append(score)
-            for i, s, _ in into[j]:
+            for i, s, _ in known.arcs(span, j) if j else ():
                 go(i, score + s)
 
         go(len(span), 0.0)
         return sorted(out, reverse=True)
 
-    for text in ["hello", "he is on", "the, cat.", "a\nb", "é你"]:
+    for text in ["hello", "he is on", "the, cat.", "a\nb", "é你", "x  y", "in in"]:
         want = every(sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE))[:4]
         got = sentencepieces.segmentations(text, path, 4)
-        assert np.allclose([g[0] for g in got], want[: len(got)]) and len({g[1] for g in got}) == len(got)
+        assert len(got) == len(want) and np.allclose([g[0] for g in got], want) and len({g[1] for g in got}) == len(got)
+    words = {r for _, t, _ in ROWS if t for s in sentencepieces.spans(t) for r in known._runs(s)} | {"▁" + w for w in ("unbelievably", "inininin", "zzzz", "Straße")}
+    for size in {len(w) for w in words}:
+        some = [w for w in words if len(w) == size]
+        for w, got in zip(some, known.first_of_many(some), strict=True):
+            best, gap, ids = known.first(w)
+            assert got is None and any(len(a[2]) > 4 or a[0] == j - 1 and len(w[j - 1].encode()) > 1 for j in range(1, size + 1) for a in known.arcs(w, j)) or got[2] == ids and np.allclose([got[0]], [best]) and (np.isinf(gap) or abs(got[1] - gap) < 1e-9)
     for _, t, _ in ROWS:
         for _, ids in sentencepieces.segmentations(t, path):
             assert known.decode(ids) == (t or "")
     out = rows(sentencepieces.encode_documents(docs, path))
     assert len(out) == len(ROWS) and all(r["decoded_ok"] for r in out)
+    for r in out:
+        ids = [np.array(x, "<u4").tobytes() for x in r["nbest_ids"]]
+        assert [zlib.crc32(x) for x in ids] == [x["ids_crc32"] for x in r["nbest"]] and r["piece_ids"] == r["nbest_ids"][0] and r["n_pieces"] == len(r["piece_ids"])
     assert rows(sentencepieces.encode_documents(empty, path)) == []
 
 
+@pytest.mark.parametrize("text", ["ing" * 3200, "a" * 6400, "ab " * 20_000])
+def test_ties_do_not_multiply(text):
+    pytest.importorskip("public_tokenizers")
+    path = sentencepieces.default_model()
+    sentencepieces.pieces(path)
+    began = time.perf_counter()
+    found = sentencepieces.segmentations(text, path)
+    assert time.perf_counter() - began < 2 and len(found) == 4 and all(sentencepieces.pieces(path).decode(x) == text for _, x in found)
+
+
 def test_toxicity_learns_and_holds_out(spark, docs, empty):
     rng = np.random.default_rng(5)
     words = ["river", "stone", "cloud", "green", "table", "seven", "light", "paper"]
