@@ -2,7 +2,8 @@
 
 Features are the distinct character 3-, 4- and 5-grams of the lower-cased text, hashed. Each is scaled by its naive
 Bayes log-count ratio between toxic and other training texts, and a logistic regression with an L2 penalty is fitted on
-the scaled features. The fit runs on a bounded sample of the labelled rows; scoring covers every whole text.
+the scaled features. Features whose ratio may as well be zero (a test of significance) have weight zero. The fit runs
+on a bounded sample of the labelled rows; scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, table
+from .common import cut, portions, table, unused
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 20
 #: Bound of the training sample: at most so many labelled rows, those of the least hash of doc_id.
 TRAIN_ROWS = 8_000
-#: Features kept: the strongest ratios among those that so many training texts have.
-FEATURES, LEAST_TEXTS = 4_096, 5
+#: Features are used whose log-count ratio is so many standard errors away from zero.
+SIGNIFICANT = 4.0
 SMOOTH, PENALTY, STEPS = 1.0, 1e-3, 300
 THRESHOLD = 0.3
 
@@ -67,8 +68,9 @@ def in_training(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The classifier of `docs` by `labels(doc_id, toxic)`; labels that are null are left out.
 
-    Without labelled rows every score is 0; with one class only, the smoothed share of it. Features come from the
-    executors; what the driver holds is bounded by `rows` and FEATURES.
+    Labels of one doc_id count as toxic if one is; of several texts under one doc_id the least is learnt from. Null
+    doc_ids are not. Without labelled rows every score is 0; with one class only, the smoothed share of it. Ratios are
+    counted on the cluster; the driver holds the significant features of `rows` texts.
     """
     zero = np.zeros(1 << HASH_BITS, np.float32)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
@@ -77,24 +79,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = F.broadcast(cut(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)))
 
     def extract(batches):
-        for batch in batches:
-            found = [np.unique(ngrams(t.as_py())).tolist() for t in batch.column("text")]
+        for batch in portions(batches):
+            found = [np.unique(ngrams(t.as_py())).astype(np.int32) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "f"])
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
-    train = cut(texts.mapInArrow(extract, "id long, y int, f array<int>").dropDuplicates(["id"]))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    train = cut(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(extract, "id long, y int, f array<int>"))
     classes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = classes.get(1, 0), classes.get(0, 0)
     if not n1 or not n0:
         return Model(zero, float(np.log((n1 + 1) / (n0 + 1))) if n1 + n0 else -np.inf)
     spread = train.select("id", "y", F.explode("f").alias("f"))
-    counted = spread.groupBy("f").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_TEXTS)
-    ratio = F.log((F.col("c1") + SMOOTH) / (n1 + 2 * SMOOTH)) - F.log((F.col("c") - F.col("c1") + SMOOTH) / (n0 + 2 * SMOOTH))
-    top = counted.withColumn("r", ratio).orderBy(F.desc(F.abs("r") * F.sqrt("c")), "f").limit(FEATURES).select("f", "r").collect()
+    counted = spread.groupBy("f").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).withColumn("c0", F.col("c") - F.col("c1"))
+    ratio = F.log((F.col("c1") + SMOOTH) / (n1 + 2 * SMOOTH)) - F.log((F.col("c0") + SMOOTH) / (n0 + 2 * SMOOTH))
+    error = F.sqrt(1 / (F.col("c1") + SMOOTH) - 1 / (n1 + 2 * SMOOTH) + 1 / (F.col("c0") + SMOOTH) - 1 / (n0 + 2 * SMOOTH))
+    top = counted.select("f", ratio.alias("r"), error.alias("e")).where(F.abs("r") >= SIGNIFICANT * F.col("e")).orderBy("f").collect()
+    prior = float(np.log((n1 + 1) / (n0 + 1)))
+    if not top:
+        return Model(zero, prior)
     index = {r["f"]: i for i, r in enumerate(top)}
     chosen = cut(train.sparkSession.createDataFrame([(f, i) for f, i in index.items()], "f int, i int"))
     kept = spread.join(F.broadcast(chosen), "f").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("i"))
-    rows_ = train.select("id", "y").join(kept, "id", "left").orderBy("id").collect()  # `rows` rows of at most FEATURES
+    rows_ = train.select("id", "y").join(kept, "id", "left").orderBy("id").collect()  # `rows` rows
     y = np.array([r["y"] for r in rows_], float)
     at = np.repeat(np.arange(len(rows_)), [len(r["i"] or ()) for r in rows_])
     cols = np.array([i for r in rows_ for i in r["i"] or ()], np.int64)
@@ -129,14 +135,18 @@ def _logistic(y: np.ndarray, at: np.ndarray, cols: np.ndarray, r: np.ndarray) ->
 
 
 def score_documents(docs: DataFrame, model: Model, score: str = "toxicity") -> DataFrame:
-    """docs with a column `score` (0 to 1) of every whole text; null and empty texts get the bias alone."""
+    """docs with a column `score` (0 to 1, replacing one of that name) of every whole text.
+
+    Null and empty texts and texts without a known feature get the bias alone. Null doc_ids and repeated rows are rows
+    like any other; other columns pass through; an empty table gives an empty result. Long texts are scored whole.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS weights
-    docs = docs.drop(score)
+    docs = docs.drop(score).withColumn("text", docs["text"].cast("string"))
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     where = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             scores = [sent.value.score(t.as_py()) for t in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score])
 
@@ -144,8 +154,13 @@ def score_documents(docs: DataFrame, model: Model, score: str = "toxicity") -> D
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those whose score reaches the threshold (pipeline stage)."""
-    return score_documents(docs, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """docs without those whose score reaches the threshold (pipeline stage).
+
+    Texts without words score the bias, which is low where most labels are 0, and stay. Columns pass through, whatever
+    their names. See `fit` for labels that are null, repeated or missing.
+    """
+    name = unused(docs, "toxicity")
+    return score_documents(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
 
 
 def op10_nb_ngrams(spark, sf_dir: str) -> DataFrame:
