@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, table
+from .common import cut, portions, table
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -128,8 +129,9 @@ def _kind(c: str) -> str:
 def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
     """Token starts of a zone (and its end), and the segments (token, token after, features) that may be entities."""
     at = [lo + m.start() for m in _TOKEN.finditer(text[lo:hi])] + [hi]
-    gap = max(text.rfind(" ", 0, max(0, lo - 1)), text.rfind("\n", 0, max(0, lo - 1)))
-    word = text[max(gap + 1, lo - 40) : lo].strip()
+    near = max(0, lo - 40)
+    gap = max(text.rfind(" ", near, max(near, lo - 1)), text.rfind("\n", near, max(near, lo - 1)))
+    word = text[max(gap + 1, near) : lo].strip()
     out = []
     for i in range(len(at) - 1):
         first = text[at[i]]
@@ -279,51 +281,88 @@ def _gold(at: list[int], spans: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
+def blocks(at: list[int], segments: list[tuple[int, int, list[str]]]):
+    """A zone in parts (token starts and end, segments) that are solved apart: each ends with a token in no segment.
+
+    Such a token is outside in every segmentation, so what comes after it does not depend on what was before.
+    """
+    n, start, k = len(at) - 1, 0, 0
+    reach = 0  # first token behind the segments so far
+    for t in range(n):
+        while k < len(segments) and segments[k][0] <= t:
+            reach = max(reach, segments[k][1])
+            k += 1
+        if t >= reach:
+            if k > first_of(segments, start):
+                own = segments[first_of(segments, start) : k]
+                yield at[start : t + 2], [(i - start, j - start, f) for i, j, f in own]
+            start = t + 1
+    own = segments[first_of(segments, start) :]
+    if own:
+        yield at[start:], [(i - start, j - start, f) for i, j, f in own]
+
+
+def first_of(segments: list[tuple[int, int, list[str]]], token: int) -> int:
+    """Number of the first segment, in order of their starts, that starts at a token or later."""
+    return bisect_left(segments, token, key=lambda s: s[0])
+
+
 def examples_of(text: str):
-    """One training example for each zone of a text."""
-    spans = base_spans(text)
+    """Training examples (tokens, segments, gold entities) of a text, one for each block of its zones."""
+    spans, waiting, k = base_spans(text), [], 0
     for lo, hi in zones(text):
-        at, segments = candidates(text, lo, hi)
-        usable = {(i, j) for i, j, _ in segments}
-        gold = [g for g in _gold(at, [s for s in spans if lo <= s[0] and s[1] <= hi]) if g[:2] in usable]
-        if segments and len(at) <= 200:  # longer zones teach nothing more
-            yield len(at) - 1, segments, gold
+        while k < len(spans) and spans[k][0] < hi:
+            waiting.append(spans[k])
+            k += 1
+        waiting = [s for s in waiting if s[1] > lo]
+        inside = [s for s in waiting if lo <= s[0] and s[1] <= hi]
+        for at, segments in blocks(*candidates(text, lo, hi)):
+            usable = {(i, j) for i, j, _ in segments}
+            own = inside[bisect_left(inside, at[0], key=lambda s: s[0]) : bisect_left(inside, at[-1], key=lambda s: s[0])]
+            yield len(at) - 1, segments, [g for g in _gold(at, own) if g[:2] in usable]
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
-    """The field, trained on the base spans of at most `rows` documents; without any, one that adds nothing."""
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    """The field, trained on the base spans of at most `rows` documents; without any, one that adds nothing.
+
+    Of several texts under one doc_id the least is learnt from; null doc_ids are not.
+    """
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     ids = marked.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = marked.join(F.broadcast(cut(ids)), "doc_id")
+    some = marked.join(F.broadcast(cut(ids)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches):
         import pickle
 
-        for batch in batches:
+        for batch in portions(batches):
             found = [pickle.dumps(list(examples_of(t.as_py()))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "found"])
 
     import pickle
 
-    kept = some.mapInArrow(run, "doc_id long, found binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    kept = some.mapInArrow(run, "doc_id long, found binary").orderBy("doc_id").collect()
     return train([e for r in kept for e in pickle.loads(r["found"])])
 
 
 def added_spans(text: str, field: Field, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """What the field finds beside the base spans, which are fixed: no other segment may overlap them."""
-    out = []
+    """What the field finds beside the base spans (by start), which are fixed: no other segment may overlap them."""
+    out, waiting, k = [], [], 0
     for lo, hi in zones(text):
+        while k < len(base) and base[k][0] < hi:
+            waiting.append(base[k])
+            k += 1
+        waiting = [s for s in waiting if s[1] > lo]
         at, segments = candidates(text, lo, hi)
-        own = [s for s in base if s[0] < hi and s[1] > lo]
-        free = [s for s in segments if not any(at[s[0]] < b and a < at[s[1]] for a, b, _ in own)]
-        if not free:
-            continue
-        n = len(at) - 1
-        into = field.arcs(n, free)
-        chosen = field.best(n, into)
-        if chosen:
-            chances = field.sums(n, into)[1]
-            out += [(at[i], at[j], KINDS[k - 1]) for i, j, k in chosen if chances.get((i, j, k), 0) >= SURE]
+        # Base spans that begin before b, less those that end at or before a, overlap a to b.
+        starts, ends = [s[0] for s in waiting], sorted(s[1] for s in waiting)
+        free = [s for s in segments if bisect_left(starts, at[s[1]]) == bisect_right(ends, at[s[0]])]
+        for own, some in blocks(at, free):
+            n = len(own) - 1
+            into = field.arcs(n, some)
+            chosen = field.best(n, into)
+            if chosen:
+                chances = field.sums(n, into)[1]
+                out += [(own[i], own[j], KINDS[k - 1]) for i, j, k in chosen if chances.get((i, j, k), 0) >= SURE]
     return out
 
 
@@ -332,26 +371,28 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, n_added, spans (all) of every whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, n_added, n_spans, spans (all) of every text.
 
     Offsets are code points, end exclusive. Null and empty texts have no spans; repeated rows and null doc_ids are
-    rows like any other; other columns are not read.
+    rows like any other; doc_ids are cast to long; other columns are not read; an empty table gives an empty result.
+    Texts are read whole, in time that grows with their length; no segment of the field has more than LONGEST tokens or
+    digits, so longer runs of digits are left to the patterns.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)  # features of TRAIN_DOCS documents
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "n_added", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "n_added", "n_spans", "spans"]
     schema = StructType([StructField(n, StringType() if n in ("base_sha256", "spans") else LongType()) for n in names])
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             rows = []
             for t in batch.column("text"):
                 text = t.as_py() or ""
                 base = base_spans(text)
                 more = added_spans(text, sent.value, base) if _HAS.search(text) else []
                 counts = [sum(k == kind for _, _, kind in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), len(more), listed(base + more)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.string()]
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), len(more), len(base) + len(more), listed(base + more)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
