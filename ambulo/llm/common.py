@@ -18,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the warehouse.
+
+    Either is for the cluster to name. Only a local session, which has no other machine, takes a folder of its own, as
+    its default warehouse is the working folder.
+    """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not known:
+    if not known and sc.master.startswith("local"):
         known = f"file://{tempfile.mkdtemp(prefix='ambulo-')}"
         sc.setCheckpointDir(known)
-    return known
+    return known or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ambulo"
 
 
 def cut(df: DataFrame) -> DataFrame:
