@@ -64,6 +64,23 @@ def portions(batches, column: str = "text", most: int = 1 << 20):
             at = to
 
 
+#: A key with more than one in so many rows is hot; there are at most so many hot keys.
+HOT = 2_000
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, rows: int, spread: Column) -> DataFrame:
+    """big joined with small, which has each of its keys once, by keys that may be hot in big.
+
+    counts(keys, n) has at least the keys of more than rows / HOT rows. Their rows, parted by the hash of `spread`, and
+    copies of their row of small go to as many tasks as their share asks for; so HOT rows are broadcast at most.
+    """
+    n, parts, salt = unused(big, "n"), unused(big.join(small, keys), "parts"), unused(big.join(small, keys), "salt")
+    hot = F.broadcast(cut(counts.toDF(*keys, n).where(F.col(n) > rows / HOT).select(*keys, F.ceil(F.col(n) * HOT / max(rows, 1)).cast("int").alias(parts))))
+    left = big.join(hot, keys, "left").withColumn(salt, F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col(parts)).cast("int"))).drop(parts)
+    right = small.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return left.join(right, [*keys, salt]).drop(salt)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}

@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .common import cut, table, text_or_empty
+from .common import cut, portions, salted_join, table, text_or_empty
 
 WIDTH = 64
 #: Bytes after which a task begins another shard.
 SHARD_BYTES = 256 << 20
-#: Up to so many ids of further copies are broadcast to the writers; more are joined.
-BROADCAST_IDS = 1_000_000
+#: The ids and digests of further copies are broadcast to the writers while they take up to so many bytes (ID_BYTES
+#: each); beyond that they are joined by a shuffle.
+BROADCAST_BYTES, ID_BYTES = 16 << 20, 64
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -123,13 +124,13 @@ def store_payloads(docs: DataFrame, known: DataFrame, folder: str | None = None)
     folder = folder or store.new_folder(docs.sparkSession, "media")
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     others = cut(known.join(copies, "digest").where("doc_id <> head").select(F.col("doc_id").alias("_other"), F.col("digest").alias("_same")))
-    skip = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    skip = F.broadcast(others) if others.count() * ID_BYTES <= BROADCAST_BYTES else others
     writers = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(skip, (F.col("doc_id") == F.col("_other")) & (_digest(text_or_empty()) == F.col("_same")), "left_anti")
 
     def run(batches):
         shards, seen = _Shards(folder), set()
         try:
-            for batch in batches:
+            for batch in portions(batches):
                 rows = []
                 for t in batch.column("text"):
                     samples = payload(t.as_py())[1]
@@ -196,11 +197,12 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes and the media columns of every row of docs.
 
     Null and empty texts have a payload of 64 zeros; equal texts share one payload; repeated rows and null doc_ids get
-    their columns like any other; an empty table gives an empty result. Other columns of docs are not read.
+    their columns like any other; an empty table gives an empty result. doc_ids are cast to long. Other columns of docs
+    are not read. The rows of a payload that very many documents share are parted among tasks.
     """
     known = digests(docs)
     found = cut(read_payloads(fill_metadata(store_payloads(docs, known, folder))))
-    return known.join(found, "digest")
+    return salted_join(known, found, ["digest"], known.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), known.count(), F.col("doc_id"))
 
 
 def op3_tar_shards(spark, sf_dir: str) -> DataFrame:
