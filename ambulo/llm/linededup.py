@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, unused
+from .common import cut, salted_join, table, unused
 
 LINES = 3
 #: What tells rows apart: rows equal in both are one document.
@@ -37,8 +37,11 @@ def covered_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """
     windows = cut(_windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), lines))
     place = F.struct(*ROW, "pos")
-    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    later = windows.join(seen.select("h1", "h2", "first"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
+    seen = cut(seen.select("h1", "h2", "first", "n"))
+    # The rows of a window that very many documents share are parted among tasks.
+    met = salted_join(windows, seen.drop("n"), ["h1", "h2"], seen.select("h1", "h2", "n"), windows.count(), F.struct(*ROW, "pos"))
+    later = met.where(~place.eqNullSafe(F.col("first")))
     spots = later.select(*ROW, F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: F.col("pos") + k)).alias("pos"))
     return spots.groupBy(*ROW).agg(F.collect_set("pos").alias("covered"))
 
