@@ -8,6 +8,7 @@ is decoded. Documents are range-partitioned by doc_id and written in order.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from functools import lru_cache
@@ -101,7 +102,8 @@ class Encoder:
     A single space after a character that is not white space begins a new pre-token, so a text may be encoded in
     pieces that begin at such spaces. A new piece is cut into pre-tokens by the pattern that the vocabulary comes with,
     and the library's BPE model merges each new pre-token. Texts that cannot be cut so (doubled or outer spaces, white
-    space before a space, special tokens) are encoded whole by the library.
+    space before a space, special tokens) are encoded whole by the library; so are all texts if the vocabulary file
+    names another normalizer, pre-tokenizer or merging than those for which this holds.
     """
 
     def __init__(self, path: str):
@@ -112,6 +114,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        splits, merges = stated["pre_tokenizer"] or {}, stated["model"]
+        self.cuttable = (
+            stated["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits["add_prefix_space"]
+            and merges["type"] == "BPE" and not any(merges.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        )
         self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pretokens = regex.compile(PATTERN).findall
@@ -153,7 +161,7 @@ class Encoder:
         self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
 
     def _pieces(self, text: str | None) -> list[str] | None:
-        if not text or " " in (text[0], text[-1]) or any(s in text for s in self.special):
+        if not self.cuttable or not text or " " in (text[0], text[-1]) or any(s in text for s in self.special):
             return None
         parts = text.split(" ")
         return None if "" in parts else parts

@@ -387,6 +387,7 @@ def test_token_files(docs, empty):
         assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     enc = tokenfiles.encoder(path)
+    assert enc.cuttable
     for x in [" a", "a ", "a  b", "a\n b", " \n x y", "it's  'll", "<|endoftext|> hi", "x　 y z", "naïve, “q” don't", "".join(map(chr, range(1, 600)))]:
         assert enc.encode_batch([x])[0].tolist() == plain.encode(x, add_special_tokens=False).ids
     assert rows(tokenfiles.read_token_files(tokenfiles.write_token_files(empty, path))) == []
