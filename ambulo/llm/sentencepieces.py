@@ -28,7 +28,7 @@ from .common import portions, table
 SPACE = "\u2581"
 N_BEST = 4
 #: Distinct spans that a worker remembers in each of two generations, and the longest of them.
-SPANS_KEPT, SPAN_CHARS = 120_000, 64
+SPANS_KEPT, SPAN_CHARS = 60_000, 64
 #: Runs of letters and of other characters, with the marks before them; what joins the two.
 RUNS = regex.compile(r"\u2581*[\p{L}\p{M}]+|\u2581*[^\p{L}\p{M}\u2581]+|\u2581+")
 JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}\u2581][\p{L}\p{M}]")
