@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_PARTS
+from ..functions.columns import DAY_PARTS, clock_hour
 
 
 def daily_totals(df: DataFrame, keys: list[str], day: str, value: str, per: float = 1.0) -> DataFrame:
@@ -62,55 +62,73 @@ def nearest_on_grid(df: DataFrame, keys: list[str], at: str, value: str, step: i
     return grid.join(best, [*keys, "grid"], "left")
 
 
-def is_iv(grid: DataFrame, keys: list[str], at: str, value: str, period: int, least: int) -> DataFrame:
+def is_iv(grid: DataFrame, keys: list[str], at: str, value: str, period: int, least: int | None = None) -> DataFrame:
     """Interdaily stability n * var(profile) / (period * var(x)), intradaily variability mean(diff^2) / var(x).
 
-    Differences are between successive values that are not null; null below `least` values.
+    The profile's variance is around its own mean, over the slots that have values. Differences are between successive
+    values that are not null. Null below `least` values (two periods).
     """
     known = grid.where(F.col(value).isNotNull())
     diff = known.withColumn("d", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(at)))
-    whole = diff.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.sum(F.pow(F.col(value), 2.0)).alias("q"), F.var_pop(value).alias("var"), F.avg(F.pow("d", F.lit(2.0))).alias("dd"))
-    profile = known.groupBy(*keys, (F.col(at) % period).alias("slot")).agg(F.avg(value).alias("p")).join(whole.select(*keys, F.col("m").alias("pm")), keys)
-    around = profile.groupBy(*keys).agg(F.sum(F.pow(F.col("p") - F.col("pm"), 2.0)).alias("sp"))
-    joined = whole.join(around, keys)
-    ok = (F.col("n") >= least) & (F.col("var") > 0)
-    return joined.select(*keys, "n", F.when(ok, F.col("sp") / (period * F.col("var"))).alias("rar_is"), F.when(ok, F.col("dd") / F.col("var")).alias("rar_iv"))
+    whole = diff.groupBy(*keys).agg(F.count(value).alias("n"), F.var_pop(value).alias("var"), F.avg(F.pow("d", F.lit(2.0))).alias("dd"))
+    profile = known.groupBy(*keys, (F.col(at) % period).alias("slot")).agg(F.avg(value).alias("p"))
+    joined = whole.join(profile.groupBy(*keys).agg(F.var_pop("p").alias("vp")), keys)
+    ok = (F.col("n") >= (2 * period if least is None else least)) & (F.col("var") > 0)
+    return joined.select(*keys, "n", F.when(ok, F.col("n") * F.col("vp") / (period * F.col("var"))).alias("rar_is"), F.when(ok, F.col("dd") / F.col("var")).alias("rar_iv"))
 
 
-def l5_m10(grid: DataFrame, keys: list[str], at: str, value: str, period: int, low: int, high: int) -> DataFrame:
-    """Least and most active spans of the circular daily profile, their onset and relative amplitude.
+def l5_m10(grid: DataFrame, keys: list[str], at: str, value: str, period: int, low: int, high: int, least: int | None = None) -> DataFrame:
+    """Least and most active spans of the circular daily profile, the hour at which the least one begins, and
+    their relative amplitude.
 
-    Slots without a value take the profile's mean. The first of equal spans counts.
+    Slots without a value take the profile's mean. The first of equal spans counts. Null below `least` values (two
+    periods).
     """
-    known = grid.where(F.col(value).isNotNull()).groupBy(*keys, (F.col(at) % period).cast("int").alias("slot")).agg(F.avg(value).alias("p"))
+    held = grid.where(F.col(value).isNotNull())
+    n = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    known = held.groupBy(*keys, (F.col(at) % period).cast("int").alias("slot")).agg(F.avg(value).alias("p"))
     mean = known.groupBy(*keys).agg(F.avg("p").alias("pm"))
     slots = mean.select(*keys, "pm", F.explode(F.sequence(F.lit(0), F.lit(period - 1))).alias("slot")).join(known, [*keys, "slot"], "left").select(*keys, "slot", F.coalesce("p", "pm").alias("p"))
     twice = slots.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(period)))).withColumn("slot", F.col("slot") + F.col("turn"))
     order = Window.partitionBy(*keys).orderBy("slot")
     rolled = twice.withColumn("lo", F.avg("p").over(order.rowsBetween(0, low - 1))).withColumn("hi", F.avg("p").over(order.rowsBetween(0, high - 1))).where(F.col("slot") < period)
-    out = rolled.groupBy(*keys).agg(F.min("lo").alias("l5"), F.min_by("slot", F.struct("lo", "slot")).alias("l5_onset"), F.max("hi").alias("m10"))
-    return out.withColumn("ra", F.when(F.col("m10") + F.col("l5") > 0, (F.col("m10") - F.col("l5")) / (F.col("m10") + F.col("l5"))))
+    out = rolled.groupBy(*keys).agg(F.min("lo").alias("l5"), F.min_by("slot", F.struct("lo", "slot")).alias("slot"), F.max("hi").alias("m10")).join(n, keys)
+    ok = lambda c: F.when(F.col("n") >= (2 * period if least is None else least), c)
+    ra = F.when(F.col("m10") + F.col("l5") > 0, (F.col("m10") - F.col("l5")) / (F.col("m10") + F.col("l5")))
+    return out.select(*keys, ok(F.col("l5")).alias("l5"), ok(F.col("slot") * 24.0 / period).alias("l5_onset_hour"), ok(F.col("m10")).alias("m10"), ok(ra).alias("ra"))
 
 
-def regularity_index(grid: DataFrame, keys: list[str], at: str, state: str, period: int, least: int) -> DataFrame:
-    """200 times the share of equal states a period apart, less 100; null with too few values or no pairs."""
+def regularity_index(grid: DataFrame, keys: list[str], at: str, state: str, period: int, least: int | None = None) -> DataFrame:
+    """200 times the share of equal states a period apart, less 100.
+
+    Null where the grid has fewer steps than `least` (two periods), known or not, or no two known ones a period apart.
+    """
+    n = grid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     now = grid.where(F.col(state).isNotNull()).select(*keys, at, state)
     later = now.select(*keys, (F.col(at) - period).alias(at), F.col(state).alias("_later"))
-    n = now.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     same = now.join(later, [*keys, at]).groupBy(*keys).agg(F.avg((F.col(state) == F.col("_later")).cast("double")).alias("same"))
-    return n.join(same, keys, "left").select(*keys, "n", F.when(F.col("n") >= least, 200 * F.col("same") - 100).alias("sri"))
+    return n.join(same, keys, "left").select(*keys, "n", F.when(F.col("n") >= (2 * period if least is None else least), 200 * F.col("same") - 100).alias("sri"))
 
 
-def nightly_metrics(epochs: DataFrame, nights: DataFrame, keys: list[str], epoch_hours: float) -> DataFrame:
-    """Hours in bed, asleep and awake, efficiency, awakenings and fragmentation of each night.
+def nightly_metrics(epochs: DataFrame, nights: DataFrame, keys: list[str], epoch_hours: float, first_hour: float = 0.0) -> DataFrame:
+    """Onset, wake and middle of each night's sleep as clock hours (A24), hours in bed, asleep and awake, efficiency,
+    awakenings and fragmentation.
 
-    epochs(keys, i, sib); nights(keys, night, start, end). An awakening is a sleeping epoch followed by a waking one.
+    epochs(keys, i, sib), i from 0 at first_hour o'clock; nights(keys, night, start, end). An awakening is a sleeping
+    epoch followed by a waking one. Waking is the epoch after the last, or the last of the recording.
     """
     met = epochs.join(nights, keys).where(F.col("i").between(F.col("start"), F.col("end")))
     order = Window.partitionBy(*keys, "night").orderBy("i")
     woke = met.withColumn("_woke", ((F.lag("sib").over(order) == 1) & (F.col("sib") == 0)).cast("int"))
-    out = woke.groupBy(*keys, "night").agg((F.count(F.lit(1)) * epoch_hours).alias("spt_hours"), (F.sum("sib") * epoch_hours).alias("tst_hours"), F.coalesce(F.sum("_woke"), F.lit(0)).alias("awakenings"))
-    return out.withColumns({"waso_hours": F.col("spt_hours") - F.col("tst_hours"), "sleep_efficiency": F.col("tst_hours") / F.col("spt_hours"), "frag_index": F.try_divide(F.col("awakenings"), F.col("tst_hours"))})
+    out = woke.groupBy(*keys, "night", "start", "end").agg((F.count(F.lit(1)) * epoch_hours).alias("spt_hours"), (F.sum("sib") * epoch_hours).alias("tst_hours"), F.coalesce(F.sum("_woke"), F.lit(0)).alias("awakenings"))
+    last = epochs.groupBy(*keys).agg(F.max("i").alias("_last"))
+    wake = F.least(F.col("end") + 1, F.col("_last"))
+    clock = lambda i: clock_hour(F.pmod(i * epoch_hours + first_hour, F.lit(24.0)))
+    return out.join(last, keys).select(
+        *keys, "night", clock(F.col("start")).alias("sleep_onset_hour"), clock(wake).alias("wake_time_hour"), clock((F.col("start") + wake) / 2).alias("midsleep_hour"),
+        "spt_hours", "tst_hours", (F.col("spt_hours") - F.col("tst_hours")).alias("waso_hours"), (F.col("tst_hours") / F.col("spt_hours")).alias("sleep_efficiency"),
+        "awakenings", F.try_divide(F.col("awakenings"), F.col("tst_hours")).alias("frag_index"),
+    )
 
 
 def masked_epochs(samples: DataFrame, keys: list[str], i: str, nonwear: str, epoch: int) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+from ..functions.distributions import chi_square_rest, normal_two_sided, t_critical, t_two_sided
+from .ranks import same_keys, with_average_rank, with_running_sums
 
 
 def cohens_d(df: DataFrame, keys: list[str], value: str, group: str, least: int = 10) -> DataFrame:
@@ -21,17 +18,29 @@ def cohens_d(df: DataFrame, keys: list[str], value: str, group: str, least: int
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
-    """U of group 1 by average ranks."""
-    ranked = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("_r", average_rank(keys, value))
+    """U of group 1 by average ranks, and its two-sided p by the normal law, corrected for ties and continuity.
+
+    p is null where a group is empty or all values are equal.
+    """
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    ranked = with_average_rank(known, keys, value, "_r")
     a = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(group) == 1, F.col("_r"))).alias("r1"), F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"))
-    return a.select(*keys, "n1", "n0", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
+    t = F.count(F.lit(1)).cast("double")
+    ties = known.groupBy(*keys, value).agg((t * t * t - t).alias("_t")).groupBy(*keys).agg(F.sum("_t").alias("_ties"))
+    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    n, pairs = (F.col("n1") + F.col("n0")).cast("double"), F.col("n1").cast("double") * F.col("n0")
+    spread = F.sqrt(pairs / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
+    z = (F.greatest(u, pairs - u) - pairs / 2 - 0.5) / F.nullif(spread, F.lit(0.0))
+    return same_keys(a, ties, keys).select(*keys, "n1", "n0", u.alias("u"), F.when(z <= 0, 1.0).otherwise(normal_two_sided(z)).alias("p"))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 30) -> DataFrame:
-    """Correlation of average ranks, of at least `least` pairs."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.select(*keys, average_rank(keys, x).alias("rx"), average_rank(keys, y).alias("ry"))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Correlation of average ranks over rows without nulls, and its two-sided p by t with n - 2 degrees."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    ranked = with_average_rank(with_average_rank(known, keys, x, "rx"), keys, y, "ry")
+    a = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    rho, left = F.col("rho"), F.col("n") - 2
+    return a.withColumn("p", F.when(F.col("n") > 2, t_two_sided(rho * F.sqrt(left / F.greatest(1 - rho * rho, F.lit(1e-300))), left.cast("double"))))
 
 
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,21 +57,24 @@ def line_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def selection_bias(df: DataFrame, group: str, continuous: list[str], binary: list[str]) -> DataFrame:
-    """Welch t and pooled standardized difference of each continuous variable; Yates chi-square and Cohen's h of each binary one."""
+    """Welch t and pooled standardized difference of each continuous variable; Yates chi-square and Cohen's h of each
+    binary one; with their p-values."""
     rows = []
     for c in continuous:
         g = lambda f, k, c=c: f(F.when(F.col(group) == k, F.col(c)))
         a = df.agg(*(g(f, k).alias(f"{n}{k}") for k in (0, 1) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
         t = (F.col("m1") - F.col("m0")) / F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))
         smd = (F.col("m1") - F.col("m0")) / F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
-        rows.append(a.select(F.lit(c).alias("variable"), F.lit("continuous").alias("kind"), t.alias("statistic"), smd.alias("effect")))
+        e1, e0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+        free = (e1 + e0) * (e1 + e0) / (e1 * e1 / (F.col("n1") - 1) + e0 * e0 / (F.col("n0") - 1))
+        rows.append(a.select(F.lit(c).alias("variable"), F.lit("continuous").alias("kind"), t.alias("statistic"), smd.alias("effect"), t_two_sided(t, free).alias("p")))
     for c in binary:
         a = df.where(F.col(c).isNotNull()).agg(*(F.count_if((F.col(group) == k) & (F.col(c) == v)).cast("double").alias(f"c{k}{v}") for k in (0, 1) for v in (0, 1)))
         n = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
         off = F.greatest(F.abs(F.col("c00") * F.col("c11") - F.col("c01") * F.col("c10")) - n / 2, F.lit(0.0))
         chi = n * off * off / ((F.col("c00") + F.col("c01")) * (F.col("c10") + F.col("c11")) * (F.col("c00") + F.col("c10")) * (F.col("c01") + F.col("c11")))
         h = 2 * F.asin(F.sqrt(F.col("c11") / (F.col("c10") + F.col("c11")))) - 2 * F.asin(F.sqrt(F.col("c01") / (F.col("c00") + F.col("c01"))))
-        rows.append(a.select(F.lit(c).alias("variable"), F.lit("binary").alias("kind"), chi.alias("statistic"), h.alias("effect")))
+        rows.append(a.select(F.lit(c).alias("variable"), F.lit("binary").alias("kind"), chi.alias("statistic"), h.alias("effect"), chi_square_rest(chi).alias("p")))
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
@@ -72,14 +84,13 @@ def selection_bias(df: DataFrame, group: str, continuous: list[str], binary: lis
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Sum of precision over the recall steps of distinct scores."""
     held = df.groupBy(*keys, score).agg(F.sum(label).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = held.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    run = with_running_sums(held, keys, score, {"ctp": "tp", "cn": "n"})
     return run.groupBy(*keys).agg((F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))).alias("ap"))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the curve by ranks."""
-    ranked = df.withColumn("_r", average_rank(keys, score))
+    ranked = with_average_rank(df, keys, score, "_r")
     a = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("r"), F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
     return a.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
@@ -112,11 +123,16 @@ def best_per_group(df: DataFrame, keys: list[str], score: str, ties: str) -> Dat
 def corrected_test(df: DataFrame, family: list[str], sets: str, fold: str, score: str, k: int = 5) -> DataFrame:
     """Paired t of every two feature sets over folds, with the variance corrected for shared training rows.
 
-    The standard error is sqrt((1 / n + 1 / (k - 1)) * s^2), n the number of pairs without nulls.
+    The standard error is sqrt((1 / n + 1 / (k - 1)) * s^2), n the number of pairs without nulls; p is two-sided with
+    n - 1 degrees, and low to high is the 95 % interval of the difference. Without spread they are null.
     """
     rows = df.select(*family, F.col(sets).alias("s"), fold, F.col(score).alias("v")).where("v IS NOT NULL")
     a, b = rows.withColumnsRenamed({"s": "set_a", "v": "va"}), rows.withColumnsRenamed({"s": "set_b", "v": "vb"})
     d = a.join(b, [*family, fold]).where("set_a < set_b").withColumn("d", F.col("va") - F.col("vb"))
     out = d.groupBy(*family, "set_a", "set_b").agg(F.count("d").alias("n"), F.avg("d").alias("delta"), F.var_samp("d").alias("var"))
     se = F.sqrt((1 / F.col("n") + 1 / F.lit(k - 1)) * F.col("var"))
-    return out.withColumn("se", se).withColumn("t_stat", F.try_divide("delta", "se")).withColumn("df", F.col("n") - 1).drop("var")
+    out = out.withColumn("se", se).withColumn("t_stat", F.try_divide("delta", "se")).withColumn("df", F.col("n") - 1).drop("var")
+    free, width = F.col("df").cast("double"), F.col("_t") * F.col("se")
+    critical = out.select("df").distinct().select(F.col("df").alias("_df"), F.when(F.col("df") > 0, t_critical(free)).alias("_t"))
+    tested = out.join(critical, F.col("df") == F.col("_df")).withColumn("p", F.when(F.col("t_stat").isNotNull(), t_two_sided(F.col("t_stat"), free)))
+    return tested.select(*out.columns, "p", (F.col("delta") - width).alias("low"), (F.col("delta") + width).alias("high"))

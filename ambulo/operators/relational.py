@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import same_keys, with_hash_number
+
 #: Feature groups by column prefix (fixed values of the domain); the rest are gait features.
 GROUP_PREFIXES = {"daily_pa_mean_": "pa", "daily_pa_std_": "pa", "tdpa_": "pa", "sleep_": "sleep", "rar_": "rar"}
 
@@ -119,8 +121,9 @@ def stratified_split(df: DataFrame, key: str, stratum: str, share: float, seed:
     The hash is an md5 of seed and key, so any engine draws the same rows.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    by = Window.partitionBy(stratum)
-    return df.withColumn("held_out", F.row_number().over(by.orderBy(h, key)) <= F.floor(F.count(F.lit(1)).over(by) * share + 0.5))
+    numbered = with_hash_number(df, [stratum], h, key, "_i")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    return same_keys(numbered, sizes, [stratum]).select(*df.columns, (F.col("_i") <= F.floor(F.col("_n") * share + 0.5)).alias("held_out"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -132,5 +135,5 @@ def folds(df: DataFrame, key: str, stratum: str | None, k: int, repeats: int, se
     """Repeat and fold of every row, balanced by stratum, by hash ranks."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string")))
     many = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    by = Window.partitionBy("repeat", *([stratum] if stratum else []))
-    return many.withColumn("fold", ((F.row_number().over(by.orderBy(h, key)) - 1) % k).cast("int"))
+    numbered = with_hash_number(many, ["repeat", *([stratum] if stratum else [])], h, key, "_i")
+    return numbered.withColumn("fold", ((F.col("_i") - 1) % k).cast("int")).drop("_i")

@@ -95,12 +95,18 @@ def wear_validation(df: DataFrame, keys: list[str], value: str, hour: str, per_h
     return seen.select(*keys, "wear_hours", missing.alias("missing_hours"), ((F.col("wear_hours") >= least_hours) & (missing == 0)).alias("valid"))
 
 
-def cascading_impute(df: DataFrame, keys: list[str], value: str, levels: list[list[str]]) -> DataFrame:
-    """Nulls become the mean of their group, level after level; later levels see earlier fills."""
+def cascading_impute(df: DataFrame, keys: list[str], value: str, levels: list[list[str]], at: str, longest: int) -> DataFrame:
+    """Nulls become the mean of their group, level after level; later levels see earlier fills.
+
+    Gaps of more than `longest` rows, in order of `at`, are null again afterwards.
+    """
     out = df.withColumn("filled", F.col(value))
     for level in levels:
         out = out.withColumn("filled", F.coalesce("filled", F.avg("filled").over(Window.partitionBy(*keys, *level))))
-    return out
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = out.withColumn("_known", F.count(value).over(before))
+    gap = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*keys, "_known"))
+    return numbered.withColumn("filled", F.when(F.col(value).isNotNull() | (gap <= longest), F.col("filled"))).drop("_known")
 
 
 def rolling_median(df: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:
@@ -135,15 +141,18 @@ def nonwear_vote(df: DataFrame, keys: list[str], i: str, axes: list[str], size:
 
 
 def night_blocks(sib: DataFrame, keys: list[str], start: str, end: str, gap: int, epoch_of_noon: int, per_day: int) -> DataFrame:
-    """The longest block of each noon-to-noon night; inactivity within gap merges, the middle decides the night."""
-    order = Window.partitionBy(*keys).orderBy(start)
-    linked = sib.withColumn("_new", (F.col(start) - F.lag(end).over(order) - 1 > gap).cast("int"))
+    """The longest block of each noon-to-noon night, the first on ties.
+
+    The middle of a run of inactivity decides its night; within a night runs at most gap apart merge.
+    """
+    middle = F.floor((F.col(start) + F.col(end) + 1) / 2)
+    night = sib.withColumn("night", F.floor((middle - epoch_of_noon) / per_day).cast("int"))
+    order = Window.partitionBy(*keys, "night").orderBy(start)
+    linked = night.withColumn("_new", (F.col(start) - F.lag(end).over(order) - 1 > gap).cast("int"))
     blocks = linked.withColumn("_b", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = blocks.groupBy(*keys, "_b").agg(F.min(start).alias("start"), F.max(end).alias("end"))
-    middle = (F.col("start") + F.col("end")) / 2
-    nights = merged.withColumn("night", F.floor((middle - epoch_of_noon) / per_day).cast("int")).withColumn("length", F.col("end") - F.col("start") + 1)
-    place = Window.partitionBy(*keys, "night").orderBy(F.desc("length"), "start")
-    return nights.withColumn("_k", F.row_number().over(place)).where("_k = 1").select(*keys, "night", "start", "end", "length")
+    merged = blocks.groupBy(*keys, "night", "_b").agg(F.min(start).alias("start"), F.max(end).alias("end")).withColumn("length", F.col("end") - F.col("start") + 1)
+    best = merged.groupBy(*keys, "night").agg(F.max(F.struct("length", (-F.col("start")).alias("s"), "start", "end")).alias("b"))
+    return best.select(*keys, "night", "b.start", "b.end", "b.length")
 
 
 def moving_average(df: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:

@@ -150,7 +150,7 @@ def cohens_d(spark, sf_dir):
 
 
 def mann_whitney_u(spark, sf_dir):
-    return inference.mann_whitney(_graded(spark, sf_dir), ["lang"], "n_chars", "quality")
+    return rounded(inference.mann_whitney(_graded(spark, sf_dir), ["lang"], "n_chars", "quality"))
 
 
 def spearman(spark, sf_dir):
@@ -216,40 +216,39 @@ def best_per_group(spark, sf_dir):
 
 
 def _tests(spark, sf_dir):
-    return inference.corrected_test(_cells(spark, sf_dir).where("model = 'O' OR outcome <> 'N'"), ["outcome", "model"], "features", "fold", "score")
+    return inference.corrected_test(_cells(spark, sf_dir), ["outcome", "model"], "features", "fold", "score")
 
 
-def pairwise_tests(spark, sf_dir):
-    return rounded(_tests(spark, sf_dir))
+def simpson(f: str, lo: str, hi: str, n: int = 2000) -> str:
+    """Integral of f(x) by Simpson's rule, in SQL."""
+    at = f"(({lo}) + (({hi}) - ({lo})) * i / {n}.0::DOUBLE)"
+    return f"((({hi}) - ({lo})) / {3 * n}.0::DOUBLE * list_sum(list_transform(range({n + 1}), lambda i: (CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.format(x=at)}))))"
 
 
-TESTS_SQL = f"""{CELLS_SQL}, cc AS (SELECT * FROM cells WHERE model = 'O' OR outcome <> 'N'), d AS (SELECT a.outcome, a.model, a.features AS set_a, b.features AS set_b, a.score - b.score AS d FROM cc a JOIN cc b ON a.outcome = b.outcome AND a.model = b.model AND a.fold = b.fold AND a.features < b.features),
- t AS (SELECT outcome, model, set_a, set_b, count(d) AS n, avg(d) AS delta, sqrt((1.0::DOUBLE / count(d) + 0.25) * var_samp(d)) AS se FROM d GROUP BY ALL)"""
+def t_two_sided_sql(t: str, df: str) -> str:
+    """Two-sided chance of t: the density in the angle atan(t / sqrt(df)), integrated from the angle on."""
+    return f"(2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {simpson(f'power(cos({{x}}), ({df}) - 1)', f'atan(abs({t}) / sqrt({df}))', 'pi() / 2')})"
 
 
-def holm_adjust(spark, sf_dir):
-    """W21 over p-values that stand for the tests: exp(-abs(t))."""
-    p = _tests(spark, sf_dir).withColumn("p", F.exp(-F.abs("t_stat"))).select("outcome", "model", "set_a", "set_b", "p")
-    return rounded(sequence.holm(p, ["outcome", "model"], "p"))
+def normal_two_sided_sql(z: str) -> str:
+    return f"(2 / sqrt(2 * pi()) * {simpson('exp(-{x} * {x} / 2)', f'abs({z})', f'abs({z}) + 12.0')})"
 
 
-def _all_tests(spark, sf_dir):
-    return inference.corrected_test(_cells(spark, sf_dir), ["outcome", "model"], "features", "fold", "score")
+#: The t whose two-sided chance is 0.05, by degrees of freedom (fixed values of 13 digits).
+T_CRITICAL_SQL = "CASE df WHEN 14 THEN 2.1447866879178 END"
 
 
-def pairwise_tests_all(spark, sf_dir):
-    """J10, M19, M20 over all families; pairwise_tests is without outcome N of model F, as its SQL."""
-    return rounded(_all_tests(spark, sf_dir))
+def pairwise_tests(spark, sf_dir):
+    return rounded(_tests(spark, sf_dir))
 
 
-ALL_TESTS_SQL = f"""{CELLS_SQL}, d AS (SELECT a.outcome, a.model, a.features AS set_a, b.features AS set_b, a.score - b.score AS d FROM cells a JOIN cells b ON a.outcome = b.outcome AND a.model = b.model AND a.fold = b.fold AND a.features < b.features),
+TESTS_SQL = f"""{CELLS_SQL}, d AS (SELECT a.outcome, a.model, a.features AS set_a, b.features AS set_b, a.score - b.score AS d FROM cells a JOIN cells b ON a.outcome = b.outcome AND a.model = b.model AND a.fold = b.fold AND a.features < b.features),
  t AS (SELECT outcome, model, set_a, set_b, count(d) AS n, avg(d) AS delta, sqrt((1.0::DOUBLE / count(d) + 0.25) * var_samp(d)) AS se FROM d GROUP BY ALL)"""
 
 
-def holm_adjust_all(spark, sf_dir):
-    """W21 over the p-values of all families, that stand for the tests as in holm_adjust."""
-    p = _all_tests(spark, sf_dir).withColumn("p", F.exp(-F.abs("t_stat"))).select("outcome", "model", "set_a", "set_b", "p")
-    return rounded(sequence.holm(p, ["outcome", "model"], "p"))
+def holm_adjust(spark, sf_dir):
+    """M21, W21 over the p-values of the corrected tests."""
+    return rounded(sequence.holm(_tests(spark, sf_dir).select("outcome", "model", "set_a", "set_b", "p"), ["outcome", "model"], "p"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -298,7 +297,7 @@ def events_described(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     merge_inner, merge_left_demographics, merge_visits_dedup, semi_dev, anti_done, split_disjoint, reconcile_counts, union_devices, binary_outcomes, ordinal_cutpoints, cohort, id_split, missingness_profile, value_counts,
     bounds_report, outlier_flags, topn_flags, topn_groups, group_profile, class_balance, cohort_means, cohens_d, mann_whitney_u, spearman, pearson_matrix, ols_line, selection_bias, contingency, stratified_split,
-    split_balance, hash_sample, fold_assignment, fold_summary, best_per_group, pairwise_tests, holm_adjust, pairwise_tests_all, holm_adjust_all, average_precision, auc_rank, balanced_accuracy_f1, r2_mae, mode_params, selection_summary, missing_rate_filter, events_described)}
+    split_balance, hash_sample, fold_assignment, fold_summary, best_per_group, pairwise_tests, holm_adjust, average_precision, auc_rank, balanced_accuracy_f1, r2_mae, mode_params, selection_summary, missing_rate_filter, events_described)}
 
 _SPLIT = "sp AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('20260414:' || c_custkey), c_custkey) <= floor(count(*) OVER (PARTITION BY c_mktsegment) * 0.15::DOUBLE + 0.5) AS held_out FROM customer)"
 _GR = "gr AS (SELECT l.doc_id, quality, lang, n_chars::DOUBLE AS n_chars FROM labels l JOIN documents d USING (doc_id))"
@@ -332,15 +331,21 @@ ORACLE_SQL = {
     "class_balance": "WITH y AS (SELECT lang, 'quality' AS outcome, quality AS y FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, 'toxic', toxic FROM labels JOIN documents USING (doc_id)), a AS (SELECT lang, outcome, count(y) AS n, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg, avg((y IS NULL)::INTEGER::DOUBLE) AS missing FROM y GROUP BY ALL) SELECT *, n >= 100 AND least(pos, neg) >= 25 AND missing <= 0.3 AS ok FROM a",
     "cohort_means": "WITH a AS (SELECT l_returnflag AS part, count(*) AS c FROM lineitem GROUP BY 1) SELECT part, round(c / (SELECT count(*) FROM lineitem), 6) AS share FROM a",
     "cohens_d": f"WITH {_GR}, a AS (SELECT lang, count(n_chars) FILTER (WHERE quality = 1) AS n1, count(n_chars) FILTER (WHERE quality = 0) AS n0, avg(n_chars) FILTER (WHERE quality = 1) AS m1, avg(n_chars) FILTER (WHERE quality = 0) AS m0, var_samp(n_chars) FILTER (WHERE quality = 1) AS v1, var_samp(n_chars) FILTER (WHERE quality = 0) AS v0 FROM gr GROUP BY lang) SELECT lang, n1, n0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM a WHERE n1 >= 10 AND n0 >= 10",
-    "mann_whitney_u": f"WITH {_GR}, r AS (SELECT *, {_RANK.format(k='lang', v='n_chars')} AS r FROM gr) SELECT lang, count(*) FILTER (WHERE quality = 1) AS n1, count(*) FILTER (WHERE quality = 0) AS n0, sum(r) FILTER (WHERE quality = 1) - (count(*) FILTER (WHERE quality = 1)) * ((count(*) FILTER (WHERE quality = 1)) + 1) / 2 AS u FROM r GROUP BY lang",
-    "spearman": f"WITH r AS (SELECT l_returnflag, {_RANK.format(k='l_returnflag', v='l_quantity')} AS a, {_RANK.format(k='l_returnflag', v='l_extendedprice')} AS b FROM lineitem) SELECT l_returnflag, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY l_returnflag",
+    "mann_whitney_u": f"""WITH {_GR}, r AS (SELECT *, {_RANK.format(k='lang', v='n_chars')} AS r, count(*) OVER (PARTITION BY lang, n_chars)::DOUBLE AS c FROM gr),
+ a AS (SELECT lang, count(*) FILTER (WHERE quality = 1) AS n1, count(*) FILTER (WHERE quality = 0) AS n0, sum(r) FILTER (WHERE quality = 1) AS r1, sum(c * c - 1) AS ties, count(*)::DOUBLE AS n FROM r GROUP BY lang),
+ u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM a), z AS (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / nullif(sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z FROM u)
+ SELECT lang, n1, n0, u, round(CASE WHEN z <= 0 THEN 1 ELSE {normal_two_sided_sql("z")} END, 6) AS p FROM z""",
+    "spearman": f"""WITH r AS (SELECT l_returnflag, {_RANK.format(k='l_returnflag', v='l_quantity')} AS a, {_RANK.format(k='l_returnflag', v='l_extendedprice')} AS b FROM lineitem), c AS (SELECT l_returnflag, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY l_returnflag)
+ SELECT l_returnflag, n, round(rho, 6) AS rho, round({t_two_sided_sql("(rho * sqrt((n - 2) / (1 - rho * rho)))", "(n - 2)")}, 6) AS p FROM c""",
     "pearson_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in combinations(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 2)),
     "ols_line": "SELECT l_returnflag, regr_count(l_extendedprice, l_quantity)::BIGINT AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_returnflag",
-    "selection_bias": """WITH c AS (SELECT c_nationkey < 10 AS g, c_acctbal AS bal, c_acctbal > 0 AS pos FROM customer),
+    "selection_bias": f"""WITH c AS (SELECT c_nationkey < 10 AS g, c_acctbal AS bal, c_acctbal > 0 AS pos FROM customer),
  a AS (SELECT count(bal) FILTER (WHERE g) AS n1, count(bal) FILTER (WHERE NOT g) AS n0, avg(bal) FILTER (WHERE g) AS m1, avg(bal) FILTER (WHERE NOT g) AS m0, var_samp(bal) FILTER (WHERE g) AS v1, var_samp(bal) FILTER (WHERE NOT g) AS v0,
    (count(*) FILTER (WHERE g AND pos))::DOUBLE AS a11, (count(*) FILTER (WHERE g AND NOT pos))::DOUBLE AS a10, (count(*) FILTER (WHERE NOT g AND pos))::DOUBLE AS a01, (count(*) FILTER (WHERE NOT g AND NOT pos))::DOUBLE AS a00 FROM c)
- SELECT 'bal' AS variable, 'continuous' AS kind, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS statistic, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS effect FROM a
- UNION ALL SELECT 'pos', 'binary', round((a00 + a01 + a10 + a11) * power(greatest(abs(a00 * a11 - a01 * a10) - (a00 + a01 + a10 + a11) / 2, 0), 2) / ((a00 + a01) * (a10 + a11) * (a00 + a10) * (a01 + a11)), 6), round(2 * asin(sqrt(a11 / (a10 + a11))) - 2 * asin(sqrt(a01 / (a00 + a01))), 6) FROM a""",
+ SELECT 'bal' AS variable, 'continuous' AS kind, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS statistic, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS effect,
+   round({t_two_sided_sql("((m1 - m0) / sqrt(v1 / n1 + v0 / n0))", "(power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)))")}, 6) AS p FROM a
+ UNION ALL SELECT 'pos', 'binary', round((a00 + a01 + a10 + a11) * power(greatest(abs(a00 * a11 - a01 * a10) - (a00 + a01 + a10 + a11) / 2, 0), 2) / ((a00 + a01) * (a10 + a11) * (a00 + a10) * (a01 + a11)), 6), round(2 * asin(sqrt(a11 / (a10 + a11))) - 2 * asin(sqrt(a01 / (a00 + a01))), 6),
+   round({normal_two_sided_sql("sqrt((a00 + a01 + a10 + a11) * power(greatest(abs(a00 * a11 - a01 * a10) - (a00 + a01 + a10 + a11) / 2, 0), 2) / ((a00 + a01) * (a10 + a11) * (a00 + a10) * (a01 + a11)))")}, 6) FROM a""",
     "contingency": "SELECT quality, count(*) FILTER (WHERE toxic = 0) AS toxic_0, count(*) FILTER (WHERE toxic = 1) AS toxic_1 FROM labels GROUP BY quality",
     "stratified_split": f"WITH {_SPLIT} SELECT c_custkey, c_mktsegment, held_out FROM sp",
     "split_balance": f"WITH {_SPLIT}, q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS b, quantile_cont(c_acctbal, 0.75) AS c FROM customer) SELECT held_out, CASE WHEN c_acctbal IS NULL THEN 'missing' WHEN c_acctbal <= a THEN 'q1' WHEN c_acctbal <= b THEN 'q2' WHEN c_acctbal <= c THEN 'q3' ELSE 'q4' END AS bucket, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM sp, q GROUP BY 1, 2",
@@ -348,11 +353,9 @@ ORACLE_SQL = {
     "fold_assignment": "SELECT doc_id, quality, r.repeat::INTEGER AS repeat, ((row_number() OVER (PARTITION BY r.repeat, quality ORDER BY md5('42:' || r.repeat || ':' || doc_id), doc_id) - 1) % 5)::INTEGER AS fold FROM labels, (SELECT unnest(range(3)) AS repeat) r",
     "fold_summary": f"WITH {CELLS_SQL} SELECT outcome, features, model, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, count(score) AS n_folds FROM cells GROUP BY ALL",
     "best_per_group": f"WITH {CELLS_SQL}, s AS (SELECT outcome, features, model, avg(score) AS mean FROM cells GROUP BY ALL) SELECT outcome, features, model, round(mean, 6) AS mean FROM s QUALIFY row_number() OVER (PARTITION BY outcome, features ORDER BY mean DESC, model) = 1",
-    "pairwise_tests": f"WITH {TESTS_SQL} SELECT outcome, model, set_a, set_b, n, round(delta, 6) AS delta, round(se, 6) AS se, round(delta / nullif(se, 0), 6) AS t_stat, n - 1 AS df FROM t",
-    "holm_adjust": f"""WITH {TESTS_SQL}, p AS (SELECT outcome, model, set_a, set_b, exp(-abs(delta / se)) AS p FROM t), r AS (SELECT *, (count(*) OVER (PARTITION BY outcome, model) - row_number() OVER (PARTITION BY outcome, model ORDER BY p) + 1) * p AS r FROM p),
- h AS (SELECT *, least(max(r) OVER (PARTITION BY outcome, model ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0) AS h FROM r) SELECT outcome, model, set_a, set_b, round(p, 6) AS p, round(h, 6) AS p_holm, h < 0.05 AS reject FROM h""",
-    "pairwise_tests_all": f"WITH {ALL_TESTS_SQL} SELECT outcome, model, set_a, set_b, n, round(delta, 6) AS delta, round(se, 6) AS se, round(delta / nullif(se, 0), 6) AS t_stat, n - 1 AS df FROM t",
-    "holm_adjust_all": f"""WITH {ALL_TESTS_SQL}, p AS (SELECT outcome, model, set_a, set_b, exp(-abs(delta / se)) AS p FROM t), r AS (SELECT *, (count(*) OVER (PARTITION BY outcome, model) - row_number() OVER (PARTITION BY outcome, model ORDER BY p) + 1) * p AS r FROM p),
+    "pairwise_tests": f"""WITH {TESTS_SQL}, u AS (SELECT *, delta / nullif(se, 0) AS t_stat, n - 1 AS df FROM t), v AS (SELECT *, {t_two_sided_sql("t_stat", "df")} AS p, {T_CRITICAL_SQL} * se AS width FROM u)
+ SELECT outcome, model, set_a, set_b, n, round(delta, 6) AS delta, round(se, 6) AS se, round(t_stat, 6) AS t_stat, df, round(p, 6) AS p, round(delta - width, 6) AS low, round(delta + width, 6) AS high FROM v""",
+    "holm_adjust": f"""WITH {TESTS_SQL}, p AS (SELECT outcome, model, set_a, set_b, {t_two_sided_sql("(delta / se)", "(n - 1)")} AS p FROM t), r AS (SELECT *, (count(*) OVER (PARTITION BY outcome, model) - row_number() OVER (PARTITION BY outcome, model ORDER BY p) + 1) * p AS r FROM p),
  h AS (SELECT *, least(max(r) OVER (PARTITION BY outcome, model ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0) AS h FROM r) SELECT outcome, model, set_a, set_b, round(p, 6) AS p, round(h, 6) AS p_holm, h < 0.05 AS reject FROM h""",
     "average_precision": f"WITH {_GR}, s AS (SELECT lang, n_chars, sum(quality) AS tp, count(*) AS n FROM gr GROUP BY ALL), r AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM s WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)) SELECT lang, round(sum(tp * ctp / cn) / nullif(sum(tp), 0), 6) AS ap FROM r GROUP BY lang",
     "auc_rank": f"WITH {_GR}, r AS (SELECT *, {_RANK.format(k='lang', v='n_chars')} AS r FROM gr), a AS (SELECT lang, sum(r) FILTER (WHERE quality = 1) AS r, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q FROM r GROUP BY lang) SELECT lang, round((r - p * (p + 1) / 2) / nullif(p * q, 0), 6) AS auc FROM a",

@@ -190,8 +190,9 @@ def wear_validation(spark, sf_dir):
 
 
 def cascading_impute(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("gappy", F.when(F.col("event_id") % 3 != 0, F.col("value"))).withColumns({"wd": F.weekday("ts"), "we": F.weekday("ts") >= 5})
-    return rounded(sequence.cascading_impute(e, S, "gappy", [["wd", "hour"], ["we", "hour"], ["hour"]]).select("event_id", "gappy", "filled"))
+    """Gaps of two rows and more stay null."""
+    e = positions(spark, sf_dir).withColumn("gappy", F.when(F.col("event_id") % 3 != 0, F.col("value"))).withColumns({"wd": F.weekday("ts"), "we": F.weekday("ts") >= 5})
+    return rounded(sequence.cascading_impute(e, S, "gappy", [["wd", "hour"], ["we", "hour"], ["hour"]], "i", 1).select("event_id", "gappy", "filled"))
 
 
 def rolling_median(spark, sf_dir):
@@ -220,7 +221,7 @@ def nightly_metrics(spark, sf_dir):
     q = positions(spark, sf_dir)
     calm = sequence.sustained(q, S, "i", "value", 60.0, 2)
     nights = sequence.night_blocks(calm, S, "start", "end", 2, 5, 20).select("user_id", "night", "start", "end")
-    return rounded(calendar.nightly_metrics(q.select("user_id", "i", (F.col("value") < 60).cast("int").alias("sib")), nights, S, 0.25))
+    return rounded(calendar.nightly_metrics(q.select("user_id", "i", (F.col("value") < 60).cast("int").alias("sib")), nights, S, 0.25, 10.75))
 
 
 def moving_average(spark, sf_dir):
@@ -241,7 +242,7 @@ def hourly_grid(spark, sf_dir):
 
 
 def rhythm_is_iv(spark, sf_dir):
-    return rounded(calendar.is_iv(_hours(spark, sf_dir), S, "h", "value", 24, 20))
+    return rounded(calendar.is_iv(_hours(spark, sf_dir), S, "h", "value", 24))
 
 
 def rhythm_l5_m10(spark, sf_dir):
@@ -249,15 +250,10 @@ def rhythm_l5_m10(spark, sf_dir):
 
 
 def regularity_index(spark, sf_dir):
-    return rounded(calendar.regularity_index(_hours(spark, sf_dir).withColumn("value", F.when(F.col("value").isNotNull(), (F.col("value") > 50).cast("int"))), S, "h", "value", 24, 20))
+    return rounded(calendar.regularity_index(_hours(spark, sf_dir).withColumn("value", F.when(F.col("value").isNotNull(), (F.col("value") > 50).cast("int"))), S, "h", "value", 24))
 
 
 def nearest_reindex(spark, sf_dir):
-    return rounded(calendar.nearest_on_grid(events(spark, sf_dir).where("day < DATE'2024-01-04'"), S, "sec", "value", 1800, 600))
-
-
-def nearest_reindex_all(spark, sf_dir):
-    """J13 over all events; nearest_reindex has those of the first three days, as its SQL."""
     return rounded(calendar.nearest_on_grid(events(spark, sf_dir), S, "sec", "value", 1800, 600))
 
 
@@ -276,11 +272,10 @@ def runs_sql(state: str) -> str:
 
 
 def blocks_sql(gap: int) -> str:
-    return f"""{runs_sql("value < 60")}, sb AS (SELECT user_id, start, "end" FROM ru WHERE st AND length >= 2),
- lk AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY user_id ORDER BY start) - 1 > {gap} THEN 1 ELSE 0 END AS new2 FROM sb),
- bl AS (SELECT *, sum(new2) OVER (PARTITION BY user_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS blk FROM lk),
- mg AS (SELECT user_id, blk, min(start) AS start, max("end") AS "end" FROM bl GROUP BY user_id, blk),
- nt AS (SELECT user_id, floor(((start + "end") / 2.0 - 5) / 20)::INTEGER AS night, start, "end", "end" - start + 1 AS length FROM mg),
+    return f"""{runs_sql("value < 60")}, sb AS (SELECT user_id, start, "end", floor(((start + "end" + 1) // 2 - 5) / 20)::INTEGER AS night FROM ru WHERE st AND length >= 2),
+ lk AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY user_id, night ORDER BY start) - 1 > {gap} THEN 1 ELSE 0 END AS new2 FROM sb),
+ bl AS (SELECT *, sum(new2) OVER (PARTITION BY user_id, night ORDER BY start ROWS UNBOUNDED PRECEDING) AS blk FROM lk),
+ mg AS (SELECT user_id, night, blk, min(start) AS start, max("end") AS "end" FROM bl GROUP BY ALL), nt AS (SELECT *, "end" - start + 1 AS length FROM mg),
  nb AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY user_id, night ORDER BY length DESC, start) = 1)"""
 
 
@@ -303,7 +298,7 @@ QUERIES = {f.__name__: f for f in (
     subject_summary, bout_assembly, descriptive_stats, shape_stats_log1p, mad_stats, l_moments, histogram_fixed_bins, shannon_entropy, within_group_variability, wasserstein_day_pairs, day_stability,
     describe_percentiles, daily_totals, daily_volume, time_of_day, full_day_stats, epoch_totals, epoch_median, overlapping_windows, otsu_threshold, otsu_linear, active_windows, window_seconds, merged_bouts,
     gap_runs, longest_run, edge_days_dropped, wear_validation, cascading_impute, rolling_median, angle_change, sustained_inactivity, nonwear_vote, night_blocks, nightly_metrics, moving_average,
-    hourly_grid, rhythm_is_iv, rhythm_l5_m10, regularity_index, nearest_reindex, nearest_reindex_all)}
+    hourly_grid, rhythm_is_iv, rhythm_l5_m10, regularity_index, nearest_reindex)}
 
 _W1 = f"""{E_SQL}, fu AS (SELECT user_id, day, value AS x, count(*) OVER (PARTITION BY user_id, day) AS n FROM e QUALIFY n >= 4),
  dd AS (SELECT DISTINCT user_id, day, n FROM fu), pr AS (SELECT a.user_id, a.day AS a, b.day AS b, a.n AS na, b.n AS nb FROM dd a JOIN dd b ON a.user_id = b.user_id AND a.day < b.day),
@@ -344,9 +339,10 @@ ORACLE_SQL = {
     "longest_run": f"WITH {runs_sql('value < 60')} SELECT user_id, start, \"end\", length FROM ru WHERE st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) = 1",
     "edge_days_dropped": f"WITH {E_SQL}, m AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM e GROUP BY user_id) SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM e JOIN m USING (user_id) WHERE day > lo AND day < hi GROUP BY user_id",
     "wear_validation": f"WITH {E_SQL} SELECT user_id, count(value)::DOUBLE AS wear_hours, (24 - count(DISTINCT hour) FILTER (WHERE value IS NOT NULL))::INTEGER AS missing_hours, count(value) >= 60 AND count(DISTINCT hour) FILTER (WHERE value IS NOT NULL) = 24 AS valid FROM e GROUP BY user_id",
-    "cascading_impute": f"""WITH {E_SQL}, g0 AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS gappy, isodow(ts) AS wd, isodow(ts) >= 6 AS we FROM e),
- g1 AS (SELECT *, coalesce(gappy, avg(gappy) OVER (PARTITION BY user_id, wd, hour)) AS f1 FROM g0), g2 AS (SELECT *, coalesce(f1, avg(f1) OVER (PARTITION BY user_id, we, hour)) AS f2 FROM g1), g3 AS (SELECT *, coalesce(f2, avg(f2) OVER (PARTITION BY user_id, hour)) AS f3 FROM g2)
- SELECT event_id, round(gappy, 6) AS gappy, round(f3, 6) AS filled FROM g3""",
+    "cascading_impute": f"""WITH {POS_SQL}, g0 AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS gappy, isodow(ts) AS wd, isodow(ts) >= 6 AS we FROM q),
+ g1 AS (SELECT *, coalesce(gappy, avg(gappy) OVER (PARTITION BY user_id, wd, hour)) AS f1 FROM g0), g2 AS (SELECT *, coalesce(f1, avg(f1) OVER (PARTITION BY user_id, we, hour)) AS f2 FROM g1), g3 AS (SELECT *, coalesce(f2, avg(f2) OVER (PARTITION BY user_id, hour)) AS f3 FROM g2),
+ g4 AS (SELECT *, lag(gappy) OVER o AS p, lead(gappy) OVER o AS n, i > 0 AS hp, i < max(i) OVER (PARTITION BY user_id) AS hn FROM g3 WINDOW o AS (PARTITION BY user_id ORDER BY i))
+ SELECT event_id, round(gappy, 6) AS gappy, CASE WHEN gappy IS NOT NULL OR (hp AND p IS NULL OR hn AND n IS NULL) IS NOT TRUE THEN round(f3, 6) END AS filled FROM g4""",
     "rolling_median": f"WITH {POS_SQL} SELECT user_id, i, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS rolling FROM q",
     "angle_change": f"WITH {POS_SQL} SELECT user_id, i, round(coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY i)), 0.0), 6) AS change FROM q",
     "sustained_inactivity": f"WITH {runs_sql('value < 60')} SELECT user_id, start, \"end\", length FROM ru WHERE st AND length >= 3",
@@ -355,26 +351,27 @@ ORACLE_SQL = {
    FROM ws JOIN q ON q.user_id = ws.user_id AND i >= s AND i < s + 8 GROUP BY ws.user_id, s),
  fl AS (SELECT DISTINCT vt.user_id, i FROM vt JOIN q ON q.user_id = vt.user_id AND i >= s AND i < s + 8 WHERE still >= 2) SELECT q.user_id, q.i, fl.i IS NOT NULL AS nonwear FROM q LEFT JOIN fl ON fl.user_id = q.user_id AND fl.i = q.i""",
     "night_blocks": f"WITH {blocks_sql(1)} SELECT user_id, night, start, \"end\", length FROM nb",
-    "nightly_metrics": f"""WITH {blocks_sql(2)}, mt AS (SELECT q.user_id, night, (value < 60)::INTEGER AS sib, lag((value < 60)::INTEGER) OVER (PARTITION BY q.user_id, night ORDER BY i) AS prev FROM q JOIN nb ON nb.user_id = q.user_id AND i BETWEEN start AND "end"),
- tt AS (SELECT user_id, night, count(*) * 0.25::DOUBLE AS spt, sum(sib) * 0.25::DOUBLE AS tst, count(*) FILTER (WHERE prev = 1 AND sib = 0) AS awakenings FROM mt GROUP BY ALL)
- SELECT user_id, night, spt AS spt_hours, tst AS tst_hours, awakenings, spt - tst AS waso_hours, round(tst / spt, 6) AS sleep_efficiency, round(awakenings / nullif(tst, 0), 6) AS frag_index FROM tt""",
+    "nightly_metrics": f"""WITH {blocks_sql(2)}, ls AS (SELECT user_id, max(i) AS last FROM q GROUP BY user_id),
+ mt AS (SELECT q.user_id, night, start, least("end" + 1, last) AS wake, (value < 60)::INTEGER AS sib, lag((value < 60)::INTEGER) OVER (PARTITION BY q.user_id, night ORDER BY i) AS prev
+   FROM q JOIN nb ON nb.user_id = q.user_id AND i BETWEEN start AND "end" JOIN ls ON ls.user_id = q.user_id),
+ tt AS (SELECT user_id, night, start, wake, count(*) * 0.25::DOUBLE AS spt, sum(sib) * 0.25::DOUBLE AS tst, count(*) FILTER (WHERE prev = 1 AND sib = 0) AS awakenings FROM mt GROUP BY ALL),
+ hh AS (SELECT *, (start * 0.25::DOUBLE + 10.75) % 24 AS h0, (wake * 0.25::DOUBLE + 10.75) % 24 AS h1, ((start + wake) / 2.0 * 0.25::DOUBLE + 10.75) % 24 AS h2 FROM tt)
+ SELECT user_id, night, h0 - 24 * (h0 >= 12)::INTEGER AS sleep_onset_hour, h1 - 24 * (h1 >= 12)::INTEGER AS wake_time_hour, h2 - 24 * (h2 >= 12)::INTEGER AS midsleep_hour,
+   spt AS spt_hours, tst AS tst_hours, awakenings, spt - tst AS waso_hours, round(tst / spt, 6) AS sleep_efficiency, round(awakenings / nullif(tst, 0), 6) AS frag_index FROM hh""",
     "moving_average": f"WITH {POS_SQL} SELECT user_id, i, round(CASE WHEN count(value) OVER f = 5 THEN avg(value) OVER f ELSE value END, 6) AS smooth FROM q WINDOW f AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "hourly_grid": f"WITH {HOURS_SQL} SELECT user_id, h, round(value, 6) AS value FROM gh",
-    "rhythm_is_iv": f"""WITH {HOURS_SQL}, k AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY h) AS d FROM gh WHERE value IS NOT NULL), w AS (SELECT user_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v, avg(d * d) AS dd FROM k GROUP BY user_id),
- p AS (SELECT user_id, h % 24 AS slot, avg(value) AS p FROM k GROUP BY ALL), s AS (SELECT user_id, sum(power(p - m, 2)) AS sp FROM p JOIN w USING (user_id) GROUP BY user_id)
- SELECT user_id, n, CASE WHEN n >= 20 AND v > 0 THEN round(sp / (24 * v), 6) END AS rar_is, CASE WHEN n >= 20 AND v > 0 THEN round(dd / v, 6) END AS rar_iv FROM w JOIN s USING (user_id)""",
-    "rhythm_l5_m10": f"""WITH {HOURS_SQL}, p AS (SELECT user_id, (h % 24)::INTEGER AS slot, avg(value) AS p FROM gh WHERE value IS NOT NULL GROUP BY ALL), m AS (SELECT user_id, avg(p) AS pm FROM p GROUP BY user_id),
+    "rhythm_is_iv": f"""WITH {HOURS_SQL}, k AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY h) AS d FROM gh WHERE value IS NOT NULL), w AS (SELECT user_id, count(*) AS n, var_pop(value) AS v, avg(d * d) AS dd FROM k GROUP BY user_id),
+ p AS (SELECT user_id, h % 24 AS slot, avg(value) AS p FROM k GROUP BY ALL), m AS (SELECT user_id, avg(p) AS pm FROM p GROUP BY user_id), s AS (SELECT user_id, sum(power(p - pm, 2)) / count(*) AS vp FROM p JOIN m USING (user_id) GROUP BY user_id)
+ SELECT user_id, n, CASE WHEN n >= 48 AND v > 0 THEN round(n * vp / (24 * v), 6) END AS rar_is, CASE WHEN n >= 48 AND v > 0 THEN round(dd / v, 6) END AS rar_iv FROM w JOIN s USING (user_id)""",
+    "rhythm_l5_m10": f"""WITH {HOURS_SQL}, p AS (SELECT user_id, (h % 24)::INTEGER AS slot, avg(value) AS p FROM gh WHERE value IS NOT NULL GROUP BY ALL), m AS (SELECT user_id, avg(p) AS pm FROM p GROUP BY user_id), kn AS (SELECT user_id, count(value) >= 48 AS ok FROM gh GROUP BY user_id),
  sl AS (SELECT m.user_id, r.slot, coalesce(p, pm) AS p FROM m CROSS JOIN (SELECT unnest(range(24))::INTEGER AS slot) r LEFT JOIN p ON p.user_id = m.user_id AND p.slot = r.slot),
  tw AS (SELECT user_id, slot, p FROM sl UNION ALL SELECT user_id, slot + 24, p FROM sl),
  ro AS (SELECT user_id, slot, avg(p) OVER (PARTITION BY user_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS lo, avg(p) OVER (PARTITION BY user_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS hi FROM tw),
  mn AS (SELECT user_id, min(lo) AS l5, max(hi) AS m10 FROM ro WHERE slot < 24 GROUP BY user_id), os AS (SELECT user_id, slot AS l5_onset FROM ro WHERE slot < 24 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lo, slot) = 1)
- SELECT user_id, round(l5, 6) AS l5, l5_onset, round(m10, 6) AS m10, CASE WHEN m10 + l5 > 0 THEN round((m10 - l5) / (m10 + l5), 6) END AS ra FROM mn JOIN os USING (user_id)""",
-    "regularity_index": f"""WITH {HOURS_SQL}, k AS (SELECT user_id, h, (value > 50)::INTEGER AS s FROM gh WHERE value IS NOT NULL), n AS (SELECT user_id, count(*) AS n FROM k GROUP BY user_id),
- c AS (SELECT a.user_id, avg((a.s = b.s)::INTEGER) AS same FROM k a JOIN k b ON a.user_id = b.user_id AND b.h = a.h + 24 GROUP BY a.user_id) SELECT user_id, n, CASE WHEN n >= 20 THEN round(200 * same - 100, 6) END AS sri FROM n LEFT JOIN c USING (user_id)""",
-    "nearest_reindex": f"""WITH {E_SQL}, f AS (SELECT * FROM e WHERE day < DATE '2024-01-04'), g AS (SELECT user_id, unnest(range(floor(min(sec) / 1800)::BIGINT, ceil(max(sec) / 1800)::BIGINT + 1)) * 1800 AS grid FROM f GROUP BY user_id),
- m AS (SELECT g.user_id, g.grid, f.value FROM g JOIN f ON f.user_id = g.user_id AND abs(f.sec - g.grid) <= 600 QUALIFY row_number() OVER (PARTITION BY g.user_id, g.grid ORDER BY abs(f.sec - g.grid), f.sec) = 1)
- SELECT g.user_id, g.grid, round(m.value, 6) AS value FROM g LEFT JOIN m USING (user_id, grid)""",
-    "nearest_reindex_all": f"""WITH {E_SQL}, g AS (SELECT user_id, unnest(range(floor(min(sec) / 1800)::BIGINT, ceil(max(sec) / 1800)::BIGINT + 1)) * 1800 AS grid FROM e GROUP BY user_id),
+ SELECT user_id, CASE WHEN ok THEN round(l5, 6) END AS l5, CASE WHEN ok THEN l5_onset::DOUBLE END AS l5_onset_hour, CASE WHEN ok THEN round(m10, 6) END AS m10, CASE WHEN ok AND m10 + l5 > 0 THEN round((m10 - l5) / (m10 + l5), 6) END AS ra FROM mn JOIN os USING (user_id) JOIN kn USING (user_id)""",
+    "regularity_index": f"""WITH {HOURS_SQL}, k AS (SELECT user_id, h, (value > 50)::INTEGER AS s FROM gh WHERE value IS NOT NULL), n AS (SELECT user_id, count(*) AS n FROM gh GROUP BY user_id),
+ c AS (SELECT a.user_id, avg((a.s = b.s)::INTEGER) AS same FROM k a JOIN k b ON a.user_id = b.user_id AND b.h = a.h + 24 GROUP BY a.user_id) SELECT user_id, n, CASE WHEN n >= 48 THEN round(200 * same - 100, 6) END AS sri FROM n LEFT JOIN c USING (user_id)""",
+    "nearest_reindex": f"""WITH {E_SQL}, g AS (SELECT user_id, unnest(range(floor(min(sec) / 1800)::BIGINT, ceil(max(sec) / 1800)::BIGINT + 1)) * 1800 AS grid FROM e GROUP BY user_id),
  m AS (SELECT g.user_id, g.grid, e.value FROM g JOIN e ON e.user_id = g.user_id AND abs(e.sec - g.grid) <= 600 QUALIFY row_number() OVER (PARTITION BY g.user_id, g.grid ORDER BY abs(e.sec - g.grid), e.sec) = 1)
  SELECT g.user_id, g.grid, round(m.value, 6) AS value FROM g LEFT JOIN m USING (user_id, grid)""",
 }

@@ -9,7 +9,7 @@ from ambulo.plans import catalog, kernels
 SF = "/root/testdata/sf0.001"
 
 
-def test_nearest_reindex_all_has_every_grid_point_of_all_events(spark):
+def test_nearest_reindex_has_every_grid_point_of_all_events(spark):
     e = spark.read.parquet(f"{SF}/events.parquet").toPandas()
     e["sec"] = e["ts"].astype("datetime64[us]").astype("int64") // 1_000_000
     want = {}
@@ -18,7 +18,7 @@ def test_nearest_reindex_all_has_every_grid_point_of_all_events(spark):
         for g in range(at[0][0] // 1800, -(-at[-1][0] // 1800) + 1):
             near = [(abs(sec - g * 1800), sec, v) for sec, v in at if abs(sec - g * 1800) <= 600]
             want[user, g * 1800] = round(min(near)[2], 6) if near else None
-    got = {(r["user_id"], r["grid"]): r["value"] for r in catalog.QUERIES["nearest_reindex_all"](spark, SF).collect()}
+    got = {(r["user_id"], r["grid"]): r["value"] for r in catalog.QUERIES["nearest_reindex"](spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 2e-6) for k, v in want.items())
 
@@ -26,7 +26,7 @@ def test_nearest_reindex_all_has_every_grid_point_of_all_events(spark):
 def test_paired_tests_have_every_family_of_the_lines(spark):
     want = {tuple(r) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_returnflag", "l_linestatus").distinct().collect()}
     assert ("N", "F") in want
-    for name in ("pairwise_tests_all", "holm_adjust_all"):
+    for name in ("pairwise_tests", "holm_adjust"):
         assert {(r["outcome"], r["model"]) for r in catalog.QUERIES[name](spark, SF).collect()} == want
 
 
