@@ -1,6 +1,6 @@
-"""All queries of the library, by name, with the SQL that gives the same rows."""
+"""All queries and their SQL."""
 
-from . import kernels, reports, subjects
+from . import kernels, reports, subjects, summary
 
-QUERIES: dict = {**subjects.QUERIES, **reports.QUERIES, **kernels.QUERIES}
-ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **reports.ORACLE_SQL}
+QUERIES = {**subjects.QUERIES, **summary.QUERIES, **reports.QUERIES, **kernels.QUERIES}
+ORACLE_SQL = {**subjects.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL}

@@ -55,17 +55,6 @@ def stats_sql(rows: str, key: str, value: str, prefix: str, log_shape: bool = Fa
  FROM (SELECT *, avg(z) OVER (PARTITION BY {key}) AS mz FROM (SELECT *, {value}::DOUBLE AS x, {shape} AS z FROM {rows})) GROUP BY {key}"""
 
 
-def subject_summary(spark, sf_dir: str) -> DataFrame:
-    """A28 over W7, A25, A27 and A1: bouts, then statistics of their duration and amplitude, one row a subject."""
-    b = bouts(spark, sf_dir)
-    b = b.withColumn("duration", F.col("duration_sec").cast("double"))
-    return rounded(b.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_bouts"), F.count("duration").alias("dur_n"), *stats.stat_columns(F.col("duration"), "dur", True), F.count("pa_amplitude").alias("pa_n"), *stats.stat_columns(F.col("pa_amplitude"), "pa")))
-
-
-SUBJECT_SUMMARY_SQL = f"""WITH {BOUTS_SQL}, d AS ({stats_sql("b", "user_id", "duration_sec", "dur", True)}), p AS ({stats_sql("b", "user_id", "pa_amplitude", "pa")})
-SELECT dur_n AS n_bouts, * FROM d JOIN p USING (user_id)"""
-
-
 def bout_assembly(spark, sf_dir):
     return rounded(bouts(spark, sf_dir))
 
@@ -295,7 +284,7 @@ def windows_sql(size: int, step: int, variance: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    subject_summary, bout_assembly, descriptive_stats, shape_stats_log1p, mad_stats, l_moments, histogram_fixed_bins, shannon_entropy, within_group_variability, wasserstein_day_pairs, day_stability,
+    bout_assembly, descriptive_stats, shape_stats_log1p, mad_stats, l_moments, histogram_fixed_bins, shannon_entropy, within_group_variability, wasserstein_day_pairs, day_stability,
     describe_percentiles, daily_totals, daily_volume, time_of_day, full_day_stats, epoch_totals, epoch_median, overlapping_windows, otsu_threshold, otsu_linear, active_windows, window_seconds, merged_bouts,
     gap_runs, longest_run, edge_days_dropped, wear_validation, cascading_impute, rolling_median, angle_change, sustained_inactivity, nonwear_vote, night_blocks, nightly_metrics, moving_average,
     hourly_grid, rhythm_is_iv, rhythm_l5_m10, regularity_index, nearest_reindex)}
@@ -307,7 +296,6 @@ _W1 = f"""{E_SQL}, fu AS (SELECT user_id, day, value AS x, count(*) OVER (PARTIT
  w1 AS (SELECT user_id, a, b, sum(gap * off) AS w1 FROM wk GROUP BY user_id, a, b)"""
 
 ORACLE_SQL = {
-    "subject_summary": SUBJECT_SUMMARY_SQL,
     "bout_assembly": f"WITH {BOUTS_SQL} SELECT user_id, bout_id, start_sec, end_sec, duration_sec, n_windows, round(speed, 6) AS speed, round(pa_amplitude, 6) AS pa_amplitude, round(pa_variability, 6) AS pa_variability, day, hour FROM b",
     "descriptive_stats": f"WITH {E_SQL} {stats_sql('e', 'event_type', 'value', 'v')}",
     "shape_stats_log1p": f"WITH {E_SQL} {stats_sql('e', 'user_id', 'value', 'v', True)}",
