@@ -191,9 +191,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     peeled = reduce(DataFrame.unionByName, done)
     of = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))
     known = cut(peeled.groupBy("_p", "_r").agg(of(0, "level").alias("level0"), of(1, "level").alias("level1"), of(2, "diff").alias("diff2"), of(3, "diff").alias("diff3")))
-    rows = cut(sets.join(known, ["_p", "_r"], "left").na.fill({"level0": LEAST_LEVEL, "level1": LEAST_LEVEL, "diff2": 0, "diff3": 0}))
+    filled = lambda df: df.join(known, ["_p", "_r"], "left").na.fill({"level0": LEAST_LEVEL, "level1": LEAST_LEVEL, "diff2": 0, "diff3": 0})
 
-    shown = rows.repartition("_p", "_r")
+    shown = filled(sets.select("_p", "_r", "own", "edited").repartition("_p", "_r"))
     both = F.array(*(F.struct(F.lit(v).alias("v"), F.col(c).alias("keys"), F.col(f"level{v}").alias("level")) for v, c in enumerate(("own", "edited"))))
     keys = shown.select("_p", "_r", F.explode(both).alias("x")).select("_p", "_r", "x.v", "x.level", F.explode("x.keys").alias("key")).withColumn("n", F.lit(1).cast("long"))
     wide = lambda c, digits: F.lpad(F.lower(F.hex(c)), digits, "0")
@@ -207,7 +207,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     marks = marks.select("_p", "_r", "v", F.concat(F.col("level").cast("string"), F.lit(":"), body, tail).alias("mark"))
     marks = marks.groupBy("_p", "_r").agg(F.max(F.when(F.col("v") == 0, F.col("mark"))).alias("m0"), F.max(F.when(F.col("v") == 1, F.col("mark"))).alias("m1"))
 
-    sized = shown.select("_p", "_r", "doc_id", "n_chars", "edited_sha256", "level0", "diff2", "diff3", F.size("own").alias("a"), F.size("edited").alias("b"), F.size("next").alias("c"))
+    sized = filled(sets.select("_p", "_r", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("a"), F.size("edited").alias("b"), F.size("next").alias("c")).repartition("_p", "_r"))
     out = sized.join(marks, ["_p", "_r"], "left")
     empty = F.lit(f"{LEAST_LEVEL}:" + "," * ((TABLES << LEAST_LEVEL) - 1))
     near = lambda other, diff: F.when(F.col("a") + F.col(other) == 0, F.lit(1.0)).otherwise(1 - F.col(diff) / F.greatest(F.lit(1), F.col("a") + F.col(other)))
