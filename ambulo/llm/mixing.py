@@ -91,7 +91,9 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     """docs as the mix has them: each row so many times as epochs have it, whole.
 
     From the plan only each source's last key is joined to the documents, one row for each source; the texts are not
-    moved. Rows with the key of a cut (equal in doc_id and size) share its lot.
+    moved. Rows with the key of a cut (equal in doc_id and size) share its lot. Null is a source like any other; null
+    doc_ids have one key; null and empty texts cost nothing and come with their neighbours. Columns pass through,
+    whatever their names. An empty table gives an empty result.
     """
     plan = mix_plan(docs, weights, most, seed)
     last = F.max(F.when(F.col("_before") < F.col("_rest"), F.struct("_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size")))

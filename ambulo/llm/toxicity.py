@@ -20,6 +20,8 @@ from .common import cut, portions, table, unused
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 20
+#: Characters that are hashed at once.
+PART = 1 << 18
 #: Bound of the training sample: at most so many labelled rows, those of the least hash of doc_id.
 TRAIN_ROWS = 8_000
 #: Features are used whose log-count ratio is so many standard errors away from zero.
@@ -29,11 +31,20 @@ THRESHOLD = 0.3
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Hash buckets, with repeats, of the text's n-grams; spaces stand for all white space and at both ends."""
+    """Hash buckets, some of them more than once, of the text's n-grams; spaces stand for all white space and both ends.
+
+    Long texts are hashed in parts that overlap, each reduced to its distinct buckets.
+    """
     if not text or not text.strip():
         return np.empty(0, np.int64)
-    codes = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
+    codes = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) <= PART:
+        return _hashed(codes)
+    return np.concatenate([np.unique(_hashed(codes[at : at + PART + max(ORDERS) - 1])) for at in range(0, len(codes), PART)])
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    codes, out = codes.astype(np.uint64), [np.empty(0, np.uint64)]
     with np.errstate(over="ignore"):
         for n in ORDERS:
             if len(codes) < n:
@@ -57,7 +68,7 @@ class Model:
         found = ngrams(text)
         found = found[self.weights[found] != 0]
         z = self.bias + float(np.sort(self.weights[np.unique(found)].astype(np.float64)).sum())
-        return 0.0 if z == -np.inf else float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return 0.0 if z == -np.inf else 1.0 if z == np.inf else float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -69,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The classifier of `docs` by `labels(doc_id, toxic)`; labels that are null are left out.
 
     Labels of one doc_id count as toxic if one is; of several texts under one doc_id the least is learnt from. Null
-    doc_ids are not. Without labelled rows every score is 0; with one class only, the smoothed share of it. Ratios are
+    doc_ids are not. Without toxic rows to learn from every score is 0, without others 1. Ratios are
     counted on the cluster; the driver holds the significant features of `rows` texts.
     """
     zero = np.zeros(1 << HASH_BITS, np.float32)
@@ -88,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     classes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = classes.get(1, 0), classes.get(0, 0)
     if not n1 or not n0:
-        return Model(zero, float(np.log((n1 + 1) / (n0 + 1))) if n1 + n0 else -np.inf)
+        return Model(zero, np.inf if n1 else -np.inf)
     spread = train.select("id", "y", F.explode("f").alias("f"))
     counted = spread.groupBy("f").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c")).withColumn("c0", F.col("c") - F.col("c1"))
     ratio = F.log((F.col("c1") + SMOOTH) / (n1 + 2 * SMOOTH)) - F.log((F.col("c0") + SMOOTH) / (n0 + 2 * SMOOTH))
