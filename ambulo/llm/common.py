@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,10 +41,35 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """While it lasts, batches to and from Python workers have BATCH_BYTES at most, which bounds the memory of both."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidy(run):
+    """A function over Arrow batches that gives freed buffers back when its partition is done; workers live on."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow column of strings (null: empty), end to end, and the offsets of each in them."""
     import pyarrow as pa

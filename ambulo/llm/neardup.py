@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, portions, table, unused, utf8
+from .common import cut, portions, table, tidy, unused, utf8
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
@@ -249,7 +249,7 @@ class _Linker:
         ids = cut(self.heads.join(nodes, "set", "left_semi").select(F.col("doc_id").alias("id")).distinct())
         wanted = F.broadcast(ids) if ids.count() * ID_BYTES <= BROADCAST_BYTES else ids
         texts = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-        return cut(texts.select("text").mapInArrow(_sets(self.words_each), "set binary, items array<long>").dropDuplicates(["set"]))
+        return cut(texts.select("text").mapInArrow(tidy(_sets(self.words_each)), "set binary, items array<long>").dropDuplicates(["set"]))
 
     def link(self, pairs: DataFrame) -> bool:
         """Links those of pairs(a, b) that are near; whether there are any new ones. Each pair is met once."""
@@ -307,7 +307,7 @@ def _classified(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    signed = cut(keyed.mapInArrow(_signatures(words_each), "doc_id long, text_key long, n long, set binary, bands array<long>, sig array<long>"))
+    signed = cut(keyed.mapInArrow(tidy(_signatures(words_each)), "doc_id long, text_key long, n long, set binary, bands array<long>, sig array<long>"))
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     repeated = cut(classes.where("copies > 1").select("set", "rep"))

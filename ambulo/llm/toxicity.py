@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, portions, table, unused
+from .common import cut, portions, table, tidy, unused
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 20
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "f"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-    train = cut(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(extract, "id long, y int, f array<int>"))
+    train = cut(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(tidy(extract), "id long, y int, f array<int>"))
     classes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = classes.get(1, 0), classes.get(0, 0)
     if not n1 or not n0:
@@ -161,7 +161,7 @@ def score_documents(docs: DataFrame, model: Model, score: str = "toxicity") -> D
             scores = [sent.value.score(t.as_py()) for t in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
