@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import portions, table
+from .common import portions, table, tidy
 
 SPACE = "\u2581"
 N_BEST = 4
 #: Distinct spans that a worker remembers in each of two generations, and the longest of them.
-SPANS_KEPT, SPAN_CHARS = 60_000, 64
+SPANS_KEPT, SPAN_CHARS = 100_000, 64
 #: Runs of letters and of other characters, with the marks before them; what joins the two.
 RUNS = regex.compile(r"\u2581*[\p{L}\p{M}]+|\u2581*[^\p{L}\p{M}\u2581]+|\u2581+")
 JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}\u2581][\p{L}\p{M}]")
@@ -114,9 +114,12 @@ class Pieces:
                 raise ValueError("pieces of one hash")
             if some:
                 self.tables[k] = hashes, np.array([x[1] for x in some]), np.array([int.from_bytes(x[2], "little") for x in some])
-        self.kept, self.words, self.more = _Kept(), _Kept(), _Kept()
+        self.forget()
         gc.freeze()  # the vocabulary stays: collections need not look at it
 
+    def forget(self) -> None:
+        self.kept, self.more = _Kept(), _Kept()
+
     def forward(self, span: str) -> tuple[list[float], list[int]]:
         """Viterbi: the best score of every prefix, and where the last piece of it begins."""
         size = len(span)
@@ -247,44 +250,48 @@ class Pieces:
         return [(b, b - t, order[(r + 1) * width - 4 * c : (r + 1) * width]) if ok else None for r, (ok, b, t, c) in enumerate(zip(whole.tolist(), ends.tolist(), top.tolist(), counts, strict=True))]
 
     def _runs(self, span: str) -> list[str]:
-        if not self.apart:
-            return [span]
-        if span[1:].isalpha() and span[0] == SPACE:
+        if not self.apart or span[0] == SPACE and span[1:].isalpha():
             return [span]
-        if span[-1] in ",.;:!?" and span[1:-1].isalpha() and span[0] == SPACE:
+        if span[-1] in ",.;:!?" and span[0] == SPACE and span[1:-1].isalpha():
             return [span[:-1], span[-1]]
         return RUNS.findall(span)
 
     def solved(self, spans) -> dict[str, tuple[float, float, bytes]]:
-        """`first` of each of some spans, remembered.
+        """`first` of each of some spans (and of their runs), remembered.
 
         Where no piece joins letters to other characters, runs of either are searched apart. New runs of one length are
         searched side by side.
         """
-        out, new, by_length = {}, {}, {}
-        words: dict[str, tuple] = {}
+        new, old, out = self.kept.new.get, self.kept.old.get, {}
+        parted, queued, by_length = {}, set(), {}
         for span in spans:
-            got = self.kept.get(span)
+            got = new(span) or old(span)
             if got:
                 out[span] = got
                 continue
-            new[span] = runs = self._runs(span)
+            runs = self._runs(span)
+            if len(runs) > 1:
+                parted[span] = runs
             for r in runs:
-                if r not in words:
-                    words[r] = got = self.words.get(r)
-                    if got is None and len(r) <= TABLE_SPAN:
-                        by_length.setdefault(len(r), []).append(r)
-        for some in by_length.values():
+                if r in out or r in queued:
+                    continue
+                got = len(runs) > 1 and (new(r) or old(r))
+                if got:
+                    out[r] = got
+                else:
+                    queued.add(r)
+                    by_length.setdefault(len(r), []).append(r)
+        for size, some in by_length.items():
             for k in range(0, len(some), SIDE_BY_SIDE):
-                words.update(zip(some[k : k + SIDE_BY_SIDE], self.first_of_many(some[k : k + SIDE_BY_SIDE]), strict=True))
-        for r, found in words.items():
-            if found is None:
-                words[r] = found = self.first(r)
-            self.words.put(r, found)
-        for span, runs in new.items():
-            each = [words[r] for r in runs]
-            out[span] = got = each[0] if len(each) == 1 else (sum(x[0] for x in each), min(x[1] for x in each), b"".join(x[2] for x in each))
-            self.kept.put(span, got)
+                part = some[k : k + SIDE_BY_SIDE]
+                found = self.first_of_many(part) if size <= TABLE_SPAN else [None] * len(part)
+                out.update((r, x or self.first(r)) for r, x in zip(part, found, strict=True))
+        for span, runs in parted.items():
+            each = [out[r] for r in runs]
+            out[span] = sum(x[0] for x in each), min(x[1] for x in each), b"".join([x[2] for x in each])
+        put = self.kept.put
+        for span in chain(queued, parted):
+            put(span, out[span])
         return out
 
     def choices(self, span: str, n: int) -> list[tuple[float, bytes]]:
@@ -392,7 +399,8 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
 
     def run(batches):
         known = pieces(path)
-        for batch in portions(batches):
+        gc.disable()  # many objects and no cycles
+        for batch in portions(batches, most=2 << 20):
             each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
             counts = [len(f) for f in each]
             flat = [s for f in each for s in f]
@@ -405,8 +413,10 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
                 numbers = lambda parts: lists(pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()), [len(x) // 4 for x in parts])
                 columns += [numbers([f[0][1] for f in each]), lists(numbers([x for _, x in flat]), counts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+        gc.enable()
+        known.forget()  # the worker may go on to other work
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def default_model() -> str:
