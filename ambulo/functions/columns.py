@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Physiological bounds of bout metrics (fixed values of the domain).
-BOUNDS = {"duration_sec": (10, 10_000), "pa_amplitude": (0, 5)}
 #: Hours at which the parts of the day begin; night is the rest.
 DAY_PARTS = {"morning": (6, 11), "afternoon": (12, 16), "evening": (17, 23), "night": (0, 5)}
 

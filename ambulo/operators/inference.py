@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi_square_rest, normal_two_sided, t_critical, t_two_sided
 from .ranks import same_keys, with_average_rank, with_running_sums
+from .sequence import holm
 
 
 def cohens_d(df: DataFrame, keys: list[str], value: str, group: str, least: int = 10) -> DataFrame:
@@ -129,10 +130,56 @@ def corrected_test(df: DataFrame, family: list[str], sets: str, fold: str, score
     rows = df.select(*family, F.col(sets).alias("s"), fold, F.col(score).alias("v")).where("v IS NOT NULL")
     a, b = rows.withColumnsRenamed({"s": "set_a", "v": "va"}), rows.withColumnsRenamed({"s": "set_b", "v": "vb"})
     d = a.join(b, [*family, fold]).where("set_a < set_b").withColumn("d", F.col("va") - F.col("vb"))
-    out = d.groupBy(*family, "set_a", "set_b").agg(F.count("d").alias("n"), F.avg("d").alias("delta"), F.var_samp("d").alias("var"))
+    return paired_test(d, [*family, "set_a", "set_b"], k)
+
+
+def paired_test(d: DataFrame, by: list[str], k: int = 5) -> DataFrame:
+    """The corrected test of differences d(by, d), one for each fold."""
+    out = d.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("delta"), F.var_samp("d").alias("var"))
     se = F.sqrt((1 / F.col("n") + 1 / F.lit(k - 1)) * F.col("var"))
     out = out.withColumn("se", se).withColumn("t_stat", F.try_divide("delta", "se")).withColumn("df", F.col("n") - 1).drop("var")
     free, width = F.col("df").cast("double"), F.col("_t") * F.col("se")
     critical = out.select("df").distinct().select(F.col("df").alias("_df"), F.when(F.col("df") > 0, t_critical(free)).alias("_t"))
     tested = out.join(critical, F.col("df") == F.col("_df")).withColumn("p", F.when(F.col("t_stat").isNotNull(), t_two_sided(F.col("t_stat"), free)))
     return tested.select(*out.columns, "p", (F.col("delta") - width).alias("low"), (F.col("delta") + width).alias("high"))
+
+
+def contrasts(best: DataFrame, named: DataFrame, outcome: str, sets: str, fold: str, score: str, k: int = 5) -> DataFrame:
+    """Tests of named pairs of feature sets, A less B, for each outcome; p adjusted within each primary contrast.
+
+    best(outcome, sets, fold, score): fold scores of the best model of each cell; named(contrast, family, set_a, set_b).
+    Pairs of which a cell is missing have no row. Contrasts of another family than `primary` are not adjusted.
+    """
+    rows = best.select(outcome, F.col(sets).alias("s"), fold, F.col(score).alias("v"))
+    a, b = rows.withColumnsRenamed({"s": "set_a", "v": "va"}), rows.withColumnsRenamed({"s": "set_b", "v": "vb"})
+    met = F.broadcast(named).join(a, "set_a").join(b, [outcome, "set_b", fold]).withColumn("d", F.col("va") - F.col("vb"))
+    tested = paired_test(met, ["contrast", "family", outcome, "set_a", "set_b"], k)
+    primary = holm(tested.where("family = 'primary'"), ["contrast"], "p")
+    return primary.unionByName(tested.where("family <> 'primary'"), allowMissingColumns=True)
+
+
+def headline(tests: DataFrame, set_a, set_b, family: list[str]) -> DataFrame:
+    """Of pairwise tests(family, set_a, set_b, delta, low, high, p) those of two sets, turned so that delta is
+    set_a less set_b; p adjusted over the rows found."""
+    turned = F.col("set_a") != F.lit(set_a)
+    found = tests.where(F.col("set_a").isin(set_a, set_b) & F.col("set_b").isin(set_a, set_b))
+    side = lambda c, other: F.when(turned, -F.col(other)).otherwise(F.col(c)).alias(c)
+    out = found.select(*family, F.lit(set_a).alias("set_a"), F.lit(set_b).alias("set_b"), side("delta", "delta"), side("low", "high"), side("high", "low"), "p")
+    return holm(out, ["set_a"], "p")
+
+
+def curves(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """For each distinct score as threshold the true and false positive rate (= recall) and the precision."""
+    held = df.groupBy(*keys, score).agg(F.sum(label).alias("tp"), F.sum(1 - F.col(label)).alias("fp"))
+    run = with_running_sums(held, keys, score, {"ctp": "tp", "cfp": "fp"})
+    ends = held.groupBy(*keys).agg(F.sum("tp").alias("_p"), F.sum("fp").alias("_n"))
+    return same_keys(run, ends, keys).select(*keys, score, F.try_divide("ctp", "_p").alias("tpr"), F.try_divide("cfp", "_n").alias("fpr"), F.try_divide(F.col("ctp"), F.col("ctp") + F.col("cfp")).alias("precision"))
+
+
+def density(df: DataFrame, keys: list[str], value: str, points: int) -> DataFrame:
+    """Gaussian kernel density of each group at points between its ends, with Scott's bandwidth n^(-1/5) * s."""
+    ends = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), (F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2))).alias("h"))
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1)).alias("x"))))
+    spread = same_keys(df.where(F.col(value).isNotNull()).select(*keys, value), ends, keys).where("h > 0").select(*keys, value, "n", "h", grid.alias("g"))
+    z = (F.col("g.x") - F.col(value)) / F.col("h")
+    return spread.groupBy(*keys, F.col("g.i").alias("i"), F.col("g.x").alias("x"), "n", "h").agg(F.sum(F.exp(-z * z / 2)).alias("_s")).select(*keys, "i", "x", (F.col("_s") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))

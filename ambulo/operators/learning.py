@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .inference import auc, average_precision, class_metrics
+from .ranks import with_hash_number
 from .relational import folds
 
 #: The five strategies of the baseline.
@@ -289,20 +290,20 @@ def _tuned(sides: list, key: str, label: str, strategy: str, name: str, models)
     return {"choice": ",".join(filter(None, (s, m))), "inner_ap": sum(found[s, m]) / len(found[s, m]), **{c: v for x in metrics for c, v in x.asDict().items() if c != "all"}}
 
 
-def permutation_importance(df: DataFrame, key: str, cols: list[str], label: str, model, repeats: int = 3) -> list[tuple[str, float]]:
-    """Fall of accuracy on a hashed quarter when a column's values are dealt to other rows, by rank."""
-    from pyspark.sql import Window
-
+def permutation_importance(df: DataFrame, key: str, cols: list[str], label: str, model, repeats: int = 10) -> list[tuple[str, float]]:
+    """Fall of accuracy on a hashed quarter when a column's values are dealt to other rows, by rank of a hash."""
     held = F.pmod(F.xxhash64(key, F.lit(42)), F.lit(4)) == 0
-    train, test = df.where(~held), df.where(held).cache()
+    train, test = df.where(~held), df.where(held).withColumn("_all", F.lit(0)).cache()
     fit = model.fit(_vectors(train, cols))
     accuracy = lambda d: fit.transform(_vectors(d, cols)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
-    base, out = accuracy(test), []
+    order = lambda d, seed: with_hash_number(d, ["_all"], F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key, "_i")
+    base, ranked, out = accuracy(test), order(test, -1).cache(), []
     for c in cols:
-        fall = 0.0
+        falls = []
         for r in range(repeats):
-            ranked = test.withColumn("_i", F.row_number().over(Window.orderBy(key)))
-            dealt = test.select(F.col(c).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(r)))).alias("_i"))
-            fall += base - accuracy(ranked.join(dealt, "_i").withColumn(c, F.col("_v")))
-        out.append((c, fall / repeats))
+            dealt = order(test, r).select(F.col(c).alias("_v"), "_i")
+            falls.append(base - accuracy(ranked.join(dealt, "_i").withColumn(c, F.col("_v"))))
+        out.append((c, sum(falls) / repeats))
+    for d in (test, ranked):
+        d.unpersist()
     return sorted(out, key=lambda x: (-x[1], x[0]))

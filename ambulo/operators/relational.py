@@ -137,3 +137,12 @@ def folds(df: DataFrame, key: str, stratum: str | None, k: int, repeats: int, se
     many = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     numbered = with_hash_number(many, ["repeat", *([stratum] if stratum else [])], h, key, "_i")
     return numbered.withColumn("fold", ((F.col("_i") - 1) % k).cast("int")).drop("_i")
+
+
+def in_order(df: DataFrame, column: str, order: list[str], then: list[Column]) -> DataFrame:
+    """K6, K7: place of each row by a stated order of categories (others last), then by further columns.
+
+    The place, not the order of rows, carries the result; the window runs over a report's rows.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(column)), F.lit(0))
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.when(rank > 0, rank).otherwise(len(order) + 1), *then)))

@@ -1,6 +1,6 @@
-"""All queries and their SQL."""
+"""All queries of the library, by name, with the SQL that gives the same rows."""
 
-from . import kernels, reports, subjects, summary
+from . import analysis, kernels, reports, subjects, summary
 
-QUERIES = {**subjects.QUERIES, **summary.QUERIES, **reports.QUERIES, **kernels.QUERIES}
-ORACLE_SQL = {**subjects.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL}
+QUERIES: dict = {**subjects.QUERIES, **summary.QUERIES, **reports.QUERIES, **analysis.QUERIES, **kernels.QUERIES}
+ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL, **analysis.ORACLE_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..operators import inference, relational, sequence, stats
+from ..operators import inference, learning, relational, sequence, stats
 from .subjects import E_SQL, events, rounded
 
 
@@ -56,6 +56,12 @@ def split_disjoint(spark, sf_dir):
     return relational.assert_disjoint(s.where("held_out"), s.where("NOT held_out"), "c_custkey")
 
 
+def split_overlap(spark, sf_dir):
+    """Keys held out by one split and kept by another, which the guard must find."""
+    one, two = (relational.stratified_split(_t(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", 0.15, seed) for seed in (20260414, 7))
+    return relational.assert_disjoint(one.where("held_out"), two.where("NOT held_out"), "c_custkey")
+
+
 def reconcile_counts(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("stated"))
     return relational.reconcile(o, _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"], "stated")
@@ -91,9 +97,12 @@ def id_split(spark, sf_dir):
     return ids.select("sub_id", "norm", projid.alias("projid"), year.alias("fu_year"))
 
 
+def _gappy(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select(F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("a"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("b"), "user_id")
+
+
 def missingness_profile(spark, sf_dir):
-    e = events(spark, sf_dir).select(F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("a"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("b"), "user_id")
-    return relational.missingness(e, ["a", "b", "user_id"])
+    return relational.missingness(_gappy(spark, sf_dir), ["a", "b", "user_id"])
 
 
 def value_counts(spark, sf_dir):
@@ -285,8 +294,8 @@ def selection_summary(spark, sf_dir):
 
 def missing_rate_filter(spark, sf_dir):
     """M1: columns with fewer nulls than the threshold, else the first."""
-    m = missingness_profile(spark, sf_dir)
-    return m.where("pct_missing < 12").select("column")
+    e = _gappy(spark, sf_dir)
+    return spark.createDataFrame([(c,) for c in learning.missing_rate_filter(e, e.columns, 0.12)], "column string")
 
 
 def events_described(spark, sf_dir):
@@ -295,7 +304,7 @@ def events_described(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    merge_inner, merge_left_demographics, merge_visits_dedup, semi_dev, anti_done, split_disjoint, reconcile_counts, union_devices, binary_outcomes, ordinal_cutpoints, cohort, id_split, missingness_profile, value_counts,
+    merge_inner, merge_left_demographics, merge_visits_dedup, semi_dev, anti_done, split_disjoint, split_overlap, reconcile_counts, union_devices, binary_outcomes, ordinal_cutpoints, cohort, id_split, missingness_profile, value_counts,
     bounds_report, outlier_flags, topn_flags, topn_groups, group_profile, class_balance, cohort_means, cohens_d, mann_whitney_u, spearman, pearson_matrix, ols_line, selection_bias, contingency, stratified_split,
     split_balance, hash_sample, fold_assignment, fold_summary, best_per_group, pairwise_tests, holm_adjust, average_precision, auc_rank, balanced_accuracy_f1, r2_mae, mode_params, selection_summary, missing_rate_filter, events_described)}
 
@@ -315,6 +324,7 @@ ORACLE_SQL = {
     "semi_dev": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "anti_done": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "split_disjoint": f"WITH {_SPLIT} SELECT c_custkey FROM sp WHERE held_out INTERSECT SELECT c_custkey FROM sp WHERE NOT held_out",
+    "split_overlap": f"WITH {_SPLIT}, s2 AS ({_SPLIT.removeprefix('sp AS (').removesuffix(')').replace('20260414:', '7:')}) SELECT c_custkey FROM sp WHERE held_out INTERSECT SELECT c_custkey FROM s2 WHERE NOT held_out",
     "reconcile_counts": "SELECT o_orderkey, o_orderkey % 8 AS stated, count(l_orderkey) AS counted, o_orderkey % 8 - count(l_orderkey) AS discrepancy FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "union_devices": "SELECT c_custkey AS id, c_acctbal AS bal, 'left' AS device FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier",
     "binary_outcomes": "SELECT c_custkey, (c_acctbal > 0)::DOUBLE AS positive, (nullif(c_nationkey, 3) > 0)::DOUBLE AS nation_yn FROM customer",

@@ -34,7 +34,7 @@ def list_recordings(spark: SparkSession, folder: str, pattern: str = "*.mat", ex
 
 
 def read_signal(spark: SparkSession, path: str) -> DataFrame:
-    """Raw signals as ingested, one row a sample; the vendor's MATLAB files need a reader outside this library."""
+    """Raw signals after ingest, one row a sample; reading the vendors' MATLAB files (S1 to S3) is not in this library."""
     return spark.read.schema("subject_id string, device string, i bigint, ts timestamp_ntz, x double, y double, z double").parquet(path)
 
 

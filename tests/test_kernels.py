@@ -1,5 +1,7 @@
 """Operators against NumPy and small hand-made cases."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,43 @@ def test_stream_of_bouts(spark, tmp_path):
     q = stream_bouts(source).writeStream.format("memory").queryName("bouts_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["n_windows"] for r in spark.table("bouts_out").collect()) == [1, 3]
+
+
+def test_permutation_importance_finds_the_column_that_matters(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    rows = [(i, *map(float, v), int(v[1] > 0)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    found = learning.permutation_importance(df, "id", ["a", "b", "c"], "y", LogisticRegression(labelCol="y", regParam=0.01), 3)
+    assert found[0][0] == "b" and found[0][1] > 0.3 and all(abs(v) < 0.1 for _, v in found[1:])
+
+
+def test_distributions_match_known_values(spark):
+    from ambulo.functions import distributions as d
+
+    t = spark.createDataFrame([(2.0, 14.0), (0.5, 3.3), (-7.0, 1.0), (0.0, 5.0)], "t double, df double").select(d.t_two_sided(F.col("t"), F.col("df")).alias("p"), d.t_critical(F.col("df")).alias("c")).collect()
+    def tail(t, df):  # the density in the angle, by the trapezoid rule
+        x = np.linspace(np.arctan(abs(t) / df**0.5), np.pi / 2, 200_001)
+        return 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.pi**0.5 * np.trapezoid(np.cos(x) ** (df - 1), x)
+
+    assert np.allclose([r["p"] for r in t], [tail(*x) for x in ((2.0, 14.0), (0.5, 3.3), (-7.0, 1.0), (0.0, 5.0))], atol=1e-7)
+    assert abs(t[0]["c"] - 2.144786688) < 1e-6 and abs(t[2]["c"] - 12.70620474) < 1e-5
+    z = spark.createDataFrame([(1.959963985,), (0.3,), (6.0,)], "z double").select(d.normal_two_sided(F.col("z")).alias("p")).collect()
+    assert np.allclose([r["p"] for r in z], [0.05, 0.7641771556, 1.973175e-9], rtol=1e-5)
+
+
+def test_ranks_of_one_large_group_equal_sorting(spark):
+    from ambulo.operators import ranks
+
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 300, 3000)
+    df = spark.createDataFrame([(None, int(x)) for x in v] + [("k", 1), ("k", 1), ("k", 0)], "g string, v int")
+    got = sorted((r["v"], r["r"]) for r in ranks.with_average_rank(df, ["g"], "v", "r").where("g IS NULL").collect())
+    order = np.sort(v)
+    want = [(int(x), (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2) for x in order]
+    assert got == want
+    sums = df.where("g IS NULL").groupBy("g", "v").count()
+    run = {r["v"]: r["n"] for r in ranks.with_running_sums(sums, ["g"], "v", {"n": "count"}).collect()}
+    assert run == {int(x): int((v >= x).sum()) for x in set(v.tolist())}
