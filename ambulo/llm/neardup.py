@@ -284,8 +284,9 @@ class _Linker:
         """
         t = self.percent
         named = cut(apart.join(apart.where("set = p").select("key", F.col("label").alias("main")), "key"))
-        centres = named.groupBy("main", "p").count().groupBy("main").agg(F.max(F.struct("count", "p"))["p"].alias("centre"))
-        members = cut(named.join(centres, "main").select(F.col("centre").alias("p"), "set", "label", "main").distinct())
+        centres = cut(named.groupBy("main", "p").count().groupBy("main").agg(F.max(F.struct("count", "p"))["p"].alias("centre")))
+        small = F.broadcast(centres) if centres.count() * 4 * ID_BYTES <= BROADCAST_BYTES else centres
+        members = cut(named.join(small, "main").select(F.col("centre").alias("p"), "set", "label", "main").distinct())
         sets = self.sets_of(members.select("set").union(members.select("p")).distinct())
         both = members.where("set <> p").join(sets, "set").join(sets.toDF("p", "base"), "p")
         less, more = F.array_except("base", "items"), F.array_except("items", "base")
