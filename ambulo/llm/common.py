@@ -59,13 +59,18 @@ def _small_batches(spark: SparkSession):
 
 
 def tidy(run):
-    """A function over Arrow batches that gives freed buffers back when its partition is done; workers live on."""
+    """A function over Arrow batches that gives freed memory back when its partition is done; workers live on."""
 
     def wrapped(batches):
+        import ctypes
+
         import pyarrow as pa
 
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
 
     return wrapped
 
@@ -81,7 +86,7 @@ def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def portions(batches, column: str = "text", most: int = 1 << 20):
+def portions(batches, column: str = "text", most: int = 1 << 18):
     """Slices of Arrow batches, in order, with about `most` bytes of text each and one row at least."""
     for batch in batches:
         ends, at = utf8(batch.column(column))[1], 0

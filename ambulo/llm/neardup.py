@@ -34,7 +34,7 @@ WORTH = 0.1
 #: Ids are broadcast while they take up to so many bytes (ID_BYTES each); beyond that they are joined by shuffles.
 BROADCAST_BYTES, ID_BYTES = 16 << 20, 16
 #: Bytes of text that a worker hashes at once.
-PORTION = 1 << 20
+PORTION = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, portions, table
+from .common import cut, portions, table, tidy
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
 
     import pickle
 
-    kept = some.mapInArrow(run, "doc_id long, found binary").orderBy("doc_id").collect()
+    kept = some.mapInArrow(tidy(run), "doc_id long, found binary").orderBy("doc_id").collect()
     return train([e for r in kept for e in pickle.loads(r["found"])])
 
 
@@ -395,7 +395,7 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
             kinds = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def op5_semi_markov(spark, sf_dir: str) -> DataFrame:

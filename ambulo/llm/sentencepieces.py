@@ -400,7 +400,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
     def run(batches):
         known = pieces(path)
         gc.disable()  # many objects and no cycles
-        for batch in portions(batches, most=2 << 20):
+        for batch in portions(batches, most=1 << 20):
             each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
             counts = [len(f) for f in each]
             flat = [s for f in each for s in f]
