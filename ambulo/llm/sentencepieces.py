@@ -15,7 +15,7 @@ import gc
 import heapq
 import zlib
 from functools import lru_cache
-from itertools import chain, count, pairwise
+from itertools import chain, count, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +47,10 @@ class _Kept:
     def get(self, span):
         return self.new.get(span) or self.old.get(span)
 
-    def put(self, span, found) -> None:
-        if len(span) <= SPAN_CHARS:
-            if len(self.new) >= SPANS_KEPT:
-                self.new, self.old = {}, self.new
-            self.new[span] = found
+    def put_all(self, pairs) -> None:
+        if len(self.new) >= SPANS_KEPT:
+            self.new, self.old = {}, self.new
+        self.new.update(pairs)
 
 
 def _prefixes(spans: list[str]) -> np.ndarray:
@@ -224,30 +223,32 @@ class Pieces:
                 hit = hashes[at] == part
                 score[:, k:, k], ids[:, k:, k] = np.where(hit, scores[at], -INF), numbers[at]
         whole = (score[:, 1:, 1] > -INF).all(axis=1)
-        best, last = np.full((many, size + 1), -INF), np.zeros((many, size + 1), np.int64)
-        best[:, 0] = 0.0
+        best, last, behind = np.zeros((many, size + 1)), np.zeros((many, size + 1), np.int64), np.full((many, size + 1), INF)
         for j in range(1, size + 1):
+            top, second, chosen = np.full(many, -INF), np.full(many, -INF), np.zeros(many, np.int64)
             for k in range(min(j, longest), 0, -1):  # the longest of equals, as in `forward`
                 found = best[:, j - k] + score[:, j, k]
-                better = found > best[:, j]
-                best[better, j], last[better, j] = found[better], k
+                better = found > top
+                second = np.maximum(second, np.where(better, top, found))
+                chosen = np.where(better, k, chosen)
+                top = np.maximum(top, found)
+            with np.errstate(invalid="ignore"):  # where nothing ends
+                best[:, j], last[:, j], behind[:, j] = top, chosen, top - second
+        # Back along the best path: what comes after a node costs all hypotheses through it the same, so the best one
+        # that is left behind there is as far from the best of all as its piece is from the one chosen.
         row = np.arange(many)
-        at, done, top, path = np.where(whole, size, 0), np.zeros(many), np.full(many, -INF), []
+        at, gap, path = np.where(whole, size, 0), np.full(many, INF), []
         while at.any():
             chosen = last[row, at]
-            for k in range(1, longest + 1):
-                other = (at >= k) & (chosen != k)
-                bound = best[row, np.maximum(at - k, 0)] + score[row, at, k] + done
-                np.maximum(top, np.where(other, bound, -INF), out=top)
+            np.minimum(gap, np.where(at > 0, behind[row, at], INF), out=gap)
             path.append(np.where(at > 0, ids[row, at, chosen], -1))
-            done += np.where(at > 0, score[row, at, chosen], 0.0)
             at = at - chosen
         order = np.array(path[::-1]).T.astype("<i4") if path else np.empty((many, 0), "<i4")
         counts = (order >= 0).sum(axis=1).tolist()
         order = order.tobytes()
         width = 4 * len(path)
-        ends = best[:, -1]
-        return [(b, b - t, order[(r + 1) * width - 4 * c : (r + 1) * width]) if ok else None for r, (ok, b, t, c) in enumerate(zip(whole.tolist(), ends.tolist(), top.tolist(), counts, strict=True))]
+        each = zip(whole.tolist(), best[:, -1].tolist(), gap.tolist(), counts, strict=True)
+        return [(b, g, order[(r + 1) * width - 4 * c : (r + 1) * width]) if ok else None for r, (ok, b, g, c) in enumerate(each)]
 
     def _runs(self, span: str) -> list[str]:
         if not self.apart or span[0] == SPACE and span[1:].isalpha():
@@ -262,36 +263,38 @@ class Pieces:
         Where no piece joins letters to other characters, runs of either are searched apart. New runs of one length are
         searched side by side.
         """
-        new, old, out = self.kept.new.get, self.kept.old.get, {}
-        parted, queued, by_length = {}, set(), {}
+        new, old, out, fresh = self.kept.new, self.kept.old, {}, []
         for span in spans:
-            got = new(span) or old(span)
-            if got:
-                out[span] = got
-                continue
-            runs = self._runs(span)
-            if len(runs) > 1:
-                parted[span] = runs
-            for r in runs:
-                if r in out or r in queued:
-                    continue
-                got = len(runs) > 1 and (new(r) or old(r))
+            if span in new:
+                out[span] = new[span]
+            elif span in old:
+                out[span] = old[span]
+            else:
+                fresh.append(span)
+        alone = [s for s in fresh if s[1:].isalpha() and s[0] == SPACE] if self.apart else fresh
+        queued = set(alone)
+        parted = {s: self._runs(s) for s in fresh if s not in queued}
+        for r in chain.from_iterable(parted.values()):
+            if r not in queued and r not in out:
+                got = new.get(r) or old.get(r)
                 if got:
                     out[r] = got
                 else:
                     queued.add(r)
-                    by_length.setdefault(len(r), []).append(r)
-        for size, some in by_length.items():
+        for size, some in groupby(sorted(queued, key=len), len):
+            some = list(some)
             for k in range(0, len(some), SIDE_BY_SIDE):
                 part = some[k : k + SIDE_BY_SIDE]
                 found = self.first_of_many(part) if size <= TABLE_SPAN else [None] * len(part)
-                out.update((r, x or self.first(r)) for r, x in zip(part, found, strict=True))
+                found = [x or self.first(r) for r, x in zip(part, found, strict=True)] if None in found else found
+                out.update(zip(part, found, strict=True))
+                if size <= SPAN_CHARS:
+                    self.kept.put_all(zip(part, found, strict=True))
         for span, runs in parted.items():
             each = [out[r] for r in runs]
-            out[span] = sum(x[0] for x in each), min(x[1] for x in each), b"".join([x[2] for x in each])
-        put = self.kept.put
-        for span in chain(queued, parted):
-            put(span, out[span])
+            if len(each) > 1:
+                out[span] = sum(x[0] for x in each), min(x[1] for x in each), b"".join([x[2] for x in each])
+        self.kept.put_all((s, out[s]) for s in parted if len(s) <= SPAN_CHARS)
         return out
 
     def choices(self, span: str, n: int) -> list[tuple[float, bytes]]:
@@ -300,7 +303,7 @@ class Pieces:
         if got is None:
             got = self.n_best(span, n)
             if len(span) <= SPAN_CHARS:
-                self.more.put((span, n), got)
+                self.more.put_all([((span, n), got)])
         return got
 
     def decode(self, ids) -> str:
@@ -317,6 +320,8 @@ class Pieces:
 def spans(text: str) -> list[str]:
     """The text with spaces as marks and one mark before it, cut before every mark that follows another character."""
     parts = text.split(" ")
+    if "" not in parts:
+        return [SPACE + p for p in parts]
     out, marks = [], SPACE
     for k, p in enumerate(parts):
         if k and not p or not k and not p and len(parts) > 1:
