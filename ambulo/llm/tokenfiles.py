@@ -8,6 +8,7 @@ is decoded. Documents are range-partitioned by doc_id and written in order.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import zlib
@@ -231,6 +232,7 @@ def _writer(folder: str, path: str):
             ids, lengths, runs, size, seq = [], [], [], 0, seq + 1
             return row
 
+        gc.disable()  # many objects and no cycles
         for some_ids, texts in _portions(batches):
             for doc_id, codes in zip(some_ids, tokens.encode_batch(texts), strict=True):
                 own = np.append(codes, np.uint32(END_ID))
@@ -242,6 +244,7 @@ def _writer(folder: str, path: str):
                     yield flush()
         if ids:
             yield flush()
+        gc.enable()
 
     return run
 
