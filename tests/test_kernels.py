@@ -82,14 +82,28 @@ def test_rolling_median_frame(spark):
 
 
 def test_imputation_sees_earlier_fills(spark):
-    df = spark.createDataFrame([(1, 0, 0, 4.0), (1, 0, 0, None), (1, 1, 0, None)], "k int, wd int, h int, v double")
-    assert sorted(r["filled"] for r in sequence.cascading_impute(df, ["k"], "v", [["wd", "h"], ["h"]]).collect()) == [4.0, 4.0, 4.0]
+    rows = [(1, 0, 0, 0, 4.0), (1, 1, 0, 0, None), (1, 2, 1, 0, None), (1, 3, 1, 0, 8.0), (1, 4, 1, 0, None), (1, 5, 1, 0, None), (1, 6, 1, 0, None), (1, 7, 1, 0, 8.0)]
+    df = spark.createDataFrame(rows, "k int, i int, wd int, h int, v double")
+    out = sequence.cascading_impute(df, ["k"], "v", [["wd", "h"], ["h"]], "i", 2).orderBy("i").collect()
+    assert [r["filled"] for r in out] == [4.0, 4.0, 8.0, 8.0, None, None, None, 8.0]  # three in a row stay null
 
 
 def test_night_is_decided_by_the_middle(spark):
-    df = spark.createDataFrame([(1, 0, 9), (1, 12, 13), (1, 30, 41)], "k int, start int, end int")
-    out = sequence.night_blocks(df, ["k"], "start", "end", 2, 5, 20).orderBy("night").collect()
-    assert [(r["night"], r["start"], r["end"]) for r in out] == [(0, 0, 13), (1, 30, 41)]
+    df = spark.createDataFrame([(1, 0, 9), (1, 12, 13), (1, 30, 41), (2, 20, 23), (2, 26, 29)], "k int, start int, end int")
+    out = sequence.night_blocks(df, ["k"], "start", "end", 2, 5, 20).orderBy("k", "night").collect()
+    # Runs on either side of noon do not merge, however close.
+    assert [(r["k"], r["night"], r["start"], r["end"]) for r in out] == [(1, 0, 0, 13), (1, 1, 30, 41), (2, 0, 20, 23), (2, 1, 26, 29)]
+
+
+def test_stability_weighs_the_profile_by_all_values(spark):
+    x = [1.0, 5.0, None, 3.0, 7.0, 2.0, 1.0, None, 4.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "k int, i int, v double")
+    known = [(i % 3, v) for i, v in enumerate(x) if v is not None]
+    values = np.array([v for _, v in known])
+    profile = np.array([np.mean([v for s, v in known if s == k]) for k in range(3)])
+    r = one(calendar.is_iv(df, ["k"], "i", "v", 3))
+    assert abs(r["rar_is"] - len(values) * profile.var() / (3 * values.var())) < 1e-12 and abs(r["rar_iv"] - np.mean(np.diff(values) ** 2) / values.var()) < 1e-12
+    assert one(calendar.is_iv(df, ["k"], "i", "v", 4))["rar_is"] is None
 
 
 def test_holm_is_monotone_and_not_below_raw(spark):
