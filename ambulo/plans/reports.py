@@ -236,7 +236,7 @@ def simpson(f: str, lo: str, hi: str, n: int = 2000) -> str:
 
 def t_two_sided_sql(t: str, df: str) -> str:
     """Two-sided chance of t: the density in the angle atan(t / sqrt(df)), integrated from the angle on."""
-    return f"(2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {simpson(f'power(cos({{x}}), ({df}) - 1)', f'atan(abs({t}) / sqrt({df}))', 'pi() / 2')})"
+    return f"(2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {simpson(f'power(cos({{x}}), ({df}) - 1)', f'atan(abs({t}) / sqrt({df}))', f'least(pi() / 2, atan(abs({t}) / sqrt({df})) + 15 / sqrt({df}))')})"
 
 
 def normal_two_sided_sql(z: str) -> str:
