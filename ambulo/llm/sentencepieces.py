@@ -4,9 +4,10 @@ The vocabulary is a public SentencePiece model file, whose merge ranks are read
 pieces. A forward Viterbi pass over the lattice of a span gives the best score of every prefix; that is the exact cost
 still to come for a hypothesis that grows backward from the end, so A-star pops complete segmentations in order of
 score. No piece reaches across a space mark that follows another character, so a text is a chain of spans between
-such marks: each distinct span is searched once, for its best segmentation and for the score at which its open list
-then stands, which is that of the second best; and the n best of the chain follow from the few spans whose second
-choices cost least, in which the search goes on.
+such marks: of each distinct span the Viterbi pass alone gives the best segmentation and, from what is left behind
+along its path, the score of the second best; and the n best of the chain follow from the few spans (n - 1 at most)
+whose second choices cost least. Only in those the A-star search runs, over their whole lattice: in the other spans no
+second choice is part of the n best.
 """
 
 from __future__ import annotations
@@ -346,20 +347,21 @@ def _chain(known: Pieces, solved: dict, parts: list[str], n: int) -> tuple[list[
     most = heapq.nsmallest(n - 1, gaps)
     limit = most[-1] if most else -INF
     places = sorted(sorted((i for i, g in enumerate(gaps) if g <= limit and g < INF), key=gaps.__getitem__)[: n - 1])
+    # The search may pop another of several best ones first, so the one that stands in the best of all goes by its ids.
     options = {p: known.choices(parts[p], n) for p in places}
-    ways: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+    others = {p: [(options[p][0][0] - score, ids) for score, ids in options[p] if ids != runs[p]] for p in places}
+    ways: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
     for p in places:
-        top = options[p][0][0]
-        more = [(cost + top - options[p][k][0], {**way, p: k}) for cost, way in ways for k in range(1, len(options[p]))]
+        more = [(cost + less, {**way, p: ids}) for cost, way in ways for less, ids in others[p]]
         ways = heapq.nsmallest(n, ways + more, key=lambda w: w[0])
     # Between the places all ways are the same.
     edges = [-1, *places, len(parts)]
     fixed = [b"".join(runs[a + 1 : b]) for a, b in pairwise(edges)]
     out = []
     for cost, way in ways:
-        own = [options[p][way[p]][1] if p in way else runs[p] for p in places]
+        own = [way.get(p, runs[p]) for p in places]
         out.append((base - cost, b"".join(chain.from_iterable((*x,) for x in zip(fixed, [*own, b""], strict=True)))))
-    return out, [(runs[p], c[1]) for p in places for c in options[p]]
+    return out, [(runs[p], ids) for p in places for _, ids in others[p]]
 
 
 @lru_cache(2)
@@ -405,21 +407,23 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
     def run(batches):
         known = pieces(path)
         gc.disable()  # many objects and no cycles
-        for batch in portions(batches, most=1 << 20):
-            each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
-            counts = [len(f) for f in each]
-            flat = [s for f in each for s in f]
-            scores, crcs = pa.array([s for s, _ in flat], pa.float64()), pa.array([zlib.crc32(x) for _, x in flat], pa.int64())
-            columns = [
-                pa.array([len(f[0][1]) // 4 for f in each], pa.int64()), pa.array([f[0][0] for f in each], pa.float64()), pa.array(counts, pa.int64()), pa.array([f[0][0] - f[1][0] if len(f) > 1 else None for f in each], pa.float64()),
-                pa.array([zlib.crc32(f[0][1]) for f in each], pa.int64()), pa.array(good, pa.bool_()), lists(pa.StructArray.from_arrays([scores, crcs], ["score", "ids_crc32"]), counts),
-            ]
-            if ids:
-                numbers = lambda parts: lists(pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()), [len(x) // 4 for x in parts])
-                columns += [numbers([f[0][1] for f in each]), lists(numbers([x for _, x in flat]), counts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
-        gc.enable()
-        known.forget()  # the worker may go on to other work
+        try:
+            for batch in portions(batches, most=1 << 20):
+                each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
+                counts = [len(f) for f in each]
+                flat = [s for f in each for s in f]
+                scores, crcs = pa.array([s for s, _ in flat], pa.float64()), pa.array([zlib.crc32(x) for _, x in flat], pa.int64())
+                columns = [
+                    pa.array([len(f[0][1]) // 4 for f in each], pa.int64()), pa.array([f[0][0] for f in each], pa.float64()), pa.array(counts, pa.int64()), pa.array([f[0][0] - f[1][0] if len(f) > 1 else None for f in each], pa.float64()),
+                    pa.array([zlib.crc32(f[0][1]) for f in each], pa.int64()), pa.array(good, pa.bool_()), lists(pa.StructArray.from_arrays([scores, crcs], ["score", "ids_crc32"]), counts),
+                ]
+                if ids:
+                    numbers = lambda parts: lists(pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()), [len(x) // 4 for x in parts])
+                    columns += [numbers([f[0][1] for f in each]), lists(numbers([x for _, x in flat]), counts)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+        finally:
+            gc.enable()
+            known.forget()  # the worker may go on to other work
 
     return docs.mapInArrow(tidy(run), schema)
 

@@ -233,18 +233,20 @@ def _writer(folder: str, path: str):
             return row
 
         gc.disable()  # many objects and no cycles
-        for some_ids, texts in _portions(batches):
-            for doc_id, codes in zip(some_ids, tokens.encode_batch(texts), strict=True):
-                own = np.append(codes, np.uint32(END_ID))
-                ids.append(doc_id)
-                lengths.append(len(own))
-                runs.append(own)
-                size += len(own)
-                if size >= FILE_IDS:
-                    yield flush()
-        if ids:
-            yield flush()
-        gc.enable()
+        try:
+            for some_ids, texts in _portions(batches):
+                for doc_id, codes in zip(some_ids, tokens.encode_batch(texts), strict=True):
+                    own = np.append(codes, np.uint32(END_ID))
+                    ids.append(doc_id)
+                    lengths.append(len(own))
+                    runs.append(own)
+                    size += len(own)
+                    if size >= FILE_IDS:
+                        yield flush()
+            if ids:
+                yield flush()
+        finally:
+            gc.enable()
 
     return run
 

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from ambulo.llm import sentencepieces
 
@@ -13,12 +14,35 @@ def test_every_segmentation_is_handed_out(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in sentencepieces.encode_documents(docs, path).collect():
         want = sentencepieces.segmentations(r["text"], path)
-        assert [tuple(x) for x in r["nbest_ids"]] == [ids for _, ids in want] and len(want) == r["n_found"]
-        assert [(x["score"], x["ids_crc32"]) for x in r["nbest"]] == [(s, zlib.crc32(np.array(ids, "<u4").tobytes())) for s, ids in want]
+        assert [np.array(x, "<u4").tobytes() for x in r["nbest_ids"]] == [ids for _, ids in want] and len(want) == r["n_found"]
+        assert [(x["score"], x["ids_crc32"]) for x in r["nbest"]] == [(s, zlib.crc32(ids)) for s, ids in want]
         assert r["nbest"][0]["ids_crc32"] == r["ids_crc32"] and r["nbest_ids"][0] == r["piece_ids"]
     assert "nbest" in sentencepieces.op9_nbest(spark, "/root/testdata/sf0.001").columns
 
 
+@pytest.mark.parametrize("text", ["It%%%", "a %%% b", "###", "no $$$ yes $$$", "x,,, y", "It%%% It%%%", "so ### it %%%"])
+def test_tied_segmentations_come_once_each(text):
+    """Runs of marks have many segmentations of one score; the n best are distinct and among those of the n best scores."""
+    path = sentencepieces.default_model()
+    known, n = sentencepieces.pieces(path), sentencepieces.N_BEST
+    every = []
+
+    def go(span, j, score, ids):
+        if not j:
+            every.append((score, ids))
+        for i, s, own in known.arcs(span, j) if j else ():
+            go(span, i, score + s, own + ids)
+
+    span = sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE)
+    go(span, len(span), 0.0, b"")
+    got = sentencepieces.segmentations(text, path)
+    scores = sorted((s for s, _ in every), reverse=True)[:n]
+    assert len({ids for _, ids in got}) == len(got) == len(scores)
+    assert np.allclose([s for s, _ in got], scores)
+    by_ids = {ids: s for s, ids in every}
+    assert all(abs(by_ids[ids] - s) < 1e-9 for s, ids in got)
+
+
 def test_rows_reach_their_payloads_in_the_shards(spark):
     import hashlib
 
