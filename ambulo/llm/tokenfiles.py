@@ -16,22 +16,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
 from .common import cut, table
 
-#: Pre-tokens of the byte-level vocabulary (a fixed value of its format).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How the byte-level vocabulary writes a space (a fixed value of its format).
+SPACE = "\u0120"
 MAGIC = b"DAC1"
 CHUNK = 8
 BLOCK = 512
 END_ID = 0
 #: Ids in a file, but for one document more.
 FILE_IDS = 2_000_000
-#: Distinct pieces whose ids a worker remembers, and characters of text that it encodes together.
-PIECES_KEPT, TOGETHER = 300_000, 2_000_000
+#: Distinct pieces whose ids a worker remembers, pieces that go to the library as one text, and characters of text
+#: that are encoded together.
+PIECES_KEPT, JOINED, TOGETHER = 300_000, 10_000, 4_000_000
 
 
 def encode_dac(ids: np.ndarray) -> bytes:
@@ -98,20 +100,19 @@ class Dac:
 
 
 class Encoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library, meeting each distinct piece once.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library, giving it each distinct piece once.
 
     A single space after a character that is not white space begins a new pre-token, so a text may be encoded in
-    pieces that begin at such spaces. A new piece is cut into pre-tokens by the pattern that the vocabulary comes with,
-    and the library's BPE model merges each new pre-token. Texts that cannot be cut so (doubled or outer spaces, white
-    space before a space, special tokens) are encoded whole by the library; so are all texts if the vocabulary file
-    names another normalizer, pre-tokenizer or merging than those for which this holds.
+    pieces that begin at such spaces, in any order: the library encodes new pieces, joined by spaces, as one text, in
+    which the tokens that begin with a space begin the pieces. Texts that cannot be cut so (doubled or outer spaces,
+    white space before a space, special tokens) are encoded whole; so are all texts if the vocabulary file names
+    another normalizer, pre-tokenizer or merging than those for which this holds.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -121,80 +122,62 @@ class Encoder:
             stated["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits["add_prefix_space"]
             and merges["type"] == "BPE" and not any(merges.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
         )
-        self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pretokens = regex.compile(PATTERN).findall
-        # Byte-level BPE writes printable bytes as themselves and the others as the code points from 256 on.
-        shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
-        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.space = chr(self.letters[32])
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)), bool, size)
         self._forget()
 
     def _forget(self) -> None:
         #: Piece without its space -> its number; ids of piece k: pool[starts[k] : starts[k + 1]].
         self.known: dict[str, int] = {}
         self.pool, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
-        self.merged: dict[str, list[int]] = {}
 
-    def _merge(self, pretoken: str) -> list[int]:
-        if pretoken.isascii() and pretoken[1:].isalnum() and pretoken[0] == " ":
-            shown = self.space + pretoken[1:]
-        else:
-            shown = pretoken.encode().decode("latin-1").translate(self.letters)
-        ids = self.merged[pretoken] = [t.id for t in self.merge(shown)]
-        return ids
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        ids, ends, get = [], [], self.merged.get
-        for p in pieces:
-            # Letters alone, or with one mark after them, need no pattern.
-            if p.isalpha():
-                found = (" " + p,)
-            elif p[-1] in ",.;:!?" and p[:-1].isalpha():
-                found = (" " + p[:-1], p[-1])
-            else:
-                found = self.pretokens(" " + p)
-            for t in found:
-                ids += get(t) or self._merge(t)
-            ends.append(len(ids))
+        ids = np.concatenate(self._whole([" " + " ".join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]))
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(pieces):
+            raise ValueError("a piece begins with no space or holds one")
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.array(ends, np.int64)])
-        self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
+        self.starts = np.concatenate([self.starts[:-1], len(self.pool) + begins, [len(self.pool) + len(ids)]])
+        self.pool = np.concatenate([self.pool, ids])
 
-    def _pieces(self, text: str | None) -> list[str] | None:
-        if not self.cuttable or not text or " " in (text[0], text[-1]) or any(s in text for s in self.special):
-            return None
-        parts = text.split(" ")
-        return None if "" in parts else parts
+    def _may_be_cut(self, text: str | None) -> bool:
+        return bool(self.cuttable and text) and " " not in (text[0], text[-1]) and "  " not in text and not any(s in text for s in self.special)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids that the tokenizers library gives each whole text."""
         if len(self.known) > PIECES_KEPT:
             self._forget()
+        rows = [i for i, t in enumerate(texts) if self._may_be_cut(t)]
+        parts = pc.split_pattern(pa.array([texts[i] for i in rows], pa.string()), " ")
+        edges, flat = parts.offsets.to_numpy(), parts.values
+        first = np.zeros(len(flat), bool)
+        first[edges[:-1]] = True
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        edges = edges - np.arange(len(edges))
+        pieces, at = rest.dictionary.to_pylist(), rest.indices.to_numpy()
+        # Texts of which a piece ends in white space stay whole.
+        ends_in_space = np.fromiter((p[-1].isspace() for p in pieces), bool, len(pieces))
+        bad = np.concatenate([[0], np.cumsum(ends_in_space[at])])
+        heads = flat.filter(pa.array(first)).to_pylist()
+        cut = (bad[edges[1:]] == bad[edges[:-1]]) & ~np.fromiter((h[-1].isspace() for h in heads), bool, len(heads))
         get = self.known.get
-        cut, numbers, new = [self._pieces(t) for t in texts], [], set()
-        for parts in cut:
-            own = list(map(get, parts[1:])) if parts else None
-            numbers.append(own)
-            if parts and None in own:
-                new.update(p for p, k in zip(parts[1:], own, strict=True) if k is None)
-        bad = {p for p in new if p[-1].isspace()}
-        if new := new - bad:
-            self._learn(list(new))
-        cut = [None if p and (p[0][-1].isspace() or bad and not bad.isdisjoint(p)) else p for p in cut]
-        heads = iter(self.tokenizer.encode_batch([p[0] for p in cut if p], add_special_tokens=False))
-        lengths, out = np.diff(self.starts), []
-        for text, parts, own in zip(texts, cut, numbers, strict=True):
-            if parts is None:
-                out.append(np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4"))
-                continue
-            if None in own:
-                own = [get(p) if k is None else k for p, k in zip(parts[1:], own, strict=True)]
-            k = np.array(own, np.int64)
-            n = lengths[k]
-            ends = np.cumsum(n)
-            rest = self.pool[np.repeat(self.starts[k] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-            out.append(np.concatenate([np.array(next(heads).ids, "<u4"), rest]))
+        if new := [p for p, space in zip(pieces, ends_in_space.tolist(), strict=True) if not space and get(p) is None]:
+            self._learn(new)
+        number = np.fromiter((get(p, 0) for p in pieces), np.int64, len(pieces))[at]
+        n = np.diff(self.starts)[number] if len(number) else np.empty(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.starts[number] - ends[:-1], n) + np.arange(ends[-1])]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, head, ok, lo, hi in zip(rows, self._whole(heads), cut.tolist(), ends[edges[:-1]].tolist(), ends[edges[1:]].tolist(), strict=True):
+            if ok:
+                out[i] = np.concatenate([head, ids[lo:hi]])
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, self._whole([texts[i] or "" for i in left]), strict=True):
+            out[i] = x
         return out
 
 
