@@ -13,6 +13,7 @@ import json
 import struct
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ END_ID = 0
 FILE_IDS = 2_000_000
 #: Distinct pieces whose ids a worker remembers, pieces that go to the library as one text, and characters of text
 #: that are encoded together.
-PIECES_KEPT, JOINED, TOGETHER = 300_000, 10_000, 4_000_000
+PIECES_KEPT, JOINED, TOGETHER = 600_000, 10_000, 4_000_000
 
 
 def encode_dac(ids: np.ndarray) -> bytes:
@@ -160,14 +161,16 @@ class Encoder:
         edges = edges - np.arange(len(edges))
         pieces, at = rest.dictionary.to_pylist(), rest.indices.to_numpy()
         # Texts of which a piece ends in white space stay whole.
-        ends_in_space = np.fromiter((p[-1].isspace() for p in pieces), bool, len(pieces))
+        ends_in_space = pc.utf8_is_space(pc.utf8_slice_codeunits(rest.dictionary, -1)).to_numpy(zero_copy_only=False).astype(bool)
         bad = np.concatenate([[0], np.cumsum(ends_in_space[at])])
         heads = flat.filter(pa.array(first)).to_pylist()
         cut = (bad[edges[1:]] == bad[edges[:-1]]) & ~np.fromiter((h[-1].isspace() for h in heads), bool, len(heads))
-        get = self.known.get
-        if new := [p for p, space in zip(pieces, ends_in_space.tolist(), strict=True) if not space and get(p) is None]:
-            self._learn(new)
-        number = np.fromiter((get(p, 0) for p in pieces), np.int64, len(pieces))[at]
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero((number < 0) & ~ends_in_space)
+        if len(new):
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([pieces[k] for k in new.tolist()])
+        number = np.maximum(number, 0)[at]
         n = np.diff(self.starts)[number] if len(number) else np.empty(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(self.starts[number] - ends[:-1], n) + np.arange(ends[-1])]
