@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import fingerprints, linededup, media, mixing, neardup, pii, sentencepieces, sharding, tokenfiles, toxicity
+from . import fingerprints, linededup, media, mixing, neardup, pii, quality, sentencepieces, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_windows": linededup.op8_line_windows,
     "op9_nbest": sentencepieces.op9_nbest,
     "op10_nb_ngrams": toxicity.op10_nb_ngrams,
+    "op11_histogram_trees": quality.op11_histogram_trees,
 }
 
 ORACLE_SQL = {
