@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import fingerprints, linededup, media, mixing, neardup, pii, quality, sentencepieces, sharding, tokenfiles, toxicity
+from . import clusters, fingerprints, linededup, media, mixing, neardup, pii, quality, sentencepieces, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_nbest": sentencepieces.op9_nbest,
     "op10_nb_ngrams": toxicity.op10_nb_ngrams,
     "op11_histogram_trees": quality.op11_histogram_trees,
+    "op12_delta_lloyd": clusters.op12_delta_lloyd,
 }
 
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op2_minhash_bbit": neardup.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op8_line_windows": linededup.OP8_SQL,
+    "op12_delta_lloyd": clusters.OP12_SQL,
 }
