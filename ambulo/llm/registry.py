@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import clusters, fingerprints, linededup, media, mixing, neardup, pii, quality, sentencepieces, sharding, tokenfiles, toxicity
+from . import clusters, fingerprints, linededup, media, mixing, neardup, pii, prefixes, quality, sentencepieces, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_nb_ngrams": toxicity.op10_nb_ngrams,
     "op11_histogram_trees": quality.op11_histogram_trees,
     "op12_delta_lloyd": clusters.op12_delta_lloyd,
+    "op13_prefix_trie": prefixes.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op8_line_windows": linededup.OP8_SQL,
     "op12_delta_lloyd": clusters.OP12_SQL,
+    "op13_prefix_trie": prefixes.OP13_SQL,
 }
