@@ -1,6 +1,6 @@
 """All queries of the library, by name, with the SQL that gives the same rows."""
 
-from . import analysis, kernels, reports, subjects, summary
+from . import analysis, kernels, reports, sleep, subjects, summary
 
-QUERIES: dict = {**subjects.QUERIES, **summary.QUERIES, **reports.QUERIES, **analysis.QUERIES, **kernels.QUERIES}
-ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL, **analysis.ORACLE_SQL}
+QUERIES: dict = {**subjects.QUERIES, **sleep.QUERIES, **summary.QUERIES, **reports.QUERIES, **analysis.QUERIES, **kernels.QUERIES}
+ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **sleep.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL, **analysis.ORACLE_SQL}
