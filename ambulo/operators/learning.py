@@ -12,16 +12,16 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import digamma
+from . import cells
+from .cells import STRATEGIES
 from .inference import auc, average_precision, class_metrics
-from .ranks import with_hash_number
+from .ranks import with_hash_number, with_running_sums
 from .relational import folds
 
-#: The five strategies of the baseline.
-STRATEGIES = ("none", "k_best", "l1", "mrmr", "stability")
-
 
 def missing_rate_filter(df: DataFrame, cols: list[str], threshold: float = 0.6) -> list[str]:
     """M1: columns with a share of nulls below the threshold, else the first."""
@@ -103,24 +103,37 @@ def select_k_best(df: DataFrame, cols: list[str], label: str, k: int) -> list[st
     return [c for c in cols if c in top]
 
 
-def mutual_information(df: DataFrame, cols: list[str], label: str, bins: int = 16) -> dict[str, float]:
-    """M7: mutual information of each column, in quantile bins, with the class.
+def nearest_information(df: DataFrame, cols: list[str], label: str, neighbours: int = 3) -> DataFrame:
+    """M7: feature and mi, the mutual information of each column with the class by nearest neighbours.
 
-    Binned rather than by nearest neighbours, whose distances would need all pairs of rows.
+    For each row the distance to its `neighbours`-th nearest of its class, and how many rows of any class lie nearer
+    (those of its own value where that distance is 0); mi is digamma(rows) + mean digamma(neighbours) - mean
+    digamma(class rows) - mean digamma(rows nearer), at least 0. On a line the nearest lie among as many rows before and
+    after, and counts follow from running sums over distinct values, so no rows are paired. Classes of one row are left
+    out, smaller ones than `neighbours` take as many as there are. Nulls are no rows of their column. A window sorts a
+    column's rows of one class.
     """
-    q = df.agg(*(F.percentile(c, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias(c) for c in cols)).first()
-    below = lambda c: F.size(F.filter(F.array(*map(F.lit, sorted(set(q[c])))), lambda e: e < F.col(c)))
-    binned = [below(c).alias(c) for c in cols]
-    long = df.select(F.col(label).alias("y"), *binned).unpivot(["y"], cols, "c", "b").groupBy("c", "b", "y").count().collect()
-    out = {}
-    for c in cols:
-        t = {(r["b"], r["y"]): r["count"] for r in long if r["c"] == c}
-        n = sum(t.values())
-        pb, py = {}, {}
-        for (b, y), v in t.items():
-            pb[b], py[y] = pb.get(b, 0) + v, py.get(y, 0) + v
-        out[c] = sum(v / n * np.log(v * n / (pb[b] * py[y])) for (b, y), v in t.items())
-    return out
+    long = df.select(F.col(label).alias("y"), *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(["y"], cols, "feature", "x").where("x IS NOT NULL AND y IS NOT NULL")
+    own = Window.partitionBy("feature", "y")
+    order = own.orderBy("x")
+    sized = long.withColumn("ny", F.count(F.lit(1)).over(own)).where("ny > 1")
+    beside = [F.abs(F.col("x") - f("x", k).over(order)) for k in range(1, neighbours + 1) for f in (F.lag, F.lead)]
+    many = F.least(F.lit(neighbours), F.col("ny") - 1)
+    apart = sized.withColumn("k", many).withColumn("_d", F.array_compact(F.array(*beside)))
+    # Rows at the distance itself are not nearer, whatever the last digit.
+    apart = apart.withColumn("d", F.element_at(F.sort_array("_d"), F.col("k").cast("int")) * (1 - 1e-12)).withColumns({"lo": F.col("x") - F.col("d"), "hi": F.col("x") + F.col("d")})
+    asked = apart.select("feature", F.explode(F.array("lo", "hi")).alias("x")).distinct().withColumn("n", F.lit(0).cast("long"))
+    values = sized.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")).unionByName(asked).groupBy("feature", "x").agg(F.sum("n").alias("n"))
+    run = with_running_sums(values, ["feature"], "x", {"ge": "n"}).select("feature", "x", "ge", (F.col("ge") - F.col("n")).alias("gt"))
+    met = apart.join(run.select("feature", F.col("x").alias("lo"), "ge"), ["feature", "lo"]).join(run.select("feature", F.col("x").alias("hi"), "gt"), ["feature", "hi"])
+    a = met.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(digamma(F.col("k"))).alias("k"), F.avg(digamma(F.col("ny"))).alias("ny"), F.avg(digamma(F.col("ge") - F.col("gt"))).alias("m"))
+    return a.select("feature", F.greatest(digamma(F.col("n")) + F.col("k") - F.col("ny") - F.col("m"), F.lit(0.0)).alias("mi"))
+
+
+def mutual_information(df: DataFrame, cols: list[str], label: str) -> dict[str, float]:
+    """M7: mutual information of each column with the class; 0 of a column without rows to tell."""
+    found = {r["feature"]: r["mi"] for r in nearest_information(df, cols, label).collect()}
+    return {c: found.get(c, 0.0) for c in cols}
 
 
 def mrmr(df: DataFrame, cols: list[str], label: str, k: int = 20) -> list[str]:
@@ -136,10 +149,9 @@ def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
 
 
-def l1_selection(df: DataFrame, cols: list[str], label: str, strength: float = 0.02) -> list[str]:
-    """M8: columns with a weight in an L1-penalized logistic regression on standardized columns."""
-    fit = LogisticRegression(labelCol=label, elasticNetParam=1.0, regParam=strength, maxIter=50).fit(_vectors(standardize(df, df, cols), cols))
-    return [c for c, w in zip(cols, fit.coefficients, strict=True) if w != 0]
+def l1_selection(df: DataFrame, cols: list[str], label: str) -> list[str]:
+    """M8: columns with a weight in a balanced L1-penalized logistic regression on standardized columns."""
+    return cells.selected(df, label, cols, label, "l1")
 
 
 def consensus(df: DataFrame, cols: list[str], label: str, k: int = 30, votes: int = 2) -> list[str]:
@@ -153,15 +165,10 @@ def consensus(df: DataFrame, cols: list[str], label: str, k: int = 30, votes: in
     return out or list(cols)
 
 
-def stability_selection(df: DataFrame, key: str, cols: list[str], label: str, resamples: int = 30, share: float = 0.7, threshold: float = 0.6) -> list[str]:
-    """Columns that L1 chooses in enough hashed subsamples; with under five, the 20 most often chosen."""
-    hits = dict.fromkeys(cols, 0)
-    for i in range(resamples):
-        part = df.where(F.pmod(F.xxhash64(key, F.lit(42 + i)), F.lit(1000)) < int(share * 1000))
-        for c in l1_selection(part, cols, label):
-            hits[c] += 1
-    out = [c for c in cols if hits[c] >= threshold * resamples]
-    return out if len(out) >= 5 else sorted(cols, key=lambda c: (-hits[c], cols.index(c)))[:20]
+def stability_selection(df: DataFrame, key: str, cols: list[str], label: str) -> list[str]:
+    """Columns that L1 chooses in enough hashed subsamples, all fitted together; with under five, the 20 most often
+    chosen."""
+    return cells.selected(df, key, cols, label, "stability")
 
 
 def block_pca(train: DataFrame, df: DataFrame, blocks: dict[str, list[str]], variance: float = 0.8) -> tuple[DataFrame, list[str]]:
@@ -247,7 +254,8 @@ def _scores(fit, test: DataFrame, cols: list[str], label: str) -> DataFrame:
 
 
 def nested_cv(df: DataFrame, key: str, cols: list[str], label: str, strategies=STRATEGIES, models=grids, k: int = 5, repeats: int = 3, inner: int = 3) -> DataFrame:
-    """Metrics of each strategy and model on every outer fold, by the choice that inner folds found best.
+    """M17 for any models of pyspark.ml: metrics of each strategy and model on every outer fold, by the choice that inner
+    folds found best. Each fit is a job of its own; logistic models alone are fitted together by cells.nested_cv.
 
     Selection and model are tuned together for average precision on inner folds of the outer training rows, then fitted
     to all of these. A cell that fails keeps its row, with the error.

@@ -3,4 +3,4 @@
 from . import analysis, kernels, reports, sleep, subjects, summary
 
 QUERIES: dict = {**subjects.QUERIES, **sleep.QUERIES, **summary.QUERIES, **reports.QUERIES, **analysis.QUERIES, **kernels.QUERIES}
-ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **sleep.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL, **analysis.ORACLE_SQL}
+ORACLE_SQL: dict = {**subjects.ORACLE_SQL, **sleep.ORACLE_SQL, **summary.ORACLE_SQL, **reports.ORACLE_SQL, **analysis.ORACLE_SQL, **kernels.ORACLE_SQL}

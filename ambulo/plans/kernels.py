@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import learning, signal
-from .subjects import S, positions
+from ..operators import cells, learning, signal
+from .subjects import S, positions, rounded
 
 HZ = 4.0
 
@@ -66,6 +66,12 @@ def mrmr(spark, sf_dir):
     return _names(spark, learning.mrmr(df, cols, "y", 6))
 
 
+def nearest_information(spark, sf_dir):
+    """M7: mutual information of each element with the class, by three nearest neighbours."""
+    df, cols = _matrix(spark, sf_dir)
+    return rounded(learning.nearest_information(df, cols, "y"))
+
+
 def consensus_selection(spark, sf_dir):
     df, cols = _matrix(spark, sf_dir)
     return _names(spark, learning.consensus(df, cols, "y", 6))
@@ -84,8 +90,42 @@ def block_pca(spark, sf_dir):
 
 
 def nested_cv(spark, sf_dir):
+    """The five strategies with balanced logistic models."""
     df, cols = _matrix(spark, sf_dir)
-    return learning.nested_cv(df, "vec_id", cols, "y")
+    return cells.nested_cv(df, "vec_id", cols, "y")
 
 
-QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, nested_cv)}
+def nested_cv_line(spark, sf_dir):
+    """The last element from the others, by least squares."""
+    df, cols = _matrix(spark, sf_dir)
+    return cells.nested_cv_line(df, "vec_id", cols[:-1], cols[-1])
+
+
+def nested_sides(spark, sf_dir):
+    """On which part of each inner and outer side every row is."""
+    df, _ = _matrix(spark, sf_dir)
+    held = cells.nested_sides(df, "vec_id", "y")
+    return held.select("vec_id", F.array_join(F.col("sides").cast("array<string>"), "").alias("sides"))
+
+
+QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, nested_cv, nested_cv_line, nested_sides, nearest_information)}
+
+_SIDES = "".join(f" || CASE WHEN g = {i} THEN '2' ELSE '1' END" for i in range(3))[4:]
+
+#: psi(n) of whole numbers is the harmonic number of n - 1 less Euler's constant, which cancels out.
+ORACLE_SQL = {
+    "nearest_information": """WITH l AS (SELECT 'f' || j AS feature, (label < 5)::INTEGER AS y, embedding[j + 1]::DOUBLE AS x FROM embeddings, range(64) t(j)),
+ s AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny FROM l WHERE x IS NOT NULL AND y IS NOT NULL),
+ d AS (SELECT *, list_sort([z FOR z IN [abs(x - lag(x, 1) OVER o), abs(x - lag(x, 2) OVER o), abs(x - lag(x, 3) OVER o), abs(x - lead(x, 1) OVER o), abs(x - lead(x, 2) OVER o), abs(x - lead(x, 3) OVER o)] IF z IS NOT NULL])[least(3, ny - 1)] * (1 - 1e-12) AS d
+   FROM s WHERE ny > 1 WINDOW o AS (PARTITION BY feature, y ORDER BY x)),
+ m AS (SELECT a.feature, a.x, a.y, any_value(a.ny) AS ny, count(*) // count(DISTINCT a.r) AS m, count(DISTINCT a.r) AS times FROM (SELECT *, row_number() OVER () AS r FROM d) a JOIN d b ON a.feature = b.feature AND b.x BETWEEN a.x - a.d AND a.x + a.d GROUP BY a.feature, a.x, a.y),
+ h AS (SELECT n, coalesce(sum(1.0::DOUBLE / (n - 1)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS psi FROM (SELECT n FROM range(2, 1 + (SELECT count(*) FROM embeddings)) t(n))), p AS (SELECT 1 AS n, 0.0::DOUBLE AS psi UNION ALL SELECT n, psi FROM h)
+SELECT feature, round(greatest(any_value(pn.psi) + sum(times * pk.psi) / sum(times) - sum(times * py.psi) / sum(times) - sum(times * pm.psi) / sum(times), 0), 6) AS mi
+FROM m JOIN (SELECT feature, count(*) AS n FROM d GROUP BY feature) c USING (feature) JOIN p pn ON pn.n = c.n JOIN p pk ON pk.n = least(3, ny - 1) JOIN p py ON py.n = ny JOIN p pm ON pm.n = m.m GROUP BY feature """,
+    "nested_sides": f"""WITH m AS (SELECT vec_id, (label < 5)::INTEGER AS y FROM embeddings),
+ o AS (SELECT vec_id, y, r, (row_number() OVER (PARTITION BY r, y ORDER BY md5('42:' || r || ':' || vec_id), vec_id) - 1) % 5 AS f FROM m, range(3) t(r)),
+ c AS (SELECT *, q FROM o, range(5) t(q)),
+ i AS (SELECT *, (row_number() OVER (PARTITION BY r, q, y ORDER BY md5('42:' || r || ':' || q || ':' || vec_id), vec_id) - 1) % 3 AS g FROM c WHERE f <> q),
+ s AS (SELECT vec_id, r, q, {_SIDES} || '1' AS codes FROM i UNION ALL SELECT vec_id, r, q, '0002' FROM c WHERE f = q)
+SELECT vec_id, string_agg(codes, '' ORDER BY r, q) AS sides FROM s GROUP BY vec_id""",
+}

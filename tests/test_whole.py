@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ambulo.operators import learning
+from ambulo.operators import cells, learning, penalized
 from ambulo.plans import catalog, kernels
 
 SF = "/root/testdata/sf0.001"
@@ -69,20 +69,21 @@ def test_nested_cv_tunes_on_inner_folds(spark):
         assert r["error"] or r["choice"] in ("C=0.01", "C=10.0") and r["inner_ap"] > 0.85 and r["ap"] > 0.85 and r["auc"] > 0.85 and r["f1"] > 0.75
 
 
-def test_nested_cv_query_has_all_folds_strategies_and_grids(spark, monkeypatch):
+def test_nested_cv_query_has_all_folds_strategies_and_strengths(spark, monkeypatch):
     from inspect import signature
 
-    seen = signature(learning.nested_cv)
-    monkeypatch.setattr(learning, "nested_cv", lambda *a, **b: seen.bind(*a, **b))
+    seen = signature(cells.nested_cv)
+    monkeypatch.setattr(cells, "nested_cv", lambda *a, **b: seen.bind(*a, **b))
     got = catalog.QUERIES["nested_cv"](spark, SF)
     got.apply_defaults()
     a = got.arguments
     assert (a["k"], a["repeats"], a["inner"]) == (5, 3, 3) and a["strategies"] == learning.STRATEGIES and len(a["strategies"]) == 5
-    assert {n: len(g) for n, g in a["models"]("y", 100).items()} == {"logistic": 4, "forest": 3, "boosted": 4}
+    assert a["strengths"] == (0.01, 0.1, 1.0, 10.0)
+    assert {n: len(g) for n, g in learning.grids("y", 100).items()} == {"logistic": 4, "forest": 3, "boosted": 4}
 
 
 def test_stability_selection_fits_thirty_subsamples(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(learning, "l1_selection", lambda part, cols, label: seen.append(part) or cols[:6])
-    assert [r["feature"] for r in catalog.QUERIES["stability_selection"](spark, SF).collect()] == [f"f{k}" for k in range(6)]
-    assert len(seen) == 30
+    seen, whole = [], penalized.logistic
+    monkeypatch.setattr(penalized, "logistic", lambda d, s, sides, models: seen.extend(models) or whole(d, s, sides, models))
+    assert catalog.QUERIES["stability_selection"](spark, SF).count() >= 5
+    assert sorted(m.sample for m in seen) == list(range(-1, 30))
