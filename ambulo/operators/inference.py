@@ -37,9 +37,14 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Correlation of average ranks over rows without nulls, and its two-sided p by t with n - 2 degrees."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = with_average_rank(with_average_rank(known, keys, x, "rx"), keys, y, "ry")
-    a = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = known.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_t"))
+    ranked = with_average_rank(with_average_rank(pairs, keys, x, "rx", "_t"), keys, y, "ry", "_t")
+    whole = pairs.groupBy(*keys).agg(F.sum("_t").alias("n"))
+    # Both ranks have the mean (n + 1) / 2.
+    u, v = (F.col(c) - (F.col("n") + 1) / 2 for c in ("rx", "ry"))
+    sums = same_keys(ranked, whole, keys).groupBy(*keys).agg(F.max("n").alias("n"), *(F.sum(F.col("_t") * p).alias(c) for c, p in (("_uv", u * v), ("_uu", u * u), ("_vv", v * v))))
+    a = sums.select(*keys, "n", F.when((F.col("_uu") > 0) & (F.col("_vv") > 0), F.col("_uv") / F.sqrt(F.col("_uu") * F.col("_vv"))).alias("rho"))
     rho, left = F.col("rho"), F.col("n") - 2
     return a.withColumn("p", F.when(F.col("n") > 2, t_two_sided(rho * F.sqrt(left / F.greatest(1 - rho * rho, F.lit(1e-300))), left.cast("double"))))
 

@@ -1,8 +1,8 @@
 """Ranks and running numbers of large groups: a few keys may hold all rows, and no task sorts a whole key.
 
-Rows are dealt to buckets in the order asked for, by approximate quantiles of each key (a bounded sketch) or by the
-leading digits of a hash; buckets are counted, counts are summed up over a key's few buckets, and each bucket is sorted
-by itself. The results are exact, whatever the sketch gave.
+Rows are dealt to buckets in the order asked for, by ranges or by the leading digits of a hash; buckets are counted,
+counts are summed up over a key's buckets, and each bucket is sorted by itself. The results are exact, wherever the
+ranges were cut.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
+from ..sources.stored import stored
 
 def same_keys(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns of small, which has a row for each key; null keys meet each other."""
@@ -21,9 +20,12 @@ def same_keys(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _with_buckets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with _bucket: how many of the key's cuts lie below the value; equal values share one."""
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(k / BUCKETS) for k in range(1, BUCKETS))), 1000).alias("_cuts"))
-    return same_keys(df, cuts, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    """df with _bucket, which ascends with keys and value; equal rows of both share one.
+
+    The buckets are the ranges of a range partitioning, as many as the size of the data asks for; rows are stored with
+    them, so that all that is made of them sees the same ones.
+    """
+    return stored(df.repartitionByRange(*(F.col(k) for k in keys), F.col(value)).withColumn("_bucket", F.spark_partition_id()))
 
 
 def _starts(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -33,13 +35,17 @@ def _starts(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFram
     return held.select(*keys, "_bucket", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums))
 
 
-def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df (values not null) with the rank of each value in its key, ties at their mean."""
-    rows = _with_buckets(df, keys, value)
-    placed = same_keys(rows, _starts(rows, keys, {"_before": F.count(F.lit(1))}), [*keys, "_bucket"])
-    inside = Window.partitionBy(*keys, "_bucket")
-    rank = F.rank().over(inside.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket", value)) - 1) / 2.0
-    return placed.withColumn(name, F.col("_before") + rank).drop("_before", "_bucket")
+def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str, times: str | None = None) -> DataFrame:
+    """df (values not null) with the rank of each value in its key, ties at their mean; rows count `times` times.
+
+    Ranks are found on one row for each distinct value and joined back; a value held by many rows is one small side of
+    that join, whose large side is split where it is skewed.
+    """
+    held = df.groupBy(*keys, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_n"))
+    run = with_running_sums(held, keys, value, {"_ge": "_n"})
+    whole = held.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    ranked = same_keys(run, whole, keys).select(*keys, value, (F.col("_all") - F.col("_ge") + (F.col("_n") + 1) / 2.0).alias(name))
+    return same_keys(df, ranked, [*keys, value])
 
 
 def with_running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> DataFrame:
