@@ -194,6 +194,34 @@ def nested_cv(df: DataFrame, key: str, cols: list[str], label: str, strategies=S
     return spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], schema)
 
 
+def fourier_features(df: DataFrame, cols: list[str], width: float, many: int = 100, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """Df with `many` columns whose products approximate exp(-width * squared distance) of two rows' columns.
+
+    Each is a cosine of a random direction (drawn from a seeded generator) at a random phase, as an expression; a linear
+    model on them is a machine with that kernel. Columns are to be scaled before; a null in any gives nulls.
+    """
+    rng = np.random.default_rng(seed)
+    ways, phases = rng.normal(scale=np.sqrt(2 * width), size=(many, len(cols))), rng.uniform(0, 2 * np.pi, many)
+    names = [f"fourier_{j}" for j in range(many)]
+    angle = lambda j: F.aggregate(F.zip_with(F.col("_x"), F.array(*map(F.lit, ways[j].tolist())), lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+    held = df.withColumn("_x", F.array(*(F.col(c).cast("double") for c in cols)))
+    return held.withColumns({n: F.cos(angle(j) + float(phases[j])) * float(np.sqrt(2 / many)) for j, n in enumerate(names)}).drop("_x"), names
+
+
+def out_of_fold(df: DataFrame, key: str, cols: list[str], label: str, strength: float = 1.0, k: int = 5, repeats: int = 1) -> DataFrame:
+    """Key, repeat, fold, y, the score (log odds) of a balanced logistic model that did not see the row's fold, and
+    the class it says. All folds' models are fitted together; filters, imputation and scaling are of their own rows.
+    """
+    cells = list(product(range(repeats), range(k)))
+    d = pen.design(df, key, cols, label, nested_sides(df, key, label, k, repeats, 0), len(cells))
+    s = pen.sums(d)
+    medians = pen.side_medians(d, s)
+    sides = [pen.side_of(s, medians, n) for n in range(d.sides)]
+    models = [pen.Model(n, tuple(map(int, side.columns)), l2=1 / strength) for n, side in enumerate(sides)]
+    scored = pen.scores(d, sides, models, pen.logistic(d, s, sides, models))
+    return scored.select(F.col("key").alias(key), F.floor(F.col("model") / k).cast("int").alias("repeat"), (F.col("model") % k).alias("fold"), "y", "score", (F.col("score") > 0).cast("int").alias("predicted"))
+
+
 #: Penalties and L1 shares of the grid of least-squares models; the penalty of the lasso that selects.
 ALPHAS, L1_SHARES, LASSO = (0.01, 0.1, 0.5, 1.0), (0.3, 0.5, 0.7), 0.1
 LINE_STRATEGIES = ("none", "k_best", "l1", "pca")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -166,6 +166,42 @@ def dip(x: np.ndarray, least: int = 30) -> float | None:
         best, lo, hi = max(best, best_here), new_lo, new_hi
 
 
+#: Sizes of the uniform samples whose dips are drawn, and how many of each.
+DIP_SIZES, DIP_DRAWS = (30, 45, 70, 110, 180, 300, 550, 1000), 1000
+
+
+def dip_null(spark: SparkSession, sizes: tuple[int, ...] = DIP_SIZES, draws: int = DIP_DRAWS, seed: int = 42) -> DataFrame:
+    """N and dips, the sorted dips times sqrt(n) of uniform samples: a row for each size, drawn in parallel.
+
+    Each sample has its own seed, so the table does not depend on how the work is parted.
+    """
+    todo = spark.createDataFrame([(n,) for n in sizes], "n int").crossJoin(spark.range(draws).withColumnRenamed("id", "r")).repartition(4 * spark.sparkContext.defaultParallelism, "n", "r")
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(d=[dip(np.random.default_rng([seed, n, r]).random(n)) * n**0.5 for n, r in zip(b["n"].tolist(), b["r"].tolist(), strict=True)])
+
+    return todo.mapInPandas(run, "n int, r long, d double").groupBy("n").agg(F.sort_array(F.collect_list("d")).alias("dips"))
+
+
+def with_dip_p(df: DataFrame, n: str, value: str, null: DataFrame) -> DataFrame:
+    """Df with p, the share of uniform samples whose dip is at least as large; null dips have none.
+
+    Between two sizes of the table p is interpolated by the logarithm of n, outside them the nearest counts. The table
+    has as many rows as there are sizes, a few kilobytes each.
+    """
+    rows = F.broadcast(null.select(F.collect_list(F.struct(F.col("n").alias("m"), F.col("dips").alias("d"))).alias("_null")).select(F.sort_array("_null").alias("_null")))
+    share = lambda s: F.size(F.filter(s["d"], lambda d: d >= F.col("_scaled"))) / F.size(s["d"])
+    met = df.crossJoin(rows).withColumn("_scaled", F.col(value) * F.sqrt(n))  # one row
+    below = F.filter("_null", lambda s: s["m"] <= F.col(n))
+    above = F.filter("_null", lambda s: s["m"] > F.col(n))
+    placed = met.withColumns({"_lo": F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.col("_null")[0]), "_hi": F.when(F.size(above) > 0, above[0]).otherwise(F.element_at("_null", -1))})
+    step = F.coalesce(F.try_divide(F.ln(n) - F.ln("_lo.m"), F.ln("_hi.m") - F.ln("_lo.m")), F.lit(0.0))
+    weight = F.least(F.greatest(step, F.lit(0.0)), F.lit(1.0))
+    p = share(F.col("_lo")) * (1 - weight) + share(F.col("_hi")) * weight
+    return placed.withColumn("p", F.when(F.col(value).isNotNull(), p)).drop("_null", "_scaled", "_lo", "_hi")
+
+
 def _hull(x: np.ndarray, y: np.ndarray, sign: int) -> np.ndarray:
     """Indices of the greatest convex minorant (-1) or least concave majorant (1)."""
     out: list[int] = []

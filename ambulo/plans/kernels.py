@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cells, learning, signal
+from ..sources.stored import stored
 from .subjects import S, positions, rounded
 
 HZ = 4.0
@@ -33,7 +34,9 @@ def wasserstein_normal(spark, sf_dir):
 
 
 def dip_statistic(spark, sf_dir):
-    return _by_user(spark, sf_dir, lambda x: {"dip": signal.dip(x)}, {"dip": "double"})
+    """Dip and its p-value."""
+    found = _by_user(spark, sf_dir, lambda x: {"dip": signal.dip(x), "n": len(x)}, {"dip": "double", "n": "int"})
+    return signal.with_dip_p(found, "n", "dip", stored(signal.dip_null(spark)))
 
 
 def score_windows(spark, sf_dir):
@@ -89,6 +92,13 @@ def block_pca(spark, sf_dir):
     return out.select("vec_id", *(F.round(n, 6).alias(n) for n in names))
 
 
+def rbf_out_of_fold(spark, sf_dir):
+    """Each row's score by a kernel machine that did not see its fold."""
+    df, cols = _matrix(spark, sf_dir)
+    made, names = cells.fourier_features(df, cols, 0.5)
+    return cells.out_of_fold(made, "vec_id", names, "y")
+
+
 def nested_cv(spark, sf_dir):
     """The five strategies with balanced logistic models."""
     df, cols = _matrix(spark, sf_dir)
@@ -108,7 +118,7 @@ def nested_sides(spark, sf_dir):
     return held.select("vec_id", F.array_join(F.col("sides").cast("array<string>"), "").alias("sides"))
 
 
-QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, nested_cv, nested_cv_line, nested_sides, nearest_information)}
+QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, rbf_out_of_fold, nested_cv, nested_cv_line, nested_sides, nearest_information)}
 
 _SIDES = "".join(f" || CASE WHEN g = {i} THEN '2' ELSE '1' END" for i in range(3))[4:]
 

@@ -33,11 +33,6 @@ def list_recordings(spark: SparkSession, folder: str, pattern: str = "*.mat", ex
     return out.withColumn("subject_id", subject_from_file(F.col("name")))
 
 
-def read_signal(spark: SparkSession, path: str) -> DataFrame:
-    """Raw signals after ingest, one row a sample; reading the vendors' MATLAB files (S1 to S3) is not in this library."""
-    return spark.read.schema("subject_id string, device string, i bigint, ts timestamp_ntz, x double, y double, z double").parquet(path)
-
-
 def read_features(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """All subjects' files of a table, with subject_id from the file and device from the layout.
 

@@ -134,3 +134,25 @@ def test_components_keep_variance(spark):
     assert np.allclose(np.diag(made.moments.sum(axis=0))[1 : len(made.columns) + 1], len(x))
     blocks = pen.components(side, [np.arange(6), np.arange(6, 8), np.arange(8, 12)], 0.8, 2)
     assert 4 <= len(blocks.columns) <= 12
+
+
+def test_two_rings_are_parted_by_cosines(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    y = rng.integers(0, 2, n)
+    angle, r = rng.uniform(0, 2 * np.pi, n), np.where(y == 1, 2.0, 1.0) + rng.normal(scale=0.15, size=n)
+    df = spark.createDataFrame([(i, int(y[i]), float(r[i] * np.cos(angle[i])), float(r[i] * np.sin(angle[i]))) for i in range(n)], "id int, y int, a double, b double")
+    made, names = cells.fourier_features(df, ["a", "b"], 1.0, 80)
+    x = np.array([[row[c] for c in ("a", "b")] for row in made.orderBy("id").collect()])
+    z = np.array([[row[c] for c in names] for row in made.orderBy("id").collect()])
+    far = ((x[:50, None] - x[None, :50]) ** 2).sum(axis=2)
+    assert np.abs(z[:50] @ z[:50].T - np.exp(-far)).mean() < 0.1
+
+    def auc(rows):
+        s, t = np.array([row["score"] for row in rows]), np.array([row["y"] for row in rows])
+        return (s[t == 1][:, None] > s[t == 0][None, :]).mean()
+
+    rings = cells.out_of_fold(made, "id", names, "y").collect()
+    assert sorted(row["id"] for row in rings) == list(range(n)) and {row["fold"] for row in rings} == set(range(5))
+    assert auc(rings) > 0.95 and auc(cells.out_of_fold(df, "id", ["a", "b"], "y").collect()) < 0.7
+    assert all(row["predicted"] == (row["score"] > 0) for row in rings)

@@ -240,3 +240,45 @@ def test_ranks_of_one_large_group_equal_sorting(spark):
     sums = df.where("g IS NULL").groupBy("g", "v").count()
     run = {r["v"]: r["n"] for r in ranks.with_running_sums(sums, ["g"], "v", {"n": "count"}).collect()}
     assert run == {int(x): int((v >= x).sum()) for x in set(v.tolist())}
+
+
+def test_dips_of_uniform_samples_have_uniform_p(spark):
+    rng = np.random.default_rng(12)
+    null = signal.dip_null(spark, (30, 60, 120), 400)
+    rows = [(int(n), signal.dip(rng.random(n))) for n in rng.integers(30, 121, 300)] + [(20, None)]
+    two = np.concatenate([rng.normal(0, 0.1, 50), rng.normal(5, 0.1, 50)])
+    one = rng.normal(size=100)
+    rows += [(100, signal.dip(two)), (100, signal.dip(one)), (1000, signal.dip(two))]
+    got = signal.with_dip_p(spark.createDataFrame(rows, "n int, dip double"), "n", "dip", null).collect()
+    p = np.array([r["p"] for r in got[:300]])
+    assert np.abs(np.sort(p) - (np.arange(300) + 0.5) / 300).max() < 0.1  # the distance of Kolmogorov and Smirnov
+    by = {(r["n"], r["dip"]): r["p"] for r in got[300:]}
+    assert by[20, None] is None and by[100, rows[-3][1]] == 0 and by[100, rows[-2][1]] > 0.2 and by[1000, rows[-1][1]] == 0
+
+
+def test_dip_against_hulls_around_each_mode():
+    """The least distance for which hulls on either side of some mode pass: a lower bound, as they may cross at the mode,
+    and mostly the dip itself."""
+    rng = np.random.default_rng(3)
+
+    def distance(x):
+        x, n, best = np.sort(x), len(x), 1.0
+        lower, upper = np.arange(n) / n, np.arange(1, n + 1) / n
+        for m in range(n):
+            lo, hi = 0.0, 1.0
+            for _ in range(40):  # the least e for which a convex curve before and a concave one after pass within e
+                e = (lo + hi) / 2
+                ok = True
+                for part, low, high in ((x[: m + 1], upper[: m + 1] - e, lower[: m + 1] + e), (-x[m:][::-1], 1 - lower[m:][::-1] - e, 1 - upper[m:][::-1] + e)):
+                    top = part[:, None] == part[None, :]
+                    hull = np.array([min((high[i] if i == j else high[i] + (high[j] - high[i]) * (t - part[i]) / (part[j] - part[i])) for i in range(len(part)) for j in range(i, len(part)) if part[i] <= t <= part[j] and (i == j or part[i] < part[j])) for t in part])
+                    ok &= bool((hull >= low - 1e-12).all()) and top.any()
+                lo, hi = (lo, e) if ok else (e, hi)
+            best = min(best, hi)
+        return best
+
+    found = []
+    for k in range(6):
+        x = rng.random(13) if k % 2 else np.concatenate([rng.normal(0, 1, 7), rng.normal(4, 1, 7)])
+        found.append(signal.dip(x, 10) - distance(x))
+    assert min(found) > -1e-9 and sum(abs(f) < 1e-9 for f in found) >= 4 and max(found) < 1 / 14
