@@ -1,6 +1,6 @@
 """Operator 12, centroid clustering by delta Lloyd.
 
-Vectors are cut once into blocks, which stay as they are. The assignment of every block (owner and squared distance of
+Vectors are cut once into blocks, which stay where they are, dealt to buckets. The assignment of every block (owner and squared distance of
 each vector) is a table of its own, written once a round, and the sums and counts of the clusters live from round to
 round. A round tells apart which centroids moved: a vector whose own centroid stayed needs only the moved ones, with
 its stored distance as the bar; the others are compared with all. A block emits what its vectors carry from owner to
@@ -11,14 +11,16 @@ result does not depend on the order of anything.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, tidy
+from .common import cut, shared_dir, table, tidy
 
 SCALE = 1024
 #: Vectors in a block at most; rows of a block stand together in one Arrow batch.
@@ -77,6 +79,19 @@ def blocks(whole: DataFrame, dims: int) -> DataFrame:
     return packed.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
+@contextmanager
+def _bucketed(packed: DataFrame, parts: int):
+    """A table of the blocks, dealt to buckets by block, as long as it lasts: joins by block read it where it lies."""
+    spark = packed.sparkSession
+    name = f"blocks_{uuid4().hex}"
+    # Exchanged once as the buckets are, so that each is one file.
+    packed.repartition(parts, "block").write.bucketBy(parts, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the files stay, as those of checkpoints do
+
+
 def _unpack(data: bytes, n: int, dims: int) -> np.ndarray:
     return np.frombuffer(data, "<i4" if len(data) == 4 * n * dims else "<i8").reshape(n, dims).astype(np.int64)
 
@@ -127,7 +142,7 @@ def _round(packed: DataFrame, state: DataFrame | None, now: Clusters, dims: int)
     """The next state: block, owners, bars, and the block's transfers (vectors and components that came or went)."""
     centroids, moved, k = np.array(now.centroids, np.int64), np.array(now.moved), len(now.centroids)
     rows = packed.select("block", "n", "x")
-    # A state row has under a tenth of the bytes of its block; both sides are split by block, of which none is hot.
+    # Only the state is exchanged, which has under a tenth of the bytes of the blocks.
     rows = rows.join(state.select("block", "owners", "bars"), "block") if state is not None else rows.withColumns({"owners": F.lit(None).cast("binary"), "bars": F.lit(None).cast("binary")})
 
     def run(batches):
@@ -175,10 +190,14 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, se
     whole = whole_vectors(vectors, dims)
     start = first_centroids(whole, k, seed)
     now = Clusters(start, [True] * len(start), [[0] * dims for _ in start], [0] * len(start))
-    packed = cut(blocks(whole, dims))
-    state = None
     if not start:
         return vectors.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long"), now
+    with _bucketed(blocks(whole, dims), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))) as packed:
+        return _clustered(packed, now, rounds, dims)
+
+
+def _clustered(packed: DataFrame, now: Clusters, rounds: int, dims: int) -> tuple[DataFrame, Clusters]:
+    state = None
     for _ in range(rounds):
         state = _round(packed, state, now, dims)
         now = now.step(*_transfers(state, dims))
@@ -195,12 +214,11 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, se
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(r["owners"], "<u2").astype(np.int32)), pa.array(np.frombuffer(r["bars"], "<i8"), pa.int64())], ["vec_id", "cluster", "distance"])
 
     rows = packed.select("block", "n", "ids", "nulls").join(state.select("block", "owners", "bars"), "block")
-    return rows.mapInArrow(tidy(spread), "vec_id long, cluster int, distance long"), now
+    return cut(rows.mapInArrow(tidy(spread), "vec_id long, cluster int, distance long")), now
 
 
 def op12_delta_lloyd(spark, sf_dir: str) -> DataFrame:
     rows, now = cluster(table(spark, sf_dir, "embeddings"))
-    rows = cut(rows)
     each = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
     digests = [(k, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for k, c in enumerate(now.centroids)]
     named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
