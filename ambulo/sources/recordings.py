@@ -78,11 +78,19 @@ def write_new(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_results(results: DataFrame, folder: str) -> None:
-    """Fold scores as Parquet, the summary as JSON lines."""
-    results.write.mode("errorifexists").parquet(f"{folder}/fold_scores")
-    keys = [c for c in results.columns if c not in ("fold", "score")]
-    results.groupBy(*keys).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).write.mode("errorifexists").json(f"{folder}/summary")
+def write_results(results: DataFrame, folder: str, score: str = "score", fold: tuple[str, ...] = ("repeat", "fold")) -> None:
+    """fold_scores (a row for each cell with its scores in order of folds), results (CSV, mean and deviation of each
+    cell), and headline (one line of JSON: the best cell of each outcome). Nothing is overwritten.
+    """
+    cell = [c for c in ("outcome", "features", "strategy", "model") if c in results.columns]
+    order = [c for c in fold if c in results.columns]
+    arrays = results.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(*order, score))).alias("_f"))
+    arrays.select(*cell, F.transform("_f", lambda f: f[score]).alias("scores")).write.mode("errorifexists").parquet(f"{folder}/fold_scores")
+    summary = results.groupBy(*cell).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("n_folds"))
+    summary.coalesce(1).write.mode("errorifexists").option("header", "true").csv(f"{folder}/results")  # a row for each cell
+    first = cell[:1] if cell[:1] == ["outcome"] else []
+    best = summary.groupBy(*first).agg(F.max(F.struct("mean", *cell, "std", "n_folds")).alias("b")).select("b.*")
+    best.coalesce(1).write.mode("errorifexists").json(f"{folder}/headline")
 
 
 def stages(requested: str) -> list[str]:
