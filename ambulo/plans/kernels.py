@@ -99,6 +99,12 @@ def rbf_out_of_fold(spark, sf_dir):
     return cells.out_of_fold(made, "vec_id", names, "y")
 
 
+def importances(spark, sf_dir):
+    """The thirty features whose values matter most on held-out rows."""
+    df, cols = _matrix(spark, sf_dir)
+    return rounded(cells.importances(df, "vec_id", cols, "y").orderBy(F.desc("importance"), "feature").limit(30))
+
+
 def nested_cv(spark, sf_dir):
     """The five strategies with balanced logistic models."""
     df, cols = _matrix(spark, sf_dir)
@@ -118,7 +124,7 @@ def nested_sides(spark, sf_dir):
     return held.select("vec_id", F.array_join(F.col("sides").cast("array<string>"), "").alias("sides"))
 
 
-QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, rbf_out_of_fold, nested_cv, nested_cv_line, nested_sides, nearest_information)}
+QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_features, wasserstein_normal, dip_statistic, score_windows, corr_filter, select_k_best, mrmr, consensus_selection, stability_selection, block_pca, rbf_out_of_fold, importances, nested_cv, nested_cv_line, nested_sides, nearest_information)}
 
 _SIDES = "".join(f" || CASE WHEN g = {i} THEN '2' ELSE '1' END" for i in range(3))[4:]
 

@@ -156,3 +156,22 @@ def test_two_rings_are_parted_by_cosines(spark):
     assert sorted(row["id"] for row in rings) == list(range(n)) and {row["fold"] for row in rings} == set(range(5))
     assert auc(rings) > 0.95 and auc(cells.out_of_fold(df, "id", ["a", "b"], "y").collect()) < 0.7
     assert all(row["predicted"] == (row["score"] > 0) for row in rings)
+
+
+def test_importances_are_the_falls_of_accuracy(spark):
+    df, cols, x, y, _ = table(spark, n=400)
+    got = {r["feature"]: r["importance"] for r in cells.importances(df, "id", cols, "y", repeats=8).collect()}
+    assert set(got) == set(cols) and max(got, key=got.get) == "f3" and got["f3"] > 0.1
+    assert all(abs(v) < 0.1 for c, v in got.items() if c not in ("f3", "f7"))
+    d = pen.design(df, "id", cols, "y")
+    held = {r["id"] for r in df.select("id").where("pmod(xxhash64(id, 42), 1000) < 250").collect()}
+    on = np.array([i not in held for i in range(len(y))])
+    z = scaled(x, on)
+    b = fitted(z[on], y[on], 1.0)
+    rng, falls = np.random.default_rng(0), []
+    was = np.mean((z[~on] @ b > 0) == (y[~on] == 1))
+    for _ in range(300):
+        dealt = z[~on].copy()
+        dealt[:, 4] = rng.permutation(dealt[:, 4])
+        falls.append(was - np.mean((dealt @ b > 0) == (y[~on] == 1)))
+    assert abs(got["f3"] - np.mean(falls)) < 4 * np.std(falls) / 8**0.5 and d.sides == 1
