@@ -205,21 +205,6 @@ def regressors(label: str) -> dict:
     return {"elastic": LinearRegression(labelCol=label, regParam=0.01, elasticNetParam=0.5), "forest": RandomForestRegressor(labelCol=label, numTrees=50, seed=42), "boosted": GBTRegressor(labelCol=label, maxIter=20, seed=42)}
 
 
-def out_of_fold(df: DataFrame, key: str, cols: list[str], label: str, model, k: int = 5, repeats: int = 1) -> DataFrame:
-    """Each row's score from a model that did not see its fold; imputed and scaled on the training folds."""
-    placed = folds(df.select(key, label, *cols), key, label, k, repeats).cache()
-    out = None
-    for r in range(repeats):
-        for f in range(k):
-            train, test = placed.where(f"repeat = {r} AND fold <> {f}"), placed.where(f"repeat = {r} AND fold = {f}")
-            ready = lambda d, train=train: _vectors(standardize(median_impute(train, train, cols), median_impute(train, d, cols), cols), cols)
-            scored = model.fit(ready(train)).transform(ready(test))
-            score = vector_to_array("rawPrediction")[1] if "rawPrediction" in scored.columns else F.col("prediction")
-            part = scored.select(key, label, "repeat", "fold", score.alias("score"), F.col("prediction").alias("predicted"))
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
 def grids(label: str, rows: int) -> dict:
     """Each model's grid of (choice, estimator). C of the logistic regression is 1 / (rows * regParam); a forest without a depth has MLlib's largest."""
     lr = {f"C={c}": LogisticRegression(labelCol=label, weightCol="_weight", maxIter=2000, regParam=1 / (c * max(rows, 1))) for c in (0.01, 0.1, 1.0, 10.0)}

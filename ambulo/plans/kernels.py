@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cells, learning, signal
 from ..sources.stored import stored
+from .sleep import recording
 from .subjects import S, positions, rounded
 
 HZ = 4.0
@@ -21,8 +22,9 @@ def stride_regularity(spark, sf_dir):
 
 
 def sample_entropy(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "event_id", "value")
-    return signal.by_bout(e, ["event_type"], "event_id", "value", lambda x: {"entropy": signal.sample_entropy(x)}, {"entropy": "double"})
+    """Of each half day of a recording's activity."""
+    parts = recording(spark, sf_dir).withColumn("part", F.floor(F.col("i") / 432).cast("int"))
+    return signal.by_bout(parts, ["user_id", "part"], "i", "enmo", lambda x: {"entropy": signal.sample_entropy(x)}, {"entropy": "double"})
 
 
 def psd_features(spark, sf_dir):

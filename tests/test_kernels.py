@@ -282,3 +282,32 @@ def test_dip_against_hulls_around_each_mode():
         x = rng.random(13) if k % 2 else np.concatenate([rng.normal(0, 1, 7), rng.normal(4, 1, 7)])
         found.append(signal.dip(x, 10) - distance(x))
     assert min(found) > -1e-9 and sum(abs(f) < 1e-9 for f in found) >= 4 and max(found) < 1 / 14
+
+
+def test_models_of_both_kinds_fit_and_are_tuned(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(120, 3))
+    rows = [(i, *map(float, v), int(v[0] + v[1] > 0), float(2 * v[0] - v[2])) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int, t double").coalesce(1).cache()
+    zoo = learning.classifiers("y")
+    assert set(zoo) == {"lr_l2", "lr_l1", "lr_elastic", "forest", "boosted", "svm"}
+    few = lambda label, n: {m: {"": learning.classifiers(label)[m]} for m in ("lr_elastic", "svm")}
+    got = learning.nested_cv(df, "id", ["a", "b", "c"], "y", ("none",), few, 2, 1, 2).collect()
+    assert {(r["model"], r["fold"]) for r in got} == {(m, f) for m in ("lr_elastic", "svm") for f in (0, 1)} and all(r["error"] is None and r["auc"] > 0.85 for r in got)
+    for name, model in learning.regressors("t").items():
+        scored = model.fit(learning._vectors(df, ["a", "b", "c"])).transform(learning._vectors(df, ["a", "b", "c"]))
+        r = inference.regression_metrics(scored.withColumn("k", F.lit(1)), ["k"], "prediction", "t").first()
+        assert r["r2"] > 0.7, name
+
+
+def test_recordings_are_listed_and_features_written_by_subject(spark, tmp_path):
+    for name in ("0012_03.mat", "0012_03_info.mat", "skip/0001_00.mat", "20ab.txt"):
+        path = tmp_path / "raw" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * 7)
+    got = recordings.list_recordings(spark, str(tmp_path / "raw"), exclude=("_info",), exclude_folders=("skip",)).collect()
+    assert [(r["name"], r["length"], r["subject_id"]) for r in got] == [("0012_03.mat", 7, "12_3")]
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "subject_id string, v int")
+    path = recordings.write_features(rows, str(tmp_path / "out"), "bouts")
+    assert sorted((r["subject_id"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("a", 3), ("b", 2)]
+    assert (tmp_path / "out" / "bouts" / "subject_id=a").is_dir()
