@@ -130,6 +130,8 @@ QUERIES = {f.__name__: f for f in (stride_regularity, sample_entropy, psd_featur
 
 _SIDES = "".join(f" || CASE WHEN g = {i} THEN '2' ELSE '1' END" for i in range(3))[4:]
 
+_LONG_SQL = "l AS MATERIALIZED (SELECT vec_id, (label < 5)::INTEGER AS y, j, embedding[j + 1]::DOUBLE AS x FROM embeddings, range(64) t(j))"
+_CORR_SQL = "c AS MATERIALIZED (SELECT a.j AS i, b.j AS j, corr(a.x, b.x) AS r FROM l a JOIN l b USING (vec_id) GROUP BY a.j, b.j)"
 #: psi(n) of whole numbers is the harmonic number of n - 1 less Euler's constant, which cancels out.
 ORACLE_SQL = {
     "nearest_information": """WITH l AS (SELECT 'f' || j AS feature, (label < 5)::INTEGER AS y, embedding[j + 1]::DOUBLE AS x FROM embeddings, range(64) t(j)),
@@ -146,4 +148,15 @@ FROM m JOIN (SELECT feature, count(*) AS n FROM d GROUP BY feature) c USING (fea
  i AS (SELECT *, (row_number() OVER (PARTITION BY r, q, y ORDER BY md5('42:' || r || ':' || q || ':' || vec_id), vec_id) - 1) % 3 AS g FROM c WHERE f <> q),
  s AS (SELECT vec_id, r, q, {_SIDES} || '1' AS codes FROM i UNION ALL SELECT vec_id, r, q, '0002' FROM c WHERE f = q)
 SELECT vec_id, string_agg(codes, '' ORDER BY r, q) AS sides FROM s GROUP BY vec_id""",
+    "select_k_best": f"""WITH {_LONG_SQL}, g AS (SELECT j, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY j, y), a AS (SELECT j, sum(n) AS n, sum(n * m) / sum(n) AS grand FROM g GROUP BY j),
+ f AS (SELECT j, sum(g.n * power(m - grand, 2)) / (count(*) - 1) / (sum(g.n * v) / (any_value(a.n) - count(*))) AS f FROM g JOIN a USING (j) GROUP BY j)
+SELECT (row_number() OVER (ORDER BY j) - 1)::INTEGER AS place, 'f' || j AS feature FROM (SELECT j FROM f ORDER BY f DESC, j LIMIT 5)""",
+    "corr_filter": f"""WITH RECURSIVE {_LONG_SQL}, {_CORR_SQL}, far AS (SELECT i, list(j) AS js FROM c WHERE abs(r) > 0.3 AND j < i GROUP BY i),
+ k(i, kept) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT k.i + 1, CASE WHEN list_has_any(kept, coalesce(js, [])) THEN kept ELSE list_append(kept, k.i + 1) END FROM k LEFT JOIN far ON far.i = k.i + 1 WHERE k.i < 63)
+SELECT place::INTEGER AS place, 'f' || j AS feature FROM (SELECT unnest(kept) AS j, generate_subscripts(kept, 1) - 1 AS place FROM k WHERE i = 63)""",
 }
+# Greedily, the feature of the largest information less its mean squared correlation with those chosen.
+ORACLE_SQL["mrmr"] = f"""WITH RECURSIVE {_LONG_SQL}, {_CORR_SQL}, mi AS MATERIALIZED ({ORACLE_SQL["nearest_information"].replace("round(greatest(", "(greatest(").replace(", 0), 6) AS mi", ", 0)) AS mi")}),
+ w AS MATERIALIZED (SELECT c.i AS j, list(r * r ORDER BY c.j) AS rr, any_value(mi.mi) AS mi FROM c JOIN mi ON mi.feature = 'f' || c.i GROUP BY c.i),
+ k(n, chosen) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT any_value(n) + 1, list_append(any_value(chosen), arg_max(j, mi - CASE WHEN n = 0 THEN 0 ELSE list_avg(list_transform(chosen, lambda o: rr[o + 1])) END)) FROM k, w WHERE n < 6 AND NOT list_contains(chosen, j) GROUP BY n)
+SELECT place::INTEGER AS place, 'f' || j AS feature FROM (SELECT unnest(chosen) AS j, generate_subscripts(chosen, 1) - 1 AS place FROM k WHERE n = 6)"""
