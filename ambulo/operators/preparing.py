@@ -93,7 +93,7 @@ def gravity(windows: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFr
     and the error falls.
     """
     v = [F.col(a) for a in AXES]
-    whole = windows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND abs(x) < 2 AND abs(y) < 2 AND abs(z) < 2").select(*keys, *AXES)
+    whole = windows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND abs(x) < 2 AND abs(y) < 2 AND abs(z) < 2").select(*keys, *AXES).hint("merge")  # not broadcast for a small file
     found = _solved(_equations(whole, keys, [c * c for c in v] + v, F.lit(1.0), []), keys, True)
     names = [f"o{a}" for a in AXES] + [f"g{a}" for a in AXES]
     for _ in range(rounds):
@@ -122,7 +122,8 @@ def off_wrist(samples: DataFrame, windows: DataFrame, keys: list[str], rule: Pre
     """samples whose axes are null in runs of still windows that last for the patience or longer."""
     runs = sequence.runs(windows.select(*keys, "win", "still"), keys, "win", "still").where(F.col("still") & (F.col("length") * rule.window_sec >= rule.patience_min * 60))
     off = runs.select(*keys, F.explode(F.sequence("start", "end")).alias("_win")).withColumn("_off", F.lit(True))
-    marked = samples.withColumn("_win", F.floor(F.col("t") / rule.window_sec)).join(off, [*keys, "_win"], "left")
+    # Runs grow when they are spread out, which a guess of their size does not see: never broadcast.
+    marked = samples.withColumn("_win", F.floor(F.col("t") / rule.window_sec)).join(off.hint("merge"), [*keys, "_win"], "left")
     return marked.withColumns({a: F.when(F.col("_off").isNull(), F.col(a)) for a in AXES}).drop("_win", "_off")
 
 
@@ -169,15 +170,15 @@ def prepare(samples: DataFrame, keys: list[str], rule: PrepareRule) -> Prepared:
     valid = (F.col("wear_hours") >= rule.wear_hours) & ((F.col("missing_hours") == 0) | F.lit(not rule.all_hours))
     ends = grid.join(seen.where(valid), keys, "left_semi").groupBy(*keys).agg(F.floor(F.min(second) / DAY).alias("_lo"), F.floor(F.max(second) / DAY).alias("_hi"))
     per_day = round(DAY * rule.hz)
-    whole = ends.select(*keys, F.explode(F.sequence(F.col("_lo") * per_day, (F.col("_hi") + 1) * per_day - 1)).alias("at")).join(grid, [*keys, "at"], "left")
+    # The stored grid is far smaller in its file than in memory: never broadcast.
+    whole = ends.select(*keys, F.explode(F.sequence(F.col("_lo") * per_day, (F.col("_hi") + 1) * per_day - 1)).alias("at")).join(grid.hint("merge"), [*keys, "at"], "left")
     day = F.floor(second / DAY)
     full = whole.withColumns({"_wd": F.pmod(day + 3, F.lit(7)), "_minute": F.floor(second / 60) % 1440}).withColumn("_we", F.col("_wd") >= 5)
     longest = int(rule.impute_min * 60 * rule.hz)
-    for a in AXES:
-        full = sequence.cascading_impute(full, keys, a, [["_wd", "_minute"], ["_we", "_minute"], ["_minute"]], "at", longest).drop(a).withColumnRenamed("filled", a)
+    full = sequence.impute_levels(full, keys, list(AXES), [["_wd", "_minute"], ["_we", "_minute"], ["_minute"]], "at", longest)
     filled = stored(full.select(*keys, "at", day.alias("day"), *AXES))
     piece = sequence.longest_run(filled.withColumn("there", F.col("x").isNotNull()), keys, "at", "there").select(*keys, F.col("start").alias("_lo"), F.col("end").alias("_hi"))
-    inside = filled.join(piece, keys).where(F.col("at").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    inside = filled.hint("merge").join(piece, keys).where(F.col("at").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     good = sequence.drop_edge_days(inside, keys, "day") if rule.drop_edges else inside
     starts = good.groupBy(*keys).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("n_samples"))
     out = good.join(starts, keys).select(*keys, (F.col("at") - F.col("_first")).cast("int").alias("i"), F.round(F.col("_first") * (1 / rule.hz)).cast("long").alias("start_sec"), *AXES)

@@ -95,18 +95,29 @@ def wear_validation(df: DataFrame, keys: list[str], value: str, hour: str, per_h
     return seen.select(*keys, "wear_hours", missing.alias("missing_hours"), ((F.col("wear_hours") >= least_hours) & (missing == 0)).alias("valid"))
 
 
+def impute_levels(df: DataFrame, keys: list[str], values: list[str], levels: list[list[str]], at: str, longest: int) -> DataFrame:
+    """W13 for several columns at once, in place: nulls become the mean of their group, level after level.
+
+    Rows are dealt by key, which serves the windows of all levels: they are shuffled once, whatever the number of columns
+    and levels.
+    """
+    out = df.repartition(*keys).withColumns({f"_f_{v}": F.col(v) for v in values})
+    for level in levels:
+        by = Window.partitionBy(*keys, *level)
+        out = out.withColumns({f"_f_{v}": F.coalesce(f"_f_{v}", F.avg(f"_f_{v}").over(by)) for v in values})
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"_k_{v}": F.count(v).over(before) for v in values})
+    gap = lambda v: F.count_if(F.col(v).isNull()).over(Window.partitionBy(*keys, f"_k_{v}"))
+    out = out.withColumns({v: F.when(F.col(v).isNotNull() | (gap(v) <= longest), F.col(f"_f_{v}")) for v in values})
+    return out.drop(*(f"_{c}_{v}" for c in "fk" for v in values))
+
+
 def cascading_impute(df: DataFrame, keys: list[str], value: str, levels: list[list[str]], at: str, longest: int) -> DataFrame:
     """Nulls become the mean of their group, level after level; later levels see earlier fills.
 
     Gaps of more than `longest` rows, in order of `at`, are null again afterwards.
     """
-    out = df.withColumn("filled", F.col(value))
-    for level in levels:
-        out = out.withColumn("filled", F.coalesce("filled", F.avg("filled").over(Window.partitionBy(*keys, *level))))
-    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = out.withColumn("_known", F.count(value).over(before))
-    gap = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*keys, "_known"))
-    return numbered.withColumn("filled", F.when(F.col(value).isNotNull() | (gap <= longest), F.col("filled"))).drop("_known")
+    return impute_levels(df.withColumn("filled", F.col(value)), keys, ["filled"], levels, at, longest)
 
 
 def rolling_median(df: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:
