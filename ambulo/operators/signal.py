@@ -1,4 +1,4 @@
-"""Kernels of bout signals that SQL cannot express, as grouped pandas functions.
+"""Kernels of bout signals that SQL cannot express, as grouped Arrow functions.
 
 One bout is one group: bouts are minutes long, and sample entropy looks at its first two minutes only.
 """
@@ -6,22 +6,26 @@ One bout is one group: bouts are minutes long, and sample entropy looks at its f
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pairs of values compared at once; they fit a processor's cache.
+BLOCK = 40_000
+
 
 def by_bout(df: DataFrame, keys: list[str], at: str, value: str, kernel, columns: dict[str, str]) -> DataFrame:
     """kernel(values in order) -> dict of columns, for each group."""
     fields = dict(df.select(*keys).dtypes)
     schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), *(f"{c} {t}" for c, t in columns.items())])
+    types = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64()}
 
-    def run(key, frame):
-        x = frame.sort_values(at)[value].to_numpy(float)
-        x = x[np.isfinite(x)]
-        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **kernel(x)}])
+    def run(table):
+        x = table[value].to_numpy()[np.argsort(table[at].to_numpy(), kind="stable")].astype(float)
+        found = kernel(x[np.isfinite(x)])
+        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, **{c: pa.array([found[c]], types[t], from_pandas=True) for c, t in columns.items()}})
 
-    return df.select(*keys, at, value).groupBy(*keys).applyInPandas(run, schema)
+    return df.select(*keys, at, value).groupBy(*keys).applyInArrow(run, schema)
 
 
 def _peaks(x: np.ndarray, apart: int) -> np.ndarray:
@@ -84,12 +88,22 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.15, most: int = 3600)
     if n <= 200 or x.std() == 0:
         return None
     near = r * x.std()
+    last = n - m
     shorter = longer = 0
-    templates = np.lib.stride_tricks.sliding_window_view(x, m)[: n - m]
-    for i in range(n - m - 1):
-        close = np.abs(templates[i + 1 :] - templates[i]).max(axis=1) <= near
-        shorter += int(close.sum())
-        longer += int((np.abs(x[i + 1 + m :] - x[i + m])[close] <= near).sum())
+    # Blocks of rows of the matrix of pairs, so that a long signal does not need all of it at once.
+    step = max(1, BLOCK // n)
+    for i in range(0, last, step):
+        j = min(i + step, last)
+        rows, columns = j - i, last - i
+        # Pairs of values from row i and column i on; templates match where m of them on a diagonal are close.
+        close = np.abs(x[i : j + m, None] - x[None, i:]) <= near
+        both = close[:rows, :columns]
+        for k in range(1, m):
+            both = both & close[k : rows + k, k : columns + k]
+        more = both & close[m : rows + m, m : columns + m]
+        # The square at the diagonal holds each pair twice and each template with itself.
+        count = lambda c: (np.count_nonzero(c[:, :rows]) - rows) // 2 + np.count_nonzero(c[:, rows:])
+        shorter, longer = shorter + int(count(both)), longer + int(count(more))
     return -float(np.log(longer / shorter)) if shorter and longer else None
 
 
