@@ -50,7 +50,8 @@ def to_grid(df: DataFrame, keys: list[str], at: str, value: str, how: str = "mea
 
 
 def nearest_on_grid(df: DataFrame, keys: list[str], at: str, value: str, step: int, tolerance: int) -> DataFrame:
-    """For each grid point the nearest row within tolerance, the earlier on ties; points without one are null.
+    """For each grid point the nearest row within tolerance, the earlier on ties, of rows at one
+    time that of the least value; points without one are null.
 
     Rows meet only the grid points around them, so the join is by equal keys.
     """
@@ -58,7 +59,7 @@ def nearest_on_grid(df: DataFrame, keys: list[str], at: str, value: str, step: i
     grid = ends.select(*keys, F.explode(F.transform(F.sequence("_lo", "_hi"), lambda g: g * step)).alias("grid"))
     lo, hi = F.ceil((F.col(at) - tolerance) / step), F.floor((F.col(at) + tolerance) / step)
     near = df.where(lo <= hi).select(*keys, at, value, F.explode(F.sequence(lo, hi)).alias("_g")).withColumn("grid", F.col("_g") * step)
-    best = near.groupBy(*keys, "grid").agg(F.min_by(value, F.struct(F.abs(F.col(at) - F.col("grid")), at)).alias("value"))
+    best = near.groupBy(*keys, "grid").agg(F.min_by(value, F.struct(F.abs(F.col(at) - F.col("grid")), at, value)).alias("value"))
     return grid.join(best, [*keys, "grid"], "left")
 
 
@@ -92,7 +93,10 @@ def l5_m10(grid: DataFrame, keys: list[str], at: str, value: str, period: int, l
     twice = slots.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(period)))).withColumn("slot", F.col("slot") + F.col("turn"))
     order = Window.partitionBy(*keys).orderBy("slot")
     rolled = twice.withColumn("lo", F.avg("p").over(order.rowsBetween(0, low - 1))).withColumn("hi", F.avg("p").over(order.rowsBetween(0, high - 1))).where(F.col("slot") < period)
-    out = rolled.groupBy(*keys).agg(F.min("lo").alias("l5"), F.min_by("slot", F.struct("lo", "slot")).alias("slot"), F.max("hi").alias("m10")).join(n, keys)
+    # Equal spans differ by the last digits, as their sums begin at other slots.
+    least_lo = F.min("lo").over(Window.partitionBy(*keys))
+    first = rolled.withColumn("_l5", least_lo)
+    out = first.groupBy(*keys).agg(F.min("lo").alias("l5"), F.min(F.when(F.col("lo") <= F.col("_l5") + 1e-9, F.col("slot"))).alias("slot"), F.max("hi").alias("m10")).join(n, keys)
     ok = lambda c: F.when(F.col("n") >= (2 * period if least is None else least), c)
     ra = F.when(F.col("m10") + F.col("l5") > 0, (F.col("m10") - F.col("l5")) / (F.col("m10") + F.col("l5")))
     return out.select(*keys, ok(F.col("l5")).alias("l5"), ok(F.col("slot") * 24.0 / period).alias("l5_onset_hour"), ok(F.col("m10")).alias("m10"), ok(ra).alias("ra"))
