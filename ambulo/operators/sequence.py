@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessions(df: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
-    """Rows with bout_id, 1-based by key; a row joins the bout before it if at most gap later."""
-    order = Window.partitionBy(*keys).orderBy(at)
+def sessions(df: DataFrame, keys: list[str], at: str, gap: float, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with bout_id, 1-based by key; a row joins the bout before it if at most gap later.
+
+    Rows come out in order, those of one time by ties, so that sums over them do not vary from run to run.
+    """
+    order = Window.partitionBy(*keys).orderBy(at, *ties)
     fresh = df.withColumn("_new", (F.col(at) - F.lag(at).over(order) > gap).cast("int"))
     return fresh.withColumn("bout_id", (F.coalesce(F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + 1).cast("int")).drop("_new")
 
