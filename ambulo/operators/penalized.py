@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..sources.stored import stored
 
 TRAIN, TEST = 1, 2
-#: Rows whose scores a worker holds at a time, and models whose gradients are summed as one row.
-ROWS, MODELS = 512, 64
+#: Rows whose scores a worker holds at a time, and models of a side whose gradients are summed as one row.
+ROWS, MODELS = 2048, 64
 MISSING, LEAST_VARIANCE, MOST_CORRELATION = 0.6, 1e-8, 0.95
 
 
@@ -55,8 +55,10 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def _augmented(x: np.ndarray) -> np.ndarray:
-    """One, the values with nulls as zero, and where they are null."""
+    """One, the values with nulls as zero, and where they are null; the last are left out if there are none."""
     gone = np.isnan(x)
+    if not gone.any():
+        return np.hstack([np.ones((len(x), 1)), x])
     return np.hstack([np.ones((len(x), 1)), np.where(gone, 0.0, x), gone.astype(float)])
 
 
@@ -98,11 +100,14 @@ class Sums:
 
 
 def sums(d: Design, bins: int = 16, code: int = TRAIN) -> Sums:
-    """One pass over the rows on the `code` part of each side. Bins are those between the quantiles of all rows."""
+    """One pass over the rows on the `code` part of each side. Bins are those between the quantiles of all rows.
+
+    A task of the quantiles holds the distinct values of its own columns, not of all.
+    """
     p, wide = len(d.cols), 1 + 2 * len(d.cols)
-    cut = [F.percentile(F.get("x", F.lit(j)), F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias(f"q{j}") for j in range(p)]
-    quantiles = d.rows.agg(*cut).first()
-    edges = [np.unique(q) if q else np.empty(0) for q in quantiles]
+    cut = F.percentile("x", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("q")
+    quantiles = {r["j"]: r["q"] for r in d.rows.select(F.posexplode("x").alias("j", "x")).groupBy("j").agg(cut).collect()}
+    edges = [np.unique(quantiles[j]) if quantiles.get(j) else np.empty(0) for j in range(p)]
     per, n_sides, n_samples = bins + 1, d.sides, d.samples
 
     def partials():
@@ -111,14 +116,15 @@ def sums(d: Design, bins: int = 16, code: int = TRAIN) -> Sums:
     def work(held, z, x, y, sides, samples):
         binned = np.stack([np.where(np.isnan(x[:, j]), bins, np.searchsorted(edges[j], x[:, j], "left")) for j in range(p)], axis=1) if p else np.zeros((len(x), 0), int)
         slots = binned + np.arange(p) * per
+        w = z.shape[1]
         for s in range(sides.shape[1]):
             on = sides[:, s] == code
-            held[4 * s + 3][:wide] += z[on].T @ y[on]
+            held[4 * s + 3][:w] += z[on].T @ y[on]
             held[4 * s + 3][wide] += float((y[on] ** 2).sum())
             for c in (0, 1):
                 m = on & ((y > 0) == bool(c))
                 own = z[m]
-                held[4 * s].reshape(2, wide, wide)[c] += own.T @ own
+                held[4 * s].reshape(2, wide, wide)[c, :w, :w] += own.T @ own
                 held[4 * s + 1].reshape(2, -1)[c] += samples[m].sum(axis=0)
                 held[4 * s + 2].reshape(2, -1)[c] += np.bincount(slots[m].ravel(), minlength=p * per)
 
@@ -256,28 +262,41 @@ class Model:
 
 
 def _gradients(d: Design, sides: list[Side], models: list[Model], coefficients: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Gradients (models by augmented columns) of the weighted losses; a pass over the rows."""
-    wide, many = coefficients.shape[1], len(models)
+    """Gradients (models by augmented columns) of the weighted losses; a pass over the rows.
+
+    Models of one side are worked on together, with the training rows of that side only.
+    """
+    wide = coefficients.shape[1]
     side, sample = np.array([sides[m.side].k for m in models]), np.array([m.sample for m in models])
-    sent = d.rows.sparkSession.sparkContext.broadcast((coefficients.T.copy(), weights))
+    groups = [g for k in np.unique(side) for own in [np.flatnonzero(side == k)] for g in np.split(own, range(MODELS, len(own), MODELS))]
+    sent = d.rows.sparkSession.sparkContext.broadcast([(side[g[0]], sample[g], coefficients[g].T.copy(), weights[g]) for g in groups])
 
     def partials():
-        return {k: np.zeros((min(MODELS, many - k), wide)) for k in range(0, many, MODELS)}
+        return {k: np.zeros((len(g), wide)) for k, g in enumerate(groups)}
 
     def work(held, z, x, y, sides, samples):
-        c, w = sent.value
-        for k, out in held.items():
-            own = slice(k, k + len(out))
-            on = (sides[:, side[own]] == TRAIN).astype(float)
-            drawn = sample[own] >= 0
-            if drawn.any():
-                on[:, drawn] *= samples[:, sample[own][drawn]]
-            rate = 1 / (1 + np.exp(-np.clip(z @ c[:, own], -500, 500)))
-            out += (z.T @ (on * np.where(y[:, None] > 0, w[own, 1], w[own, 0]) * (rate - y[:, None]))).T
+        at, w = None, z.shape[1]
+        for k, (own, drawn, c, balance) in enumerate(sent.value):
+            if own != at:
+                at, on = own, sides[:, own] == TRAIN
+                rows, label, picked = z[on], y[on], samples[on]
+            rate = rows @ c[:w]
+            np.clip(rate, -500, 500, out=rate)
+            np.exp(np.negative(rate, out=rate), out=rate)
+            rate += 1
+            np.reciprocal(rate, out=rate)
+            rate -= label[:, None]
+            rate *= np.where(label[:, None] > 0, balance[:, 1], balance[:, 0])
+            if (drawn >= 0).any():
+                rate *= np.where(drawn >= 0, picked[:, np.maximum(drawn, 0)], 1)
+            held[k][:, :w] += rate.T @ rows
 
     got = _summed(d, work, partials)
     sent.unpersist()
-    return np.concatenate([got[k].reshape(-1, wide) if k in got else np.zeros((min(MODELS, len(models) - k), wide)) for k in range(0, len(models), MODELS)])
+    out = np.zeros((len(models), wide))
+    for k, v in got.items():
+        out[groups[k]] = v.reshape(-1, wide)
+    return out
 
 
 def _shrunk(curvature: np.ndarray, gradient: np.ndarray, start: np.ndarray, l1: np.ndarray, l2: np.ndarray, free: np.ndarray, sweeps: int = 200) -> np.ndarray:
@@ -385,7 +404,7 @@ def scores(d: Design, sides: list[Side], models: list[Model], weights: np.ndarra
                 b = batch.slice(at, ROWS)
                 z = _augmented(_matrix(b.column("x"), width).astype(float))
                 row, model = np.nonzero(_matrix(b.column("sides"), n_sides)[:, side] == code)
-                score = (z @ sent.value)[row, model]
+                score = (z @ sent.value[: z.shape[1]])[row, model]
                 yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), b.column("key").take(pa.array(row)), b.column("y").take(pa.array(row)), pa.array(score)], ["model", "key", "y", "score"])
 
     return d.rows.mapInArrow(run, f"model int, key {d.rows.schema['key'].dataType.simpleString()}, y double, score double")
