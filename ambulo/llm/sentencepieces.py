@@ -30,13 +30,15 @@ SPACE = "\u2581"
 N_BEST = 4
 #: Distinct spans that a worker remembers in each of two generations, and the longest of them.
 SPANS_KEPT, SPAN_CHARS = 100_000, 64
+#: Bytes of text that are worked on together: the more, the more spans of one length are searched side by side.
+PORTION = 4 << 20
 #: Runs of letters and of other characters, with the marks before them; what joins the two.
 RUNS = regex.compile(r"\u2581*[\p{L}\p{M}]+|\u2581*[^\p{L}\p{M}\u2581]+|\u2581+")
 JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}\u2581][\p{L}\p{M}]")
 #: Spans up to so many characters are searched side by side, so many at once, over pieces of up to TABLE_CHARS.
 TABLE_SPAN, SIDE_BY_SIDE, TABLE_CHARS = 24, 2048, 24
 INF = float("inf")
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
 
 
 class _Kept:
@@ -55,13 +57,13 @@ class _Kept:
 
 
 def _prefixes(spans: list[str]) -> np.ndarray:
-    """For spans of one length a row each with the hashes of their beginnings, the empty one first."""
+    """For spans of one length a column each with the hashes of their beginnings, the empty one first."""
     size = len(spans[0])
-    codes = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(spans), size).astype(np.uint64)
-    out = np.zeros((len(spans), size + 1), np.uint64)
+    codes = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(spans), size).T.astype(np.uint64, order="C")
+    out = np.zeros((size + 1, len(spans)), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
-            out[:, j + 1] = out[:, j] * _FACTOR + (codes[:, j] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+            out[j + 1] = out[j] * _FACTOR + (codes[j] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     return out
 
 
@@ -105,15 +107,17 @@ class Pieces:
                     node = entry[0]
                 entry[1] = found
         self.apart = not any(JOINED.search(name) for name in names)
-        #: For each length the hashes of the pieces, sorted, with their scores and ids.
+        #: For each length the hashes of the pieces, sorted, with their scores and ids; and which leading bits there are.
         self.tables = {}
         for k in range(1, min(TABLE_CHARS, max(map(len, names))) + 1):
-            some = sorted((int(_prefixes([name])[0, -1]), *names[name]) for name in names if len(name) == k)
+            some = sorted((int(_prefixes([name])[-1, 0]), *names[name]) for name in names if len(name) == k)
             hashes = np.array([x[0] for x in some], np.uint64)
             if len(np.unique(hashes)) < len(hashes):
                 raise ValueError("pieces of one hash")
             if some:
-                self.tables[k] = hashes, np.array([x[1] for x in some]), np.array([int.from_bytes(x[2], "little") for x in some])
+                held = np.zeros(1 << 16, bool)
+                held[hashes >> _TOP] = True
+                self.tables[k] = hashes, np.array([x[1] for x in some]), np.array([int.from_bytes(x[2], "little") for x in some]), held
         self.forget()
         gc.freeze()  # the vocabulary stays: collections need not look at it
 
@@ -213,42 +217,49 @@ class Pieces:
         size, many = len(spans[0]), len(spans)
         longest = min(size, max(self.tables))
         codes = _prefixes(spans)
-        score, ids = np.full((many, size + 1, longest + 1), -INF), np.zeros((many, size + 1, longest + 1), np.int64)
-        with np.errstate(over="ignore"):
-            for k in range(1, longest + 1):
-                if k not in self.tables:
-                    continue
-                hashes, scores, numbers = self.tables[k]
-                part = codes[:, k:] - codes[:, :-k] * _FACTOR**k
-                at = np.minimum(np.searchsorted(hashes, part), len(hashes) - 1)
-                hit = hashes[at] == part
-                score[:, k:, k], ids[:, k:, k] = np.where(hit, scores[at], -INF), numbers[at]
-        whole = (score[:, 1:, 1] > -INF).all(axis=1)
-        best, last, behind = np.zeros((many, size + 1)), np.zeros((many, size + 1), np.int64), np.full((many, size + 1), INF)
+        # By length and end of a piece, spans side by side in memory; most parts of spans are no pieces.
+        score, ids, ends = np.full((longest + 1, size + 1, many), -INF), np.zeros((longest + 1, size + 1, many), np.int32), {}
+        for k in range(1, longest + 1):
+            if k not in self.tables:
+                continue
+            hashes, scores, numbers, held = self.tables[k]
+            with np.errstate(over="ignore"):
+                part = (codes[k:] - codes[:-k] * _FACTOR**k).ravel()
+            maybe = np.flatnonzero(held[part >> _TOP])
+            some = part[maybe]
+            at = np.minimum(np.searchsorted(hashes, some), len(hashes) - 1)
+            hit = hashes[at] == some
+            at, maybe = at[hit], maybe[hit]
+            score[k, k:].reshape(-1)[maybe] = scores[at]
+            ids[k, k:].reshape(-1)[maybe] = numbers[at]
+            for j in np.unique(maybe // many).tolist():
+                ends.setdefault(j + k, []).append(k)
+        whole = (score[1, 1:] > -INF).all(axis=0)
+        best, last, behind = np.zeros((size + 1, many)), np.zeros((size + 1, many), np.int64), np.full((size + 1, many), INF)
         for j in range(1, size + 1):
             top, second, chosen = np.full(many, -INF), np.full(many, -INF), np.zeros(many, np.int64)
-            for k in range(min(j, longest), 0, -1):  # the longest of equals, as in `forward`
-                found = best[:, j - k] + score[:, j, k]
+            for k in reversed(ends.get(j, [])):  # the longest of equals, as in `forward`
+                found = best[j - k] + score[k, j]
                 better = found > top
-                second = np.maximum(second, np.where(better, top, found))
-                chosen = np.where(better, k, chosen)
-                top = np.maximum(top, found)
+                np.maximum(second, np.minimum(top, found), out=second)
+                chosen[better] = k
+                np.maximum(top, found, out=top)
             with np.errstate(invalid="ignore"):  # where nothing ends
-                best[:, j], last[:, j], behind[:, j] = top, chosen, top - second
+                best[j], last[j], behind[j] = top, chosen, top - second
         # Back along the best path: what comes after a node costs all hypotheses through it the same, so the best one
         # that is left behind there is as far from the best of all as its piece is from the one chosen.
         row = np.arange(many)
         at, gap, path = np.where(whole, size, 0), np.full(many, INF), []
         while at.any():
-            chosen = last[row, at]
-            np.minimum(gap, np.where(at > 0, behind[row, at], INF), out=gap)
-            path.append(np.where(at > 0, ids[row, at, chosen], -1))
+            chosen = last[at, row]
+            np.minimum(gap, np.where(at > 0, behind[at, row], INF), out=gap)
+            path.append(np.where(at > 0, ids[chosen, at, row], -1))
             at = at - chosen
         order = np.array(path[::-1]).T.astype("<i4") if path else np.empty((many, 0), "<i4")
         counts = (order >= 0).sum(axis=1).tolist()
         order = order.tobytes()
         width = 4 * len(path)
-        each = zip(whole.tolist(), best[:, -1].tolist(), gap.tolist(), counts, strict=True)
+        each = zip(whole.tolist(), best[-1].tolist(), gap.tolist(), counts, strict=True)
         return [(b, g, order[(r + 1) * width - 4 * c : (r + 1) * width]) if ok else None for r, (ok, b, g, c) in enumerate(each)]
 
     def _runs(self, span: str) -> list[str]:
@@ -335,7 +346,7 @@ def spans(text: str) -> list[str]:
     return out
 
 
-def _chain(known: Pieces, solved: dict, parts: list[str], n: int) -> tuple[list[tuple[float, bytes]], list[tuple[bytes, bytes]]]:
+def _chain(known: Pieces, solved: dict, parts: list[str], n: int) -> tuple[list[tuple[float, bytes]], list[tuple[bytes, list[bytes]]]]:
     """The n best segmentations of a chain of spans, best first; and, for each span replaced in them, what by what.
 
     One among the n best departs from the best in n - 1 spans at most, each of them among the n - 1 whose second
@@ -344,9 +355,11 @@ def _chain(known: Pieces, solved: dict, parts: list[str], n: int) -> tuple[list[
     found = [solved[p] for p in parts]
     best, gaps, runs = zip(*found, strict=True)
     base = sum(best)
-    most = heapq.nsmallest(n - 1, gaps)
-    limit = most[-1] if most else -INF
-    places = sorted(sorted((i for i, g in enumerate(gaps) if g <= limit and g < INF), key=gaps.__getitem__)[: n - 1])
+    places: list[int] = []
+    for g in sorted(gaps)[: n - 1]:
+        if g < INF:
+            places.append(gaps.index(g, places[-1] + 1 if places and gaps[places[-1]] == g else 0))
+    places.sort()
     # The search may pop another of several best ones first, so the one that stands in the best of all goes by its ids.
     options = {p: known.choices(parts[p], n) for p in places}
     others = {p: [(options[p][0][0] - score, ids) for score, ids in options[p] if ids != runs[p]] for p in places}
@@ -361,7 +374,7 @@ def _chain(known: Pieces, solved: dict, parts: list[str], n: int) -> tuple[list[
     for cost, way in ways:
         own = [way.get(p, runs[p]) for p in places]
         out.append((base - cost, b"".join(chain.from_iterable((*x,) for x in zip(fixed, [*own, b""], strict=True)))))
-    return out, [(runs[p], ids) for p in places for _, ids in others[p]]
+    return out, [(runs[p], [ids for _, ids in others[p]]) for p in places]
 
 
 @lru_cache(2)
@@ -383,7 +396,7 @@ def _checked(known: Pieces, texts: list[str | None], n: int):
             yield [(0.0, b"")], True
             continue
         found, replaced = _chain(known, solved, own, n)
-        yield found, known.decode(found[0][1]) == text and all(known.joined(a) == known.joined(b) for a, b in replaced)
+        yield found, known.decode(found[0][1]) == text and all(known.joined(ids) == shown for own, others in replaced for shown in [known.joined(own)] for ids in others)
 
 
 def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = True) -> DataFrame:
@@ -408,7 +421,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
         known = pieces(path)
         gc.disable()  # many objects and no cycles
         try:
-            for batch in portions(batches, most=1 << 20):
+            for batch in portions(batches, most=PORTION):
                 each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
                 counts = [len(f) for f in each]
                 flat = [s for f in each for s in f]

@@ -55,3 +55,16 @@ def test_rows_reach_their_payloads_in_the_shards(spark):
         assert len(stored) == r["media_bytes"] and hashlib.sha256(stored).hexdigest() == r["media_sha256"]
         assert hashlib.sha256(media.decode_png(stored)).hexdigest() == r["payload_sha256"]
     reader.close()
+
+
+def test_few_parts_of_spans_are_looked_up(monkeypatch):
+    """op9_nbest over its CPU budget: all parts of a span were sought by halving, most of which are no pieces."""
+    known = sentencepieces.pieces(sentencepieces.default_model())
+    words = [sentencepieces.SPACE + w for w in ("unbelieva", "zqxjkvwyp", "Internati", "aaaaaaaaa", "Straßenba")]
+    want, asked, search = [known.first(w) for w in words], [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: asked.append(np.size(v)) or search(a, v, *more))
+    got = known.first_of_many(words)
+    size = len(words[0])
+    assert sum(asked) < 0.7 * len(words) * size * (size + 1) / 2
+    assert [g[2] for g in got if g] == [w[2] for g, w in zip(got, want) if g] and sum(g is not None for g in got) > 3
+    assert all(np.isclose(g[0], w[0]) and np.isclose(g[1], w[1]) for g, w in zip(got, want) if g)
