@@ -30,8 +30,9 @@ SPACE = "\u2581"
 N_BEST = 4
 #: Distinct spans that a worker remembers in each of two generations, and the longest of them.
 SPANS_KEPT, SPAN_CHARS = 100_000, 64
-#: Bytes of text that are worked on together: the more, the more spans of one length are searched side by side.
-PORTION = 4 << 20
+#: Bytes of text whose spans are solved together: the more, the more spans of one length are searched side by side; and
+#: those of which the results, some ten times as large, are made and handed over together.
+PORTION, HANDED = 2 << 20, 1 << 18
 #: Runs of letters and of other characters, with the marks before them; what joins the two.
 RUNS = regex.compile(r"\u2581*[\p{L}\p{M}]+|\u2581*[^\p{L}\p{M}\u2581]+|\u2581+")
 JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}\u2581][\p{L}\p{M}]")
@@ -110,14 +111,17 @@ class Pieces:
         #: For each length the hashes of the pieces, sorted, with their scores and ids; and which leading bits there are.
         self.tables = {}
         for k in range(1, min(TABLE_CHARS, max(map(len, names))) + 1):
-            some = sorted((int(_prefixes([name])[-1, 0]), *names[name]) for name in names if len(name) == k)
-            hashes = np.array([x[0] for x in some], np.uint64)
-            if len(np.unique(hashes)) < len(hashes):
+            some = [name for name in names if len(name) == k]
+            if not some:
+                continue
+            hashes = _prefixes(some)[-1]
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            if (hashes[1:] == hashes[:-1]).any():
                 raise ValueError("pieces of one hash")
-            if some:
-                held = np.zeros(1 << 16, bool)
-                held[hashes >> _TOP] = True
-                self.tables[k] = hashes, np.array([x[1] for x in some]), np.array([int.from_bytes(x[2], "little") for x in some]), held
+            held = np.zeros(1 << 16, bool)
+            held[hashes >> _TOP] = True
+            self.tables[k] = hashes, np.array([names[x][0] for x in some])[order], np.frombuffer(b"".join([names[x][1] for x in some]), "<u4").astype(np.int64)[order], held
         self.forget()
         gc.freeze()  # the vocabulary stays: collections need not look at it
 
@@ -384,21 +388,58 @@ def pieces(path: str) -> Pieces:
 
 def segmentations(text: str | None, path: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
     """The n best (score, packed ids) of a whole text, best first; one empty segmentation of null and empty texts."""
-    return next(_checked(pieces(path), [text], n))[0]
+    known = pieces(path)
+    return next(_checked(known, _solved(known, [text]), [text], n))[0]
+
+
+def _solved(known: Pieces, texts: list[str | None]) -> dict[str, tuple[float, float, bytes]]:
+    """`first` of each span of some texts."""
+    return known.solved(set(chain.from_iterable(spans(t) for t in texts if t)))
 
 
-def _checked(known: Pieces, texts: list[str | None], n: int):
+def _checked(known: Pieces, solved: dict, texts: list[str | None], n: int):
     """For each text its segmentations, and whether all decode to it: the best as a whole, others where they differ."""
-    parts = [spans(t) if t else [] for t in texts]
-    solved = known.solved(set(chain.from_iterable(parts)))
-    for text, own in zip(texts, parts, strict=True):
+    for text in texts:
         if not text:
             yield [(0.0, b"")], True
             continue
-        found, replaced = _chain(known, solved, own, n)
+        found, replaced = _chain(known, solved, spans(text), n)
         yield found, known.decode(found[0][1]) == text and all(known.joined(ids) == shown for own, others in replaced for shown in [known.joined(own)] for ids in others)
 
 
+def _lists(values, lengths) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+
+
+def _numbers(parts: list[bytes]) -> pa.ListArray:
+    return _lists(pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()), [len(x) // 4 for x in parts])
+
+
+def encoded(batches, path: str, names: list[str], n: int, ids: bool):
+    """Arrow batches with the columns of encode_documents, in order, in batches of about HANDED bytes of text."""
+    known = pieces(path)
+    gc.disable()  # many objects and no cycles
+    try:
+        for portion in portions(batches, most=PORTION):
+            solved = _solved(known, portion.column("text").to_pylist())
+            for batch in portions([portion], most=HANDED):
+                each, good = zip(*_checked(known, solved, batch.column("text").to_pylist(), n), strict=True)
+                counts = [len(f) for f in each]
+                flat = [s for f in each for s in f]
+                scores, crcs = pa.array([s for s, _ in flat], pa.float64()), pa.array([zlib.crc32(x) for _, x in flat], pa.int64())
+                columns = [
+                    pa.array([len(f[0][1]) // 4 for f in each], pa.int64()), pa.array([f[0][0] for f in each], pa.float64()), pa.array(counts, pa.int64()), pa.array([f[0][0] - f[1][0] if len(f) > 1 else None for f in each], pa.float64()),
+                    pa.array([zlib.crc32(f[0][1]) for f in each], pa.int64()), pa.array(good, pa.bool_()), _lists(pa.StructArray.from_arrays([scores, crcs], ["score", "ids_crc32"]), counts),
+                ]
+                if ids:
+                    columns += [_numbers([f[0][1] for f in each]), _lists(_numbers([x for _, x in flat]), counts)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+            del solved
+    finally:
+        gc.enable()
+        known.forget()  # the worker may go on to other work
+
+
 def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = True) -> DataFrame:
     """docs with n_pieces, best_score, n_found, gap (best score less second; null if alone), ids_crc32 and decoded_ok.
 
@@ -414,31 +455,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, ids: bool = Tr
     docs = docs.drop(*(name for name, _ in own)).withColumn("text", docs["text"].cast("string"))
     schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in own)])
 
-    def lists(values, lengths):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
-
-    def run(batches):
-        known = pieces(path)
-        gc.disable()  # many objects and no cycles
-        try:
-            for batch in portions(batches, most=PORTION):
-                each, good = zip(*_checked(known, batch.column("text").to_pylist(), n), strict=True)
-                counts = [len(f) for f in each]
-                flat = [s for f in each for s in f]
-                scores, crcs = pa.array([s for s, _ in flat], pa.float64()), pa.array([zlib.crc32(x) for _, x in flat], pa.int64())
-                columns = [
-                    pa.array([len(f[0][1]) // 4 for f in each], pa.int64()), pa.array([f[0][0] for f in each], pa.float64()), pa.array(counts, pa.int64()), pa.array([f[0][0] - f[1][0] if len(f) > 1 else None for f in each], pa.float64()),
-                    pa.array([zlib.crc32(f[0][1]) for f in each], pa.int64()), pa.array(good, pa.bool_()), lists(pa.StructArray.from_arrays([scores, crcs], ["score", "ids_crc32"]), counts),
-                ]
-                if ids:
-                    numbers = lambda parts: lists(pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()), [len(x) // 4 for x in parts])
-                    columns += [numbers([f[0][1] for f in each]), lists(numbers([x for _, x in flat]), counts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
-        finally:
-            gc.enable()
-            known.forget()  # the worker may go on to other work
-
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(lambda batches: encoded(batches, path, schema.names, n, ids)), schema)
 
 
 def default_model() -> str:

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ambulo.llm import sentencepieces
@@ -20,6 +21,22 @@ def test_every_segmentation_is_handed_out(spark):
     assert "nbest" in sentencepieces.op9_nbest(spark, "/root/testdata/sf0.001").columns
 
 
+def test_results_are_handed_over_in_small_batches():
+    """One large batch comes back in pieces, with all its rows and the same results as text by text."""
+    path = sentencepieces.default_model()
+    texts = [f"{k} strawberries and unbelievable things, number {k}; " * 40 for k in range(700)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    names = ["doc_id", "text", "n_pieces", "best_score", "n_found", "gap", "ids_crc32", "decoded_ok", "nbest", "piece_ids", "nbest_ids"]
+    got = list(sentencepieces.encoded([batch], path, names, sentencepieces.N_BEST, True))
+    assert batch.nbytes > 4 * sentencepieces.HANDED and max(b.column("text").nbytes for b in got) < 1.1 * sentencepieces.HANDED
+    assert max(b.nbytes for b in got) < 20 * sentencepieces.HANDED
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in rows] == list(enumerate(texts))
+    for r in rows[::97] + rows[-2:]:
+        want = sentencepieces.segmentations(r["text"], path)
+        assert [np.array(x, "<u4").tobytes() for x in r["nbest_ids"]] == [ids for _, ids in want] and r["best_score"] == want[0][0]
+
+
 @pytest.mark.parametrize("text", ["It%%%", "a %%% b", "###", "no $$$ yes $$$", "x,,, y", "It%%% It%%%", "so ### it %%%"])
 def test_tied_segmentations_come_once_each(text):
     """Runs of marks have many segmentations of one score; the n best are distinct and among those of the n best scores."""
