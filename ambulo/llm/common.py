@@ -63,10 +63,12 @@ def tidy(run):
 
     def wrapped(batches):
         import ctypes
+        import gc
 
         import pyarrow as pa
 
         yield from run(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
         if trim:

@@ -29,7 +29,7 @@ from .common import portions, table, tidy
 SPACE = "\u2581"
 N_BEST = 4
 #: Distinct spans that a worker remembers in each of two generations, and the longest of them.
-SPANS_KEPT, SPAN_CHARS = 100_000, 64
+SPANS_KEPT, SPAN_CHARS = 50_000, 64
 #: Bytes of text whose spans are solved together: the more, the more spans of one length are searched side by side; and
 #: those of which the results, some ten times as large, are made and handed over together.
 PORTION, HANDED = 2 << 20, 1 << 18
@@ -39,6 +39,7 @@ JOINED = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}\u2581][\p{L}\p{M
 #: Spans up to so many characters are searched side by side, so many at once, over pieces of up to TABLE_CHARS.
 TABLE_SPAN, SIDE_BY_SIDE, TABLE_CHARS = 24, 2048, 24
 INF = float("inf")
+NO_PIECE = 0, None
 _FACTOR, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
 
 
@@ -98,15 +99,12 @@ class Pieces:
                 rank = -model.get_score(i) if model.get_score(i) > -1e8 else size
                 names[name] = -float(np.log(rank + 2) + np.log(np.log(size))), _packed([i])
         self.by_byte = -float(np.log(size + 2) + np.log(np.log(size)))
-        #: Pieces by character, from their beginnings and from their ends: character -> [what may follow, the piece
-        #: (score, id) that is complete here or None].
-        self.ahead, self.back = {}, {}
-        for name, found in names.items():
-            for node, letters in ((self.ahead, name), (self.back, name[::-1])):
-                for c in letters:
-                    entry = node.setdefault(c, [{}, None])
-                    node = entry[0]
-                entry[1] = found
+        #: Pieces with (score, id); and by character the length of the longest piece that begins, and that ends, with it,
+        #: and the piece that is this character alone, or None. Tries of dictionaries would take 30 MB of each worker.
+        self.names, self.ahead, self.back = names, {}, {}
+        for name in names:
+            for lengths, c in ((self.ahead, name[0]), (self.back, name[-1])):
+                lengths[c] = max(lengths.get(c, (0,))[0], len(name)), names.get(c)
         self.apart = not any(JOINED.search(name) for name in names)
         #: For each length the hashes of the pieces, sorted, with their scores and ids; and which leading bits there are.
         self.tables = {}
@@ -130,25 +128,19 @@ class Pieces:
 
     def forward(self, span: str) -> tuple[list[float], list[int]]:
         """Viterbi: the best score of every prefix, and where the last piece of it begins."""
-        size = len(span)
+        size, get, reach = len(span), self.names.get, self.ahead.get
         best, last = [-INF] * (size + 1), [0] * (size + 1)
         best[0] = 0.0
         for i, top in enumerate(best):
             if i == size:
                 return best, last
-            node, j, single = self.ahead, i, False
-            while j < size:
-                entry = node.get(span[j])
-                if entry is None:
-                    break
-                node, found = entry
-                j += 1
+            longest, single = reach(span[i], NO_PIECE)
+            for j in range(i + 1, min(size, i + longest) + 1):
+                found = get(span[i:j])
                 if found:
                     score = top + found[0]
                     if score > best[j]:
                         best[j], last[j] = score, i
-                    if j == i + 1:
-                        single = True
             if not single:
                 score = top + self.by_byte * len(span[i].encode("utf-8", "replace"))
                 if score > best[i + 1]:
@@ -156,12 +148,9 @@ class Pieces:
 
     def arcs(self, span: str, at: int) -> list[tuple[int, float, bytes]]:
         """The pieces (start, score, ids) that end at a position of a span, the shortest first."""
-        node, out = self.back, []
-        for i in range(at - 1, -1, -1):
-            entry = node.get(span[i])
-            if entry is None:
-                break
-            node, found = entry
+        get, out = self.names.get, []
+        for i in range(at - 1, max(0, at - self.back.get(span[at - 1], NO_PIECE)[0]) - 1, -1):
+            found = get(span[i:at])
             if found:
                 out.append((i, *found))
         if not out or out[0][0] != at - 1:

@@ -1,5 +1,6 @@
 """Rows carry all that their operators find."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -85,3 +86,20 @@ def test_few_parts_of_spans_are_looked_up(monkeypatch):
     assert sum(asked) < 0.7 * len(words) * size * (size + 1) / 2
     assert [g[2] for g in got if g] == [w[2] for g, w in zip(got, want) if g] and sum(g is not None for g in got) > 3
     assert all(np.isclose(g[0], w[0]) and np.isclose(g[1], w[1]) for g, w in zip(got, want) if g)
+
+
+def test_the_vocabulary_is_small_in_memory():
+    """Every worker has its own: one dictionary of pieces, without a node for each beginning and each end of them."""
+    path = sentencepieces.default_model()
+    tracemalloc.start()
+    try:
+        known = sentencepieces.Pieces(path)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 25e6
+    for span in ("▁unbelievable", "▁Straße", "▁zażółć", "▁\U0001f600x", "▁" + "ab" * 40):
+        for at in range(1, len(span) + 1):
+            pieces = [(i, *known.names[span[i:at]]) for i in range(at - 1, -1, -1) if span[i:at] in known.names]
+            got = known.arcs(span, at)
+            assert [x for x in got if x in pieces] == pieces and len(got) - len(pieces) == (span[at - 1] not in known.names)
