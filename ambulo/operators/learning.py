@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import digamma
+from ..sources.stored import stored
 from . import cells
 from .cells import STRATEGIES
 from .inference import auc, average_precision, class_metrics
@@ -110,23 +111,31 @@ def nearest_information(df: DataFrame, cols: list[str], label: str, neighbours:
     (those of its own value where that distance is 0); mi is digamma(rows) + mean digamma(neighbours) - mean
     digamma(class rows) - mean digamma(rows nearer), at least 0. On a line the nearest lie among as many rows before and
     after, and counts follow from running sums over distinct values, so no rows are paired. Classes of one row are left
-    out, smaller ones than `neighbours` take as many as there are. Nulls are no rows of their column. A window sorts a
-    column's rows of one class.
+    out, smaller ones than `neighbours` take as many as there are. Nulls are no rows of their column. Equal values of a
+    class are one row with a count; a window sorts a column's distinct values of one class. What is needed more than
+    once is stored.
     """
     long = df.select(F.col(label).alias("y"), *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(["y"], cols, "feature", "x").where("x IS NOT NULL AND y IS NOT NULL")
     own = Window.partitionBy("feature", "y")
     order = own.orderBy("x")
-    sized = long.withColumn("ny", F.count(F.lit(1)).over(own)).where("ny > 1")
-    beside = [F.abs(F.col("x") - f("x", k).over(order)) for k in range(1, neighbours + 1) for f in (F.lag, F.lead)]
+    sized = long.groupBy("feature", "y", "x").agg(F.count(F.lit(1)).alias("times")).withColumn("ny", F.sum("times").over(own)).where("ny > 1")
+
+    def beside(f, k):
+        """The distance to a value before or after, as often as it is there; nulls where there is none."""
+        return F.array_repeat(F.abs(F.col("x") - f("x", k).over(order)), F.least(f("times", k).over(order), F.lit(neighbours)).cast("int"))
+
+    same = F.array_repeat(F.lit(0.0), F.least(F.col("times") - 1, F.lit(neighbours)).cast("int"))
     many = F.least(F.lit(neighbours), F.col("ny") - 1)
-    apart = sized.withColumn("k", many).withColumn("_d", F.array_compact(F.array(*beside)))
+    apart = sized.withColumn("k", many).withColumn("_d", F.array_compact(F.concat(same, *(beside(f, k) for k in range(1, neighbours + 1) for f in (F.lag, F.lead)))))
     # Rows at the distance itself are not nearer, whatever the last digit.
     apart = apart.withColumn("d", F.element_at(F.sort_array("_d"), F.col("k").cast("int")) * (1 - 1e-12)).withColumns({"lo": F.col("x") - F.col("d"), "hi": F.col("x") + F.col("d")})
-    asked = apart.select("feature", F.explode(F.array("lo", "hi")).alias("x")).distinct().withColumn("n", F.lit(0).cast("long"))
-    values = sized.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")).unionByName(asked).groupBy("feature", "x").agg(F.sum("n").alias("n"))
-    run = with_running_sums(values, ["feature"], "x", {"ge": "n"}).select("feature", "x", "ge", (F.col("ge") - F.col("n")).alias("gt"))
+    apart = stored(apart.drop("_d", "d"))
+    asked = apart.select("feature", F.explode(F.array("lo", "hi")).alias("x"), F.lit(0).cast("long").alias("n"))
+    values = apart.select("feature", "x", F.col("times").alias("n")).unionByName(asked).groupBy("feature", "x").agg(F.sum("n").alias("n"))
+    run = stored(with_running_sums(values, ["feature"], "x", {"ge": "n"}).select("feature", "x", "ge", (F.col("ge") - F.col("n")).alias("gt")))
     met = apart.join(run.select("feature", F.col("x").alias("lo"), "ge"), ["feature", "lo"]).join(run.select("feature", F.col("x").alias("hi"), "gt"), ["feature", "hi"])
-    a = met.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(digamma(F.col("k"))).alias("k"), F.avg(digamma(F.col("ny"))).alias("ny"), F.avg(digamma(F.col("ge") - F.col("gt"))).alias("m"))
+    mean = lambda c: F.sum(F.col("times") * digamma(c)) / F.sum("times")
+    a = met.groupBy("feature").agg(F.sum("times").cast("double").alias("n"), mean(F.col("k")).alias("k"), mean(F.col("ny")).alias("ny"), mean(F.col("ge") - F.col("gt")).alias("m"))
     return a.select("feature", F.greatest(digamma(F.col("n")) + F.col("k") - F.col("ny") - F.col("m"), F.lit(0.0)).alias("mi"))
 
 

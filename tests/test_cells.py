@@ -175,3 +175,29 @@ def test_importances_are_the_falls_of_accuracy(spark):
         dealt[:, 4] = rng.permutation(dealt[:, 4])
         falls.append(was - np.mean((dealt @ b > 0) == (y[~on] == 1)))
     assert abs(got["f3"] - np.mean(falls)) < 4 * np.std(falls) / 8**0.5 and d.sides == 1
+
+
+def test_neighbours_of_repeated_values_are_found_on_distinct_ones(spark, monkeypatch):
+    """Thirty copies of each row: no step holds more than a row for each value and class; the result is that of all rows."""
+    from ambulo.operators import learning
+
+    def digamma(n):  # of whole numbers, less a constant that cancels out
+        return sum(1 / i for i in range(1, int(n)))
+
+    held, keep = [], learning.stored
+    monkeypatch.setattr(learning, "stored", lambda df: held.append(keep(df)) or held[-1])
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=40), 1)
+    y = (x + rng.normal(size=40) > 0).astype(int)
+    for copies in (1, 2, 30):
+        held.clear()
+        xs, ys = np.repeat(x, copies), np.repeat(y, copies)
+        df = spark.createDataFrame([(int(b), float(a)) for a, b in zip(xs, ys, strict=True)], "y int, f double")
+        got = learning.nearest_information(df, ["f"], "y").first()["mi"]
+        assert held and max(t.count() for t in held) <= 3 * len(set(zip(x, y, strict=True)))
+        each = []
+        for i in range(len(xs)):
+            k = min(3, int((ys == ys[i]).sum()) - 1)
+            d = np.sort(np.abs(np.delete(xs, i)[np.delete(ys, i) == ys[i]] - xs[i]))[k - 1] * (1 - 1e-12)
+            each.append(digamma(k) - digamma((ys == ys[i]).sum()) - digamma(((xs >= xs[i] - d) & (xs <= xs[i] + d)).sum()))
+        assert abs(got - max(0.0, digamma(len(xs)) + np.mean(each))) < 1e-9
