@@ -100,7 +100,7 @@ class Pieces:
                 names[name] = -float(np.log(rank + 2) + np.log(np.log(size))), _packed([i])
         self.by_byte = -float(np.log(size + 2) + np.log(np.log(size)))
         #: Pieces with (score, id); and by character the length of the longest piece that begins, and that ends, with it,
-        #: and the piece that is this character alone, or None. Tries of dictionaries would take 30 MB of each worker.
+        #: and the piece that is this character alone, or None. Tries of dictionaries would take 25 MB more of each worker.
         self.names, self.ahead, self.back = names, {}, {}
         for name in names:
             for lengths, c in ((self.ahead, name[0]), (self.back, name[-1])):
