@@ -53,17 +53,17 @@ def to_grid(df: DataFrame, keys: list[str], at: str, value: str, how: str = "mea
     return spread.select(*keys, F.col("_g").alias(at), F.when(F.col("_g") == F.col(at), F.col("value")).alias("value"))
 
 
-def nearest_on_grid(df: DataFrame, keys: list[str], at: str, value: str, step: int, tolerance: int) -> DataFrame:
+def nearest_on_grid(df: DataFrame, keys: list[str], at: str, value: str, step: int, tolerance: int, ties: str | None = None) -> DataFrame:
     """For each grid point the nearest row within tolerance, the earlier on ties, of rows at one
-    time that of the least value; points without one are null.
+    time that of the least `ties`, or else of the least value; points without one are null.
 
     Rows meet only the grid points around them, so the join is by equal keys.
     """
     ends = df.groupBy(*keys).agg(F.floor(F.min(at) / step).alias("_lo"), F.ceil(F.max(at) / step).alias("_hi"))
     grid = ends.select(*keys, F.explode(F.transform(F.sequence("_lo", "_hi"), lambda g: g * step)).alias("grid"))
     lo, hi = F.ceil((F.col(at) - tolerance) / step), F.floor((F.col(at) + tolerance) / step)
-    near = df.where(lo <= hi).select(*keys, at, value, F.explode(F.sequence(lo, hi)).alias("_g")).withColumn("grid", F.col("_g") * step)
-    best = near.groupBy(*keys, "grid").agg(F.min_by(value, F.struct(F.abs(F.col(at) - F.col("grid")), at, value)).alias("value"))
+    near = df.where(lo <= hi).select(*keys, at, value, F.col(ties or value).alias("_tie"), F.explode(F.sequence(lo, hi)).alias("_g")).withColumn("grid", F.col("_g") * step)
+    best = near.groupBy(*keys, "grid").agg(F.min_by(value, F.struct(F.abs(F.col(at) - F.col("grid")), at, "_tie", value)).alias("value"))
     return grid.join(best, [*keys, "grid"], "left")
 
 

@@ -244,7 +244,7 @@ def regularity_index(spark, sf_dir):
 
 
 def nearest_reindex(spark, sf_dir):
-    return rounded(calendar.nearest_on_grid(events(spark, sf_dir), S, "sec", "value", 1800, 600))
+    return rounded(calendar.nearest_on_grid(events(spark, sf_dir), S, "sec", "value", 1800, 600, "event_id"))
 
 
 R = "round({}, 6)"
